@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import text_of, tokenizer_file
+from terrane.llm.common import ChunkMemory, text_of, tokenizer_file
 
 #: White space as the pattern's engine has it (fixed values: Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -33,7 +33,6 @@ _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The pattern of the vocabulary's makers (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_CHUNKS = 400_000
 CACHED_MOVES = 2_000_000
 _FOREVER = 1 << 62
 
@@ -209,14 +208,13 @@ class ByteBpe:
 
         self.pieces = regex.compile(pattern).findall
         self.fst = Transducer(read_ranks(path))
-        self.known: dict[str, bytes] = {}
+        self.known = ChunkMemory()
         self.tokens = [self.fst.bytes_of.get(i, b"") for i in range(max(self.fst.bytes_of, default=0) + 1)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         chunks = [_CHUNK.findall(t) for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
+        self.known.trim()
         known, encode, pieces = self.known, self.fst.encode, self.pieces
         for c in set().union(*chunks).difference(known):
             ids = array("I")

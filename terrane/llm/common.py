@@ -153,3 +153,20 @@ def sliced(batch, column: int, limit: int = 2_000_000):
         stop = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+class ChunkMemory(dict):
+    """Remembers what chunks of text encode to, in bounded space.
+
+    Frequent chunks come early, so the first `kept` entries stay; later ones go together when there are `extra` of them.
+    """
+
+    def __init__(self, kept: int = 400_000, extra: int = 200_000):
+        super().__init__()
+        self.kept, self.limit = kept, kept + extra
+
+    def trim(self) -> None:
+        """Call between batches."""
+        if len(self) > self.limit:
+            for k in list(self)[self.kept :]:
+                del self[k]

@@ -22,13 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import text_of, tokenizer_file
+from terrane.llm.common import ChunkMemory, text_of, tokenizer_file
 
 CAPACITY = 4096
 OPEN_BINS = 4096
 END_ID = 1
-#: Entries of the worker's memory of chunk -> ids; it starts anew when full.
-CACHED_CHUNKS = 400_000
 #: Separators of str.split() that the tokenizer's \s does not hold.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case depends on their place or makes two letters, and those that composition may change.
@@ -48,7 +46,7 @@ class ChunkTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = ChunkMemory()
         self.tails = {"": b""} | dict(zip(".,", self._encode([".", ","]), strict=True))
         vocab = self.lib.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
@@ -76,27 +74,27 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds the ids of new chunks: a word of letters, with a full stop or comma or without, by its lower-case form."""
-        known, words, forms, others = self.known, set(), [], []
+        known, forms, others = self.known, {}, []
         for c in chunks:
-            stem, tail = (c[:-1], c[-1]) if c[-1] in ".," else (c, "")
-            if stem.isalpha() and not _CASED_ODDLY.search(stem):
-                stem = stem.lower()
-                forms.append((c, stem, tail))
-                if stem not in known:
-                    words.add(stem)
+            if c.isalpha():
+                forms[c] = c, ""
+            elif c[-1] in ".," and c[:-1].isalpha():
+                forms[c] = c[:-1], c[-1]
             else:
                 others.append(c)
-        new = list(words)
-        known.update(zip(new, self._encode_words(new), strict=True))
-        known.update((c, known[stem] + self.tails[tail]) for c, stem, tail in forms)
+        plain = {c: (stem.lower(), tail) for c, (stem, tail) in forms.items() if c.isascii() or not _CASED_ODDLY.search(c)}
+        others += forms.keys() - plain.keys()
+        words = list({stem for stem, _ in plain.values()}.difference(known))
+        ids = dict(zip(words, self._encode_words(words), strict=True))
+        tails = self.tails
+        known.update({c: (ids.get(stem) or known[stem]) + tails[tail] for c, (stem, tail) in plain.items()})
         known.update(zip(others, self._encode(others), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
         chunks = [() if i in odd else t.split() for i, t in enumerate(texts)]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
+        self.known.trim()
         known = self.known
         self._learn(set().union(*chunks).difference(known))
         return [self._encode([t])[0] if i in odd else b"".join(map(known.__getitem__, c)) for i, (t, c) in enumerate(zip(texts, chunks, strict=True))]
