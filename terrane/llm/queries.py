@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.quality import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.toxicity import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.lm import score_documents
 
@@ -51,7 +63,7 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pitman_yor_lm, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
