@@ -1 +1,13 @@
 """Terrane: landscape analytics over ensembles of ordered vectors, on Spark DataFrames."""
+
+from __future__ import annotations
+
+import os
+
+
+def on_workers(spark) -> None:
+    """Let Python workers import this package from where the driver has it, if they see that folder and nothing else put it on their path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, paths) if x)
