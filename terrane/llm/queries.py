@@ -6,11 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane import on_workers
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.chat import digests, format_conversations
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(format_conversations(table.unionByName(extra)))
+
+
 def op3_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.quality import score_documents
 
@@ -63,8 +81,10 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_license_templates, op2_chat_format, op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    from terrane.llm import chat, licenses
+
+    return {"op1_license_templates": licenses.sql(), "op2_chat_format": chat.SQL, "op8_exact_dedup": OP8_SQL}
