@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,9 +118,7 @@ def answer(blobs: DataFrame) -> DataFrame:
     A sender sends distinct hashes, so copies inside one partition are found by the sender itself; see `suspects`.
     """
 
-    def run(key: tuple, rows) -> object:
-        import pandas as pd
-
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sent = [golomb_decode(k, n, b) for k, n, b in zip(rows["k"], rows["n"], rows["blob"], strict=True)]
         values, count = np.unique(np.concatenate(sent), return_counts=True)
         twice = values[count > 1]
