@@ -17,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ class ChunkTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         self.known = ChunkMemory()
-        self.tails = {"": b""} | dict(zip(".,", self._encode([".", ","]), strict=True))
+        self.tails = dict(zip(".,", self._encode([".", ","]), strict=True))
         vocab = self.lib.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -74,20 +75,23 @@ class ChunkTokenizer:
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds the ids of new chunks: a word of letters, with a full stop or comma or without, by its lower-case form."""
-        known, forms, others = self.known, {}, []
+        known, forms, stems, tails, others = self.known, [], [], [], []
         for c in chunks:
-            if c.isalpha():
-                forms[c] = c, ""
+            if not c.isascii() and _CASED_ODDLY.search(c):
+                others.append(c)
+            elif c.isalpha():
+                forms.append(c)
+                stems.append(c.lower())
+                tails.append(b"")
             elif c[-1] in ".," and c[:-1].isalpha():
-                forms[c] = c[:-1], c[-1]
+                forms.append(c)
+                stems.append(c[:-1].lower())
+                tails.append(self.tails[c[-1]])
             else:
                 others.append(c)
-        plain = {c: (stem.lower(), tail) for c, (stem, tail) in forms.items() if c.isascii() or not _CASED_ODDLY.search(c)}
-        others += forms.keys() - plain.keys()
-        words = list({stem for stem, _ in plain.values()}.difference(known))
-        ids = dict(zip(words, self._encode_words(words), strict=True))
-        tails = self.tails
-        known.update({c: (ids.get(stem) or known[stem]) + tails[tail] for c, (stem, tail) in plain.items()})
+        words = list(set(stems).difference(known))
+        known.update(zip(words, self._encode_words(words), strict=True))
+        known.update(zip(forms, map(add, map(known.__getitem__, stems), tails), strict=True))
         known.update(zip(others, self._encode(others), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
