@@ -47,6 +47,12 @@ def op5_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_balanced_lists_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.llm.packing import pack_documents
 
@@ -81,7 +87,7 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_templates, op2_chat_format, op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_license_templates, op2_chat_format, op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op6_balanced_lists_ann, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
