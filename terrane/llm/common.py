@@ -182,3 +182,28 @@ def training_rows(df: DataFrame, labels: DataFrame, target: str, folds: int, hel
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(F.crc32(F.col("id").cast("string").cast("binary")) % folds != held)
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     return df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
+
+
+#: Row names (some 60 bytes each) that may be broadcast to drop rows; a join shuffles beyond that.
+BROADCAST_NAMES = 200_000
+
+
+def kept_rows(df: DataFrame, named: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of `df` that a stage kept.
+
+    `named` is `df` with a column `_name` that identifies a row up to equal key and text; `decided` has a row (_name, kept) for each row. Rows of
+    one name differ in no way that the stage looks at: if one of them is kept, one stays.
+    """
+    marks = stored(decided.groupBy("_name").agg(F.max("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1"), "marks")
+    gone, twice = marks.where("not any").select("_name"), marks.where("any").select("_name")
+    small = marks.count() <= BROADCAST_NAMES
+    near = F.broadcast if small else (lambda t: t)
+    out = named.join(near(gone), "_name", "left_anti")
+    if not twice.isEmpty():
+        out = out.join(near(twice), "_name", "left_anti").unionByName(out.join(near(twice), "_name", "left_semi").dropDuplicates(["_name"]))
+    return out.select(df.columns)
+
+
+def row_name(key: Column, digest: Column) -> Column:
+    """Key and digest of the text as one string that is never null."""
+    return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), digest)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import owners, stored, text_of
+from terrane.llm.common import kept_rows, owners, row_name, stored, text_of
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Suspect hashes that may be broadcast (8 bytes each); beyond that a sort-merge join finds the texts.
@@ -173,6 +173,7 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     checked = texts_with_hash(df, text).join(wanted, "h", "left_semi").groupBy("norm").agg(F.count("*").alias("group_size")).select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
     keepers = docs.join(wanted, "h", "left_semi").groupBy("sha").agg(F.min(F.struct((-F.col("n_cp")).alias("less"), "id", "part", "seq")).alias("keeper"), F.count("*").alias("n"))
     groups = keepers.join(checked, "sha", "left").select("sha", "keeper", F.when(F.col("group_size") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("texts of one sha256 differ"))).alias("n"))
+    groups = stored(groups, "groups")  # so that the join below can split a large group's rows
     out = docs.select("id", "part", "seq", "sha").join(groups, "sha", "left")
     grouped = F.col("keeper").isNotNull()
     return out.select(
@@ -182,3 +183,15 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         (~grouped | ((F.col("keeper.part") == F.col("part")) & (F.col("keeper.seq") == F.col("seq")))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` that stay, with all their columns."""
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.sha256(normalised(t)).hexdigest()).astype(object)
+
+    decided = exact_duplicates(df, key, text)
+    decided = decided.select(row_name(F.col(key), F.col("text_sha256")).alias("_name"), "kept")
+    return kept_rows(df, df.withColumn("_name", row_name(df[key].cast("long"), digest(text_of(df, text)))), decided)

@@ -192,7 +192,7 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return read.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def of_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 4, held: int = 2, threshold: float = 0.5) -> DataFrame:
+def of_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
     """The rows of `df` that score `threshold` or more, all columns as they are."""
     model = trained(df, labels, key, text, folds=folds, held=held)
 
