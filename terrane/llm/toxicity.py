@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import remainder, sliced, text_of, training_rows
+from terrane.llm.common import forget, remainder, sliced, stored, text_of, training_rows
 
 #: Labelled rows that are fitted at most.
 SAMPLE = 12_000
+#: Kinds of evidence that are weighed at most.
+MOST_EVIDENCE = 5_000
 STEMS = (4, 5)
 PENALTY = 0.05
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -58,55 +60,49 @@ def noisy_or(probabilities: list[float]) -> float:
     return float(-np.expm1(sum(np.log1p(-min(p, 1 - 1e-12)) for p in probabilities)))
 
 
-def _bags(rows: DataFrame) -> DataFrame:
-    """(label, sizes, features): hashes of the evidence of each sentence."""
+def _sentences(rows: DataFrame) -> DataFrame:
+    """(label, sentences): each sentence's evidence, joined by blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(whole, 0):
-                sizes, words = [], []
-                for t in b.column(0).to_pylist():
-                    found = [sorted(evidence(m[0])) for m in _SENTENCE.finditer(t)]
-                    sizes.append(np.array([len(x) for x in found], "<u4").tobytes())
-                    words.append(" ".join(w for x in found for w in x))
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes, pa.binary()), pa.array(words, pa.string())], names=["label", "sizes", "words"])
+                found = [[" ".join(sorted(evidence(m[0]))) for m in _SENTENCE.finditer(t)] for t in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.string()))], names=["label", "sentences"])
 
-    return rows.mapInArrow(run, "label int, sizes binary, words string")
+    return rows.mapInArrow(run, "label int, sentences array<string>")
 
 
-def fit(bags: list, rounds: int = 300) -> Model:
-    """Weights by projected Adam on the noisy-or likelihood of (label, sizes, words)."""
-    names: dict[str, int] = {}
+def _associated(bags: DataFrame) -> dict[str, float]:
+    """Evidence whose association with the label is beyond chance given the number of candidates (a log-likelihood ratio), with its share of toxic documents.
+
+    Counted by aggregation over the sample; only what is chosen comes to the driver.
+    """
+    n, share = bags.agg(F.count("*"), F.avg("label")).first()
+    if not n or share in (0.0, 1.0):
+        return {}
+    each = bags.select("label", F.explode(F.array_distinct(F.split(F.array_join("sentences", " "), " "))).alias("w")).where("w != ''")
+    seen = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
+    many = seen.count()
+    rate = F.col("t") / F.col("n")
+    gain = 2 * (F.when(F.col("t") > 0, F.col("t") * F.log(rate / share)).otherwise(0) + F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - share))).otherwise(0))
+    chosen = seen.where(rate > share).where(gain > 2 * np.log(max(many, 2))).orderBy(F.desc(gain), "w").limit(MOST_EVIDENCE)
+    return {r[0]: r[1] for r in chosen.select("w", rate.alias("rate")).collect()}
+
+
+def fit(bags: list[tuple[int, list[list[int]]]], rate: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights of evidence 0, 1, ... and the bias, by projected Adam on the noisy-or likelihood of (label, evidence of each sentence that has any)."""
     label = np.array([b[0] for b in bags], np.float64)
-    if not len(label) or label.min() == label.max():
-        return Model({}, 0.0)
-    ids = [np.fromiter((names.setdefault(w, len(names)) for w in b[2].split()), np.int64) for b in bags]
-    n = len(names)
-    with_, toxic = np.zeros(n), np.zeros(n)
-    for i, y in zip(ids, label, strict=True):
-        distinct = np.unique(i)
-        with_[distinct] += 1
-        toxic[distinct] += y
-    share, rate = label.mean(), toxic / with_
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (toxic * np.log(np.maximum(rate, 1e-300) / share) + np.where(rate < 1, (with_ - toxic) * np.log(np.maximum(1 - rate, 1e-300) / (1 - share)), 0))
-    use = np.flatnonzero((rate > share) & (gain > 2 * np.log(max(n, 2))))
-    column = np.full(n, -1)
-    column[use] = np.arange(len(use))
-    entry_f, entry_s, sentence_doc, at = [], [], [], 0
-    for d, (b, i) in enumerate(zip(bags, ids, strict=True)):
-        sizes = np.frombuffer(bytes(b[1]), "<u4")
-        f, s = column[i], np.repeat(np.arange(len(sizes)), sizes)
-        hit = f >= 0
-        kept, new = np.unique(s[hit], return_inverse=True)
-        entry_f.append(f[hit])
-        entry_s.append(new + at)
-        sentence_doc.append(np.full(len(kept), d))
-        at += len(kept)
+    use = np.arange(len(rate))
+    entry_f, entry_s, sentence_doc, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for d, (_, found) in enumerate(bags):
+        entry_f += [np.array(x, np.int64) for x in found]
+        entry_s += [np.full(len(x), at + k) for k, x in enumerate(found)]
+        sentence_doc.append(np.full(len(found), d))
+        at += len(found)
     if not at:
-        return Model({}, 0.0)
+        return np.zeros(len(rate)), 0.0
     f, s, doc = np.concatenate(entry_f), np.concatenate(entry_s), np.concatenate(sentence_doc)
-    weight, bias = np.maximum(0, np.log(np.maximum(rate[use], 1e-9) / np.maximum(1 - rate[use], 0.02))), -3.0
+    weight, bias = np.maximum(0, np.log(np.maximum(rate, 1e-9) / np.maximum(1 - rate, 0.02))), -3.0
     m, v, mb, vb = np.zeros(len(use)), np.zeros(len(use)), 0.0, 0.0
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(s, weight[f], at), -30, 30)))
@@ -119,13 +115,24 @@ def fit(bags: list, rounds: int = 300) -> Model:
         rate_k = 0.1 / (1 + k / 100)
         weight = np.maximum(0, weight + rate_k * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6))
         bias = min(-1.0, bias + rate_k * mb / (1 - 0.9**k) / (np.sqrt(vb / (1 - 0.99**k)) + 1e-6))
-    words = list(names)
-    return Model({words[use[k]]: float(weight[k]) for k in np.flatnonzero(weight > 0.05)}, float(bias))
+    return weight, float(bias)
 
 
 def trained(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", target: str = "toxic", folds: int = 5, held: int = 0, bound: int = SAMPLE) -> Model:
-    rows = _bags(training_rows(df, labels, target, folds, held, bound, key, text))
-    return fit(sorted(map(tuple, rows.collect())))  # at most `bound` rows
+    bags = stored(_sentences(training_rows(df, labels, target, folds, held, bound, key, text)), "bags")
+    rates = _associated(bags)
+    names = sorted(rates)
+    number = {w: k for k, w in enumerate(names)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[hit for x in s if (hit := [number[w] for w in x.split(" ") if w in number])] for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["label", "found"])
+
+    sample = sorted((r[0], r[1]) for r in bags.mapInArrow(numbered, "label int, found array<array<int>>").collect()) if names else []  # at most `bound` short rows
+    forget(bags)
+    weight, bias = fit(sample, np.array([rates[w] for w in names])) if names else (np.zeros(0), 0.0)
+    return Model({w: float(x) for w, x in zip(names, weight, strict=True) if x > 0.05}, bias)
 
 
 def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0, bound: int = SAMPLE, model: Model | None = None) -> DataFrame:
