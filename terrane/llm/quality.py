@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from terrane.llm.common import hashed_words, mix64, remainder, sliced, text_of, training_rows
 
 #: Labelled rows that are fitted at most, tokens of each that have word vectors at most.
-SAMPLE = 8_000
+SAMPLE = 5_000
 VOCABULARY = 20_000
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 48, 6, 2, 32
 _WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -43,18 +43,21 @@ def word_vectors(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     """Sorted hashes of the commonest tokens, and their unit context vectors. `at`: where each text begins."""
     names, ids, count = np.unique(tokens, return_inverse=True, return_counts=True)
     common = np.sort(np.argsort(-count, kind="stable")[:VOCABULARY])
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    vectors = np.zeros((len(names), DIMENSIONS), np.float32)
-    index = index_vectors(names)
+    rank = np.full(len(names), -1)
+    rank[common] = np.arange(len(common))
+    text = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+    vectors = np.zeros((len(common), DIMENSIONS), np.float32)
     for gap in range(1, WINDOW + 1):
         same = np.flatnonzero(text[gap:] == text[:-gap]) if len(text) > gap else np.zeros(0, np.int64)
-        pair, times = np.unique(np.concatenate([ids[same] * len(names) + ids[same + gap], ids[same + gap] * len(names) + ids[same]]), return_counts=True)
-        left, right = pair // max(len(names), 1), pair % max(len(names), 1)
-        for s in range(0, len(pair), 200_000):  # sorted by the left token
-            l, r, t = left[s : s + 200_000], right[s : s + 200_000], times[s : s + 200_000]
-            first = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]]))
-            vectors[l[first]] += np.add.reduceat(index[r] * t[:, None].astype(np.float32), first, axis=0)
-    vectors = vectors[common]
+        for one, other in ((0, gap), (gap, 0)):
+            code = rank[ids[same + one]]
+            code = (code * len(names) + ids[same + other])[code >= 0]
+            pair, times = np.unique(code, return_counts=True)
+            del code
+            for s in range(0, len(pair), 100_000):  # sorted by the common token
+                l, r = np.divmod(pair[s : s + 100_000], len(names))
+                first = np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]]))
+                vectors[l[first]] += np.add.reduceat(index_vectors(names[r]) * times[s : s + 100_000, None].astype(np.float32), first, axis=0)
     return names[common], vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
 
 
