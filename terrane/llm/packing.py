@@ -49,9 +49,10 @@ class ChunkTokenizer:
         self.lib.encode_special_tokens = True
         self.known = ChunkMemory()
         self.tails = dict(zip(".,", self._encode([".", ","]), strict=True))
-        vocab = self.lib.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # how the vocabulary spells bytes: printable ones as themselves, the others by letters from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.letters = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -60,18 +61,9 @@ class ChunkTokenizer:
         return out
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words of letters only: one pattern match each, whose last id alone carries the end-of-word mark, so the ids of many words joined by blanks fall apart at the marks."""
-        out: list[bytes] = []
-        for s in range(0, len(words), 2000):
-            some = words[s : s + 2000]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
-            if len(ends) != len(some):  # a letter that the library's tables do not know as one
-                out += self._encode(some)
-                continue
-            data, ends = ids.tobytes(), ends.tolist()
-            out += [data[i:j] for i, j in zip([0, *ends], ends)]
-        return out
+        """Lower-case words of letters below U+02B0: one pattern match each, which composition leaves alone, so they go straight to the merges."""
+        merge, spell = self.lib.model.tokenize, self.letters
+        return [array("I", [t.id for t in merge(w if w.isascii() else "".join(map(spell.__getitem__, w.encode())))]).tobytes() for w in words]
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds the ids of new chunks: a word of letters, with a full stop or comma or without, by its lower-case form."""
