@@ -142,7 +142,7 @@ def hashed_words(texts: list[bytes], blanks: bytes) -> tuple[np.ndarray, np.ndar
     return segment_hashes(joined + np.uint64(1), starts, ends), np.searchsorted(starts, at)
 
 
-def sliced(batch, column: int, limit: int = 2_000_000):
+def sliced(batch, column: int, limit: int = 500_000):
     """Slices of an Arrow batch that hold about `limit` bytes of its string column each, one row at least."""
     import pyarrow.compute as pc
 
@@ -161,7 +161,7 @@ class ChunkMemory(dict):
     Frequent chunks come early, so the first `kept` entries stay; later ones go together when there are `extra` of them.
     """
 
-    def __init__(self, kept: int = 400_000, extra: int = 200_000):
+    def __init__(self, kept: int = 300_000, extra: int = 150_000):
         super().__init__()
         self.kept, self.limit = kept, kept + extra
 
