@@ -1,0 +1,231 @@
+"""Vector work over embeddings (64 numbers, labels as replicates) and atom-like work over suppliers and customers."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from terrane.functions.columns import dot
+from terrane.operators import decompose, msm, residues
+from terrane.plans.registry import Tables, query, r
+
+LONG = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings"
+
+
+def vectors(t: Tables) -> DataFrame:
+    return t.embeddings.where("embedding is not null")
+
+
+def long(t: Tables) -> DataFrame:
+    return vectors(t).select("vec_id", "label", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query(f"WITH l AS ({LONG}), s AS (SELECT * FROM l WHERE d < 8) SELECT a.d AS i, b.d AS j, round(covar_pop(a.x, b.x), 8) AS c FROM s a JOIN s b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2")
+def covariance_long(t: Tables) -> DataFrame:
+    """Covariances of eight dimensions with equal weight for each frame, from merged moments."""
+    v = vectors(t).select(F.lit(0).alias("one"), F.slice("embedding", 1, 8).alias("v"))
+    _, cov = decompose.covariance(decompose.collected(decompose.moments(v, "v", "one"), "one"))
+    return t.spark.createDataFrame([(i, j, round(float(cov[i, j]), 8)) for i in range(8) for j in range(i, 8)], "i long, j long, c double")
+
+
+@query(f"WITH l AS ({LONG}) SELECT d, round(avg(x), 8) AS mean, round(var_pop(x) * count(*), 6) AS m2, count(*) AS n FROM l GROUP BY 1")
+def moments_merge(t: Tables) -> DataFrame:
+    """Moments merged over partitions and replicates: the diagonal of M2."""
+    states = decompose.collected(decompose.moments(vectors(t), "embedding", "label"), "label")
+    total = None
+    for m in states.values():
+        total = m if total is None else decompose.merged(total, m)
+    rows = [(k, round(float(total[1][k]), 8), round(float(total[2][k, k]), 6), int(total[0])) for k in range(len(total[1]))]
+    return t.spark.createDataFrame(rows, "d long, mean double, m2 double, n long")
+
+
+@query(f"WITH l AS ({LONG}), m AS (SELECT label, d, avg(x) AS x FROM l GROUP BY 1, 2) SELECT d, round(avg(x), 8) AS mean FROM m GROUP BY 1")
+def replicate_weighted_mean(t: Tables) -> DataFrame:
+    m = long(t).groupBy("label", "d").agg(F.avg("x").alias("x"))
+    return m.groupBy(F.col("d").cast("long").alias("d")).agg(r(F.avg("x"), 8).alias("mean"))
+
+
+@query(f"WITH l AS ({LONG}), s AS (SELECT * FROM l WHERE d < 2), v AS (SELECT covar_pop(a.x, b.x) AS c, var_pop(a.x) AS va, var_pop(b.x) AS vb FROM s a JOIN s b USING (vec_id) WHERE a.d = 0 AND b.d = 1), e AS (SELECT (va + vb) / 2 + sqrt(power((va - vb) / 2, 2) + c * c) AS e1, va + vb AS tr FROM v) SELECT unnest([1, 2]) AS mode, unnest([round(e1, 8), round(tr - e1, 8)]) AS eigenvalue, unnest([round(100 * e1 / tr, 5), round(100 * (tr - e1) / tr, 5)]) AS explained FROM e")
+def explained_variance(t: Tables) -> DataFrame:
+    """Principal components of the first two dimensions, which have a closed form."""
+    v = vectors(t).select(F.lit(0).alias("one"), F.slice("embedding", 1, 2).alias("v"))
+    p = decompose.pca(v, "v", "one", 2)
+    return t.spark.createDataFrame([(k + 1, round(float(p["eigenvalues"][k]), 8), round(float(p["explained"][k]), 5)) for k in range(2)], "mode int, eigenvalue double, explained double")
+
+
+@query()
+def pca_modes(t: Tables) -> DataFrame:
+    """Ten modes of all dimensions with equal weight for each replicate."""
+    p = decompose.pca(vectors(t), "embedding", "label", 10)
+    rows = [(k + 1, float(p["eigenvalues"][k]), float(p["explained"][k]), float(p["cumulative"][k]), p["vectors"][:, k].tolist()) for k in range(len(p["eigenvalues"]))]
+    return t.spark.createDataFrame(rows, "mode int, eigenvalue double, explained double, cumulative double, vector array<double>")
+
+
+@query()
+def tica_modes(t: Tables) -> DataFrame:
+    """Slow modes at a lag of five frames."""
+    p = decompose.tica(vectors(t), "embedding", "label", ["vec_id"], 5, 4)
+    return t.spark.createDataFrame([(k + 1, float(p["eigenvalues"][k]), float(p["timescales"][k])) for k in range(len(p["eigenvalues"]))], "mode int, eigenvalue double, timescale double")
+
+
+@query(f"WITH l AS ({LONG}), v AS (SELECT d + 1 AS mode, var_pop(x) AS e FROM l GROUP BY 1) SELECT mode, round(e, 9) AS variance, round(100 * sum(e) OVER (ORDER BY mode) / sum(e) OVER (), 6) AS cumulative FROM v")
+def cumulative_variance(t: Tables) -> DataFrame:
+    v = long(t).groupBy((F.col("d") + 1).cast("long").alias("mode")).agg(F.var_pop("x").alias("e"))
+    run = Window.orderBy("mode").rowsBetween(Window.unboundedPreceding, 0)
+    return v.select("mode", r("e", 9).alias("variance"), r(100 * F.sum("e").over(run) / F.sum("e").over(Window.partitionBy())).alias("cumulative"))
+
+
+AXES = "((d * 7 + k * 13) % 11 - 5) / 10.0"
+
+
+@query(f"WITH l AS ({LONG}), a AS (SELECT unnest(range(0, 3)) AS k), m AS (SELECT d, avg(x) AS m FROM l GROUP BY 1), p AS (SELECT vec_id, k, sum((x - m) * {AXES}) AS p FROM l JOIN m USING (d), a GROUP BY 1, 2) SELECT vec_id, round(max(p) FILTER (k = 0), 6) AS PC1, round(max(p) FILTER (k = 1), 6) AS PC2, round(max(p) FILTER (k = 2), 6) AS PC3 FROM p GROUP BY 1")
+def project_fixed_axes(t: Tables) -> DataFrame:
+    """(x - mean) . v for three fixed axes, as plain expressions."""
+    means = [x["m"] for x in long(t).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()]  # one number a dimension
+    axes = np.array([[((d * 7 + k * 13) % 11 - 5) / 10.0 for k in range(3)] for d in range(len(means))])
+    p = decompose.projected(vectors(t), "embedding", np.array(means), axes)
+    return p.select("vec_id", *(r(f"PC{k}").alias(f"PC{k}") for k in (1, 2, 3)))
+
+
+@query(f"WITH l AS ({LONG}), o AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM l WHERE d < 3) SELECT a.d AS i, b.d AS j, round(avg(a.x * b.x), 8) AS c, count(*) AS n FROM o a JOIN o b ON b.label = a.label AND b.n = a.n + 5 GROUP BY 1, 2")
+def lagged_covariance(t: Tables) -> DataFrame:
+    """Raw products at a lag of five frames within replicates."""
+    pairs = decompose.lagged(vectors(t).withColumn("v", F.slice("embedding", 1, 3)), "v", "label", ["vec_id"], 5)
+    rows = pairs.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), (F.get("pair", i).cast("double") * F.get("pair", j + 3).cast("double")).alias("p")))))).alias("s")).select("s.*")
+    return rows.groupBy("i", "j").agg(r(F.avg("p"), 8).alias("c"), F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT unnest(range(0, 4)) AS k), u AS (SELECT k, d, sin((k + 1) * (d + 1) * 0.37) AS u, cos((k + 1) * (d + 1) * 0.29) AS v FROM m, (SELECT unnest(range(0, 64)) AS d)), n AS (SELECT k, sqrt(sum(u * u)) AS nu, sqrt(sum(v * v)) AS nv FROM u GROUP BY 1),
+d AS (SELECT a.k, b.k AS j, sum(a.u * b.v) / any_value(x.nu * y.nv) AS p FROM u a JOIN u b ON b.d = a.d JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY 1, 2) SELECT round(sqrt(sum(p * p) / 4), 6) AS rmsip FROM d""")
+def rmsip_fixed(t: Tables) -> DataFrame:
+    """Overlap of two sets of four fixed unit axes."""
+    at = np.arange(1, 65)
+    u, v = (np.stack([f((k + 1) * at * c) for k in range(4)], 1) for f, c in ((np.sin, 0.37), (np.cos, 0.29)))
+    x = decompose.rmsip(u / np.linalg.norm(u, axis=0), v / np.linalg.norm(v, axis=0))
+    return t.spark.createDataFrame([(round(x, 6),)], "rmsip double")
+
+
+@query(f"WITH l AS ({LONG}), s AS (SELECT vec_id, d // 16 AS atom, x FROM l) SELECT atom, round(sqrt(sum(e)), 6) AS contribution FROM (SELECT d, d // 16 AS atom, var_pop(x) AS e FROM l GROUP BY d) GROUP BY atom")
+def mode_contributions(t: Tables) -> DataFrame:
+    """Norm over the dimensions of each group of 16."""
+    e = long(t).groupBy("d").agg(F.var_pop("x").alias("e"))
+    return e.groupBy(F.floor(F.col("d") / 16).alias("atom")).agg(r(F.sqrt(F.sum("e"))).alias("contribution"))
+
+
+@query(f"WITH l AS ({LONG}), s AS (SELECT * FROM l WHERE d < 10) SELECT a.d AS i, b.d AS j, round(covar_pop(a.x, b.x) / sqrt(var_pop(a.x) * var_pop(b.x)), 7) AS c FROM s a JOIN s b USING (vec_id) GROUP BY 1, 2")
+def dccm_small(t: Tables) -> DataFrame:
+    c = residues.correlations(long(t).where("d < 10"), "vec_id", "d", "x")
+    return c.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("c", 7).alias("c"))
+
+
+CENTERS = [[0.1 * k, -0.05 * k, 0.02 * k] for k in range(-3, 4)]
+CENTER_SQL = "WITH c AS (SELECT unnest(range(0, 7)) AS k), d AS (SELECT vec_id, embedding, k::INT AS k, power(embedding[1]::DOUBLE - 0.1 * (k - 3), 2) + power(embedding[2]::DOUBLE + 0.05 * (k - 3), 2) + power(embedding[3]::DOUBLE - 0.02 * (k - 3), 2) AS d FROM embeddings, c), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d)"
+
+
+def points(t: Tables) -> DataFrame:
+    return vectors(t).select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("abc")))
+
+
+@query(CENTER_SQL + " SELECT vec_id, k AS microstate FROM n WHERE n = 1")
+def nearest_center(t: Tables) -> DataFrame:
+    return msm.nearest_center(points(t), F.array("a", "b", "c"), CENTERS).select("vec_id", "microstate")
+
+
+@query(CENTER_SQL + " SELECT k AS microstate, count(*) AS n, round(avg(embedding[1]::DOUBLE), 7) AS a, round(avg(embedding[2]::DOUBLE), 7) AS b, round(avg(embedding[3]::DOUBLE), 7) AS c FROM n WHERE n = 1 GROUP BY 1")
+def kmeans_step(t: Tables) -> DataFrame:
+    s = msm.lloyd(points(t), ["a", "b", "c"], CENTERS)
+    return s.select("microstate", "n", *(r(c, 7).alias(c) for c in "abc"))
+
+
+@query(f"WITH l AS ({LONG}), p AS (SELECT l.vec_id, sqrt(avg(power(l.x - f.x, 2)) * 3) AS v FROM l JOIN l f ON f.vec_id = 0 AND f.d = l.d GROUP BY 1) SELECT vec_id, round(v, 6) AS rmsd FROM p")
+def rmsd_series(t: Tables) -> DataFrame:
+    """Deviation of each vector, as atoms of three numbers, from the first."""
+    ref = long(t).where("vec_id = 0").select("d", "x")
+    out = residues.deviations(long(t), ref, ["d"], ["vec_id"], ["x"])
+    return out.select("vec_id", r(F.col("rmsd") * F.sqrt(F.lit(3.0))).alias("rmsd"))
+
+
+ATOMS = "WITH a AS (SELECT vec_id, label, d // 3 AS atom, max(x) FILTER (d % 3 = 0) AS x, max(x) FILTER (d % 3 = 1) AS y, max(x) FILTER (d % 3 = 2) AS z FROM (" + LONG + ") WHERE d < 63 GROUP BY ALL)"
+
+
+def atoms(t: Tables) -> DataFrame:
+    return residues.long_form(vectors(t).withColumn("c", F.slice("embedding", 1, 63)), ["vec_id", "label"], "c").withColumn("mass", 12.0 + F.col("atom") % 3).withColumn("atom", F.col("atom").cast("long"))
+
+
+@query(ATOMS + ", m AS (SELECT *, 12.0 + atom % 3 AS w FROM a), c AS (SELECT vec_id, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz FROM m GROUP BY 1) SELECT vec_id, round(sqrt(sum(w * (power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) / sum(w)), 6) AS rg FROM m JOIN c USING (vec_id) GROUP BY 1")
+def radius_of_gyration(t: Tables) -> DataFrame:
+    return residues.gyration(atoms(t), ["vec_id"], ["x", "y", "z"], "mass").select("vec_id", r("rg").alias("rg"))
+
+
+RMSF = ", f AS (SELECT label, atom, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsf FROM a GROUP BY 1, 2)"
+
+
+@query(ATOMS + RMSF + " SELECT label, atom, round(rmsf, 6) AS rmsf FROM f")
+def rmsf(t: Tables) -> DataFrame:
+    return residues.fluctuations(atoms(t), ["label", "atom"], ["x", "y", "z"]).withColumn("rmsf", r("rmsf"))
+
+
+@query(ATOMS + RMSF + " SELECT label, atom // 4 AS residue, round(sqrt(avg(rmsf * rmsf)), 6) AS rmsf FROM f GROUP BY 1, 2")
+def rmsf_per_residue(t: Tables) -> DataFrame:
+    f = residues.fluctuations(atoms(t), ["label", "atom"], ["x", "y", "z"]).withColumn("residue", F.floor(F.col("atom") / 4))
+    return residues.per_group(f, ["label", "residue"]).withColumn("rmsf", r("rmsf"))
+
+
+@query(ATOMS + ", w AS (SELECT *, 1.0 + vec_id % 3 AS w FROM a), m AS (SELECT atom, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM w GROUP BY 1) SELECT atom, round(sqrt(sum(w * (power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2))) / sum(w)), 6) AS rmsf FROM w JOIN m USING (atom) GROUP BY 1")
+def weighted_rmsf(t: Tables) -> DataFrame:
+    f = residues.fluctuations(atoms(t).withColumn("w", 1.0 + F.col("vec_id") % 3), ["atom"], ["x", "y", "z"], "w")
+    return f.select("atom", r("rmsf").alias("rmsf"))
+
+
+@query(ATOMS + ", d AS (SELECT label, vec_id, sqrt(sum(x * x + y * y + z * z) / count(*)) AS v FROM a GROUP BY 1, 2) SELECT label, count(*) AS frames, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(max(v), 6) AS max FROM d GROUP BY 1")
+def descriptor_summary(t: Tables) -> DataFrame:
+    square = F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")
+    d = atoms(t).groupBy("label", "vec_id").agg(F.sqrt(F.sum(square) / F.count("*")).alias("v"))
+    return d.groupBy("label").agg(F.count("*").alias("frames"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("sd"), r(F.max("v")).alias("max"))
+
+
+@query(ATOMS + """, s AS (SELECT *, CASE WHEN label < 5 THEN 'A' ELSE 'B' END AS st FROM a), g AS (SELECT st, atom, count(*) AS n, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS f, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM s GROUP BY 1, 2)
+SELECT p.atom, p.n AS n_a, q.n AS n_b, round(p.f, 6) AS rmsf_a, round(q.f, 6) AS rmsf_b, round(q.f - p.f, 6) AS delta_rmsf, round(sqrt(power(q.mx - p.mx, 2) + power(q.my - p.my, 2) + power(q.mz - p.mz, 2)), 6) AS displacement FROM g p JOIN g q ON q.atom = p.atom AND p.st = 'A' AND q.st = 'B'""")
+def state_differences(t: Tables) -> DataFrame:
+    s = atoms(t).withColumn("st", F.when(F.col("label") < 5, "A").otherwise("B"))
+    d = residues.state_differences(s, "st", ["atom"], ["x", "y", "z"], "A", "B")
+    return d.select("atom", "n_a", "n_b", *(r(c).alias(c) for c in ("rmsf_a", "rmsf_b", "delta_rmsf", "displacement")))
+
+
+@query(ATOMS + """, c AS (SELECT label, vec_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM a GROUP BY 1, 2), g AS (SELECT a.label, a.vec_id, sqrt(avg(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) AS rg FROM a JOIN c USING (label, vec_id) GROUP BY 1, 2),
+s AS (SELECT label, round(avg(rg), 6) AS rg_mean, round(stddev_samp(rg), 6) AS rg_sd, count(*) AS frames FROM g GROUP BY 1), f AS (SELECT label, atom, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsf FROM a GROUP BY 1, 2), h AS (SELECT label, round(avg(rmsf), 6) AS rmsf_mean, round(max(rmsf), 6) AS rmsf_max FROM f GROUP BY 1) SELECT * FROM s JOIN h USING (label)""")
+def state_ensemble_summary(t: Tables) -> DataFrame:
+    a = atoms(t).withColumn("one", F.lit(1.0))
+    g = residues.gyration(a, ["label", "vec_id"], ["x", "y", "z"], "one")
+    s = g.groupBy("label").agg(r(F.avg("rg")).alias("rg_mean"), r(F.stddev_samp("rg")).alias("rg_sd"), F.count("*").alias("frames"))
+    f = residues.fluctuations(a, ["label", "atom"], ["x", "y", "z"]).groupBy("label").agg(r(F.avg("rmsf")).alias("rmsf_mean"), r(F.max("rmsf")).alias("rmsf_max"))
+    return s.join(f, "label")
+
+
+ANGLE = ATOMS + """, p AS (SELECT vec_id, max(CASE WHEN atom = 0 THEN x END) AS ax, max(CASE WHEN atom = 0 THEN y END) AS ay, max(CASE WHEN atom = 0 THEN z END) AS az, max(CASE WHEN atom = 1 THEN x END) AS bx, max(CASE WHEN atom = 1 THEN y END) AS bb, max(CASE WHEN atom = 1 THEN z END) AS bz,
+max(CASE WHEN atom = 2 THEN x END) AS cx, max(CASE WHEN atom = 2 THEN y END) AS cy, max(CASE WHEN atom = 2 THEN z END) AS cz, max(CASE WHEN atom = 3 THEN x END) AS dx, max(CASE WHEN atom = 3 THEN y END) AS dy, max(CASE WHEN atom = 3 THEN z END) AS dz FROM a GROUP BY 1),
+e AS (SELECT vec_id, bx - ax AS x1, bb - ay AS y1, bz - az AS z1, cx - bx AS x2, cy - bb AS y2, cz - bz AS z2, dx - cx AS x3, dy - cy AS y3, dz - cz AS z3 FROM p),
+n AS (SELECT *, y1 * z2 - z1 * y2 AS u1, z1 * x2 - x1 * z2 AS u2, x1 * y2 - y1 * x2 AS u3, y2 * z3 - z2 * y3 AS v1, z2 * x3 - x2 * z3 AS v2, x2 * y3 - y2 * x3 AS v3 FROM e)
+SELECT vec_id, round(degrees(atan2((x1 * v1 + y1 * v2 + z1 * v3) * sqrt(x2 * x2 + y2 * y2 + z2 * z2), u1 * v1 + u2 * v2 + u3 * v3)), 5) AS angle FROM n"""
+
+
+@query(ANGLE)
+def dihedral_angle(t: Tables) -> DataFrame:
+    """The dihedral of the first four points of each vector."""
+    v = vectors(t)
+    p = [[F.col("embedding")[3 * k + c].cast("double") for c in range(3)] for k in range(4)]
+    return v.select("vec_id", r(residues.dihedral(p), 5).alias("angle"))
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2 FROM embeddings")
+def vector_norms(t: Tables) -> DataFrame:
+    return vectors(t).select("vec_id", r(dot(F.col("embedding"), F.col("embedding"))).alias("norm2"))
+
+
+@query()
+def superposition(t: Tables) -> DataFrame:
+    """Frames of 21 points fitted onto the first one."""
+    v = vectors(t).select("vec_id", F.slice("embedding", 1, 63).cast("array<double>").alias("c"))
+    ref = np.array(v.where("vec_id = 0").first()["c"]).reshape(-1, 3)
+    return decompose.superposed(v, "c", ref).select("vec_id", "fit_rmsd")
