@@ -73,7 +73,7 @@ def _sentences(rows: DataFrame) -> DataFrame:
 
 
 def _associated(bags: DataFrame) -> dict[str, float]:
-    """Evidence whose association with the label is beyond chance given the number of candidates (a log-likelihood ratio), with its share of toxic documents.
+    """Evidence of two documents or more whose association with the label is beyond chance given the number of candidates (a log-likelihood ratio), with its share of toxic documents.
 
     Counted by aggregation over the sample; only what is chosen comes to the driver.
     """
@@ -81,12 +81,14 @@ def _associated(bags: DataFrame) -> dict[str, float]:
     if not n or share in (0.0, 1.0):
         return {}
     each = bags.select("label", F.explode(F.array_distinct(F.split(F.array_join("sentences", " "), " "))).alias("w")).where("w != ''")
-    seen = each.groupBy("w").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
+    seen = stored(each.groupBy("w").agg(F.count("*").alias("n"), F.sum("label").alias("t")).where("n > 1"), "evidence")
     many = seen.count()
     rate = F.col("t") / F.col("n")
     gain = 2 * (F.when(F.col("t") > 0, F.col("t") * F.log(rate / share)).otherwise(0) + F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - share))).otherwise(0))
     chosen = seen.where(rate > share).where(gain > 2 * np.log(max(many, 2))).orderBy(F.desc(gain), "w").limit(MOST_EVIDENCE)
-    return {r[0]: r[1] for r in chosen.select("w", rate.alias("rate")).collect()}
+    out = {r[0]: r[1] for r in chosen.select("w", rate.alias("rate")).collect()}
+    forget(seen)
+    return out
 
 
 def fit(bags: list[tuple[int, list[list[int]]]], rate: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
