@@ -211,12 +211,12 @@ def metad_rct(t: Tables) -> DataFrame:
     return top.groupBy("hill").agg(r(2.5 * (F.max("top") + F.log(F.sum(F.exp(F.col("b") - F.col("top")))) - F.log(F.count("*").cast("double")))).alias("c"))
 
 
-UMBRELLA = """WITH s AS (SELECT event_id, value AS x, user_id % 3 AS k FROM events WHERE event_id % 3 = 0 AND value < 500), w AS (SELECT 0 AS k, 10.0 AS c, 0.02 AS kp UNION ALL SELECT 1, 30.0, 0.02 UNION ALL SELECT 2, 60.0, 0.02), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+UMBRELLA = """WITH s AS (SELECT event_id, value AS x, user_id % 3 AS k FROM events WHERE event_id % 3 = 0), w AS (SELECT 0 AS k, 10.0 AS c, 0.02 AS kp UNION ALL SELECT 1, 30.0, 0.02 UNION ALL SELECT 2, 60.0, 0.02), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
 u AS (SELECT s.event_id, w.k, 0.5 * kp / 2.5 * (x - c) * (x - c) AS u, n.n FROM s, w JOIN n USING (k)), d AS (SELECT event_id, max(ln(n) - u) AS top FROM u GROUP BY 1), l AS (SELECT u.event_id, any_value(top) + ln(sum(exp(ln(n) - u - top))) AS d FROM u JOIN d USING (event_id) GROUP BY 1)"""
 
 
 def umbrella(t: Tables) -> tuple[DataFrame, list[int]]:
-    s = t.events.where("event_id % 3 = 0 and value < 500").select("event_id", F.col("value").alias("x"), (F.col("user_id") % 3).alias("k"))
+    s = t.events.where("event_id % 3 = 0").select("event_id", F.col("value").alias("x"), (F.col("user_id") % 3).alias("k"))
     n = {x["k"]: x["count"] for x in s.groupBy("k").count().collect()}  # three windows
     return reweight.umbrella_energies(s, "x", [10.0, 30.0, 60.0], [0.02] * 3, 2.5), [n.get(k, 0) for k in range(3)]
 
@@ -227,7 +227,7 @@ def mbar_sc_step(t: Tables) -> DataFrame:
     return reweight.mbar_step(e, [0.0] * 3, n).select("k", r("f", 8).alias("f"))
 
 
-@query(UMBRELLA + " SELECT event_id, round(exp(-d) / sum(exp(-d)) OVER (), 10) AS weight FROM l")
+@query(UMBRELLA + " SELECT event_id, round(e / sum(e) OVER (), 10) AS weight FROM (SELECT event_id, exp(min(d) OVER () - d) AS e FROM l)")
 def umbrella_weights(t: Tables) -> DataFrame:
     e, n = umbrella(t)
     return reweight.unbiased_weights(e, [0.0] * 3, n).select("event_id", r("weight", 10).alias("weight"))
