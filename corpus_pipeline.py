@@ -11,47 +11,47 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane import on_workers
 from terrane.llm import common, exact_dedup, near_dedup, packing, quality, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 for toxicity."""
+    common.prepared(spark)
     common.forget_all()  # the stage before has been written
     return toxicity.without_toxic(docs, _labels(spark, sf_dir)).select(COLUMNS)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good: a probability of 0.7 or more."""
+    common.prepared(spark)
     common.forget_all()
     return quality.of_quality(docs, _labels(spark, sf_dir)).select(COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts."""
+    common.prepared(spark)
     common.forget_all()
-    on_workers(spark)
     return exact_dedup.keep_one(docs).select(COLUMNS)
 
 
 def one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
+    common.prepared(spark)
     common.forget_all()
-    on_workers(spark)
     return near_dedup.keep_one(docs).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens."""
+    common.prepared(spark)
     common.forget_all()
-    on_workers(spark)
     return packing.pack_documents(docs)
 
 

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane import on_workers
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over on both sides of the pipe to Python.
+BATCH_ROWS = 1000
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with what the operators count on: workers that find this package, and Arrow batches of at most `BATCH_ROWS` rows."""
+    on_workers(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as Parquet to the shared folder and return the table read back: lineage ends here,
     and a lost executor costs no recomputation of what came before."""

@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane import on_workers
+from terrane.llm.common import prepared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    on_workers(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
