@@ -202,3 +202,23 @@ def superposed(df: DataFrame, coords: str, reference: np.ndarray, fit: np.ndarra
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def rmsip_progressive(df: DataFrame, vector: str, replicate: str, order: list[str], k: int = 10, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> list[tuple[float, float]]:
+    """Overlap of the modes of the first frames of every replicate with those of all frames."""
+    w = Window.partitionBy(replicate)
+    rows = df.select(replicate, vector, F.row_number().over(w.orderBy(*order)).alias("_rn"), F.count("*").over(w).alias("_n"))
+    whole = pca(df, vector, replicate, k)["vectors"]
+    return [(f, rmsip(pca(rows.where(F.col("_rn") <= F.greatest(F.lit(2), F.bround(F.col("_n") * f))), vector, replicate, k)["vectors"], whole)) for f in fractions]
+
+
+def rmsip_pairs(df: DataFrame, vector: str, by: str, k: int = 10) -> list[tuple[object, object, float]]:
+    """Overlap of the modes of every two keys, from one pass of moments."""
+    modes = {key: eigen(m[2] / m[0], k)[2] for key, m in sorted(collected(moments(df, vector, by), by).items())}
+    names = list(modes)
+    return [(a, b, rmsip(modes[a], modes[b])) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def extreme_structures(mean: np.ndarray, vector: np.ndarray, eigenvalue: float, steps: int = 11, scale: float = 2.0) -> np.ndarray:
+    """Structures along a mode, between `scale` standard deviations on both sides of the mean."""
+    return mean + np.linspace(-scale, scale, steps)[:, None] * np.sqrt(max(eigenvalue, 0)) * vector

@@ -55,3 +55,69 @@ def two_sided_p(samples: Column, n: Column) -> Column:
 
 def relative_energy(population: Column, reference: Column, temperature: float = 300.0) -> Column:
     return F.when((population > 0) & (reference > 0), -R * temperature * F.log(population / reference))
+
+
+def bootstrap_landscapes(df: DataFrame, replicate: str, order: list[str], x: str, y: str, bins: int, bounds: DataFrame, n_boot: int, length: int, seed: int = 0, weight: str | None = None, temperature: float = 300.0) -> DataFrame:
+    """(b, ix, iy, probability, free_energy) of every resample on fixed edges; a frame drawn several times counts as often."""
+    from terrane.operators import landscape
+
+    w = F.col("times") * (F.col(weight).cast("double") if weight else F.lit(1.0))
+    drawn = resampled(df, replicate, order, n_boot, length, seed).withColumn("_w", w)
+    return landscape.grid(drawn, x, y, bins, bounds, "_w", temperature, by=["b"])
+
+
+def cell_intervals(samples: DataFrame, n_boot: int, least_support: float = 0.5) -> DataFrame:
+    """Standard deviation and interval of every cell's energy; null where fewer than `least_support` of the resamples reached it."""
+    out = samples.groupBy("ix", "iy").agg(F.stddev_pop("free_energy").alias("sd"), F.percentile("free_energy", F.lit(0.025)).alias("lo"), F.percentile("free_energy", F.lit(0.975)).alias("hi"), (F.count("free_energy") / F.lit(n_boot)).alias("support"))
+    rare = F.col("support") < least_support
+    return out.select("ix", "iy", "support", *(F.when(~rare, F.col(c)).alias(c) for c in ("sd", "lo", "hi")))
+
+
+def bootstrap_systems(df: DataFrame, system: str, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
+    """(system, b, label, population) with resamples drawn inside each system."""
+    keyed = df.withColumn("_rep", F.concat_ws("\x1f", system, replicate))
+    counts = resampled(keyed, "_rep", order, n_boot, length, seed).groupBy(system, "b", label).agg(F.sum("times").alias("t"))
+    frame = df.select(system, label).distinct().crossJoin(df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")))
+    full = frame.join(counts, [system, "b", label], "left").fillna(0, ["t"])
+    return full.select(system, "b", label, (F.col("t") / F.sum("t").over(Window.partitionBy(system, "b"))).alias("population"))
+
+
+def difference_spread(samples: DataFrame, system: str, reference: str, cell: list[str], value: str) -> DataFrame:
+    """Standard deviation over resamples of each system's difference from the reference, cell by cell."""
+    ref = samples.where(F.col(system) == reference).select("b", *cell, F.col(value).alias("_ref"))
+    return samples.where(F.col(system) != reference).join(ref, ["b", *cell]).groupBy(system, *cell).agg(F.stddev_pop(F.col(value) - F.col("_ref")).alias("sd"))
+
+
+def resegmented(samples: DataFrame, basins: DataFrame, bins: int, temperature: float = 300.0) -> DataFrame:
+    """(b, basin_id, population, min_free_energy, n_states): every resampled landscape segmented anew, its basins matched to the reference's by overlap.
+
+    One resample is one task's group of at most bins**2 rows, so resamples run in parallel. Basins without a match have a null id.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from terrane.operators import segment
+
+    reference = np.zeros((bins, bins), int)
+    for r in basins.select("ix", "iy", "basin_id").collect():  # one landscape
+        reference[r["iy"], r["ix"]] = r["basin_id"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        p, g = np.zeros((bins, bins)), np.full((bins, bins), np.nan)
+        p[rows["iy"], rows["ix"]], g[rows["iy"], rows["ix"]] = rows["probability"], rows["free_energy"].astype(float)
+        found = segment.segmented(p, g, p > 0, temperature=temperature)
+        names = [int(k) for k in np.unique(found) if k]
+        inside = {}
+        for k in names:
+            at = np.where(found == k, np.nan_to_num(g, nan=np.inf), np.inf)
+            inside[k] = int(reference[np.unravel_index(at.argmin(), at.shape)])
+        to = segment.matched(reference, found, p, inside)
+        return pd.DataFrame({"b": key[0], "basin_id": pd.Series([to.get(k) for k in names], dtype="Int32"), "population": [float(p[found == k].sum()) for k in names], "min_free_energy": [float(np.nanmin(g[found == k])) for k in names], "n_states": len(names)})
+
+    return samples.groupBy("b").applyInPandas(run, "b int, basin_id int, population double, min_free_energy double, n_states int")
+
+
+def state_counts(resegmented_: DataFrame) -> DataFrame:
+    """How many resamples had how many states."""
+    n = resegmented_.select("b", "n_states").distinct().groupBy("n_states").agg(F.count("*").alias("resamples"))
+    return n.withColumn("fraction", F.col("resamples") / F.sum("resamples").over(Window.partitionBy()))

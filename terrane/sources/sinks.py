@@ -50,3 +50,10 @@ def with_bfactor(atoms: DataFrame, values: DataFrame, value: str) -> DataFrame:
     loose = values.groupBy("residue_number").agg(F.first(value).alias("_loose"))
     out = atoms.join(F.broadcast(exact), ["chain", "residue_number"], "left").join(F.broadcast(loose), "residue_number", "left")
     return out.withColumn(value, F.coalesce("_exact", "_loose")).drop("_exact", "_loose")
+
+
+def nmd_text(title: str, names: list[str], residues: list[str], coords, vectors, eigenvalues) -> str:
+    """Modes in the NMD format: a header, mean coordinates, and a line for each mode with the root of its eigenvalue."""
+    lines = [f"nmwiz_load {title}.nmd", f"name {title}", "atomnames " + " ".join(names), "resnames " + " ".join(residues), "coordinates " + " ".join(f"{x:.3f}" for x in coords)]
+    lines += [f"mode {k + 1} {max(e, 0) ** 0.5:.4f} " + " ".join(f"{x:.5f}" for x in v) for k, (e, v) in enumerate(zip(eigenvalues, vectors.T, strict=True))]
+    return "\n".join(lines) + "\n"

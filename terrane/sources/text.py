@@ -236,3 +236,39 @@ def residue_selection(atoms: DataFrame, text: str, index: DataFrame | None = Non
         return atoms.where(text)
     by_name = atoms.where(F.col("residue_name") == text)
     return by_name if not by_name.isEmpty() else atoms.where(F.col("chain") == text)
+
+
+def read_multiset(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, time, values): projections written one set after another, sets divided by `&`, cut to the shortest set."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for name, body in zip(b["path"], b["value"], strict=True):
+                sets: list[list[tuple[float, float]]] = [[]]
+                for line in body.splitlines():
+                    if line.strip() == "&":
+                        sets.append([])
+                    elif line.strip() and line.lstrip()[0] not in "#@;":
+                        t, v = line.split()[:2]
+                        sets[-1].append((float(t), float(v)))
+                sets = [s for s in sets if s]
+                for k in range(min(map(len, sets), default=0)):
+                    out.append((name, k, sets[0][k][0], [s[k][1] for s in sets]))
+            yield pd.DataFrame(out, columns=["path", "row", "time", "values"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.mapInPandas(run, "path string, row int, time double, values array<double>")
+
+
+def umbrella_windows(spark: SparkSession, paths: list[str], column: str, centers: list[float], kappas: float | list[float], skip: float = 0.0) -> DataFrame:
+    """(window, center, kappa, time, x): one table a window, frames from `skip` on; one force constant serves all windows."""
+    k = kappas if isinstance(kappas, list) else [kappas] * len(paths)
+    if not len(paths) == len(centers) == len(k):
+        raise ValueError("as many centres and force constants as windows are needed")
+    out = None
+    for i, (path, c, kappa) in enumerate(zip(paths, centers, k, strict=True)):
+        v = F.col("values")
+        rows = read_plumed(spark, path).where(v["time"] >= skip).select(F.lit(i).alias("window"), F.lit(float(c)).alias("center"), F.lit(float(kappa)).alias("kappa"), v["time"].alias("time"), v[column].alias("x"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
