@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import ChunkMemory, text_of, tokenizer_file
+from terrane.llm.common import ChunkMemory, memory, only, text_of, tokenizer_file
 
 #: White space as the pattern's engine has it (fixed values: Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -231,7 +231,7 @@ class ByteBpe:
         yield machine.finish()
 
 
-_encoders: dict[tuple[str, str], ByteBpe] = {}
+_encoders: dict[tuple[str, str], ByteBpe] = memory()
 
 
 def encoder(path: str, pattern: str = PATTERN) -> ByteBpe:
@@ -247,6 +247,7 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", pat
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_encoders)
         bpe = encoder(path, pattern)
         for whole in batches:
             for s in range(0, whole.num_rows, 500):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -222,3 +223,22 @@ def kept_rows(df: DataFrame, named: DataFrame, decided: DataFrame) -> DataFrame:
 def row_name(key: Column, digest: Column) -> Column:
     """Key and digest of the text as one string that is never null."""
     return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), digest)
+
+
+_memories: list[dict] = []
+
+
+def memory() -> dict:
+    """A dictionary for what an operator remembers in a Python worker from task to task."""
+    out: dict = {}
+    _memories.append(out)
+    return out
+
+
+def only(own: dict | None = None) -> None:
+    """Called where a task begins: workers outlive stages, so what other operators remember goes, and what they need no more is given back."""
+    found = [m for m in _memories if m is not own and m]
+    for m in found:
+        m.clear()
+    if found:
+        gc.collect()

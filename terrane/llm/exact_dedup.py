@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import kept_rows, owners, row_name, stored, text_of
+from terrane.llm.common import kept_rows, only, owners, row_name, stored, text_of
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Suspect hashes that may be broadcast (8 bytes each); beyond that a sort-merge join finds the texts.
@@ -84,6 +84,7 @@ def fingerprints(df: DataFrame, key: str, text: str, n_owners: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        only()
         part = TaskContext.get().partitionId()
         ids, shas, sizes = [], [], []
         for b in batches:

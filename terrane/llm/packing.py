@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import ChunkMemory, text_of, tokenizer_file
+from terrane.llm.common import ChunkMemory, memory, only, text_of, tokenizer_file
 
 CAPACITY = 4096
 OPEN_BINS = 4096
@@ -96,7 +96,7 @@ class ChunkTokenizer:
         return [self._encode([t])[0] if i in odd else b"".join(map(known.__getitem__, c)) for i, (t, c) in enumerate(zip(texts, chunks, strict=True))]
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers: dict[str, ChunkTokenizer] = memory()
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -154,6 +154,7 @@ def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int, end_id:
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(_tokenizers)
         encode = tokenizer(path).ids
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import hashed_words, mix64, remainder, sliced, text_of, training_rows
+from terrane.llm.common import hashed_words, mix64, only, remainder, sliced, text_of, training_rows
 
 #: Labelled rows that are fitted at most, tokens of each that have word vectors at most.
 SAMPLE = 5_000
@@ -152,6 +152,7 @@ def trained(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = training_rows(df, labels, target, folds, held, bound, key, text)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for whole in batches:
             for b in sliced(whole, 0):
                 raw = [t.encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()]
@@ -185,6 +186,7 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     types = [pa.int64(), pa.bool_(), pa.float64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for whole in batches:
             for b in sliced(whole, 2):
                 score = model.score(b.column(2).to_pylist())

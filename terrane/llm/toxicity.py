@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import forget, remainder, sliced, stored, text_of, training_rows
+from terrane.llm.common import forget, only, remainder, sliced, stored, text_of, training_rows
 
 #: Labelled rows that are fitted at most.
 SAMPLE = 12_000
@@ -64,6 +64,7 @@ def _sentences(rows: DataFrame) -> DataFrame:
     """(label, sentences): each sentence's evidence, joined by blanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for whole in batches:
             for b in sliced(whole, 0):
                 found = [[" ".join(sorted(evidence(m[0]))) for m in _SENTENCE.finditer(t)] for t in b.column(0).to_pylist()]
@@ -144,6 +145,7 @@ def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     types = [pa.int64(), pa.bool_(), pa.float64(), pa.int32(), span]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for whole in batches:
             for b in sliced(whole, 2):
                 found = [model.sentences(t) for t in b.column(2).to_pylist()]
