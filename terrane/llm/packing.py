@@ -17,7 +17,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,8 @@ class ChunkTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.known = ChunkMemory()
+        self.known = _Known(self)
+        self.merge = self.lib.model.tokenize
         self.tails = dict(zip(".,", self._encode([".", ","]), strict=True))
         # how the vocabulary spells bytes: printable ones as themselves, the others by letters from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -60,40 +60,42 @@ class ChunkTokenizer:
             out += [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts[s : s + 5000], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Lower-case words of letters below U+02B0: one pattern match each, which composition leaves alone, so they go straight to the merges."""
-        merge, spell = self.lib.model.tokenize, self.letters
-        return [array("I", [t.id for t in merge(w if w.isascii() else "".join(map(spell.__getitem__, w.encode())))]).tobytes() for w in words]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds the ids of new chunks: a word of letters, with a full stop or comma or without, by its lower-case form."""
-        known, forms, stems, tails, others = self.known, [], [], [], []
-        for c in chunks:
-            if not c.isascii() and _CASED_ODDLY.search(c):
-                others.append(c)
-            elif c.isalpha():
-                forms.append(c)
-                stems.append(c.lower())
-                tails.append(b"")
-            elif c[-1] in ".," and c[:-1].isalpha():
-                forms.append(c)
-                stems.append(c[:-1].lower())
-                tails.append(self.tails[c[-1]])
-            else:
-                others.append(c)
-        words = list(set(stems).difference(known))
-        known.update(zip(words, self._encode_words(words), strict=True))
-        known.update(zip(forms, map(add, map(known.__getitem__, stems), tails), strict=True))
-        known.update(zip(others, self._encode(others), strict=True))
+    def _encode_word(self, word: str) -> bytes:
+        """A lower-case word of letters below U+02B0 is one pattern match, which composition leaves alone, so it goes straight to the merges."""
+        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
+
+    def learn(self, chunk: str) -> bytes:
+        """The ids of a new chunk: a word of letters, with a full stop or comma or without, by its lower-case form."""
+        word, tail = chunk, b""
+        if not chunk.isalpha():
+            word, tail = chunk[:-1], self.tails.get(chunk[-1])
+            if tail is None or not word.isalpha():
+                return self._encode([chunk])[0]
+        if not chunk.isascii() and _CASED_ODDLY.search(chunk):
+            return self._encode([chunk])[0]
+        stem = word.lower()
+        if stem == chunk:
+            return self._encode_word(stem)
+        return self.known[stem] + tail
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        odd = {i for i, t in enumerate(texts) if _ODD.search(t)}
-        chunks = [() if i in odd else t.split() for i, t in enumerate(texts)]
         self.known.trim()
-        known = self.known
-        self._learn(set().union(*chunks).difference(known))
-        return [self._encode([t])[0] if i in odd else b"".join(map(known.__getitem__, c)) for i, (t, c) in enumerate(zip(texts, chunks, strict=True))]
+        get = self.known.__getitem__
+        return [self._encode([t])[0] if _ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
+
+
+class _Known(ChunkMemory):
+    """Chunk to ids; a new chunk is learnt when it is first asked for."""
+
+    def __init__(self, owner: ChunkTokenizer):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.owner.learn(chunk)
+        return ids
 
 
 _tokenizers: dict[str, ChunkTokenizer] = memory()
