@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import ChunkMemory, memory, only, text_of, tokenizer_file
+from terrane.llm.common import LearntChunks, memory, only, text_of, tokenizer_file
 
 #: White space as the pattern's engine has it (fixed values: Unicode's White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -208,20 +208,20 @@ class ByteBpe:
 
         self.pieces = regex.compile(pattern).findall
         self.fst = Transducer(read_ranks(path))
-        self.known = ChunkMemory()
+        self.known = LearntChunks(self.learn)
         self.tokens = [self.fst.bytes_of.get(i, b"") for i in range(max(self.fst.bytes_of, default=0) + 1)]
 
+    def learn(self, chunk: str) -> bytes:
+        ids = array("I")
+        for p in self.pieces(chunk):
+            ids.extend(self.fst.encode(p.encode("utf-8", "surrogatepass")))
+        return ids.tobytes()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        chunks = [_CHUNK.findall(t) for t in texts]
         self.known.trim()
-        known, encode, pieces = self.known, self.fst.encode, self.pieces
-        for c in set().union(*chunks).difference(known):
-            ids = array("I")
-            for p in pieces(c):
-                ids.extend(encode(p.encode("utf-8", "surrogatepass")))
-            known[c] = ids.tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+        get = self.known.__getitem__
+        return [b"".join(map(get, _CHUNK.findall(t))) for t in texts]
 
     def decode_stream(self, ids: Iterable[list[int]]) -> Iterator[bytes]:
         """Bytes of whole characters, as soon as they are whole."""

@@ -171,15 +171,19 @@ def sliced(batch, column: int, limit: int = 500_000):
         start = stop
 
 
-class ChunkMemory(dict):
-    """Remembers what chunks of text encode to, in bounded space.
+class LearntChunks(dict):
+    """What chunks of text encode to, in bounded space; a new chunk is learnt when it is first asked for.
 
     Frequent chunks come early, so the first `kept` entries stay; later ones go together when there are `extra` of them.
     """
 
-    def __init__(self, kept: int = 300_000, extra: int = 150_000):
+    def __init__(self, learn, kept: int = 300_000, extra: int = 150_000):
         super().__init__()
-        self.kept, self.limit = kept, kept + extra
+        self.learn, self.kept, self.limit = learn, kept, kept + extra
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
 
     def trim(self) -> None:
         """Call between batches."""

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import ChunkMemory, memory, only, text_of, tokenizer_file
+from terrane.llm.common import LearntChunks, memory, only, text_of, tokenizer_file
 
 CAPACITY = 4096
 OPEN_BINS = 4096
@@ -46,7 +46,7 @@ class ChunkTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.known = _Known(self)
+        self.known = LearntChunks(self.learn)
         self.merge = self.lib.model.tokenize
         self.tails = dict(zip(".,", self._encode([".", ","]), strict=True))
         # how the vocabulary spells bytes: printable ones as themselves, the others by letters from U+0100 on
@@ -86,18 +86,6 @@ class ChunkTokenizer:
         return [self._encode([t])[0] if _ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
 
 
-class _Known(ChunkMemory):
-    """Chunk to ids; a new chunk is learnt when it is first asked for."""
-
-    def __init__(self, owner: ChunkTokenizer):
-        super().__init__()
-        self.owner = owner
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.owner.learn(chunk)
-        return ids
-
-
 _tokenizers: dict[str, ChunkTokenizer] = memory()
 
 
