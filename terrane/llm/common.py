@@ -196,12 +196,13 @@ def training_rows(df: DataFrame, labels: DataFrame, target: str, folds: int, hel
     """(text, label) of at most `bound` labelled rows outside the held-out fold, chosen by a hash of their key.
 
     A key that has several labels counts as 1 if any is 1; a null key or label is no label. The chosen keys, a
-    bounded number, are broadcast, so texts are read once and not shuffled.
+    bounded number, are broadcast, so only their texts are shuffled; of a key's several texts the least one is learnt from.
     """
     known = labels.select(labels[key].cast("long").alias("id"), labels[target].cast("int").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(F.crc32(F.col("id").cast("string").cast("binary")) % folds != held)
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(bound)
-    return df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
+    found = df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 #: Row names (some 60 bytes each) that may be broadcast to drop rows; a join shuffles beyond that.
