@@ -95,7 +95,6 @@ def _associated(bags: DataFrame) -> dict[str, float]:
 def fit(bags: list[tuple[int, list[list[int]]]], rate: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Weights of evidence 0, 1, ... and the bias, by projected Adam on the noisy-or likelihood of (label, evidence of each sentence that has any)."""
     label = np.array([b[0] for b in bags], np.float64)
-    use = np.arange(len(rate))
     entry_f, entry_s, sentence_doc, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for d, (_, found) in enumerate(bags):
         entry_f += [np.array(x, np.int64) for x in found]
@@ -106,14 +105,14 @@ def fit(bags: list[tuple[int, list[list[int]]]], rate: np.ndarray, rounds: int =
         return np.zeros(len(rate)), 0.0
     f, s, doc = np.concatenate(entry_f), np.concatenate(entry_s), np.concatenate(sentence_doc)
     weight, bias = np.maximum(0, np.log(np.maximum(rate, 1e-9) / np.maximum(1 - rate, 0.02))), -3.0
-    m, v, mb, vb = np.zeros(len(use)), np.zeros(len(use)), 0.0, 0.0
+    m, v, mb, vb = np.zeros(len(rate)), np.zeros(len(rate)), 0.0, 0.0
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(s, weight[f], at), -30, 30)))
         survive = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(label))
         whole = np.clip(-np.expm1(survive), 1e-6, 1 - 1e-9)
         # d/dz of log P for toxic bags is p(1-P)/P, for clean ones -p
         slope = p * np.where(label[doc] > 0, (1 - whole[doc]) / whole[doc], -1.0)
-        g, gb = np.bincount(f, slope[s], len(use)) - PENALTY, slope.sum() - 0.001 * len(label) * (bias + 3)
+        g, gb = np.bincount(f, slope[s], len(rate)) - PENALTY, slope.sum() - 0.001 * len(label) * (bias + 3)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate_k = 0.1 / (1 + k / 100)
         weight = np.maximum(0, weight + rate_k * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6))
