@@ -1,4 +1,4 @@
-"""Command line: analyze, compare, rebin, reweight, example."""
+"""Command line: analyze, compare, rebin, reweight, example, init-config."""
 
 from __future__ import annotations
 
@@ -48,7 +48,14 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("--skip", type=float, default=0.0)
     c = sub.add_parser("example")
     c.add_argument("output")
+    sub.add_parser("init-config", help="print all settings with their defaults")
     a = p.parse_args(args)
+    if a.command == "init-config":
+        import yaml
+
+        settings = vars(merged())
+        print(yaml.safe_dump({k: list(v) if isinstance(v, tuple) else v for k, v in settings.items()}, sort_keys=False), end="")
+        return
     spark = SparkSession.builder.appName("terrane").getOrCreate()
     if a.command == "example":
         example(spark, a.output)

@@ -62,3 +62,9 @@ def band(x: Column) -> Column:
 def counter_uniform(n: Column, *parts: Column) -> Column:
     """A uniform integer in [0, n) from a hash of the parts: the same in any engine, partition and retry."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint") % n
+
+
+def frames_in_window(start: Column, stop: Column, dt: Column, stride: int = 1) -> Column:
+    """How many frames of spacing dt lie in a window, both ends counted, after striding; one at least."""
+    whole = F.floor((stop - start) / dt + 1e-9) + 1
+    return F.greatest(F.lit(1), F.floor(whole / stride)).cast("long")

@@ -104,3 +104,10 @@ def cosine_content(df: DataFrame, order: list[str], value: str, k: int, by: list
 
 def verdict(rmsip: Column, cosine: Column, n_eff: Column) -> Column:
     return F.when(n_eff < 50, "Insufficient").when((rmsip >= 0.7) & (cosine < 0.5), "Good").when((rmsip >= 0.5) & (cosine < 0.7), "Mixed").otherwise("Poor")
+
+
+def production(df: DataFrame, starts: DataFrame, replicate: str, order: list[str], start: str = "t0") -> DataFrame:
+    """Frames from each replicate's start on; replicates without one keep all. Starts are one row a replicate."""
+    rn = F.row_number().over(Window.partitionBy(replicate).orderBy(*order)) - 1
+    out = df.withColumn("_rn", rn).join(starts.select(replicate, F.col(start).alias("_t0")), replicate, "left")
+    return out.where(F.col("_rn") >= F.coalesce("_t0", F.lit(0))).drop("_rn", "_t0")

@@ -332,3 +332,24 @@ def relative_energies(t: Tables) -> DataFrame:
     e = t.events.where("value > 0")
     top = e.agg(F.max("value").alias("top"))
     return e.crossJoin(F.broadcast(top)).where("user_id < 10").select("user_id", "event_id", r(C.free_energy(F.col("value"), F.col("top"))).alias("energy"))
+
+
+@query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM o WHERE k >= CASE WHEN user_id % 2 = 0 THEN user_id % 5 ELSE 0 END GROUP BY 1")
+def transient_discard(t: Tables) -> DataFrame:
+    """Frames after each replicate's transient; odd users have none."""
+    starts = t.events.where("user_id % 2 = 0").select("user_id", (F.col("user_id") % 5).alias("t0")).distinct()
+    return timeseries.production(t.events, starts, "user_id", ORDER).groupBy("user_id").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
+
+
+@query("SELECT user_id, greatest(1, floor((floor((max(epoch_us(ts)) - min(epoch_us(ts))) / 3.6e9 + 1e-9) + 1) / 3))::BIGINT AS frames FROM events GROUP BY 1")
+def frames_in_window(t: Tables) -> DataFrame:
+    """Frames an hour apart that each user's span would hold, every third one."""
+    e = t.events.withColumn("us", F.expr(MICROS))
+    return e.groupBy("user_id").agg(C.frames_in_window(F.min("us"), F.max("us"), F.lit(3.6e9), 3).alias("frames"))
+
+
+@query("SELECT s.event_type, any_value(m.label) AS label, count(*) AS n FROM events s LEFT JOIN (SELECT 'view' AS event_type, 'MS1' AS label UNION ALL SELECT 'click', 'MS2') m USING (event_type) GROUP BY 1")
+def inactive_states(t: Tables) -> DataFrame:
+    """Left lookup of set names; microstates outside all sets have none."""
+    sets = t.spark.createDataFrame([("view", "MS1"), ("click", "MS2")], "event_type string, label string")
+    return t.events.join(F.broadcast(sets), "event_type", "left").groupBy("event_type").agg(F.first("label").alias("label"), F.count("*").alias("n"))
