@@ -93,15 +93,47 @@ def leading_fraction(df: DataFrame, replicate: str, order: list[str], fractions:
     return out.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("fraction")))).drop("_rn", "_n")
 
 
-def cosine_content(df: DataFrame, order: list[str], value: str, k: int, by: list[str] | None = None) -> DataFrame:
-    """(2/N) (sum p cos(k pi t/(N-1)))**2 / sum p**2 of the centred series; 0 below three frames."""
-    w = Window.partitionBy(*(by or []))
-    rows = df.withColumn("_t", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_p", F.col(value) - F.avg(value).over(w))
+def global_ordinals(df: DataFrame, key: Column, order: list[str], name: str = "ordinal", buckets: int = 200) -> DataFrame:
+    """`df` with the place of each row in the order of a whole table, from 0, without one task that sees all rows.
+
+    Rows fall into ranges of a numeric key (the leading part of the order) between approximate quantiles; counts of the ranges, at most `buckets` numbers, give
+    each range its offset, and rows are numbered within their range.
+    """
+    cuts = df.agg(F.percentile_approx(key.cast("double"), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(10_000)).alias("q")).first()["q"] or []
+    bounds = F.array(*(F.lit(float(q)) for q in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    rows = df.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda q: q <= key.cast("double"))), F.lit(-1)))
+    sizes = dict(rows.groupBy("_range").agg(F.count("*")).collect())  # one row a range
+    offsets, total = [0] * (buckets + 2), 0
+    for i in range(-1, buckets + 1):
+        offsets[i + 1], total = total, total + sizes.get(i, 0)
+    rn = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return rows.withColumn(name, F.get(F.array(*(F.lit(int(o)).cast("long") for o in offsets)), F.col("_range") + 1) + rn).drop("_range")
+
+
+def cosine_content(df: DataFrame, order: list[str], value: str, k: int, by: list[str] | None = None, key: Column | None = None) -> DataFrame:
+    """(2/N) (sum p cos(k pi t/(N-1)))**2 / sum p**2 of the centred series; 0 below three frames.
+
+    A whole table is numbered by ranges of `key`, a number that leads the order; without one, by one sorted pass.
+    """
+    if by is None and key is not None:
+        about = df.agg(F.count("*").alias("_n"), F.avg(value).alias("_m"))
+        rows = global_ordinals(df, key, order, "_t").crossJoin(F.broadcast(about)).withColumn("_p", F.col(value) - F.col("_m"))
+    else:
+        w = Window.partitionBy(*(by or []))
+        rows = df.withColumn("_t", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_p", F.col(value) - F.avg(value).over(w))
     c = F.cos(F.lit(k * math.pi) * F.col("_t") / (F.col("_n") - 1))
     out = rows.groupBy(*(by or [])).agg(F.max("_n").alias("n"), F.sum(F.when(F.col("_n") >= 3, F.col("_p") * c)).alias("a"), F.sum(F.col("_p") * F.col("_p")).alias("b"))
     return out.select(*(by or []), "n", F.when((F.col("n") < 3) | (F.col("b") == 0), 0.0).otherwise(2.0 / F.col("n") * F.col("a") * F.col("a") / F.col("b")).alias("cosine_content"))
 
 
+def even_subsample(df: DataFrame, key: Column, order: list[str], points: int) -> DataFrame:
+    """`points` rows evenly over the order of the whole table, with their place `k`."""
+    rows = global_ordinals(df, key, order, "k")
+    n = df.agg(F.count("*").alias("n"))
+    wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "n").select(F.floor(F.col("i") * (F.col("n") - 1) / float(points - 1)).alias("k")).distinct()
+    return rows.join(F.broadcast(wanted), "k")
+
+
 def verdict(rmsip: Column, cosine: Column, n_eff: Column) -> Column:
     return F.when(n_eff < 50, "Insufficient").when((rmsip >= 0.7) & (cosine < 0.5), "Good").when((rmsip >= 0.5) & (cosine < 0.7), "Mixed").otherwise("Poor")
 

@@ -205,7 +205,7 @@ def equilibration(t: Tables) -> DataFrame:
 @query(f"""WITH o AS (SELECT value AS p, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS n, avg(value) OVER () AS m FROM events)
 SELECT max(n) AS n, round(2.0 / max(n) * power(sum((p - m) * cos(1 * {math.pi} * k / (n - 1))), 2) / sum((p - m) * (p - m)), 8) AS cosine_content FROM o""")
 def cosine_content(t: Tables) -> DataFrame:
-    return timeseries.cosine_content(t.events, ORDER, "value", 1).select("n", r("cosine_content", 8).alias("cosine_content"))
+    return timeseries.cosine_content(t.events, ORDER, "value", 1, key=F.expr(MICROS)).select("n", r("cosine_content", 8).alias("cosine_content"))
 
 
 @query("""WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), f AS (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS fraction),
@@ -297,10 +297,7 @@ def bootstrap_pvalue(t: Tables) -> DataFrame:
 @query("WITH o AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS n FROM events) SELECT event_id, k FROM o WHERE k IN (SELECT floor(i * (n - 1) / 99.0)::BIGINT FROM (SELECT unnest(range(0, 100)) AS i), (SELECT count(*) AS n FROM events))")
 def even_subsample(t: Tables) -> DataFrame:
     """One hundred frames evenly over the series."""
-    o = t.events.select("event_id", (F.row_number().over(Window.orderBy(*ORDER)) - 1).cast("long").alias("k"))
-    n = t.events.agg(F.count("*").alias("n"))
-    wanted = n.select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"), "n").select(F.floor(F.col("i") * (F.col("n") - 1) / 99.0).alias("k")).distinct()
-    return o.join(F.broadcast(wanted), "k").select("event_id", "k")
+    return timeseries.even_subsample(t.events, F.expr(MICROS), ORDER, 100).select("event_id", "k")
 
 
 @query("SELECT 'Rep' || user_id AS replicate, event_id, value FROM events WHERE user_id < 5 UNION ALL SELECT 'Rep' || user_id, event_id, value FROM events WHERE user_id >= 5")
