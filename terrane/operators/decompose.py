@@ -176,10 +176,8 @@ def superposed(df: DataFrame, coords: str, reference: np.ndarray, fit: np.ndarra
     target = reference[at] - w @ reference[at]
     center = w @ reference[at]
     place = df.columns.index(coords)
-    kind = df.schema[coords].dataType
     schema = StructType([*df.schema.fields, StructField("fit_rmsd", DoubleType())])
     arrow = to_arrow_schema(schema)
-    del kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

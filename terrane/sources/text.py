@@ -130,7 +130,7 @@ def parse_xpm(text: str) -> dict:
     import numpy as np
 
     quoted = re.findall(r'"([^"]*)"', re.sub(r"/\*.*?\*/", "", text, flags=re.S))
-    width, height, n, size = (int(x) for x in quoted[0].split()[:4])
+    width, height, _, size = (int(x) for x in quoted[0].split()[:4])
     axes = {a: [float(x) for line in re.findall(rf"/\*\s*{a}-axis:\s*([^*]*)\*/", text) for x in line.split()] for a in "xy"}
     values = {}
     for line in text.splitlines():
@@ -148,7 +148,6 @@ def parse_xpm(text: str) -> dict:
     for a, count in (("x", width), ("y", height)):
         at = np.array(axes[a]) if axes[a] else np.arange(count, dtype=float)
         out[a] = (at[1:] + at[:-1]) / 2 if len(at) == count + 1 else at
-    del n
     return {"width": width, "height": height, **out, "values": np.array(rows[::-1])}
 
 
