@@ -208,7 +208,7 @@ class ByteBpe:
 
         self.pieces = regex.compile(pattern).findall
         self.fst = Transducer(read_ranks(path))
-        self.known = LearntChunks(self.learn)
+        self.known = LearntChunks(self.learn, 600_000, 200_000)
         self.tokens = [self.fst.bytes_of.get(i, b"") for i in range(max(self.fst.bytes_of, default=0) + 1)]
 
     def learn(self, chunk: str) -> bytes:
