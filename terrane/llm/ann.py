@@ -2,10 +2,11 @@
 
 Centroids are the means of cells of a bounded sample, made by cutting the largest cell in half across its two means until there are enough. Every vector goes to
 the list of its nearest centroid, and near a boundary to up to `COPIES` lists, those at most `REPLICATE` times as far. Centroids are searched through a neighbour graph in memory, many vectors at a time. A query opens the lists whose
-centroids are at most `PROBE` times as far as its nearest; members are compared exactly, in double precision.
+centroids are at most so many times as far as its nearest as the index needs: a bounded set of its queries is compared with every vector, and the ratio
+is the one at which they would find the share `RECALL` of their true neighbours, `PROBE` at least. Members are compared exactly, in double precision.
 
 Equal vectors are one entry of the index with their smallest ids, one more than a query can name, so a vector that a third of all rows share
-is one member of its lists, and no result is lost. Lists are dealt in parts of bounded size. Queries that found
+is one member of its lists, and no result is lost. Large lists are dealt in parts and small ones together, up to `PART` members, so that a query travels once for many lists. Queries that found
 fewer neighbours than there are search all lists.
 
 Defined results: null, zero, non-finite vectors, and those whose length is not the commonest one, take no part;
@@ -29,6 +30,8 @@ SAMPLE, LIST, MOST_LISTS = 40_000, 256, 4096
 REPLICATE, COPIES, PROBE = 1.03, 4, 1.1
 DEGREE, BEAM = 24, 64
 PART = 20_000
+#: Queries compared with every vector to measure the index, and the share of their neighbours that must be found. The margin over 0.9 covers the error of the measure.
+MEASURED, RECALL = 200, 0.95
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,6 +91,16 @@ class Centroids:
             out += [i[c][:COPIES].astype(np.int32) for i, c in zip(ids, close, strict=True)]
         return out
 
+    def needed(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The least ratio at which the query in each row of x opens a list that holds the vector in the same row of v."""
+        out = np.ones(len(x))
+        for s in range(0, len(x), 256):
+            d = _distances(x[s : s + 256], self.at)
+            for k, (near, own) in enumerate(zip(d, self.lists(v[s : s + 256]), strict=True)):
+                if near[own].min() > near.min():
+                    out[s + k] = near[own].min() / near.min() if near.min() > 0 else np.inf
+        return out
+
     def probes(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
         """The lists that each query opens."""
         out = []
@@ -95,13 +108,8 @@ class Centroids:
             if ratio == np.inf:
                 out += [np.arange(len(self.at), dtype=np.int32)] * len(x[s : s + 256])
                 continue
-            beam = BEAM
-            while True:  # a wider beam as long as some row may have more lists within its ratio
-                ids, d = self.search(x[s : s + 256], beam)
-                if beam >= len(self.at) or (d[:, -1] > ratio * d[:, 0]).all():
-                    break
-                beam *= 2
-            out += [i[near <= ratio * near[0]].astype(np.int32) for i, near in zip(ids, d, strict=True)]
+            d = _distances(x[s : s + 256], self.at)  # all of them: where many lists are opened, a walk would visit them all
+            out += [np.flatnonzero(near <= ratio * near.min()).astype(np.int32) for near in d]
         return out
 
 
@@ -135,6 +143,46 @@ def distinct(rows: DataFrame, keep: int) -> DataFrame:
     return part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
 
 
+def true_neighbours(index: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> list[list[bytes]]:
+    """For each query (id, vector) the vectors of its k nearest other rows, by comparison with all of them; a task keeps k + 1 a query."""
+    at = np.array([q for _, q in queries])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, rows = np.zeros((len(at), 0)), np.zeros((len(at), 0), object)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            one = np.empty(b.num_rows, object)
+            one[:] = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            d = np.concatenate([d, _distances(at, _matrix([v for v, _ in one]))], 1)
+            rows = np.concatenate([rows, np.broadcast_to(one, (len(at), len(one)))], 1)
+            if d.shape[1] > k + 1:
+                best = np.argpartition(d, k, axis=1)[:, : k + 1]
+                d, rows = np.take_along_axis(d, best, 1), np.take_along_axis(rows, best, 1)
+        flat = rows.reshape(-1)
+        columns = (np.repeat(np.arange(len(at)), d.shape[1]), d.reshape(-1), [v for v, _ in flat], [i for _, i in flat])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["q", "d", "v", "ids"])
+
+    found = index.select("v", "ids").mapInArrow(run, "q int, d double, v binary, ids array<long>")
+    found = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))).where(F.col("n") <= k + 1)
+    out: list[list[bytes]] = [[] for _ in queries]
+    for r in found.orderBy("q", "n").collect():  # k + 1 rows a query
+        out[r["q"]] += [bytes(r["v"])] * sum(i != queries[r["q"]][0] for i in r["ids"])
+    return [x[:k] for x in out]
+
+
+def measured_ratio(index: DataFrame, asked: DataFrame, centroids: Centroids, k: int) -> float:
+    """The ratio at which a bounded set of the queries asked finds the share `RECALL` of its true neighbours."""
+    some = [(r["id"], np.array(r["v"]) + 0.0) for r in asked.orderBy(F.xxhash64("id", "v"), "id").limit(MEASURED).collect()]
+    if len(centroids.at) < 2 or not some:
+        return 1.0
+    pairs = [(q, v) for (_, q), near in zip(some, true_neighbours(index, some, k), strict=True) for v in near]
+    if not pairs:
+        return 1.0
+    need = centroids.needed(np.array([q for q, _ in pairs]), _matrix([v for _, v in pairs]))
+    return float(np.quantile(need, RECALL, method="higher")) * (1 + 1e-9)
+
+
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = NEAREST, probe: float = PROBE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest other rows found."""
     rows = valid(df, key, vector)
@@ -145,6 +193,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     lists = min(MOST_LISTS, max(1, count // LIST))
     centroids = Centroids(_matrix(taken.tolist()), lists)
     parts = max(1, count * 3 // (lists * PART))
+    together = max(1, PART * lists // (3 * max(1, count)))  # small lists that one task compares
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,38 +204,50 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                 one = np.concatenate(owned) if owned else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int32()), b.column(0).take(take), b.column(1).take(take)], names=["list", "v", "ids"])
 
-    postings = stored(index.mapInArrow(post, "list int, v binary, ids array<long>").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")), "postings")
+    postings = stored(index.mapInArrow(post, "list int, v binary, ids array<long>").withColumn("dealt", F.floor(F.col("list") / together).cast("int")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")), "postings")
     asked = stored(rows.where(F.col("id") % every == 0).distinct(), "queries")
 
     def search(queries: DataFrame, ratio: float) -> DataFrame:
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1) + 0.0
-                opened = centroids.probes(x, ratio) if b.num_rows else []
-                take = np.repeat(np.arange(b.num_rows), [len(o) for o in opened])
-                data = [x[i].tobytes() for i in range(len(x))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int32), *opened]), pa.int32()), b.column(0).take(pa.array(take)), pa.array([data[i] for i in take], pa.binary())], names=["list", "id", "q"])
+                rows = [(int(g), i, o[o // together == g]) for i, o in enumerate(centroids.probes(x, ratio) if b.num_rows else []) for g in np.unique(o // together)]
+                columns = ([g for g, _, _ in rows], b.column(0).take(pa.array([i for _, i, _ in rows], pa.int64())), [x[i].tobytes() for _, i, _ in rows], [o for _, _, o in rows])
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.int32(), None, pa.binary(), pa.list_(pa.int32())), strict=True)], names=["dealt", "id", "q", "lists"])
 
-        opened = queries.mapInArrow(ask, "list int, id long, q binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        opened = queries.mapInArrow(ask, "dealt int, id long, q binary, lists array<int>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
         def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            x, found = _matrix(right["v"].tolist()), []
-            ids = right["ids"].tolist()
-            for query, q in zip(left["id"].tolist(), left["q"], strict=True):
-                if not len(x):
-                    continue
-                d = np.sqrt(((x - np.frombuffer(q, "<f8")) ** 2).sum(1))
-                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])  # k others, and the query's own vector
-                mine = sorted((float(d[i]), j) for i in near.tolist() for j in ids[i] if j != query)[: k]
-                found += [(query, j, s) for s, j in mine]
+            found: list[tuple] = []
+            if len(left) and len(right):
+                code, names = pd.factorize(right["v"])
+                x, ids, first = _matrix(list(names)), right["ids"].to_numpy()[np.unique(code, return_index=True)[1]], key[0] * together
+                member = np.zeros((len(x), together), bool)
+                member[code, right["list"].to_numpy() - first] = True
+                square = (x * x).sum(1)
+                for s in range(0, len(left), 64):
+                    some = left.iloc[s : s + 64]
+                    at = _matrix(some["q"].tolist())
+                    rough = square[:, None] - 2 * x @ at.T + (at * at).sum(1)
+                    for i, (query, lists) in enumerate(zip(some["id"].tolist(), some["lists"], strict=True)):
+                        rows = np.flatnonzero(member[:, np.asarray(lists) - first].any(1))
+                        if not len(rows):
+                            continue
+                        r, kth = rough[rows, i], min(k, len(rows) - 1)  # k others, and the query's own vector
+                        if np.isfinite(r).all():  # only what rounding cannot rule out is compared exactly
+                            rows = rows[r <= np.partition(r, kth)[kth] + 1e-9 * (square.max() + (at[i] * at[i]).sum())]
+                        d = np.sqrt(((x[rows] - at[i]) ** 2).sum(1))
+                        near = np.flatnonzero(d <= np.partition(d, kth)[kth])
+                        mine = sorted((float(d[n]), j) for n in near.tolist() for j in ids[rows[n]] if j != query)[:k]
+                        found += [(query, j, score) for score, j in mine]
             return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-        met = opened.groupBy("list", "part").cogroup(postings.groupBy("list", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
+        met = opened.groupBy("dealt", "part").cogroup(postings.groupBy("dealt", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
         once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
         return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = stored(search(asked, probe), "found")
+    found = stored(search(asked, max(probe, measured_ratio(index, asked, centroids, k))), "found")
     full = found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1))
     short = asked.join(full.select(F.col("query_id").alias("id")), "id", "left_anti")
     if total > 1 and not short.isEmpty():

@@ -110,6 +110,17 @@ def test_nearest_neighbours_recall(spark, tables):
     assert all(abs(dict(w).get(i, s) - s) < 1e-12 for q, w in want.items() for i, s in got[q])
 
 
+def test_nearest_neighbours_recall_with_hundreds_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 16)
+    x = np.random.default_rng(2).normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    want = brute(x, np.arange(len(x)), 100, 10)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(df).collect()}
+    assert sum((q, i) in got for q, w in want.items() for i, _ in w) / 800 >= 0.9
+    assert len(got) == 800 and all(abs(got[q, i] - s) < 1e-12 for q, w in want.items() for i, s in w if (q, i) in got)
+
+
 def test_nearest_neighbours_of_many_equal_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(300)] + [(1000, [0.0, 1.0]), (1001, None), (1002, [0.0, 0.0]), (1003, [float("nan"), 1.0]), (1004, [1.0]), (1005, [None, 1.0])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, rank int")
