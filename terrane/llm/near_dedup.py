@@ -20,7 +20,6 @@ row like others and names a class only if all its keys are null; an empty table
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,24 +90,57 @@ def order_min_hash(keys: np.ndarray, sketches: int = SKETCHES, sampled: int = SA
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Order-respecting similarity of two shingle sequences by alignment within the band that `similarity` allows; 0 if it is surely less.
 
-    Labelled shingles are distinct within a text, so a longest common subsequence is a longest increasing run of places.
+    The longest common subsequence is found by bits, a shingle of `b` at a time: a zero bit of `row` is a place of `a` where the length
+    grows. `row` holds the places near the shingle's own, wide enough for every alignment that reaches `similarity`.
     """
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < similarity * max(n, m):
         return float(n == m)
-    band = int((n + m) * (1 - similarity) / (1 + similarity)) + 1
-    _, i, j = np.intersect1d(labelled(a), labelled(b), assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) < similarity * (n + m - len(i)):
+    common = len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))  # in any order, so no alignment matches more
+    if common < similarity * (n + m - common):
         return 0.0
-    tails: list[int] = []
-    for place in j[np.argsort(i)].tolist():
-        if not tails or place > tails[-1]:
-            tails.append(place)
-        else:
-            tails[bisect_left(tails, place)] = place
-    return len(tails) / (n + m - len(tails))
+    band = int((n + m) * (1 - similarity) / (1 + similarity)) + 1
+    differ = a[: min(n, m)] != b[: min(n, m)]
+    head = int(differ.argmax()) if differ.any() else min(n, m)
+    a, b = a[head:], b[head:]
+    differ = a[::-1][: min(len(a), len(b))] != b[::-1][: min(len(a), len(b))]
+    tail = int(differ.argmax()) if differ.any() else len(differ)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return (same := head + tail + _common_run(a, b, band)) / (n + m - same)
+
+
+def _common_run(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence whose matches are at most about `band` places apart."""
+    order = np.argsort(a, kind="stable")
+    ranked = a[order]
+    first, last = np.searchsorted(ranked, b, "left").tolist(), np.searchsorted(ranked, b, "right").tolist()
+    step, low, high, row, found = max(64, band), 0, 0, 0, 0
+    for s in range(0, len(b), step):
+        new_low, new_high = min(len(a), max(0, s - band)), min(len(a), s + step + band)
+        row |= ((1 << (new_high - high)) - 1) << (high - low)
+        gone = new_low - low
+        found += gone - (row & ((1 << gone) - 1)).bit_count()
+        row, low, high = row >> gone, new_low, new_high
+        full, often = (1 << (high - low)) - 1, {}
+        for x, y in zip(first[s : s + step], last[s : s + step], strict=True):
+            if y == x + 1:
+                at = int(order[x]) - low
+                mask = 1 << at if 0 <= at < high - low else 0
+            elif y > x:
+                mask = often.get(x)
+                if mask is None:
+                    at = order[x:y] - low
+                    bits = np.zeros(high - low, np.uint8)
+                    bits[at[(at >= 0) & (at < high - low)]] = 1
+                    mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+                    if y - x > 64:  # few shingles are so frequent: their places are kept for the block
+                        often[x] = mask
+            else:
+                continue
+            hit = row & mask
+            if hit:
+                row = (row + hit | row - hit) & full
+    return found + (high - low) - row.bit_count()
 
 
 def _sketched(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -202,6 +202,38 @@ def test_alignment_needs_order():
     assert near_dedup.aligned(a, b) == pytest.approx(0.9)
 
 
+def plain_similarity(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = list(row)
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_alignment_equals_a_plain_dynamic_programme():
+    rng = np.random.default_rng(7)
+    line = [f"line{i}" for i in range(12)]
+    whole = [w for k in range(20) for w in (*line, *(f"u{k}x{i}" for i in range(12)))]
+    texts = [whole, [*whole[:5], "other", *whole[6:]], whole[12:]]
+    for size, kinds in ((40, 3), (150, 8), (400, 30), (700, 5000)):
+        base = rng.integers(kinds, size=size).astype(str).tolist()
+        for edits in (1, 2, 6, 20):
+            w = list(base)
+            for _ in range(edits):
+                at = int(rng.integers(len(w)))
+                w[at : at + int(rng.integers(0, 3))] = rng.integers(kinds, size=int(rng.integers(0, 3))).astype(str).tolist()
+            texts += [base, w]
+    shingles, begin, _ = near_dedup.shingled([" ".join(t) for t in texts])
+    rows = [shingles[x:y] for x, y in zip(begin, begin[1:], strict=False)]
+    pairs = [(0, 1), (0, 2), *((k, k + 1) for k in range(3, len(rows), 2))]
+    want = [plain_similarity(rows[x].tolist(), rows[y].tolist()) for x, y in pairs]
+    assert min(want[:2]) > 0.95 and any(w < 0.8 for w in want)
+    for (x, y), w in zip(pairs, want, strict=True):
+        for got in (near_dedup.aligned(rows[x], rows[y]), near_dedup.aligned(rows[y], rows[x])):
+            assert got == pytest.approx(w) if w >= 0.8 else got < 0.8
+
+
 def test_pipeline(spark, tmp_path, sf):
     import corpus_pipeline
 
