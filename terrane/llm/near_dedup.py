@@ -8,7 +8,7 @@ similarity to the power of that number, and only if the order agrees. Texts that
 Buckets are never multiplied out. Each member of a bucket is paired with two leaders, and in buckets of up to
 `SMALL` with all others; a leader is the member whose sketches are shared most widely, which in a family of
 edited copies is their source. What that leaves open is done exactly: in larger buckets whose members ended in several
-components, members are compared across components block by block, and pairs whose sketches agree in at least `AGREEING` are verified too.
+components, members are compared across components block by block, and every pair is verified, whatever the number of sketches it agrees in.
 
 A pair is linked when its alignment within the band that the threshold allows matches so many shingles m that
 m / (n1 + n2 - m) is at least 0.8: the Jaccard similarity of labelled shingles that stand in the same order.
@@ -37,7 +37,8 @@ SKETCHES = 24
 SAMPLED = 4
 SMALL = 8
 BLOCK = 1024
-AGREEING = 3
+#: Cells in which a text's shingles are counted, for a bound on what two texts can have in common.
+CELLS = 256
 #: Nodes (16 bytes each) that may be broadcast to pick texts for verification; a join shuffles beyond that.
 BROADCAST_NODES = 500_000
 _BLANKS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -109,6 +110,11 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return (same := head + tail + _common_run(a, b, band)) / (n + m - same)
 
 
+def cell_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each cell: the cell-wise minima of two texts add up to no less than the shingles they have in common."""
+    return np.bincount((mix64(shingles) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int32)
+
+
 def _common_run(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence whose matches are at most about `band` places apart."""
     order = np.argsort(a, kind="stable")
@@ -228,11 +234,13 @@ def _open_links(df: DataFrame, text: str, large: DataFrame, members: DataFrame,
         seq = [np.frombuffer(x, "<u4").astype(np.uint64) for x in rows["seq"]]
         comp, outer = pd.factorize(rows["comp"])[0], rows["outer"].to_numpy()
         outside = {node[k] for k in np.flatnonzero(outer)}
+        cells = np.array([cell_counts(s) for s in seq])
         found = []
         for x in np.flatnonzero(outer).tolist():
             y = np.flatnonzero(~outer & (comp != comp[x]) & (np.minimum(n, n[x]) >= SIMILARITY * np.maximum(n, n[x])))
-            same = keys[y] == keys[x]
-            y = y[(same.sum(1) >= AGREEING) & (keys[x][same.argmax(1)] == key[0])]
+            y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key[0]]
+            most = np.minimum(cells[y], cells[x]).sum(1)
+            y = y[most >= SIMILARITY * (n[y] + n[x] - most)]
             for k in y.tolist():
                 if comp[k] != comp[x] and not (node[k] in outside and node[k] < node[x]) and aligned(seq[x], seq[k]) >= SIMILARITY:
                     found.append((min(node[x], node[k]), max(node[x], node[k])))

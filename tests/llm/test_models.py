@@ -202,6 +202,24 @@ def test_alignment_needs_order():
     assert near_dedup.aligned(a, b) == pytest.approx(0.9)
 
 
+def test_links_of_large_buckets_by_a_single_agreeing_sketch(spark):
+    rng = np.random.default_rng(9)
+    while True:
+        words = [f"w{i}" for i in rng.integers(10**6, size=9)]
+        texts = [" ".join(words), " ".join(words[:8])]  # four of five shingles in common
+        shingles, begin, names = near_dedup.shingled(texts)
+        one, two = (near_dedup.order_min_hash(near_dedup.labelled(shingles[a:b])).view(np.int64) for a, b in zip(begin, begin[1:], strict=False))
+        agree = np.flatnonzero(one == two)
+        if len(agree) == 1:
+            break
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = near_dedup._sketched(prepared(spark) and df, "doc_id", "text").select("node", "n", "keys")
+    large = docs.selectExpr("node", "n", "explode(keys) as bucket", "9L as c").where(f"bucket = {one[agree[0]]}")
+    members = spark.createDataFrame([], "node binary, component binary")
+    links = near_dedup._open_links(df, "text", large, members, docs).collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in links] == [tuple(sorted(names))]
+
+
 def plain_similarity(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
