@@ -60,3 +60,16 @@ def test_further_sources(spark, tmp_path):
     g = tmp_path / "a.gro"
     g.write_text("t\n    1\n    1ALA     CA    1   0.100   0.200   0.300\n 1 1 1\n")
     assert text.read_gro(spark, f"file://{g}").first()["z"] == pytest.approx(3)
+
+
+def test_hills_over_whole_tables(spark, sf):
+    import duckdb
+    from terrane.plans import registry, relations
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    for name, value in (("hills_bias", "bias"), ("metad_weights_final_bias", "weight")):
+        want = dict(con.execute(f"SELECT event_id, {value} FROM ({registry.without(registry.SQL[name], *relations.SUBSETS)})").fetchall())
+        got = {r["event_id"]: r[value] for r in registry.QUERIES[f"{name}_whole"](spark, sf).collect()}
+        assert got.keys() == want.keys() and len(got) == con.execute("SELECT count(*) FROM events WHERE event_type = 'view'").fetchone()[0]
+        assert all(abs(got[k] - x) < 3e-6 for k, x in want.items())
