@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,6 +160,57 @@ def hashed_words(texts: list[bytes], blanks: bytes) -> tuple[np.ndarray, np.ndar
     return segment_hashes(joined + np.uint64(1), starts, ends), np.searchsorted(starts, at)
 
 
+class WordNames(dict):
+    """A keyed 64-bit digest (BLAKE2b) of each word, remembered in bounded space."""
+
+    def __init__(self, limit: int = 300_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        name = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"terrane word").digest(), "little")
+        return name
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+
+
+def word_lists(text: bytes, blanks: bytes, limit: int = 1_000_000) -> Iterator[list[bytes]]:
+    """The words of a text, a list for each megabyte or so. `blanks` maps what separates words to a blank (bytes.translate)."""
+    text, start = text.translate(blanks), 0
+    while len(text) - start > limit:
+        stop = text.find(b" ", start + limit)
+        if stop < 0:
+            break
+        yield text[start:stop].split()
+        start = stop
+    yield text[start:].split()
+
+
+def text_name(text: bytes, blanks: bytes) -> bytes:
+    """The digest of a text's words that `named_words` gives."""
+    whole = hashlib.blake2b(digest_size=16, key=b"terrane text")
+    for words in word_lists(text, blanks):
+        whole.update(b" ".join([*words, b""]))
+    return whole.digest()
+
+
+def named_words(texts: list[bytes], blanks: bytes, names: WordNames) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Digests of the words of all texts in order, where each text's words begin (one entry more than texts), and a 128-bit digest of each text's words."""
+    parts, counts, digests = [np.zeros(0, np.uint64)], [], []
+    for text in texts:
+        whole, n = hashlib.blake2b(digest_size=16, key=b"terrane text"), 0
+        for words in word_lists(text, blanks):
+            parts.append(np.fromiter(map(names.__getitem__, words), np.uint64, len(words)))
+            whole.update(b" ".join([*words, b""]))
+            n += len(words)
+        counts.append(n)
+        digests.append(whole.digest())
+        names.trim()
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), digests
+
+
 def sliced(batch, column: int, limit: int = 500_000):
     """Slices of an Arrow batch that hold about `limit` bytes of its string column each, one row at least."""
     import pyarrow.compute as pc

@@ -6,13 +6,15 @@ shingles of a text and keeps them in text order: it agrees between two texts abo
 similarity to the power of that number, and only if the order agrees. Texts that agree in a sketch meet in a bucket.
 
 Buckets are never multiplied out. Each member of a bucket is paired with two leaders, and in buckets of up to
-`SMALL` with all others; a leader is the member whose sketches are shared most widely, which in a family of
+`SMALL` with all others, which changes the order of work and no result; a leader is the member whose sketches are shared most widely, which in a family of
 edited copies is their source. What that leaves open is done exactly: in larger buckets whose members ended in several
 components, members are compared across components block by block, and every pair is verified, whatever the number of sketches it agrees in.
 
 A pair is linked when its alignment within the band that the threshold allows matches so many shingles m that
 m / (n1 + n2 - m) is at least 0.8: the Jaccard similarity of labelled shingles that stand in the same order.
 
+Words are named by a keyed 64-bit digest, whole texts by one of 128 bits; texts of one name have the same words and are not aligned.
+
 Defined results: null text counts as empty; texts with the same words (none included) are copies of each other; texts
 shorter than five words make one shingle; the least key of a class names it; repeated keys are rows of their own; a null key is a
 row like others and names a class only if all its keys are null; an empty table gives no rows; other columns are not read.
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import forget, hashed_words, kept_rows, mix64, only, row_name, segment_hashes, sliced, stored, text_of
+from terrane.llm.common import WordNames, forget, kept_rows, mix64, named_words, only, row_name, sliced, stored, text_name, text_of
 from terrane.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 SAMPLED = 4
+#: Texts of so few shingles get further sketches of fewer shingles; a pair at the threshold with a longer text shares 16 shingles or more.
+SHORT, MORE_SKETCHES, FEWER = 20, 12, 2
 SMALL = 8
 BLOCK = 1024
 #: Cells in which a text's shingles are counted, for a bound on what two texts can have in common.
@@ -45,17 +49,21 @@ _BLANKS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 _SEEDS = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def shingled(texts: list[str], word_names: WordNames | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Shingle hashes of all texts, where each text's begin, and a 128-bit name of each text's words."""
-    words, at = hashed_words([t.lower().encode("utf-8", "surrogatepass") for t in texts], _BLANKS)
-    first = segment_hashes(words, at[:-1], at[1:])
-    second = segment_hashes(mix64(words), at[:-1], at[1:])
-    names = [a + b for a, b in zip(*([x.tobytes()[i : i + 8] for i in range(0, 8 * len(texts), 8)] for x in (first, second)), strict=True)]
+    words, at, names = named_words([t.lower().encode("utf-8", "surrogatepass") for t in texts], _BLANKS, WordNames() if word_names is None else word_names)
     count = np.diff(at)
     many = np.where(count == 0, 0, np.maximum(count - SHINGLE + 1, 1))
     begin = np.concatenate([[0], np.cumsum(many)])
     starts = np.repeat(at[:-1], many) + np.arange(begin[-1]) - np.repeat(begin[:-1], many)
-    return segment_hashes(words, starts, np.minimum(starts + SHINGLE, np.repeat(at[1:], many))), begin, names
+    ends = np.repeat(at[1:], many)
+    shingles = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            there = starts + k < ends
+            word = words[np.minimum(starts + k, max(len(words) - 1, 0))] if len(words) else shingles
+            shingles = np.where(there, mix64(shingles * np.uint64(0x9FB21C651E98DF25) + word), shingles)
+    return shingles, begin, names
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -70,24 +78,31 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
         return mix64(shingles + nth * np.uint64(0xA24BAED4963EE407))
 
 
-def order_min_hash(keys: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLED) -> np.ndarray:
-    """A 64-bit value for each sketch: the `sampled` least labelled shingles under its hash, in text order."""
+def order_min_hash(keys: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLED, first: int = 0) -> np.ndarray:
+    """A 64-bit value for each sketch: the `sampled` least labelled shingles under its hash, in text order. `first`: number of the first sketch."""
     n, out = len(keys), np.zeros(sketches, np.uint64)
     take = min(sampled, n)
     step = max(1, min(sketches, 2_000_000 // max(n, 1)))
     with np.errstate(over="ignore"):
         for s in range(0, sketches, step):
-            hashed = keys[None, :] * _SEEDS[s : min(s + step, sketches), None]
+            seeds = _SEEDS[first + s : first + min(s + step, sketches), None]
+            hashed = keys[None, :] * seeds
             hashed ^= hashed >> np.uint64(32)
             places = np.argpartition(hashed, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), hashed.shape)
             places = np.sort(places, axis=1)
-            value = np.full(len(places), n if n < sampled else sampled, np.uint64)
+            value = np.full(len(places), take, np.uint64)
             for k in range(take):
                 value = mix64(value * np.uint64(0x9FB21C651E98DF25) + keys[places[:, k]])
-            out[s : s + len(places)] = mix64(value + np.arange(s, s + len(places), dtype=np.uint64))
+            out[s : s + len(places)] = mix64(value + np.arange(first + s, first + s + len(places), dtype=np.uint64))
     return out
 
 
+def sketched(keys: np.ndarray) -> np.ndarray:
+    """The sketches of a text; a short one has further sketches of fewer shingles, as few of its larger samples agree after one edit."""
+    long = order_min_hash(keys)
+    return np.concatenate([long, order_min_hash(keys, MORE_SKETCHES, FEWER, SKETCHES)]) if len(keys) <= SHORT else long
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Order-respecting similarity of two shingle sequences by alignment within the band that `similarity` allows; 0 if it is surely less.
 
@@ -154,14 +169,15 @@ def _sketched(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
+        word_names = WordNames()
         for whole in batches:
             for b in sliced(whole, 1):
-                shingles, begin, names = shingled(b.column(1).to_pylist())
+                shingles, begin, names = shingled(b.column(1).to_pylist(), word_names)
                 begin = begin.tolist()
                 keys, known = [], {}
                 for name, s, e in zip(names, begin, begin[1:], strict=False):
                     if name not in known:
-                        known[name] = order_min_hash(labelled(shingles[s:e])).view(np.int64) if e > s else np.zeros(0, np.int64)
+                        known[name] = sketched(labelled(shingles[s:e])).view(np.int64) if e > s else np.zeros(0, np.int64)
                     keys.append(known[name])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((b.column(0), names, np.diff(begin), keys), types, strict=True)], names=["id", "node", "n", "keys"])
 
@@ -172,9 +188,10 @@ def _sequences(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(node, seq): the shingles, 32 bits each, of the wanted texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_names = WordNames()
         for whole in batches:
             for b in sliced(whole, 0):
-                shingles, begin, names = shingled(b.column(0).to_pylist())
+                shingles, begin, names = shingled(b.column(0).to_pylist(), word_names)
                 data = (shingles >> np.uint64(32)).astype("<u4").tobytes()
                 begin = (begin * 4).tolist()
                 rows = {name: data[s:e] for name, s, e in zip(names, begin, begin[1:], strict=False)}
@@ -230,7 +247,8 @@ def _open_links(df: DataFrame, text: str, large: DataFrame, members: DataFrame,
     outer = rest.where("comp != main").withColumn("j", part(F.col("ob"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).withColumn("outer", F.lit(True)).select(row)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, n, node = np.array(rows["keys"].tolist(), np.int64), rows["n"].to_numpy(), rows["node"].tolist()
+        most = max(map(len, rows["keys"]))  # two texts agree in a sketch that both have, so what fills up is not met first
+        keys, n, node = np.array([np.pad(k, (0, most - len(k))) for k in rows["keys"]], np.int64), rows["n"].to_numpy(), rows["node"].tolist()
         seq = [np.frombuffer(x, "<u4").astype(np.uint64) for x in rows["seq"]]
         comp, outer = pd.factorize(rows["comp"])[0], rows["outer"].to_numpy()
         outside = {node[k] for k in np.flatnonzero(outer)}
@@ -262,10 +280,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     @F.pandas_udf("binary")
     def name(texts: pd.Series) -> pd.Series:
-        names: list[bytes] = []
-        for b in sliced(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]), 0):
-            names += shingled(b.column(0).to_pylist())[2]
-        return pd.Series(names, index=texts.index, dtype=object)
+        return pd.Series([text_name(t.lower().encode("utf-8", "surrogatepass"), _BLANKS) for t in texts], index=texts.index, dtype=object)
 
     decided = _classed(df, key, text)
     decided = decided.select(row_name(F.col(key), F.hex("node")).alias("_name"), "kept")

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import hashed_words, mix64, only, remainder, sliced, text_of, training_rows
+from terrane.llm.common import WordNames, mix64, named_words, only, remainder, sliced, text_of, training_rows
 
 #: Labelled rows that are fitted at most, tokens of each that have word vectors at most.
 SAMPLE = 5_000
 VOCABULARY = 20_000
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 48, 6, 2, 32
+_names = WordNames()
 _WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 _SYMBOLS = bytes(32 if chr(b).isalnum() or b >= 128 or b in (9, 10, 11, 12, 13) else b for b in range(256))
 
@@ -79,7 +80,7 @@ def pooled(texts: list[str], vocabulary: list[tuple[np.ndarray, np.ndarray]]) ->
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     parts = []
     for (names, vectors), blanks, low in zip(vocabulary, (_WORDS, _SYMBOLS), (True, False), strict=True):
-        tokens, at = hashed_words([t.lower() for t in raw] if low else raw, blanks)
+        tokens, at, _ = named_words([t.lower() for t in raw] if low else raw, blanks, _names)
         place = np.minimum(np.searchsorted(names, tokens), max(len(names) - 1, 0))
         known = names[place] == tokens if len(names) else np.zeros(len(tokens), bool)
         sums = np.zeros((len(texts) + 1, DIMENSIONS), np.float64)
@@ -158,7 +159,7 @@ def trained(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 raw = [t.encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()]
                 columns = []
                 for texts, blanks in (([t.lower() for t in raw], _WORDS), (raw, _SYMBOLS)):
-                    h, at = hashed_words(texts, blanks)
+                    h, at, _ = named_words(texts, blanks, _names)
                     columns.append(pa.array([h[s:e].tobytes() for s, e in zip(at, at[1:], strict=False)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["words", "symbols"])
 
