@@ -121,45 +121,6 @@ def tokenizer_file(name: str) -> str:
         return os.path.join("/opt/tokenizers", name)
 
 
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_P_INVERSE = pow(_P, -1, 2**64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse, for places 0 to n - 1."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_P, _P_INVERSE)):
-                steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-                steps[0] = 1
-                _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
-
-
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each segment values[start:end], by prefix sums and without a loop."""
-    power, inverse = _power_tables(max(1, len(values)))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * power[: len(values)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inverse[np.minimum(starts, len(inverse) - 1)]
-    return mix64(h ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def hashed_words(texts: list[bytes], blanks: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, in order, and where each text's words begin (one entry more than texts).
-
-    `blanks` is a 256-byte table for bytes.translate that maps what separates words to a blank.
-    """
-    joined = np.frombuffer((b" ".join(texts) + b" ").translate(blanks), np.uint8)
-    blank = joined == 32
-    before = np.concatenate([[True], blank[:-1]])
-    starts, ends = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    return segment_hashes(joined + np.uint64(1), starts, ends), np.searchsorted(starts, at)
-
-
 class WordNames(dict):
     """A keyed 64-bit digest (BLAKE2b) of each word, remembered in bounded space."""
 

@@ -1,368 +1,521 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model.
-
-Three levels of restaurants share parents: the context of the two preceding words (by word class), that of the
-preceding word, and the corpus; below them lies the uniform distribution. The classes of a word come from its last
-bytes, so the number of restaurants is fixed (`CLASSES`) and their totals are small tables, while the dishes
-are the words themselves and grow with the corpus.
-
-Words are dealt to owners by hash. A map task turns its texts into blocks and sends each owner the block's words
-that it owns, each with its places (context, document in the block), four bytes a token. An owner seats the
-training customers of its dishes: the number of tables of every dish is drawn by Gibbs sampling from its
-conditional given all other seats (with generalised Stirling numbers up to `EXACT` customers, by sequential
-seating in growing blocks beyond), level by level, every table sending a customer to the parent
-restaurant. Within an owner's pass the totals of other owners' dishes are taken to be in the proportion of its own; the totals over all
-owners are then added up, so that the predictive probabilities of each kept sample sum to one. Scores average the
-predictive probabilities of `SAMPLES` seatings.
+"""Language-model scoring by a hierarchical Pitman-Yor model over words.
+
+Every word that precedes another is the context of a restaurant; all of them share one parent, the corpus, below which lies the uniform
+distribution over the known words and one unknown. A text begins in the context of the end token.
+
+1. Texts are cut into blocks of tokens numbered within the block (`blocks`).
+2. Words are numbered for the corpus, by their bytes and never by a hash: blocks send their words to `SLICES` slices, which add up counts and send numbers back (`numbered`).
+3. Blocks send each owner the (context, word) pairs of its contexts with their counts, and where they stand (`entries`). An owner is some `OWNER_TOKENS` tokens, so their
+   number grows with the corpus. A context of more than `COMMON` tokens is split among all owners by the word that follows.
+4. Owners seat customers by Gibbs sampling (`seated`). With a gamma variable for each restaurant (s given T tables: Gamma(strength / discount + T)) the tables t of its
+   dishes are independent given s: p(t) ~ S(c, t) (discount s parent)^t, S the generalised Stirling numbers. So no total is guessed and no order matters; random
+   numbers follow from the numbers of context and word, so results do not depend on partitions.
+5. Tables are the customers of the parent, which is seated by word slices (`parents`); then contexts are seated anew given the parent, and the
+   predictive probabilities of `SAMPLES` seatings are averaged (`scored`).
+
+Restaurants that are split among owners are drawn once, in step 4, and their totals are exact before step 5 uses them. For dishes of more than `EXACT` customers
+the conditional is taken from its limit (`opened_by_many`; at `EXACT` customers means differ by less than 2 %). Discounts are n1 / (n1 + 2 n2), n1 and n2 the
+dishes of one and of two customers, over the whole corpus; strengths are constants.
 
 Defined results: null text counts as empty, which is the one end token; repeated keys are rows of their own; with no
-training text every score rests on the uniform distribution; an empty table gives no rows; other columns are not read.
+training text every score rests on the uniform distribution; an empty table gives no rows; other columns are not read. A text's tokens are held in memory at once.
 """
 
 from __future__ import annotations
 
+import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terrane.llm.common import forget, mix64, remainder, stored, text_of, word_lists
 
-from terrane.llm.common import hashed_words, mix64, owners, remainder, segment_hashes, stored, text_of
-
-FINE, COARSE = 127, 32
-CLASSES = (FINE + 1) * COARSE
-DISCOUNT = (0.5, 0.6, 0.75)  # corpus, one word, two words
-STRENGTH = (10.0, 1.0, 0.5)
-BURN_IN, SAMPLES, EXACT = 2, 2, 48
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 50_000
-#: Tokens of one stored row, unless one word has more; and owners for each shuffle partition.
-ROW_TOKENS, OWNERS = 500_000, 2
-#: Documents whose sums a scoring task holds before it sends them on; slices of the restaurants' totals.
-HELD_SUMS, SLICES = 2_000_000, 64
+DISCOUNT, STRENGTH = (0.5, 0.75), (10.0, 1.0)  # corpus, one word; discounts only until they are estimated
+BURN_IN, SAMPLES, EXACT = 2, 2, 200
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 50_000
+OWNER_TOKENS, COMMON, SLICES = 2_000_000, 200_000, 512
 _BLANKS = bytes(32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256))
-_END = mix64(np.array([0xE0F], np.uint64))[0]
-_TRAIN = np.uint16(1 << 15)
-
-
-def _hashed(texts: list[bytes], limit: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words and of their last three bytes, and where each text's words begin, made some texts at a time."""
-    words, tails, at, start = [], [], [np.zeros(1, np.int64)], 0
-    while start < len(texts):
-        stop, size = start + 1, len(texts[start])
-        while stop < len(texts) and size < limit:
-            size += len(texts[stop])
-            stop += 1
-        some = texts[start:stop]
-        h, begin = hashed_words(some, _BLANKS)
-        joined = np.frombuffer((b" ".join(some) + b" ").translate(_BLANKS), np.uint8)
-        blank = joined == 32
-        before = np.concatenate([[True], blank[:-1]])
-        first, end = np.flatnonzero(~blank & before), np.flatnonzero(blank & ~before)
-        words.append(h)
-        tails.append(segment_hashes(joined + np.uint64(1), np.maximum(first, end - 3), end) % np.uint64(FINE))
-        at.append(at[-1][-1] + begin[1:])
-        start = stop
-    return np.concatenate(words), np.concatenate(tails).astype(np.int16), np.concatenate(at)
-
-
-def blocks(df: DataFrame, n_owners: int) -> DataFrame:
-    """Rows for owners (owner, block, words, counts, places) and one for each block's documents (owner < 0: ids, flags, lengths)."""
-
-    def pack(block: int, texts: list[bytes], ids: list, held: list) -> Iterator[dict]:
-        words, fine, at = _hashed(texts)
-        n_docs = len(texts)
-        length = np.diff(at) + 1
-        first = np.concatenate([[0], np.cumsum(length)])
-        doc = np.repeat(np.arange(n_docs, dtype=np.int32), length)
-        is_end = np.zeros(first[-1], bool)
-        is_end[first[1:] - 1] = True
-        token = np.full(first[-1], _END, np.uint64)
-        token[~is_end] = words
-        cls = np.zeros(first[-1], np.int16)
-        cls[~is_end] = fine
-        place = np.arange(first[-1]) - first[:-1][doc]
-        one = np.where(place >= 1, np.roll(cls, 1), FINE)
-        two = np.where(place >= 2, np.roll(cls, 2) % COARSE, COARSE - 1)
-        cell = (one.astype(np.uint16) * np.uint16(COARSE) + two.astype(np.uint16)) | np.where(np.array(held)[doc], np.uint16(0), _TRAIN).astype(np.uint16)
-        yield {"owner": -1 - block % n_owners, "block": block, "words": np.array([-(2**63) if i is None else i for i in ids], "<i8").tobytes(), "counts": length.astype("<u4").tobytes(), "cells": np.array(held, np.uint8).tobytes(), "docs": None, "nulls": np.array([i is None for i in ids], np.uint8).tobytes()}
-        own = (token % np.uint64(n_owners)).astype(np.int64)
-        order = np.lexsort((token, own))
-        token, own, cell, doc = token[order], own[order], cell[order], doc[order].astype(np.uint16)
-        cut = np.searchsorted(own, np.arange(n_owners + 1))
-        for o in np.flatnonzero(np.diff(cut)).tolist():
-            s, e = cut[o], cut[o + 1]
-            new = np.concatenate([[True], token[s + 1 : e] != token[s : e - 1]])
-            runs = np.diff(np.append(np.flatnonzero(new), e - s))
-            yield {"owner": o, "block": block, "words": token[s:e][new].tobytes(), "counts": runs.astype("<u4").tobytes(), "cells": cell[s:e].tobytes(), "docs": doc[s:e].tobytes(), "nulls": None}
-
-    schema = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("cells", pa.binary()), ("docs", pa.binary()), ("nulls", pa.binary())])
+_codec = pa.Codec("zstd", compression_level=1)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Non-negative integers as compressed planes of their bytes."""
+    x = np.ascontiguousarray(x, "<i8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(x), width) + _codec.compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = struct.unpack_from("<QB", data)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(_codec.decompress(data[9:], n * width, asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8").reshape(n)
+
+
+def squeezed(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + _codec.compress(data, asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return _codec.decompress(data[8:], struct.unpack_from("<Q", data)[0], asbytes=True)
+
+
+class _Numbers(dict):
+    """Numbers words from 1 in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
+def blocks(read: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """A row for each block of texts of `read` (id, text, held): its documents, words by falling frequency (0 is the end token), their training counts, and its tokens."""
+    names = ["block", "ids", "nulls", "held", "lengths", "words", "counts", "tokens"]
+
+    def pack(block: int, ids: list, held: list, parts: list[np.ndarray], lengths: list[int], numbers: _Numbers) -> pa.RecordBatch:
+        tokens, length = np.concatenate(parts), np.array(lengths)
+        uses = np.bincount(tokens, minlength=len(numbers) + 1)
+        order = np.concatenate([[0], 1 + np.argsort(-uses[1:], kind="stable")])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        train = np.bincount(tokens[np.repeat(~np.array(held), length)], minlength=len(order))
+        words = list(numbers)
+        row = (
+            block, np.array([0 if i is None else i for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array(held, np.uint8).tobytes(),
+            packed(length), squeezed(b" ".join([words[k - 1] for k in order[1:].tolist()])), packed(train[order]), packed(rank[tokens]),
+        )
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(row)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 24
-        texts, ids, held, size = [], [], [], 0
+        block, end = TaskContext.get().partitionId() << 24, np.zeros(1, np.int32)
+        ids, held, parts, lengths, numbers, size = [], [], [], [], _Numbers(), 0
         for b in batches:
             for i, t, h in zip(b.column(0).to_pylist(), (v.as_py() for v in b.column(1)), b.column(2).to_pylist(), strict=True):
-                data = t.encode("utf-8", "surrogatepass").lower()
-                texts.append(data)
+                n = 1
+                for words in word_lists(t.encode("utf-8", "surrogatepass").lower(), _BLANKS):
+                    parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                    n += len(words)
+                parts.append(end)
                 ids.append(i)
                 held.append(h)
-                size += len(data) // 6 + 1
-                if size >= BLOCK_TOKENS or len(ids) >= BLOCK_DOCS:
-                    for row in pack(block, texts, ids, held):
-                        yield pa.RecordBatch.from_pylist([row], schema=schema)
-                    texts, ids, held, size, block = [], [], [], 0, block + 1
+                lengths.append(n)
+                size += n
+                if size >= block_tokens or len(ids) >= BLOCK_DOCS:
+                    yield pack(block, ids, held, parts, lengths, numbers)
+                    block, ids, held, parts, lengths, numbers, size = block + 1, [], [], [], [], _Numbers(), 0
         if ids:
-            for row in pack(block, texts, ids, held):
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-    return df.mapInArrow(run, "owner int, block long, words binary, counts binary, cells binary, docs binary, nulls binary")
+            yield pack(block, ids, held, parts, lengths, numbers)
 
+    return read.mapInArrow(run, "block long, ids binary, nulls binary, held binary, lengths binary, words binary, counts binary, tokens binary")
 
-def _log_stirling(discount: float, most: int) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers S(c, t) for c, t up to `most`."""
-    s = np.full((most + 1, most + 1), -np.inf)
-    s[0, 0] = 0.0
-    for c in range(most):
-        t = np.arange(1, c + 2)
-        with np.errstate(divide="ignore"):
-            stay = s[c, t] + np.log(np.maximum(c - t * discount, 0))
-        s[c + 1, t] = np.logaddexp(s[c, t - 1], stay)
-    return s
 
+def numbered(cut: DataFrame) -> DataFrame:
+    """For each block and slice: where words stand in the block's list, their numbers in the corpus and their training counts.
 
-def seat(customers: np.ndarray, restaurant: np.ndarray, tables: np.ndarray, parent: np.ndarray, totals: np.ndarray, discount: float, strength: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Draws the number of tables of every dish from its conditional given the others.
-
-    customers, tables, parent: by dish, with the parent's probability of the dish; totals: tables of each whole restaurant.
+    Block -1 has sums instead: training tokens, distinct ones, those of one and of two uses. A number is rank * SLICES + slice, ranks by falling count, then bytes.
     """
-    out = np.minimum(customers, 1)
-    others = np.maximum(totals[restaurant] - tables, 0)
-    open_ = (strength + discount * others) * parent
-    for c in range(2, EXACT + 1):
-        at = np.flatnonzero(customers == c)
-        if len(at):
-            t = np.arange(1, c + 1)
-            log = stirling[c, 1 : c + 1][None, :] + t * np.log(open_[at])[:, None]
-            out[at] = 1 + np.argmax(log + rng.gumbel(size=log.shape), axis=1)
-    at = np.flatnonzero(customers > EXACT)
-    if len(at):
-        c, o, par = customers[at], others[at], parent[at]
-        t, i = np.ones(len(at), np.int64), 1
-        most = int(c.max())
-        while i < most:
-            step = max(1, i // 16)
-            some = np.clip(c - i, 0, step)
-            fresh = (strength + discount * (o + t)) * par
-            t += rng.binomial(some, np.clip(fresh / (fresh + np.maximum(i - discount * t, 1e-9)), 0, 1))
-            i += step
-        out[at] = np.minimum(t, c)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                block, joined, counts = b.column(0)[k].as_py(), loosened(b.column(1)[k].as_py()), unpacked(b.column(2)[k].as_py())
+                words = [b"", *joined.split(b" ")] if joined else [b""]
+                slice_ = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % SLICES
+                order = np.argsort(slice_, kind="stable")
+                at = np.searchsorted(slice_[order], np.arange(SLICES + 1))
+                some = [(s, order[at[s] : at[s + 1]]) for s in np.flatnonzero(np.diff(at)).tolist()]
+                columns = zip(*((s, block, packed(o), squeezed(b" ".join([words[x] for x in o.tolist()])), packed(counts[o])) for s, o in some), strict=True)
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["slice", "block", "at", "words", "counts"])
+
+    def number(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        seen, places = _Numbers(), []
+        for joined in rows["words"]:
+            words = loosened(joined).split(b" ")  # an empty one is the end token
+            places.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)) - 1)
+        counts = np.zeros(len(seen), np.int64)
+        for p, c in zip(places, rows["counts"], strict=True):
+            counts[p] += unpacked(c)
+        names = list(seen)
+        rank = np.empty(len(names), np.int64)
+        rank[sorted(range(len(names)), key=lambda k: (-counts[k], names[k]))] = np.arange(len(names))
+        sums = np.array([counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()])
+        out = [(b, at, packed(rank[p] * SLICES + key[0]), packed(counts[p])) for b, at, p in zip(rows["block"], rows["at"], places, strict=True)]
+        return pd.DataFrame([*out, (-1, b"", b"", packed(sums))], columns=["block", "at", "numbers", "counts"])
+
+    dealt = cut.select("block", "words", "counts").mapInArrow(deal, "slice int, block long, at binary, words binary, counts binary")
+    return dealt.groupBy("slice").applyInPandas(number, "block long, at binary, numbers binary, counts binary")
+
+
+def runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs start, and how long they are, given where new ones begin."""
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(new)))
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+
+
+def entries(cut: DataFrame, dictionary: DataFrame, n_owners: int, common: int = COMMON) -> DataFrame:
+    """Rows of three kinds: 0, a block's documents with what follows from counts alone; 1, an owner's pairs in a block; 2, the same with the documents they stand in."""
+    names = ["kind", "owner", "block", "context", "total", "run", "word", "count", "uses", "docs", "times"]
+
+    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=names)
+        row, token = left.iloc[0], unpacked(left["tokens"].iloc[0])
+        length, held = unpacked(row["lengths"]), np.frombuffer(row["held"], np.uint8) > 0
+        number, count = np.zeros((2, sum(struct.unpack_from("<Q", x)[0] for x in right["at"])), np.int64)
+        for at, n, c in zip(right["at"], right["numbers"], right["counts"], strict=True):
+            at = unpacked(at)
+            number[at], count[at] = unpacked(n), unpacked(c)
+        first = np.concatenate([[0], np.cumsum(length)[:-1]])
+        doc, many = np.repeat(np.arange(len(length)), length), len(number)
+        known, base = np.add.reduceat((count > 0)[token].astype(np.int64), first), np.add.reduceat(np.log10(count + 0.5)[token], first)
+        out = [dict.fromkeys(names) | {"kind": 0, "owner": -1, "block": row["block"], "context": row["ids"], "total": row["nulls"], "run": row["held"], "word": row["lengths"], "count": packed(known), "docs": base.astype("<f8").tobytes()}]
+        before = np.concatenate([[0], token[:-1]])  # a text ends with the end token, so the next one begins after it
+        mixed = mix64(number.astype(np.uint64))
+        with np.errstate(over="ignore"):
+            split = mix64(mixed[before] + number[token].astype(np.uint64))
+        owner = (np.where(count[before] > common, split, mixed[before]) % np.uint64(n_owners)).astype(np.int64)
+        rank = np.empty(many, np.int64)
+        rank[np.argsort(number)] = np.arange(many)
+        key = (owner * many + rank[before]) * many + rank[token]
+        order = np.argsort(key, kind="stable")
+        key, doc, train = key[order], doc[order], ~held[doc[order]]
+        new = changes(key)
+        pair, _ = runs(new)
+        place, times = runs(new | changes(doc))
+        c, uses = np.add.reduceat(train.astype(np.int64), pair), np.diff(np.append(np.searchsorted(place, pair), len(place)))
+        where = order[pair]
+        owner, v, w = owner[where], before[where], token[where]
+        at = np.searchsorted(owner, np.arange(n_owners + 1))
+        place_at = np.concatenate([[0], np.cumsum(uses)])
+        for o in np.flatnonzero(np.diff(at)).tolist():
+            s, e = at[o], at[o + 1]
+            start, run = runs(changes(v[s:e]))
+            context, word = number[v[s:e][start]], number[w[s:e]]
+            step = np.diff(word, prepend=0)
+            step[start] = word[start]
+            same = {"owner": o, "block": row["block"], "context": packed(np.diff(context, prepend=0)), "total": packed(count[v[s:e][start]]), "run": packed(run), "word": packed(step), "count": packed(c[s:e])}
+            p, q = place_at[s], place_at[e]
+            out.append(dict.fromkeys(names) | same | {"kind": 1})
+            out.append(dict.fromkeys(names) | same | {"kind": 2, "uses": packed(uses[s:e]), "docs": packed(doc[place[p:q]]), "times": packed(times[p:q])})
+        return pd.DataFrame(out, columns=names)
+
+    schema = "kind int, owner int, block long, context binary, total binary, run binary, word binary, count binary, uses binary, docs binary, times binary"
+    return cut.select("block", "ids", "nulls", "held", "lengths", "tokens").groupBy("block").cogroup(dictionary.where("block >= 0").groupBy("block")).applyInPandas(pairs, schema)
+
+
+def uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """Numbers strictly between 0 and 1 that follow from a key."""
+    with np.errstate(over="ignore"):
+        return ((mix64(key + np.uint64(draw + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def gamma(shape: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Gamma variates of shapes of 1 or more, by Marsaglia and Tsang's rejection, following from their keys."""
+    out, todo, draw = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(todo):
+        d = shape[todo] - 1 / 3
+        u, angle, accept = (uniform(key[todo], draw + k) for k in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * angle)
+        v = np.maximum(1 + x / np.sqrt(9 * d), 1e-12) ** 3
+        good = np.log(accept) < 0.5 * x * x + d - d * v + d * np.log(v)
+        out[todo[good]] = (d * v)[good]
+        todo, draw = todo[~good], draw + 3
     return out
 
 
-def _owner(rows: list[dict], owner: int, n_owners: int) -> Iterator[dict]:
-    """Merges an owner's blobs into dishes, seats their customers, and keeps the places of every dish, in rows of whole words."""
-    counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
-    words, word = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows]), return_inverse=True)
-    word = np.repeat(word.astype(np.int32), np.concatenate(counts))
-    cell = np.concatenate([np.frombuffer(r["cells"], np.uint16) for r in rows])
-    doc = np.concatenate([np.frombuffer(r["docs"], np.uint16) for r in rows])
-    block = np.repeat(np.arange(len(rows), dtype=np.uint16 if len(rows) < 65536 else np.uint32), [int(c.sum()) for c in counts])
-    train = (cell & _TRAIN) > 0
-    key = word * np.int64(CLASSES) + (cell & np.uint16(_TRAIN - 1))
-    del word, cell
-    order = np.argsort(key, kind="stable")
-    key, train, doc, block = key[order], train[order], doc[order], block[order]
-    del order
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    uses = np.diff(np.append(new, len(key)))
-    c2 = np.add.reduceat(train.astype(np.int64), new)
-    word, room2 = key[new] // CLASSES, key[new] % CLASSES
-    key1 = word * (FINE + 1) + room2 // COARSE
-    new1 = np.flatnonzero(np.concatenate([[True], key1[1:] != key1[:-1]]))
-    up1 = np.repeat(np.arange(len(new1)), np.diff(np.append(new1, len(key1))))
-    word1, room1 = word[new1], key1[new1] % (FINE + 1)
-    n_words = len(words)
-    total_words = max(1, int((np.bincount(word, c2, n_words) > 0).sum())) * n_owners
-    rng = np.random.default_rng([owner, 20])
-    tables = [_log_stirling(d, EXACT) for d in DISCOUNT]
-    t2, base = np.minimum(c2, 1), np.full(n_words, 1.0 / (total_words + 1))
-    c1 = np.bincount(up1, t2, len(new1)).astype(np.int64)
-    t1 = np.minimum(c1, 1)
-    c0 = np.bincount(word1, t1, n_words).astype(np.int64)
-    t0 = np.minimum(c0, 1)
-    kept = []
-    for sweep in range(BURN_IN + SAMPLES):
-        s0, s1 = n_owners * t0.sum(), n_owners * np.bincount(room1, t1, FINE + 1)
-        s2 = n_owners * np.bincount(room2, t2, CLASSES)
-        p0 = (np.maximum(c0 - DISCOUNT[0] * t0, 0) + (STRENGTH[0] + DISCOUNT[0] * s0) * base) / (STRENGTH[0] + n_owners * c0.sum())
-        a1 = n_owners * np.bincount(room1, c1, FINE + 1)
-        p1 = (np.maximum(c1 - DISCOUNT[1] * t1, 0) + (STRENGTH[1] + DISCOUNT[1] * s1[room1]) * p0[word1]) / (STRENGTH[1] + a1[room1])
-        t2 = seat(c2, room2, t2, p1[up1], s2, DISCOUNT[2], STRENGTH[2], tables[2], rng)
-        c1 = np.bincount(up1, t2, len(new1)).astype(np.int64)
-        t1 = seat(c1, room1, np.minimum(t1, c1), p0[word1], s1, DISCOUNT[1], STRENGTH[1], tables[1], rng)
-        c0 = np.bincount(word1, t1, n_words).astype(np.int64)
-        t0 = seat(c0, np.zeros(n_words, np.int64), np.minimum(t0, c0), base, np.array([s0]), DISCOUNT[0], STRENGTH[0], tables[0], rng)
-        if sweep >= BURN_IN:
-            kept.append((t2.astype("<u4"), t1.astype("<u4"), t0.astype("<u4")))
-    known = np.bincount(word, c2, n_words)
-    totals = [[known.sum(), (known > 0).sum()], np.bincount(room2, c2, CLASSES)]
-    for x2, x1, x0 in kept:
-        totals += [np.bincount(room2, x2, CLASSES), np.bincount(room1, x1, FINE + 1), [x0.sum()]]
-    totals = np.concatenate(totals).astype(np.float64).tolist()
-    ends = np.cumsum(uses)  # places before the end of each dish
-    cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    row_of = (ends - uses)[cuts] // ROW_TOKENS
-    starts = cuts[np.concatenate([[True], row_of[1:] != row_of[:-1]])].tolist()
-    blocks_ = [r["block"] for r in rows]
-    for i, j in zip(starts, [*starts[1:], len(word)], strict=True):
-        i1, j1, w, v = up1[i], up1[j - 1] + 1, word[i], word[j - 1] + 1
-        p, q = int(ends[i] - uses[i]), int(ends[j - 1])
-        yield dict.fromkeys(_STATE_ARROW.names) | {
-            "owner": owner, "uses": uses[i:j].astype("<u4").tobytes(), "word": (word[i:j] - w).astype("<u4").tobytes(), "room": room2[i:j].astype("<u2").tobytes(), "c": c2[i:j].astype("<u4").tobytes(),
-            "tables": [x.tobytes() for x2, x1, x0 in kept for x in (x2[i:j], x1[i1:j1], x0[w:v])], "docs": doc[p:q].tobytes(), "where": block[p:q].tobytes(), "blocks": blocks_, "totals": totals,
-        }
-        totals = None
-
-
-_STATE = "owner int, block long, uses binary, word binary, room binary, c binary, tables array<binary>, docs binary, where binary, blocks array<long>, totals array<double>, words binary, counts binary, cells binary, nulls binary"
-_STATE_ARROW = pa.schema([("owner", pa.int32()), ("block", pa.int64()), ("uses", pa.binary()), ("word", pa.binary()), ("room", pa.binary()), ("c", pa.binary()), ("tables", pa.list_(pa.binary())), ("docs", pa.binary()), ("where", pa.binary()), ("blocks", pa.list_(pa.int64())), ("totals", pa.list_(pa.float64())), ("words", pa.binary()), ("counts", pa.binary()), ("cells", pa.binary()), ("nulls", pa.binary())])
-
-
-def seated(sent: DataFrame, n_owners: int) -> DataFrame:
-    """The owners' states; rows about documents pass through."""
-
-    def states(mine: list[dict]) -> Iterator[pa.RecordBatch]:
-        for row in _owner(mine, mine[0]["owner"], n_owners):
-            yield pa.RecordBatch.from_pylist([row], schema=_STATE_ARROW)
+_stirling: dict[float, np.ndarray] = {}
+
+
+def log_stirling(discount: float) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers S(c, t) for c, t up to `EXACT`."""
+    if discount not in _stirling:
+        s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        s[0, 0] = 0.0
+        for c in range(EXACT):
+            t = np.arange(1, c + 2)
+            with np.errstate(divide="ignore"):
+                s[c + 1, t] = np.logaddexp(s[c, t - 1], s[c, t] + np.log(np.maximum(c - t * discount, 0)))
+        _stirling[discount] = s
+    return _stirling[discount]
+
+
+def opened(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
+    """Tables t of dishes with c customers, drawn from p(t) ~ S(c, t) weight^t."""
+    out, stirling, u = np.minimum(customers, 1), log_stirling(discount), uniform(key, 0)
+    few = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    few = few[np.argsort(customers[few], kind="stable")]
+    start, many = runs(changes(customers[few]))
+    for s, n in zip(start.tolist(), many.tolist(), strict=True):
+        c = int(customers[few[s]])
+        t = np.arange(1, c + 1)
+        step = max(1, 500_000 // c)
+        for k in range(s, s + n, step):
+            at = few[k : min(k + step, s + n)]
+            log = stirling[c, 1 : c + 1] + t * np.log(weight[at])[:, None]
+            p = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (p < u[at, None] * p[:, -1:]).sum(axis=1)
+    for k in np.flatnonzero(customers > EXACT).tolist():
+        out[k] = opened_by_many(int(customers[k]), float(weight[k]), discount, float(u[k]))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if row["owner"] < 0:
-                    passed = dict.fromkeys(_STATE_ARROW.names) | {k: row[k] for k in ("owner", "block", "words", "counts", "cells", "nulls")}
-                    yield pa.RecordBatch.from_pylist([passed], schema=_STATE_ARROW)
-                    continue
-                if mine and mine[0]["owner"] != row["owner"]:
-                    yield from states(mine)
-                    mine = []
-                mine.append(row)
-        if mine:
-            yield from states(mine)
-
-    return sent.repartition(n_owners, "owner").sortWithinPartitions("owner", "block").mapInArrow(run, _STATE)
-
-
-def scored(state: DataFrame, totals: np.ndarray) -> DataFrame:
-    """For each block: sums over its documents of what an owner's tokens contribute, or its documents' rows."""
-    cut = np.cumsum([2, CLASSES, *[CLASSES, FINE + 1, 1] * SAMPLES])[:-1]
-    (n_train, vocabulary), all2, *samples = np.split(totals, cut)
-    base = 1.0 / (vocabulary + 1)
-
-    def probability(r: dict) -> np.ndarray:
-        word, room, c2 = np.frombuffer(r["word"], "<u4").astype(np.int64), np.frombuffer(r["room"], "<u2").astype(np.int64), np.frombuffer(r["c"], "<u4")
-        key1 = word * (FINE + 1) + room // COARSE
-        new1 = np.flatnonzero(np.concatenate([[True], key1[1:] != key1[:-1]]))
-        up1 = np.repeat(np.arange(len(new1)), np.diff(np.append(new1, len(key1))))
-        word1, room1 = word[new1], key1[new1] % (FINE + 1)
-        mean = np.zeros(len(word))
-        for s in range(SAMPLES):
-            t2, t1, t0 = (np.frombuffer(x, "<u4").astype(np.float64) for x in r["tables"][3 * s : 3 * s + 3])
-            s2, s1, (s0,) = samples[3 * s : 3 * s + 3]
-            c1, c0 = np.bincount(up1, t2, len(new1)), np.bincount(word1, t1, len(t0))
-            a1 = s2.reshape(FINE + 1, COARSE).sum(1)
-            p = (np.maximum(c0 - DISCOUNT[0] * t0, 0) + (STRENGTH[0] + DISCOUNT[0] * s0) * base) / (STRENGTH[0] + s1.sum())
-            p = (np.maximum(c1 - DISCOUNT[1] * t1, 0) + (STRENGTH[1] + DISCOUNT[1] * s1[room1]) * p[word1]) / (STRENGTH[1] + a1[room1])
-            mean += (np.maximum(c2 - DISCOUNT[2] * t2, 0) + (STRENGTH[2] + DISCOUNT[2] * s2[room]) * p[up1]) / (STRENGTH[2] + all2[room])
-        return mean / SAMPLES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "docs", "known", "base", "score", "ids", "lengths", "held", "nulls"]
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        held: dict[int, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for b, sums in held.items():
-                docs = np.flatnonzero(sums[1])
-                # the sums of logarithms as multiples of 2**-24, which 32 bits hold unless a document is very long
-                base = np.rint(sums[1, docs] * 2**24).astype("<i8")
-                base = base.astype("<i4") if base.size and np.abs(base).max() < 2**31 else base
-                row = (b, docs.astype(np.uint16).tobytes(), sums[0, docs].astype("<u4").tobytes(), base.tobytes(), sums[2, docs].astype("<f4").tobytes(), None, None, None, None)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
-            held.clear()
-
-        for whole in batches:
-            for k in range(whole.num_rows):
-                r = whole.slice(k, 1).to_pylist()[0]
-                if r["owner"] < 0:
-                    row = (r["block"], None, None, None, None, r["words"], r["counts"], r["cells"], r["nulls"])
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
-                    continue
-                uses, word, c2 = np.frombuffer(r["uses"], "<u4"), np.frombuffer(r["word"], "<u4"), np.frombuffer(r["c"], "<u4")
-                c = np.bincount(word, c2)[word]
-                values = np.stack([c > 0, np.log10(c + 0.5), np.log10(probability(r))])
-                wide = np.uint16 if len(r["where"]) == len(r["docs"]) else np.uint32
-                key = np.frombuffer(r["where"], wide).astype(np.int64) << 16 | np.frombuffer(r["docs"], np.uint16)
-                cells, at = np.unique(key, return_inverse=True)
-                sums = np.stack([np.bincount(at, np.repeat(v, uses), len(cells)) for v in values])
-                cuts = np.searchsorted(cells >> 16, np.arange(len(r["blocks"]) + 1)).tolist()
-                for b, s, e in zip(r["blocks"], cuts, cuts[1:], strict=False):
-                    if e > s:
-                        docs = cells[s:e] & 0xFFFF
-                        mine = held.get(b)
-                        if mine is None or mine.shape[1] <= docs[-1]:
-                            grown = np.zeros((3, int(docs[-1]) + 1))
-                            if mine is not None:
-                                grown[:, : mine.shape[1]] = mine
-                            held[b] = mine = grown
-                        mine[:, docs] += sums[:, s:e]
-                if sum(x.shape[1] for x in held.values()) > HELD_SUMS:
-                    yield from flush()
-        yield from flush()
-
-    parts = state.mapInArrow(run, "block long, docs binary, known binary, base binary, score binary, ids binary, lengths binary, held binary, nulls binary")
+_sums_of: dict[float, tuple[np.ndarray, ...]] = {}
+
+
+def log_sum(customers: int, tables: np.ndarray, discount: float) -> np.ndarray:
+    """log P(t draws of Sibuya's law add up to c) for many c: the saddle-point density, corrected by what the saddle point misses of the stable law that such sums tend to."""
+    d = discount
+    if d not in _sums_of:
+        # Sibuya's law has the generating function 1 - (1 - z)^d; y = 1 - z at the saddle point of mean r
+        y = np.exp(np.concatenate([np.linspace(-60 / (1 - d), -1, 4000), np.linspace(-1, -1e-6, 2000)[1:]]))
+        f = -np.expm1(d * np.log(y))
+        r = (1 - y) * d * y ** (d - 1) / f
+        variance = r + (1 - y) ** 2 * d * (1 - d) * y ** (d - 2) / f - r * r
+        # Zolotarev's integral for the stable density at x, against its saddle point
+        u = np.concatenate([np.linspace(1e-6, np.pi / 2, 3000), np.pi - np.geomspace(np.pi / 2, 1e-9, 6000)[1:]])
+        log_a = (d * np.log(np.sin(d * u)) + (1 - d) * np.log(np.sin((1 - d) * u)) - np.log(np.sin(u))) / (1 - d)
+        log_x, width, miss = np.linspace(-np.log(60) * (1 - d) / d - 1, 6 / d, 400), np.log(np.gradient(u)), []
+        for x in log_x:
+            log = log_a - np.exp(np.minimum(log_a - x * d / (1 - d), 700)) + width
+            density = log.max() + np.log(np.exp(log - log.max()).sum()) - x / (1 - d) + np.log(d / (1 - d) / np.pi)
+            log_s = (np.log(d) - x) / (1 - d)
+            miss.append(density - (np.exp(log_s + x) - np.exp(d * log_s) - 0.5 * np.log(2 * np.pi * d * (1 - d)) - 0.5 * (d - 2) * log_s))
+        _sums_of[d] = np.log(r)[::-1], np.log(f)[::-1], -np.log1p(-y)[::-1], np.log(np.maximum(variance, 1e-300))[::-1], log_x, np.array(miss)
+    at, log_f, minus_log_z, log_variance, log_x, miss = _sums_of[d]
+    log_r = np.log(customers / tables)
+    fold = tables * np.interp(log_r, at, log_f) + customers * np.exp(np.interp(log_r, at, np.log(minus_log_z)))
+    return fold - 0.5 * (np.log(2 * np.pi * tables) + np.interp(log_r, at, log_variance)) + np.interp(math.log(customers) - np.log(tables) / d, log_x, miss)
+
+
+def opened_by_many(customers: int, weight: float, discount: float, u: float) -> int:
+    """Tables t of a dish with many customers c. S(c, t) weight^t is, up to a constant, the Poisson probability of t at weight / discount times
+    the probability that t draws of Sibuya's law add up to c; beyond 4096 values t is drawn from as many ranges."""
+    rate = weight / discount
+    most = int(min(customers - 1, rate + 12 * math.sqrt(rate) + 30))
+    t = np.unique(np.linspace(1, most, min(most, 4096)).astype(np.int64))
+    size = np.diff(np.append(t, most + 1))
+    log = t * math.log(rate) - _log_factorial(t) + log_sum(customers, t, discount) + np.log(size)
+    p = np.cumsum(np.exp(log - log.max()))
+    k = int(np.searchsorted(p, u * p[-1]))
+    before = p[k - 1] if k else 0.0
+    return int(t[k] + min(size[k] - 1, int(size[k] * (u * p[-1] - before) / max(p[k] - before, 1e-300))))
+
+
+def _log_factorial(t: np.ndarray) -> np.ndarray:
+    """log t! by Stirling's series, from 1."""
+    return t * np.log(t) - t + 0.5 * np.log(2 * np.pi * t) + 1 / (12 * t) - 1 / (360 * t**3.0) + 1 / (1260 * t**5.0)
+
+
+class Dishes:
+    """An owner's dishes, merged from the rows of blocks."""
+
+    def __init__(self, rows: pd.DataFrame, common: int = COMMON):
+        contexts, totals, words, counts = [], [], [], []
+        for r in rows[["context", "total", "run", "word", "count"]].itertuples(index=False):
+            run, step = unpacked(r.run), unpacked(r.word)
+            contexts.append(np.repeat(np.cumsum(unpacked(r.context)), run))
+            totals.append(np.repeat(unpacked(r.total), run))
+            sums, start = np.cumsum(step), np.concatenate([[0], np.cumsum(run)[:-1]])
+            words.append(sums - np.repeat(sums[start] - step[start], run))
+            counts.append(unpacked(r.count))
+        context, total, word, count = (np.concatenate(x) for x in (contexts, totals, words, counts))
+        self.contexts, first, v = np.unique(context, return_index=True, return_inverse=True)
+        self.totals = total[first]
+        self.words, w = np.unique(word, return_inverse=True)
+        pair, self.at = np.unique(v * len(self.words) + w, return_inverse=True)  # at: the dish of each pair of each row
+        self.v, self.w = np.divmod(pair, len(self.words))
+        self.c = np.bincount(self.at, count, len(pair)).astype(np.int64)
+        self.common = self.totals > common  # contexts that other owners hold, too
+        with np.errstate(over="ignore"):
+            self.key = mix64(mix64(self.contexts.astype(np.uint64))[self.v] + self.words[self.w].astype(np.uint64))
+
+    def drawn(self, parent: np.ndarray, tables: np.ndarray, discount: float, sweep: int) -> np.ndarray:
+        """Tables of every dish, given the restaurants' tables so far and the parent's probabilities."""
+        with np.errstate(over="ignore"):
+            s = gamma(STRENGTH[1] / discount + tables, mix64(self.contexts.astype(np.uint64) + np.uint64(sweep << 48)))
+            return opened(self.c, discount * s[self.v] * parent[self.w], discount, self.key + np.uint64(sweep))
+
+    def swept(self, parent: np.ndarray, discount: float, first: int) -> Iterator[np.ndarray]:
+        """The seatings after each sweep."""
+        t = np.minimum(self.c, 1)
+        for k in range(BURN_IN + SAMPLES):
+            t = self.drawn(parent, np.bincount(self.v, t, len(self.contexts)), discount, first + k)
+            yield t
+
+    def begun(self, vocabulary: int) -> np.ndarray:
+        """The parent's probabilities before it is seated: by rank, as Zipf has them."""
+        harmonic = np.log(max(vocabulary / SLICES, 1)) + 1
+        return 1 / ((self.words // SLICES + 1) * SLICES * harmonic)
+
+    def split(self, vocabulary: int) -> np.ndarray:
+        """Tables in the contexts that several owners hold, 0 elsewhere: one draw, the same whenever it is asked for."""
+        out, at, discount = np.zeros(len(self.c), np.int64), np.flatnonzero(self.common[self.v]), DISCOUNT[1]
+        if len(at):
+            s = STRENGTH[1] / discount + self.totals**discount
+            out[at] = opened(self.c[at], discount * s[self.v[at]] * self.begun(vocabulary)[self.w[at]], discount, self.key[at])
+        return out
+
+
+_SHARED = "slice int, kind int, owner int, numbers binary, values binary"
+
+
+def seated(sent: DataFrame, n_owners: int, vocabulary: int, common: int = COMMON) -> DataFrame:
+    """What owners tell the slices: 0, tables by word; 1, tables by context held in parts; and as kind 2 the dishes of one and of two customers."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        dishes = Dishes(rows, common)
+        *_, t = (x for _, x in zip(range(BURN_IN), dishes.swept(dishes.begun(vocabulary), DISCOUNT[1], 1), strict=False))
+        shared = dishes.common[dishes.v]
+        t = np.where(shared, dishes.split(vocabulary), t)
+        ids = np.flatnonzero(dishes.common)
+        by = ((0, dishes.words, np.bincount(dishes.w, t, len(dishes.words))), (1, dishes.contexts[ids], np.bincount(dishes.v, t, len(dishes.contexts))[ids]))
+        out = [(0, 2, key[0], b"", packed(np.array([(dishes.c == 1).sum(), (dishes.c == 2).sum()])))]
+        for kind, numbers, values in by:
+            order = np.argsort(numbers % SLICES, kind="stable")
+            numbers, values = numbers[order], values[order]
+            at = np.searchsorted(numbers % SLICES, np.arange(SLICES + 1))
+            out += [(s, kind, key[0], packed(np.diff(numbers[at[s] : at[s + 1]], prepend=0)), packed(values[at[s] : at[s + 1]])) for s in np.flatnonzero(np.diff(at)).tolist()]
+        return pd.DataFrame(out, columns=["slice", "kind", "owner", "numbers", "values"])
+
+    return sent.repartition(n_owners, "owner").groupBy("owner").applyInPandas(run, _SHARED)
+
+
+def parents(told: DataFrame, vocabulary: int, discount: float) -> DataFrame:
+    """What slices tell the owners that asked: 0, customers and tables of each word in the corpus; 1, tables of each context held in parts; and sums as owner -1."""
+    base, s = 1 / (vocabulary + 1), STRENGTH[0] / discount + vocabulary / 2
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        numbers, values = [np.cumsum(unpacked(x)) for x in rows["numbers"]], [unpacked(x) for x in rows["values"]]
+        found, at = np.unique(np.concatenate(numbers), return_inverse=True)
+        c, cuts = np.bincount(at, np.concatenate(values), len(found)).astype(np.int64), np.cumsum([len(n) for n in numbers])[:-1]
+        out = []
+        if key[1] == 0:
+            t = opened(c, np.full(len(c), discount * s * base), discount, mix64(found.astype(np.uint64)))
+            out.append((-1, 0, b"", packed(np.array([c.sum(), t.sum()])), b""))
+        for owner, n, k in zip(rows["owner"], rows["numbers"], np.split(at, cuts), strict=True):
+            out.append((owner, key[1], n, packed(c[k]), packed(t[k]) if key[1] == 0 else b""))
+        return pd.DataFrame(out, columns=["owner", "kind", "numbers", "customers", "tables"])
+
+    return told.where("kind < 2").groupBy("slice", "kind").applyInPandas(run, "owner int, kind int, numbers binary, customers binary, tables binary")
+
+
+def looked_up(rows: pd.DataFrame, kind: int, column: str, numbers: np.ndarray) -> np.ndarray:
+    """Values that slices sent, in the order of `numbers`; 0 where they sent none."""
+    some = rows[rows["kind"] == kind]
+    if some.empty:
+        return np.zeros(len(numbers), np.int64)
+    found = np.concatenate([np.cumsum(unpacked(x)) for x in some["numbers"]])
+    values = np.concatenate([unpacked(x) for x in some[column]])
+    order = np.argsort(found)
+    at = np.minimum(np.searchsorted(found[order], numbers), len(found) - 1)
+    return np.where(found[order][at] == numbers, values[order][at], 0)
+
+
+def predictive(dishes: Dishes, told: pd.DataFrame, vocabulary: int, sums: tuple[int, int], discounts: tuple[float, float]) -> np.ndarray:
+    """The averaged predictive probability of each dish."""
+    customers, tables = looked_up(told, 0, "customers", dishes.words), looked_up(told, 0, "tables", dishes.words)
+    parent = (np.maximum(customers - discounts[0] * tables, 0) + (STRENGTH[0] + discounts[0] * sums[1]) / (vocabulary + 1)) / (STRENGTH[0] + sums[0])
+    shared, split = dishes.common[dishes.v], dishes.split(vocabulary)
+    in_parts = looked_up(told, 1, "customers", dishes.contexts)
+    mean = np.zeros(len(dishes.c))
+    for k, t in enumerate(dishes.swept(parent, discounts[1], 1 + BURN_IN + SAMPLES)):
+        if k >= BURN_IN:
+            t = np.where(shared, split, t)
+            whole = np.where(dishes.common, in_parts, np.bincount(dishes.v, t, len(dishes.contexts)))
+            mean += np.maximum(dishes.c - discounts[1] * t, 0) + (STRENGTH[1] + discounts[1] * whole[dishes.v]) * parent[dishes.w]
+    return mean / SAMPLES / (STRENGTH[1] + dishes.totals[dishes.v])
+
+
+def scored(sent: DataFrame, told: DataFrame, n_owners: int, vocabulary: int, sums: tuple[int, int], discounts: tuple[float, float], common: int = COMMON) -> DataFrame:
+    """For each owner and block, the sums of log10 probabilities over each document's tokens."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=["block", "docs", "score"])
+        left = left.sort_values("block")
+        dishes = Dishes(left, common)
+        log = np.log10(predictive(dishes, right, vocabulary, sums, discounts))[dishes.at]
+        out, at = [], 0
+        for r in left.itertuples(index=False):
+            uses, doc = unpacked(r.uses), unpacked(r.docs)
+            total = np.bincount(doc, np.repeat(log[at : at + len(uses)], uses) * unpacked(r.times))
+            docs = np.flatnonzero(np.bincount(doc))
+            out.append((r.block, packed(docs), total[docs].astype("<f8").tobytes()))
+            at += len(uses)
+        return pd.DataFrame(out, columns=["block", "docs", "score"])
+
+    both = sent.repartition(n_owners, "owner").groupBy("owner").cogroup(told.where("owner >= 0").repartition(n_owners, "owner").groupBy("owner"))
+    return both.applyInPandas(run, "block long, docs binary, score binary")
+
+
+def summed(about: DataFrame, parts: DataFrame, n_train: int, vocabulary: int) -> DataFrame:
+    """A row for each document of every block."""
     per_token = float(np.log10(n_train + 0.5 * (vocabulary + 1)))
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        about = rows[rows["ids"].notna()].iloc[0]
-        ids, length = np.frombuffer(about["ids"], "<i8"), np.frombuffer(about["lengths"], "<u4").astype(np.int64)
-        sums = np.zeros((3, len(ids)))
-        for docs, *values in rows.loc[rows["ids"].isna(), ["docs", "known", "base", "score"]].sort_values("docs").itertuples(index=False):
-            at = np.frombuffer(docs, np.uint16)
-            for k, (v, kind, unit) in enumerate(zip(values, ("<u4", "<i4" if len(values[1]) == 4 * len(at) else "<i8", "<f4"), (1.0, 2.0**-24, 1.0), strict=True)):
-                sums[k, at] += np.frombuffer(v, kind) * unit
-        null = np.frombuffer(about["nulls"], np.uint8) > 0
-        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(null), "held_out": np.frombuffer(about["held"], np.uint8) > 0, "n_tokens": length, "n_known": sums[0].astype(np.int64), "train_tokens": int(n_train), "base_score": sums[1] - length * per_token, "score": sums[2]})
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=names)
+        r = left.iloc[0]
+        length, score = unpacked(r["word"]), np.zeros(len(r["total"]))
+        for docs, x in sorted(zip(right["docs"], right["score"], strict=True)):
+            score[unpacked(docs)] += np.frombuffer(x, "<f8")
+        ids = pd.Series(np.frombuffer(r["context"], "<i8"), dtype="Int64").mask(np.frombuffer(r["total"], np.uint8) > 0)
+        return pd.DataFrame(dict(zip(names, (ids, np.frombuffer(r["run"], np.uint8) > 0, length, unpacked(r["count"]), int(n_train), np.frombuffer(r["docs"], "<f8") - length * per_token, score), strict=True)))
 
-    return parts.groupBy("block").applyInPandas(add, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    both = about.groupBy("block").cogroup(parts.groupBy("block"))
+    return both.applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-TOTALS = 2 + CLASSES + SAMPLES * (CLASSES + FINE + 2)
+def estimated(one: int, two: int, otherwise: float) -> float:
+    """The discount n1 / (n1 + 2 n2), kept away from 0 and 1."""
+    return float(np.clip(one / (one + 2 * two), 0.1, 0.95)) if one and two else otherwise
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of a task's totals, in slices."""
-    total = np.zeros(TOTALS)
-    for b in batches:
-        if b.num_rows:
-            total += np.asarray(b.column(0).flatten()).reshape(b.num_rows, TOTALS).sum(0)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, SLICES)], pa.binary())], names=["i", "x"])
+def _sums(table: DataFrame, column: str, n: int) -> list[int]:
+    """Element-wise sums of packed arrays of `n` numbers, of which there is one for each slice or owner."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += unpacked(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total, pa.int64())], names=["k", "x"])
 
-def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"i": [key[0]], "x": [sum(np.frombuffer(x, "<f8") for x in rows["x"]).tobytes()]})
+    found = {r["k"]: r["x"] for r in table.select(column).mapInArrow(run, "k int, x long").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    return [found.get(k, 0) for k in range(n)]
 
 
-def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
+def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1, block_tokens: int = BLOCK_TOKENS, owner_tokens: int = OWNER_TOKENS, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learned from rows that are not held out.
 
     A row is held out when crc32 of its key as text, modulo `folds`, is `held`. Perplexity is 10 ** (-score / n_tokens).
     """
-    n = owners(df.sparkSession) * OWNERS
     read = df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("text"), (remainder(df, folds, key) == held).alias("held"))
-    state = stored(seated(blocks(read, n), n), "seating")
-    sums = state.where("totals is not null").select("totals").mapInArrow(_slices, "i int, x binary").groupBy("i").applyInPandas(_summed, "i int, x binary")
-    totals = np.concatenate([np.frombuffer(x, "<f8") for _, x in sorted((r[0], bytes(r[1])) for r in sums.collect())] or [np.zeros(TOTALS)])  # of a fixed size
-    return scored(state, totals)
+    cut = stored(blocks(read, block_tokens), "blocks")
+    dictionary = stored(numbered(cut), "dictionary")
+    n_train, vocabulary, one, two = _sums(dictionary.where("block < 0"), "counts", 4)
+    n_owners = 1 + n_train // owner_tokens
+    sent = stored(entries(cut, dictionary, n_owners, common), "entries", "kind")
+    forget(cut, dictionary)
+    of_kind = lambda k: sent.where(F.col("kind") == k)
+    told = stored(seated(of_kind(1), n_owners, vocabulary, common), "tables")
+    discounts = estimated(one, two, DISCOUNT[0]), estimated(*_sums(told.where("kind = 2"), "values", 2), DISCOUNT[1])
+    back = stored(parents(told, vocabulary, discounts[0]), "parents")
+    forget(told)
+    sums = tuple(_sums(back.where("owner < 0"), "customers", 2))
+    return summed(of_kind(0), scored(of_kind(2), back, n_owners, vocabulary, sums, discounts, common), n_train, vocabulary)

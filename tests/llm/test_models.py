@@ -82,14 +82,92 @@ def test_language_model_on_odd_tables(spark):
     assert lm.score_documents(docs.limit(0)).count() == 0
 
 
-def test_seating_follows_its_conditional():
-    rng = np.random.default_rng(0)
-    d, theta, parent, others = 0.5, 1.0, 0.01, 100
-    c = np.full(40_000, 3)
-    t = lm.seat(c, np.zeros(len(c), int), np.zeros(len(c), int), np.full(len(c), parent), np.array([others]), d, theta, lm._log_stirling(d, lm.EXACT), rng)
-    a = (theta + d * others) * parent
-    weight = np.array([(1 - d) * (2 - d) * a, 3 * (1 - d) * a * a, a**3])  # S(3, t) a**t
-    assert np.allclose(np.bincount(t, minlength=4)[1:] / len(c), weight / weight.sum(), atol=0.01)
+def test_tables_follow_their_conditional():
+    d, weight, n = 0.5, 0.7, 60_000
+    keys = np.arange(n, dtype=np.uint64)
+    t = lm.opened(np.full(n, 3), np.full(n, weight), d, lm.mix64(keys))
+    want = np.array([(1 - d) * (2 - d) * weight, 3 * (1 - d) * weight**2, weight**3])  # S(3, t) weight**t
+    assert np.allclose(np.bincount(t, minlength=4)[1:] / n, want / want.sum(), atol=0.01)
+    s = lm.gamma(np.full(n, 2.5), lm.mix64(keys + np.uint64(7)))
+    assert abs(s.mean() - 2.5) < 0.05 and abs(s.var() - 2.5) < 0.1
+
+
+def test_many_customers_open_tables_as_the_conditional_has_it():
+    u = lm.uniform(np.arange(4000, dtype=np.uint64), 5)
+    for discount in (0.3, 0.5, 0.75, 0.9):
+        for weight in (0.01, 0.3, 3.0, 30.0, 300.0):
+            t = np.arange(1, lm.EXACT + 1)
+            log = lm.log_stirling(discount)[lm.EXACT, 1:] + t * np.log(weight)
+            p = np.exp(log - log.max())
+            exact = float((t * p).sum() / p.sum())
+            many = np.mean([lm.opened_by_many(lm.EXACT, weight, discount, x) for x in u])
+            assert abs(many / exact - 1) < 0.03, (discount, weight, exact, many)
+
+
+def test_probabilities_of_a_context_sum_to_one(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.5, n) if x < 40)
+    docs = spark.createDataFrame([(i, text(60)) for i in range(200)], "doc_id long, text string")
+    cut = lm.stored(lm.blocks(docs.select("doc_id", "text", lm.remainder(docs, 5, "doc_id") == 1)), "cut")
+    dictionary = lm.stored(lm.numbered(cut), "dictionary")
+    v = lm._sums(dictionary.where("block < 0"), "counts", 4)[1]
+    for common in (lm.COMMON, 300):  # also with contexts that owners share
+        sent = lm.stored(lm.entries(cut, dictionary, 1, common), "sent")
+        back = lm.parents(lm.seated(sent.where("kind = 1"), 1, v, common), v, 0.5).toPandas()
+        sums = tuple(int(x) for x in np.sum([lm.unpacked(x) for x in back[back["owner"] < 0]["customers"]], axis=0))
+        told, dishes = back[back["owner"] >= 0], lm.Dishes(sent.where("kind = 2").toPandas(), common)
+        p = lm.predictive(dishes, told, v, sums, (0.5, 0.75))
+        customers, tables = (lm.looked_up(told, 0, k, dishes.words) for k in ("customers", "tables"))
+        new = (lm.STRENGTH[0] + 0.5 * sums[1]) / (lm.STRENGTH[0] + sums[0]) / (v + 1)
+        parent = np.maximum(customers - 0.5 * tables, 0) / (lm.STRENGTH[0] + sums[0]) + new
+        assert parent.sum() + (v + 1 - len(parent)) * new == pytest.approx(1)
+        assert (dishes.totals > 300).any()
+        seatings, split = list(dishes.swept(parent, 0.75, 1 + lm.BURN_IN + lm.SAMPLES))[lm.BURN_IN :], dishes.split(v)
+        for k in np.flatnonzero(dishes.totals > 0):
+            here, kept = dishes.v == k, []
+            assert dishes.c[here].sum() == dishes.totals[k]
+            for t in seatings:
+                t = split if dishes.common[k] else t
+                kept.append((lm.STRENGTH[1] + 0.75 * t[here].sum()) / (lm.STRENGTH[1] + dishes.totals[k]))
+            rest = 1 - parent[dishes.w[here]].sum()  # of words that were never seen here, and the unknown one
+            assert p[here].sum() + np.mean(kept) * rest == pytest.approx(1)
+
+
+def test_language_model_does_not_depend_on_partitions(spark, tables):
+    docs = tables["documents"].where("doc_id < 300")
+    want = {r["doc_id"]: r for r in lm.score_documents(docs, owner_tokens=20_000, common=2_000).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = {r["doc_id"]: r for r in lm.score_documents(docs.repartition(5), block_tokens=10_000, owner_tokens=20_000, common=2_000).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got.keys() == want.keys() and all(got[i]["score"] == pytest.approx(r["score"], rel=1e-9) and got[i]["n_known"] == r["n_known"] for i, r in want.items())
+
+
+def test_language_model_prefers_what_it_has_seen(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{int(x)}" for x in rng.integers(300, size=80))
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
+    texts = {i: text() for i in range(400)}
+    copies = dict(zip(held[::2], learnt, strict=False))
+    texts |= {i: texts[j] for i, j in copies.items()}
+    rows = lm.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert min(score[i] for i in copies) > max(score[i] for i in held if i not in copies)
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    one, two = thue_morse(1024)
+    ids = [next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == h) for h in (False, True)]
+    rows = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame([(ids[0], one), (ids[1], two)], "doc_id long, text string")).collect()}
+    assert rows[ids[0]]["n_known"] == 2 and rows[ids[1]]["n_known"] == 1 and rows[ids[1]]["train_tokens"] == 2
+
+
+def test_long_texts_and_blanks_of_every_kind(spark):
+    text = "A\tb\x0bC\x0c\r\n" + "word " * 300_000 + "\x1c\u00a0end"
+    (r,) = lm.score_documents(spark.createDataFrame([(0, text)], "doc_id long, text string")).collect()
+    assert r["n_tokens"] == 3 + 300_000 + 1 + 1 and math.isfinite(r["score"])
 
 
 def brute(x, ids, every, k):
