@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,19 +23,57 @@ def autocorrelation(df: DataFrame, replicate: str, order: list[str], value: str,
     return stacked.where("s is not null and var > 0").select(replicate, "lag", (F.col("s") / ((F.col("n") - F.col("lag")) * F.col("var"))).alias("c"), "n")
 
 
+def _correlations(d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lags, C) of a centred series for lags 1 to n - 2: the first few by products, the others, if they are asked for, from the power spectrum."""
+    n, power, near = len(d), float(d @ d) / len(d), min(64, len(d) - 2)
+    lags = np.arange(1, near + 1)
+    yield lags, np.array([d[t:] @ d[:-t] for t in lags]) / ((n - lags) * power)
+    if near < n - 2:
+        padded = np.fft.rfft(d, 2 * n)
+        lags = np.arange(near + 1, n - 1)
+        yield lags, np.fft.irfft(np.abs(padded) ** 2, 2 * n)[lags] / ((n - lags) * power)
+
+
 def inefficiency(x: np.ndarray) -> float:
-    """g = 1 + 2 sum C(t)(1 - t/n), cut at the first C(t) <= 0 beyond lag 3; 1 for short or constant series."""
+    """g = 1 + 2 sum C(t)(1 - t/n) over lags to n - 2, ending before the first C(t) <= 0 beyond lag 3; 1 for short or constant series."""
     n = len(x)
     if n < 4 or np.ptp(x) == 0:
         return 1.0
-    d = np.asarray(x, float) - np.mean(x)
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(d, size)
-    c = np.fft.irfft(f * np.conj(f), size)[:n] / (np.arange(n, 0, -1) * np.mean(d * d))
-    stop = np.flatnonzero((c[1:] <= 0) & (np.arange(1, n) > 3))
-    end = int(stop[0]) + 1 if len(stop) else n
-    t = np.arange(1, end)
-    return float(max(1.0, 1 + 2 * np.sum(c[1:end] * (1 - t / n))))
+    total = 0.0
+    for lags, c in _correlations(np.asarray(x, float) - np.mean(x)):
+        crossed = np.flatnonzero((c <= 0) & (lags > 3))
+        use = slice(crossed[0] if len(crossed) else None)
+        total += float(c[use] @ (1 - lags[use] / n))
+        if len(crossed):
+            break
+    return max(1.0, 1 + 2 * total)
+
+
+def inefficiencies(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """g of the series from each start on; NaN where it is constant.
+
+    All starts advance together, a lag at a time: sums over what follows a start come from cumulative sums, and a start is done at its first C(t) <= 0 beyond lag 3.
+    """
+    x = np.asarray(x, float) - np.mean(x)
+    n, starts = len(x), np.asarray(starts)
+    after = lambda v: np.append(np.cumsum(v[::-1])[::-1], 0.0)  # noqa: E731 sums from each place to the end
+    sums, squares, length = after(x), after(x * x), n - starts
+    mean = sums[starts] / length
+    power = squares[starts] / length - mean * mean
+    changed = np.flatnonzero(np.diff(x))
+    constant = starts > (changed[-1] if len(changed) else -1)
+    g, live = np.ones(len(starts)), np.flatnonzero(~constant & (length >= 4))
+    for lag in range(1, n - 1):
+        live = live[lag <= length[live] - 2]
+        if not len(live):
+            break
+        s, m, pairs = starts[live], mean[live], length[live] - lag
+        heads, tails = sums[s] - sums[n - lag], sums[s + lag]
+        c = (after(x[:-lag] * x[lag:])[s] - m * (heads + tails) + pairs * m * m) / (pairs * power[live])
+        on = (c > 0) | (lag <= 3)
+        live, c = live[on], c[on]
+        g[live] += 2 * c * (1 - lag / length[live])
+    return np.where(constant, np.nan, np.maximum(g, 1.0))
 
 
 def effective_samples(df: DataFrame, replicate: str, order: list[str], value: str) -> DataFrame:
@@ -48,27 +87,41 @@ def effective_samples(df: DataFrame, replicate: str, order: list[str], value: st
     return df.select(replicate, *dict.fromkeys([*order, value])).groupBy(replicate).applyInPandas(run, f"{replicate} {dict(df.dtypes)[replicate]}, n long, g double, n_eff double")
 
 
-def equilibration(x: np.ndarray, tries: int = 100) -> tuple[int, float, float]:
-    """(t0, g, n_eff) of the start that leaves most effective samples; starts are tried below 0.9 n, the first best wins."""
+def starts_of(n: int, step: int = 1) -> np.ndarray:
+    """Starts below nine tenths of the series."""
+    return np.arange(0, max(1, int(0.9 * n)), step)
+
+
+def equilibration(x: np.ndarray, step: int = 1) -> tuple[int, float, float]:
+    """(t0, g, n_eff) of the start that leaves most effective samples: every `step`-th start is tried, constant ends do not count, the first best wins; t0 is 0 below ten frames."""
     n = len(x)
     if n < 10:
-        return 0, inefficiency(x), n / inefficiency(x)
-    best = (0, 1.0, -1.0)
-    for t0 in range(0, int(0.9 * n), max(1, n // tries)):
-        g = inefficiency(x[t0:])
-        if (n - t0) / g > best[2]:
-            best = (t0, g, (n - t0) / g)
-    return best
+        return 0, (g := inefficiency(x)), n / g
+    starts = starts_of(n, step)
+    left = (n - starts) / (g := inefficiencies(x, starts))
+    if np.isnan(left).all():
+        return 0, 1.0, float(n)
+    k = int(np.nanargmax(left))
+    return int(starts[k]), float(g[k]), float(left[k])
 
 
-def equilibrated(df: DataFrame, replicate: str, order: list[str], values: list[str]) -> DataFrame:
-    """(replicate, observable, t0, g, n_eff): equilibration of each observable, and `latest`, the last start among them."""
+def equilibrated(df: DataFrame, replicate: str, order: list[str], values: list[str], step: int = 1) -> DataFrame:
+    """(replicate, observable, t0, g, n_eff): equilibration of each observable; `latest`, the last start among them; `joint`, the start at which the least n_eff of all is greatest.
+
+    A replicate is one ordered series and is scanned in one task, in time of frames by lags until no start correlates.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        out = [(key[0], v, *equilibration(rows[v].to_numpy(float))) for v in values]
+        series = [rows.sort_values(order)[v].to_numpy(float) for v in values]
+        n, out = len(rows), [(key[0], v, *equilibration(x, step)) for v, x in zip(values, series, strict=True)]
         last = max(out, key=lambda r: (r[2], r[1]))
-        return pd.DataFrame([*out, (key[0], "latest", *last[2:])], columns=[replicate, "observable", "t0", "g", "n_eff"])
+        joint = (0, last[3], last[4]) if n < 10 else None
+        if joint is None:
+            starts = starts_of(n, step)
+            g = np.max([np.nan_to_num(inefficiencies(x, starts), nan=np.inf) for x in series], axis=0)
+            k = int(np.argmax((n - starts) / g))
+            joint = (int(starts[k]), float(g[k]), float((n - starts[k]) / g[k])) if np.isfinite(g[k]) else (0, 1.0, float(n))
+        return pd.DataFrame([*out, (key[0], "latest", *last[2:]), (key[0], "joint", *joint)], columns=[replicate, "observable", "t0", "g", "n_eff"])
 
     return df.groupBy(replicate).applyInPandas(run, f"{replicate} {dict(df.dtypes)[replicate]}, observable string, t0 int, g double, n_eff double")
 

@@ -176,7 +176,7 @@ def acf_lags(t: Tables) -> DataFrame:
 
 
 G = ACF.format(lags="") + """, z AS (SELECT user_id, min(lag) AS stop FROM c WHERE c <= 0 AND lag > 3 GROUP BY 1),
-g AS (SELECT s.user_id, any_value(s.n) AS n, CASE WHEN any_value(s.n) < 4 THEN 1.0 ELSE greatest(1.0, 1 + 2 * coalesce(sum(c * (1 - lag / s.n)) FILTER (lag < coalesce(stop, s.n)), 0)) END AS g FROM s LEFT JOIN c ON c.user_id = s.user_id LEFT JOIN z ON z.user_id = s.user_id GROUP BY s.user_id)"""
+g AS (SELECT s.user_id, any_value(s.n) AS n, CASE WHEN any_value(s.n) < 4 THEN 1.0 ELSE greatest(1.0, 1 + 2 * coalesce(sum(c * (1 - lag / s.n)) FILTER (lag < coalesce(stop, s.n - 1)), 0)) END AS g FROM s LEFT JOIN c ON c.user_id = s.user_id LEFT JOIN z ON z.user_id = s.user_id GROUP BY s.user_id)"""
 
 
 @query(G + " SELECT user_id, n, round(g, 5) AS g FROM g")
@@ -195,6 +195,23 @@ def block_length(t: Tables) -> DataFrame:
     return g.select("user_id", timeseries.block_length(r("g", 5), F.col("n")).alias("block_length"))
 
 
+#: Every start's series, its correlations to lag n - 2 and the first that is not positive; as pairs of frames, so in time of the cube of a series.
+STARTS = """WITH o AS (SELECT user_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM (SELECT *, {x} AS x FROM events)),
+t AS (SELECT DISTINCT user_id, k AS t0, n - k AS len, n FROM o WHERE n >= 10 AND k < floor(0.9 * n)),
+m AS (SELECT t.user_id, t0, any_value(len) AS len, any_value(t.n) AS n, avg(x) AS m, var_pop(x) AS v, min(x) < max(x) AS moves FROM t JOIN o ON o.user_id = t.user_id AND o.k >= t0 GROUP BY t.user_id, t0),
+c AS (SELECT m.user_id, t0, b.k - a.k AS lag, sum((a.x - m) * (b.x - m)) / (any_value(len - (b.k - a.k)) * any_value(v)) AS c FROM m JOIN o a ON a.user_id = m.user_id AND a.k >= t0 JOIN o b ON b.user_id = m.user_id AND b.k > a.k WHERE moves GROUP BY m.user_id, t0, b.k - a.k),
+z AS (SELECT user_id, t0, min(lag) AS stop FROM c WHERE c <= 0 AND lag > 3 GROUP BY 1, 2),
+g AS (SELECT m.user_id, m.t0, any_value(n) AS n, CASE WHEN any_value(len) < 4 THEN 1.0 ELSE greatest(1.0, 1 + 2 * coalesce(sum(c * (1 - lag / len)) FILTER (lag < coalesce(stop, len - 1)), 0)) END AS g FROM m LEFT JOIN c USING (user_id, t0) LEFT JOIN z ON z.user_id = m.user_id AND z.t0 = m.t0 WHERE moves GROUP BY m.user_id, m.t0)"""
+
+
+@query(STARTS.format(x="value") + " SELECT user_id, round(max((n - t0) / g), 5) AS n_eff, count(*) AS starts FROM g GROUP BY 1")
+def equilibration_best(t: Tables) -> DataFrame:
+    """The most effective samples that any start leaves, over users of ten frames or more, and how many starts were compared."""
+    n = t.events.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 10")
+    best = timeseries.equilibrated(t.events, "user_id", ORDER, ["value"]).where("observable = 'value'")
+    return best.join(n, "user_id").select("user_id", r("n_eff", 5).alias("n_eff"), F.floor(F.col("n") * 0.9).alias("starts"))
+
+
 @query()
 def equilibration(t: Tables) -> DataFrame:
     """Start of the equilibrated part of each user's series, for two observables."""
@@ -349,8 +366,8 @@ def frames_in_window(t: Tables) -> DataFrame:
     return e.groupBy("user_id").agg(C.frames_in_window(F.min("us"), F.max("us"), F.lit(3.6e9), 3).alias("frames"))
 
 
-@query("SELECT s.event_type, any_value(m.label) AS label, count(*) AS n FROM events s LEFT JOIN (SELECT 'view' AS event_type, 'MS1' AS label UNION ALL SELECT 'click', 'MS2') m USING (event_type) GROUP BY 1")
+@query("SELECT s.event_type, coalesce(any_value(m.label), 'inactive') AS label, count(*) AS n FROM events s LEFT JOIN (SELECT 'view' AS event_type, 'MS1' AS label UNION ALL SELECT 'click', 'MS2') m USING (event_type) GROUP BY 1")
 def inactive_states(t: Tables) -> DataFrame:
-    """Left lookup of set names; microstates outside all sets have none."""
+    """Left lookup of set names; microstates outside all sets are inactive."""
     sets = t.spark.createDataFrame([("view", "MS1"), ("click", "MS2")], "event_type string, label string")
-    return t.events.join(F.broadcast(sets), "event_type", "left").groupBy("event_type").agg(F.first("label").alias("label"), F.count("*").alias("n"))
+    return t.events.join(F.broadcast(sets), "event_type", "left").groupBy("event_type").agg(F.coalesce(F.first("label"), F.lit("inactive")).alias("label"), F.count("*").alias("n"))

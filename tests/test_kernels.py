@@ -70,6 +70,70 @@ def test_equilibration_finds_a_drift():
     assert 100 <= timeseries.equilibration(x)[0] <= 320
 
 
+def test_equilibration_equals_a_plain_scan():
+    rng = np.random.default_rng(11)
+    walk = lambda n, phi: [x for x in [0.0] for _ in range(n) for x in [phi * x + rng.normal()]]
+    for x in (rng.normal(size=60), np.cumsum(rng.normal(size=150)), np.concatenate([rng.normal(5, 1, 40), rng.normal(size=120)]), np.repeat(rng.normal(size=20), 4)):
+        x = np.asarray(x)
+        starts = timeseries.starts_of(len(x))
+        want = [timeseries.inefficiency(x[t:]) for t in starts]
+        got = timeseries.inefficiencies(x, starts)
+        moves = np.array([np.ptp(x[t:]) > 0 for t in starts])
+        assert np.allclose(got[moves], np.array(want)[moves]) and np.isnan(got[~moves]).all()
+        best = max(range(len(starts)), key=lambda k: ((len(x) - starts[k]) / want[k] if moves[k] else -1, -k))
+        assert timeseries.equilibration(x)[0] == starts[best]
+    assert len(walk(3, 0.5)) == 3
+
+
+def test_equilibration_passes_over_constant_ends():
+    rng = np.random.default_rng(12)
+    x = np.zeros(460)
+    for k in range(1, 400):
+        x[k] = 0.95 * x[k - 1] + rng.normal()
+    x[400:] = x[399]
+    assert timeseries.equilibration(x)[0] < 399
+    assert timeseries.equilibration(np.ones(50)) == (0, 1.0, 50.0)
+    ramp = np.arange(20.0)  # the correlations of a line: C of the last lag, n - 1, is not summed
+    d = ramp - ramp.mean()
+    c = [d[t:] @ d[: 20 - t] / ((20 - t) * ramp.var()) for t in range(1, 19)]
+    stop = next(k for k, v in enumerate(c) if v <= 0 and k + 1 > 3)
+    assert timeseries.inefficiency(ramp) == pytest.approx(1 + 2 * sum(v * (1 - (k + 1) / 20) for k, v in enumerate(c[:stop])))
+
+
+def plain_merge(basin, energy, least):
+    """Joins the pair of the lowest barrier, looks again, and so on."""
+    basin = basin.copy()
+    while True:
+        low = {k: energy[basin == k].min() for k in np.unique(basin) if k}
+        pairs = {}
+        for (y, x), k in np.ndenumerate(basin):
+            for b, a in ((y + 1, x), (y, x + 1)):
+                if b < basin.shape[0] and a < basin.shape[1] and k and basin[b, a] and basin[b, a] != k:
+                    key = tuple(sorted((int(k), int(basin[b, a]))))
+                    pairs[key] = min(pairs.get(key, np.inf), max(energy[y, x], energy[b, a]))
+        barriers = sorted((e - max(low[i], low[j]), i, j) for (i, j), e in pairs.items())
+        if not barriers or barriers[0][0] >= least:
+            return basin
+        _, i, j = barriers[0]
+        basin[basin == (j if low[i] <= low[j] else i)] = i if low[i] <= low[j] else j
+
+
+def test_joining_shallow_basins_equals_the_plain_way():
+    rng = np.random.default_rng(13)
+    for _ in range(30):
+        energy = rng.normal(size=(14, 14)).cumsum(0).cumsum(1) * 0.2 + rng.normal(size=(14, 14))
+        support = rng.random((14, 14)) < 0.9
+        basin = segment.flooded(energy, [tuple(map(int, c)) for c in rng.integers(14, size=(12, 2))], support) * support
+        for least in (0.2, 1.0, 3.0):
+            assert (segment.shallow_merged(basin, energy, least) == plain_merge(basin, energy, least)).all()
+
+
+def test_matching_counts_the_resampled_basin():
+    reference, other = np.array([[1, 1, 1, 1, 1, 1, 2, 2]]), np.array([[1, 1, 0, 0, 0, 0, 2, 2]])
+    assert segment.matched(reference, other, np.ones((1, 8))) == {1: 1, 2: 2}
+    assert segment.matched(np.array([[1, 0, 0, 0]]), np.array([[1, 1, 1, 1]]), np.ones((1, 4))) == {}
+
+
 def mixture():
     rng = np.random.default_rng(101)
     at = np.array([(-3, -3), (3, 3), (3, -3)])[rng.choice(3, 4000, p=[0.65, 0.25, 0.10])]
