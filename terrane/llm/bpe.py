@@ -204,6 +204,8 @@ class ByteBpe:
     """Encoder and decoder over a file of ranks; pieces are matches of `pattern`, each encoded by itself."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
+        if pattern != PATTERN:
+            raise ValueError("texts are cut into chunks that fit the default pattern only")
         import regex
 
         self.pieces = regex.compile(pattern).findall

@@ -51,11 +51,7 @@ class Flattener:
     attachments: list[dict] = field(default_factory=list)
 
     def visit(self, part: dict) -> None:
-        kind = part.get("type", "text")
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown content part {kind!r}")
-        method(part)
+        getattr(self, f"visit_{part.get('type', 'text')}")(part)
 
     def visit_text(self, part: dict) -> None:
         self.pieces.append(escape(part.get("text") or ""))
@@ -73,19 +69,52 @@ class Flattener:
         self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * self.audio_rate)) + 2)
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 1) * self.page_tokens + 2)
+        self._attach("document", part, math.ceil(max(1, part.get("pages") or 1)) * self.page_tokens + 2)
 
     def finish(self) -> tuple[str, list[dict], int]:
         return "".join(self.pieces), self.attachments, sum(a["tokens"] for a in self.attachments)
 
 
+#: What each type of part may hold besides its type (fixed values): texts, and sizes as numbers.
+FIELDS = {"text": ({"text"}, set()), "image": ({"ref", "url"}, {"width", "height"}), "audio": ({"ref", "url"}, {"seconds"}), "document": ({"ref", "url"}, {"pages"})}
+LARGEST = 1_000_000
+
+
+def parts_of(content: str) -> list[dict] | None:
+    """The parts of a JSON list; none at all for an empty text, and None for content that is not a list of known parts with texts for texts and sizes from 0 to `LARGEST`."""
+    if not content:
+        return []
+    try:
+        parts = json.loads(content)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(parts, list):
+        return None
+    for p in parts:
+        texts, sizes = FIELDS.get(p.get("type", "text"), (None, None)) if isinstance(p, dict) and isinstance(p.get("type", "text"), str) else (None, None)
+        if texts is None or any(not isinstance(p.get(k) or "", str) for k in texts):
+            return None
+        if any(isinstance(v, bool) or not isinstance(v, int | float) or not 0 <= v <= LARGEST for k in sizes if (v := p.get(k)) is not None):
+            return None
+    return parts
+
+
+def escape_role(role: str) -> str:
+    """A role in one line: backslashes are doubled and line feeds written as backslash n."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+
+
 def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict], int]:
     """The turn's text, the code points that the loss covers (start, end), its attachments and their tokens."""
     visitor = Flattener()
     for p in parts:
         visitor.visit(p)
     content, attachments, tokens = visitor.finish()
-    head = f"{BEGIN}{escape(role)}\n"
+    head = f"{BEGIN}{escape_role(role)}\n"
     start = len(head)
     return f"{head}{content}{END}\n", start, start + len(content) if role == "assistant" else start, attachments, tokens
 
@@ -96,24 +125,27 @@ def read_turn(segment: str) -> tuple[str, str]:
         raise ValueError("not a turn")
     body = segment[len(BEGIN) : -len(END) - 1]
     role, _, text = body.partition("\n")
-    return unescape(role), unescape(text)
+    return unescape_role(role), unescape(text)
 
 
-_SEGMENTS = "conv_id long, turn long, role string, segment string, loss_start int, loss_end int, attachments array<struct<kind:string,number:int,ref:string,tokens:long>>, expanded_tokens long"
+_SEGMENTS = "conv_id long, turn long, role string, segment string, loss_start int, loss_end int, attachments array<struct<kind:string,number:int,ref:string,tokens:long>>, expanded_tokens long, malformed boolean"
 
 
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", typed: bool = False) -> DataFrame:
-    """A formatted turn for each row. With `typed`, content is a JSON list of parts; else it is one text part, whatever it says."""
+    """A formatted turn for each row. With `typed`, content is a JSON list of parts; else it is one text part, whatever it says. Typed content
+    that is no such list (see `parts_of`) is kept as one text part, and its row is marked `malformed`."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("number", pa.int32()), ("ref", pa.string()), ("tokens", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), kind, pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), kind, pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for s in range(0, whole.num_rows, 2000):
                 b = whole.slice(s, 2000)
-                made = [format_turn(r, json.loads(t or "[]") if typed else [{"type": "text", "text": t}]) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                columns = [b.column(0), b.column(1), b.column(2), *map(list, zip(*made, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "turn", "role", "segment", "loss_start", "loss_end", "attachments", "expanded_tokens"])
+                texts = b.column(3).to_pylist()
+                parts = [parts_of(t) if typed else [{"text": t}] for t in texts]
+                made = [format_turn(r, [{"text": t}] if p is None else p) for r, t, p in zip(b.column(2).to_pylist(), texts, parts, strict=True)]
+                columns = [b.column(0), b.column(1), b.column(2), *map(list, zip(*made, strict=True)), [p is None for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["conv_id", "turn", "role", "segment", "loss_start", "loss_end", "attachments", "expanded_tokens", "malformed"])
 
     read = df.select(df[conv].cast("long").alias("conv_id"), df[turn].cast("long").alias("turn"), F.coalesce(df[role].cast("string"), F.lit("")).alias("role"), F.coalesce(df[content].cast("string"), F.lit("")).alias("text"))
     return read.mapInArrow(run, _SEGMENTS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import hashlib
 import os
@@ -22,10 +23,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's `spark.checkpoint.dir` names it.
 
-    Only where a session names none (tests, a laptop) a temporary folder is made and set.
+    Only a local session may name none (tests, a laptop): it gets a temporary folder, which is set. On a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="terrane-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -66,8 +69,20 @@ def forget(*tables: DataFrame) -> None:
             _delete(*item)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes what `stored` writes inside, for a caller that writes its result inside, too. Tables of other results stay."""
+    before = set(path for _, path in _written)
+    try:
+        yield
+    finally:
+        for item in [x for x in _written if x[1] not in before]:
+            _written.remove(item)
+            _delete(*item)
+
+
 def forget_all() -> None:
-    """Delete every table made by `stored` so far; for callers that have written their results."""
+    """Delete every table made by `stored` so far, at the interpreter's end."""
     while _written:
         _delete(*_written.pop())
 
@@ -207,13 +222,14 @@ class LearntChunks(dict):
 
 
 def training_rows(df: DataFrame, labels: DataFrame, target: str, folds: int, held: int, bound: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most `bound` labelled rows outside the held-out fold, chosen by a hash of their key.
+    """(text, label) of at most `bound` labelled rows of `df` outside the held-out fold, chosen by a hash of their key.
 
     A key that has several labels counts as 1 if any is 1; a null key or label is no label. The chosen keys, a
     bounded number, are broadcast, so only their texts are shuffled; of a key's several texts the least one is learnt from.
     """
     known = labels.select(labels[key].cast("long").alias("id"), labels[target].cast("int").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).where(F.crc32(F.col("id").cast("string").cast("binary")) % folds != held)
+    known = known.join(df.select(df[key].cast("long").alias("id")), "id", "left_semi")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     found = df.select(df[key].cast("long").alias("id"), text_of(df, text).alias("text")).join(F.broadcast(chosen), "id")
     return found.groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")

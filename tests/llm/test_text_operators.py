@@ -57,8 +57,30 @@ def test_typed_parts():
     segment, start, end, attached, tokens = chat.format_turn("assistant", [{"type": "text", "text": "see <|image:0|> "}, {"type": "image", "url": "u", "width": 56, "height": 29}, {"type": "audio", "ref": "a", "seconds": 2}, {"type": "document", "ref": "d", "pages": 3}, {"type": "text", "text": None}])
     assert [(a["kind"], a["number"], a["ref"], a["tokens"]) for a in attached] == [("image", 0, "u", 6), ("audio", 1, "a", 52), ("document", 2, "d", 1538)]
     assert tokens == 1596 and segment[start:end].endswith("<|image:0|><|audio:1|><|document:2|>") and segment.count("<|image:0|>") == 1
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+
+
+def test_roles_of_several_lines_are_read_back():
+    for role in ("a\nb", "a\\nb", "\\", "\n", "<|im_end|>\n</s>", ""):
+        assert chat.read_turn(chat.format_turn(role, [{"text": "t\nu"}])[0]) == (role, "t\nu")
+
+
+def test_typed_content_that_is_none_stays_as_text(spark):
+    wrong = ["{", '{"type": "text"}', '["x"]', '[{"type": "video"}]', '[{"type": "image", "width": "56"}]', '[{"text": 3}]', '[{"type": 7}]', '[{"type": "audio", "seconds": -1}]', '[{"type": "image", "width": 1e300}]', '[{"type": "document", "pages": true}]', "[" * 100_000]
+    right = ["", "[]", '[{"text": null}]', '[{"type": "document", "ref": null, "pages": 2.5}]']
+    df = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(wrong + right)], "conv_id long, turn long, role string, text string")
+    rows = {r["conv_id"]: r for r in chat.format_conversations(df, typed=True).collect()}
+    for k, t in enumerate(wrong + right):
+        assert rows[k]["malformed"] == (k < len(wrong))
+        assert k >= len(wrong) or chat.read_turn(rows[k]["segment"]) == ("user", t)
+    assert rows[len(wrong) + 3]["expanded_tokens"] == 3 * 512 + 2
+
+
+def test_one_long_conversation(spark):
+    df = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id, repeat(' x', int(id % 50))) as text")
+    (r,) = chat.digests(chat.format_conversations(df.repartition(5))).collect()
+    want = [(x["role"], x["text"]) for x in df.orderBy("turn").collect()]
+    assert r["n_turns"] == 20_000 and r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want).encode()).hexdigest()
+    assert r["loss_sha256"] == hashlib.sha256("".join(b for a, b in want if a == "assistant").encode()).hexdigest()
 
 
 def test_conversations(spark):
