@@ -47,19 +47,28 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and return the table read back: lineage ends here,
-    and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/terrane-{name}-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> str:
+    """Writes `df` as Parquet to a new folder of the shared one, whose path it returns."""
+    path = f"{shared_folder(df.sparkSession)}/terrane-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return path
+
+
+def kept(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The table of a path that `written` gave; it is deleted by `forget`, or when the interpreter ends."""
     _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    out = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     out._stored_at = path
     return out
 
 
+def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and return the table read back: lineage ends here,
+    and a lost executor costs no recomputation of what came before."""
+    return kept(df.sparkSession, written(df, name, partition_by), df.schema)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by `stored` that no later plan reads."""
     for t in tables:
@@ -239,19 +248,23 @@ def training_rows(df: DataFrame, labels: DataFrame, target: str, folds: int, hel
 BROADCAST_NAMES = 200_000
 
 
-def kept_rows(df: DataFrame, named: DataFrame, decided: DataFrame) -> DataFrame:
+def kept_rows(df: DataFrame, name: Column, decided: DataFrame) -> DataFrame:
     """The rows of `df` that a stage kept.
 
-    `named` is `df` with a column `_name` that identifies a row up to equal key and text; `decided` has a row (_name, kept) for each row. Rows of
+    `name` identifies a row of `df` up to equal key and text; `decided` has a row (_name, kept) for each row. Rows of
     one name differ in no way that the stage looks at: if one of them is kept, one stays.
     """
-    marks = stored(decided.groupBy("_name").agg(F.max("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1"), "marks")
-    gone, twice = marks.where("not any").select("_name"), marks.where("any").select("_name")
+    own = "_name"
+    while own.lower() in (c.lower() for c in df.columns):
+        own += "_"
+    named = df.withColumn(own, name)
+    marks = stored(decided.groupBy("_name").agg(F.max("kept").alias("any"), F.count("*").alias("n")).where("not any or n > 1").withColumnRenamed("_name", own), "marks")
+    gone, twice = marks.where("not any").select(own), marks.where("any").select(own)
     small = marks.count() <= BROADCAST_NAMES
     near = F.broadcast if small else (lambda t: t)
-    out = named.join(near(gone), "_name", "left_anti")
+    out = named.join(near(gone), own, "left_anti")
     if not twice.isEmpty():
-        out = out.join(near(twice), "_name", "left_anti").unionByName(out.join(near(twice), "_name", "left_semi").dropDuplicates(["_name"]))
+        out = out.join(near(twice), own, "left_anti").unionByName(out.join(near(twice), own, "left_semi").dropDuplicates([own]))
     return out.select(df.columns)
 
 

@@ -195,4 +195,4 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     decided = exact_duplicates(df, key, text)
     decided = decided.select(row_name(F.col(key), F.col("text_sha256")).alias("_name"), "kept")
-    return kept_rows(df, df.withColumn("_name", row_name(df[key].cast("long"), digest(text_of(df, text)))), decided)
+    return kept_rows(df, row_name(df[key].cast("long"), digest(text_of(df, text))), decided)

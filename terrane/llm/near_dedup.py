@@ -284,7 +284,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     decided = _classed(df, key, text)
     decided = decided.select(row_name(F.col(key), F.hex("node")).alias("_name"), "kept")
-    return kept_rows(df, df.withColumn("_name", row_name(df[key].cast("long"), F.hex(name(text_of(df, text))))), decided)
+    return kept_rows(df, row_name(df[key].cast("long"), F.hex(name(text_of(df, text)))), decided)
 
 
 def _classed(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -349,9 +349,11 @@ def test_alignment_equals_a_plain_dynamic_programme():
 
 def test_pipeline(spark, tmp_path, sf):
     import corpus_pipeline
+    from terrane.llm import exact_dedup
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = set()
+    columns, names = docs.columns, set()
+    earlier = exact_dedup.exact_duplicates(docs)
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = {r["doc_id"] for r in docs.select("doc_id").collect()}
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
@@ -359,6 +361,25 @@ def test_pipeline(spark, tmp_path, sf):
         assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= before
         names.add(name)
         if k < 4:
-            assert docs.columns == corpus_pipeline.COLUMNS
+            assert docs.columns == columns
     assert {"toxicity", "near_dedup"} <= names and docs.groupBy("sequence_id").agg({"length": "sum"}).agg({"sum(length)": "max"}).first()[0] <= 4096
-    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    whole = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, whole.select(*sorted(c for c in docs.columns if c not in ("sequence_id", "offset"))).collect())) == sorted(map(str, docs.select(*sorted(c for c in docs.columns if c not in ("sequence_id", "offset"))).collect()))
+    assert earlier.count() == spark.read.parquet(f"{sf}/documents.parquet").count()  # a result of before the run can still be read
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    import corpus_pipeline
+
+    rows = [(None, "a b c d e f g", 1), (3, None, 2), (3, "", 3), (4, "a b c d e f g", 4), (5, "A b  c d e f g", 5), (5, "A b  c d e f g", 5), (6, "z " * 50_000, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _name long")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and {r["_name"] for r in out.collect()} <= {r[2] for r in rows}
+        none = stage(spark, docs.limit(0), sf)
+        assert none.columns == docs.columns and none.count() == 0, k
+    kept = [r["_name"] for r in corpus_pipeline.one_of_each(spark, docs, sf).collect()]
+    assert len(kept) == 4 and 6 in kept and sum(k in (2, 3) for k in kept) == 1
+    alike = [r["_name"] for r in corpus_pipeline.one_of_alike(spark, docs, sf).collect()]
+    assert len(alike) == 3 and 6 in alike
+    assert corpus_pipeline.packed(spark, docs, sf).count() >= len(rows) and corpus_pipeline.packed(spark, docs.limit(0), sf).count() == 0
