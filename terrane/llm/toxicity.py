@@ -4,7 +4,7 @@ A sentence's probability is a logistic function of its evidence: words and the f
 A document's is the noisy-or of its sentences', 1 - prod(1 - p). Weights are fitted through the noisy-or to
 document labels only, never below zero, so that no amount of harmless text hides an offending sentence; a penalty on
 their sum drops evidence that other evidence explains. Evidence enters if its association with the label is
-beyond chance given how many candidates there are. The fitted sentences' scores then locate what is offensive.
+more than chance often gives among so many candidates. The fitted sentences' scores then locate what is offensive.
 
 Defined results: null text counts as empty and scores 0; without labelled rows of both classes every score is 0; repeated keys are rows of
 their own; an empty table gives no rows; other columns are not read.
@@ -24,10 +24,10 @@ from terrane.llm.common import forget, only, remainder, sliced, stored, text_of,
 
 #: Labelled rows that are fitted at most.
 SAMPLE = 12_000
-#: Kinds of evidence that are weighed at most.
-MOST_EVIDENCE = 5_000
 STEMS = (4, 5)
-PENALTY = 0.05
+PENALTY = 0.1
+#: How far a likelihood ratio must exceed the logarithm of the number of candidates; the penalty drops what chance lets in.
+BEYOND_CHANCE = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _BLANKS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -74,7 +74,7 @@ def _sentences(rows: DataFrame) -> DataFrame:
 
 
 def _associated(bags: DataFrame) -> dict[str, float]:
-    """Evidence of two documents or more whose association with the label is beyond chance given the number of candidates (a log-likelihood ratio), with its share of toxic documents.
+    """Evidence of two documents or more whose association with the label is more than chance often gives among so many candidates (a log-likelihood ratio), with its share of toxic documents.
 
     Counted by aggregation over the sample; only what is chosen comes to the driver.
     """
@@ -86,7 +86,7 @@ def _associated(bags: DataFrame) -> dict[str, float]:
     many = seen.count()
     rate = F.col("t") / F.col("n")
     gain = 2 * (F.when(F.col("t") > 0, F.col("t") * F.log(rate / share)).otherwise(0) + F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - share))).otherwise(0))
-    chosen = seen.where(rate > share).where(gain > 2 * np.log(max(many, 2))).orderBy(F.desc(gain), "w").limit(MOST_EVIDENCE)
+    chosen = seen.where(rate > share).where(gain > BEYOND_CHANCE * np.log(max(many, 2)))
     out = {r[0]: r[1] for r in chosen.select("w", rate.alias("rate")).collect()}
     forget(seen)
     return out

@@ -37,6 +37,7 @@ def test_toxicity_on_held_out_rows(spark, tables):
     pairs = held_out(rows, tables["labels"], "toxic")
     assert sum(r["predicted"] == y for r, y in pairs) / len(pairs) > 0.93
     assert not any(r["predicted"] for r, y in pairs if not y)
+    assert sum(r["predicted"] for r, y in pairs if y) / sum(y for _, y in pairs) > 0.8
     text = {r["doc_id"]: r["text"] for r in tables["documents"].collect()}
     hit = next(r for r in rows if r["predicted"])
     assert 0 < len(text[hit["doc_id"]][hit["spans"][0]["start"] : hit["spans"][0]["end"]]) < len(text[hit["doc_id"]]) + 1
