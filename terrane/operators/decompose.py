@@ -116,8 +116,14 @@ def pca(df: DataFrame, vector: str, replicate: str, k: int = 10, weighting: str
     return {"mean": mean, "eigenvalues": values, "explained": share, "cumulative": np.cumsum(share), "vectors": vectors}
 
 
+#: Numbers of mean and axes that become literals of a plan; more are multiplied as matrices.
+MOST_LITERALS = 512
+
+
 def projected(df: DataFrame, vector: str, mean: np.ndarray, vectors: np.ndarray, prefix: str = "PC") -> DataFrame:
-    """`df` with (x - mean) . v for each column of `vectors`, as plain expressions."""
+    """`df` with (x - mean) . v for each column of `vectors`: plain expressions for a few numbers, a matrix product for each Arrow batch otherwise."""
+    if len(mean) + vectors.size > MOST_LITERALS:
+        return projected_by_matrix(df, vector, mean, vectors, prefix)
     centered = F.zip_with(F.col(vector), F.array(*(F.lit(float(m)) for m in mean)), lambda x, m: x.cast("double") - m)
     out = df.withColumn("_c", centered)
     for i in range(vectors.shape[1]):
@@ -220,3 +226,81 @@ def rmsip_pairs(df: DataFrame, vector: str, by: str, k: int = 10) -> list[tuple[
 def extreme_structures(mean: np.ndarray, vector: np.ndarray, eigenvalue: float, steps: int = 11, scale: float = 2.0) -> np.ndarray:
     """Structures along a mode, between `scale` standard deviations on both sides of the mean."""
     return mean + np.linspace(-scale, scale, steps)[:, None] * np.sqrt(max(eigenvalue, 0)) * vector
+
+
+def long_matrix(matrix: np.ndarray) -> list[tuple[int, int, float]]:
+    """(i, j, value) of a dense matrix."""
+    return [(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(matrix)]
+
+
+def lagged_moments(df: DataFrame, vector: str, replicate: str, order: list[str], lag: int) -> tuple[int, np.ndarray]:
+    """Number of pairs `lag` frames apart within replicates, and the mean products of each number of the first with each of the second."""
+    total = None
+    for m in collected(moments(lagged(df, vector, replicate, order, lag), "pair", replicate), replicate).values():
+        total = m if total is None else merged(total, m)
+    n, mean, m2 = total
+    d = len(mean) // 2
+    return int(n), (m2 / n + np.outer(mean, mean))[:d, d:]
+
+
+def cross_correlation(covariance_: np.ndarray, axes: int = 3) -> np.ndarray:
+    """Correlation of the motions of every two items of `axes` numbers each, from the covariance matrix: traces of its blocks, normalised; not-a-number for items that do not move."""
+    n = len(covariance_) // axes
+    traces = covariance_[: n * axes, : n * axes].reshape(n, axes, n, axes).trace(axis1=1, axis2=3)
+    size = np.diag(traces).copy()
+    size[size <= 0] = np.nan
+    return traces / np.sqrt(np.outer(size, size))
+
+
+def cross_correlations(df: DataFrame, vector: str, by: str | None = None, weight: str | None = None, axes: int = 3, least_frames: int = 2) -> dict:
+    """The correlation matrix of each key (or of all frames as None), from one pass of moments; keys with fewer than `least_frames` frames have none. Weights need no key."""
+    if weight:
+        return {None: cross_correlation(weighted_covariance(df, vector, weight)[1], axes)}
+    keyed = df if by else df.withColumn("_all", F.lit(0))
+    states = collected(moments(keyed, vector, by or "_all"), by or "_all")
+    return {(k if by else None): cross_correlation(m[2] / m[0], axes) for k, m in states.items() if m[0] >= least_frames}
+
+
+def weighted_covariance(df: DataFrame, vector: str, weight: str) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean and covariance: moments of vectors scaled by the root of their weight, with the root as one number more, hold both."""
+    root = F.sqrt(F.col(weight).cast("double"))
+    scaled = df.where(F.col(weight) > 0).select(F.lit(0).alias("_all"), F.concat(F.transform(vector, lambda x: x.cast("double") * root), F.array(root)).alias("_v"))
+    n, mean, m2 = collected(moments(scaled, "_v", "_all"), "_all")[0]
+    raw = m2 + n * np.outer(mean, mean)
+    total, first = raw[-1, -1], raw[-1, :-1] / raw[-1, -1]
+    return first, raw[:-1, :-1] / total - np.outer(first, first)
+
+
+def collapsed(matrix: np.ndarray, group: list[int]) -> np.ndarray:
+    """Means over the pairs of atoms of every two groups, cells that are not numbers left out; groups are numbered from 0."""
+    known = np.isfinite(matrix)
+    member = np.eye(max(group) + 1)[np.asarray(group)]
+    n = member.T @ known @ member
+    with np.errstate(invalid="ignore"):
+        return np.where(n > 0, member.T @ np.where(known, matrix, 0) @ member / np.where(n > 0, n, 1), np.nan)
+
+
+def mode_contributions(vectors: np.ndarray, axes: int = 3, group: list[int] | None = None) -> np.ndarray:
+    """How far each item moves in each mode: the norm of its `axes` numbers, or, with groups of items, the root of its items' summed squares. Rows are items or groups, columns modes."""
+    n = len(vectors) // axes
+    square = (vectors[: n * axes].reshape(n, axes, -1) ** 2).sum(1)
+    if group is None:
+        return np.sqrt(square)
+    return np.sqrt(np.eye(max(group) + 1)[np.asarray(group)].T @ square)
+
+
+def projected_by_matrix(df: DataFrame, vector: str, mean: np.ndarray, vectors: np.ndarray, prefix: str = "PC") -> DataFrame:
+    """`df` with (x - mean) . v for each column of `vectors`, as one matrix product for each Arrow batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([*df.schema.fields, *(StructField(f"{prefix}{k + 1}", DoubleType()) for k in range(vectors.shape[1]))])
+    arrow, place = to_arrow_schema(schema), df.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                p = (_rows(b, place) - mean) @ vectors
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in p.T)], schema=arrow)
+
+    return df.mapInArrow(run, schema)

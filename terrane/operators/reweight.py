@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import R, wrapped
@@ -36,21 +36,37 @@ def bias(points: np.ndarray, times: np.ndarray | None, centers: np.ndarray, sigm
     return out
 
 
-def with_bias(frames: DataFrame, columns: list[str], time: str | None, hills: dict[str, np.ndarray], periods: list[float | None] | None = None, stretched: bool = True) -> DataFrame:
-    """Frames with `bias`; the hills of one run are a bounded table (their number is deposited steps, not frames) and go with the tasks."""
+#: Hills (some 40 bytes each) that go with every task; one variable's bias from more of them is `bias_by_join`.
+MOST_HILLS = 2_000_000
+
+
+def in_time(hills: dict) -> dict:
+    """Hills by time, since restarts and several walkers write them in any order."""
+    order = np.argsort(hills["times"], kind="stable")
+    return hills | {k: np.asarray(hills[k])[order] for k in ("times", "centers", "sigmas", "heights")}
+
+
+def with_bias(frames: DataFrame, columns: list[str], time: str | None, hills: dict, periods: list[float | None] | None = None, stretched: bool = True, constants: np.ndarray | None = None) -> DataFrame:
+    """Frames with `bias`, less the constant of the last hill before the frame if `constants` has one for each hill; at most `MOST_HILLS` hills go with the tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    if len(hills["heights"]) > MOST_HILLS:
+        raise ValueError(f"more than {MOST_HILLS} hills; use bias_by_join")
     schema = StructType([*frames.schema.fields, StructField("bias", DoubleType())])
     arrow, at = to_arrow_schema(schema), [frames.columns.index(c) for c in columns]
     t = frames.columns.index(time) if time else None
+    since = None if constants is None else np.append(0.0, constants)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
                 x = np.column_stack([np.asarray(part.column(i), float) for i in at])
-                v = bias(x, None if t is None else np.asarray(part.column(t), float), hills["centers"], hills["sigmas"], hills["heights"], hills["times"], periods, stretched)
+                when = None if t is None else np.asarray(part.column(t), float)
+                v = bias(x, when, hills["centers"], hills["sigmas"], hills["heights"], hills["times"], periods, stretched)
+                if since is not None:
+                    v = v - since[np.searchsorted(hills["times"], when, "left")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(v)], schema=arrow)
 
     return frames.mapInArrow(run, schema)
@@ -62,14 +78,30 @@ def untempered(height, factor):
 
 
 def bias_by_join(frames: DataFrame, hills: DataFrame, key: str, x: str, time: str | None, period: float | None = None) -> DataFrame:
-    """(key, bias) for one variable as a range join with aggregation; hills (center, sigma, height, hill_time) are broadcast if the planner finds them small."""
-    d = F.col(x) - F.col("center")
+    """(key, bias) for one variable from a table of hills (center, sigma, height, hill_time) of any size.
+
+    A hill ends at `CUTOFF`, so with cells as wide as the farthest hill reaches, a frame meets only hills of its own cell and of those beside it: an equal join
+    on cells, whose pairs are added up by key before they travel.
+    """
+    widest = hills.agg(F.max(F.col("sigma").cast("double"))).first()[0]
+    reach = math.sqrt(2 * CUTOFF) * (widest or 1.0)
+    if period:
+        cells = max(1, int(period // reach))
+        cell = lambda c: F.pmod(F.floor(c * (cells / period)), F.lit(cells))
+        around = lambda c: F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(cell(c) + k, F.lit(cells))))
+    else:
+        cell = lambda c: F.floor(c / reach)
+        around = lambda c: F.sequence(cell(c) - 1, cell(c) + 1)
+    d = F.col("_x") - F.col("center")
     d = wrapped(d, period) if period else d
     dp2 = 0.5 * (d / F.col("sigma")) * (d / F.col("sigma"))
     a = 1 / (1 - math.exp(-CUTOFF))
     v = F.when(dp2 < CUTOFF, F.col("height") * (a * F.exp(-dp2) + (1 - a))).otherwise(0.0)
-    near = F.col("hill_time") < F.col(time) if time else F.lit(True)
-    return frames.join(hills, near, "left").groupBy(key).agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("bias"))
+    here = frames.select(key, F.col(x).cast("double").alias("_x"), *([F.col(time).alias("_t")] if time else []), cell(F.col(x).cast("double")).alias("_cell"))
+    there = hills.select("center", "sigma", "height", *(["hill_time"] if time else []), F.explode(around(F.col("center").cast("double"))).alias("_cell"))
+    pairs = here.join(there, "_cell")
+    sums = (pairs.where("hill_time < _t") if time else pairs).groupBy(key).agg(F.sum(v).alias("bias"))
+    return frames.select(key).join(sums, key, "left").fillna(0.0, ["bias"])
 
 
 def log_weights(df: DataFrame, log_weight: str, kept: str | None = None) -> DataFrame:
@@ -96,30 +128,28 @@ def default_grid(centers: np.ndarray, sigmas: np.ndarray, points: int = 200, per
     return out
 
 
-def reweighting_constant(centers: np.ndarray, sigmas: np.ndarray, heights: np.ndarray, grid: np.ndarray, temperature: float, factor: float | None, stretched: bool = True) -> np.ndarray:
-    """c(t) after each hill, from the running bias on a grid."""
+def reweighting_constant(centers: np.ndarray, sigmas: np.ndarray, heights: np.ndarray, grid: np.ndarray, temperature: float, factor: float | None, stretched: bool = True, periods: list[float | None] | None = None) -> np.ndarray:
+    """c(t) after each hill, in the order given, from the running bias on a grid."""
     kt = R * temperature
     v, out = np.zeros(len(grid)), np.zeros(len(heights))
-    for i, h in enumerate(heights):
-        v += h * hill_kernel(0.5 * (((grid - centers[i]) / sigmas[i]) ** 2).sum(1), stretched)
+    for i in range(len(heights)):
+        v += bias(grid, None, centers[i : i + 1], sigmas[i : i + 1], heights[i : i + 1], np.zeros(1), periods, stretched)
         out[i] = kt * (_lse(factor * v / kt / (factor - 1)) - _lse(v / kt / (factor - 1))) if factor and factor > 1 else kt * (_lse(v / kt) - math.log(len(grid)))
     return out
 
 
-def metad_weights(frames: DataFrame, columns: list[str], time: str, hills: dict[str, np.ndarray], temperature: float = 300.0, mode: str = "final", factor: float | None = None, skip: float = 0.0, stretched: bool = True) -> DataFrame:
-    """Frames with weights of mean one over kept frames: by the final bias, or by the bias at each time less c(t)."""
-    kt = R * temperature
+def metad_weights(frames: DataFrame, columns: list[str], time: str, hills: dict, temperature: float = 300.0, mode: str = "final", factor: float | None = None, skip: float = 0.0, stretched: bool = True) -> DataFrame:
+    """Frames with weights of mean one over kept frames: by the final bias, or by the bias at each time less c(t). Periodic variables (`periods`, `spans` of the hills) wrap."""
+    kt, hills, periods = R * temperature, in_time(hills), hills.get("periods")
     kept = frames.withColumn("_kept", F.col(time) >= skip)
     if mode == "final":
-        v = with_bias(kept, columns, None, hills, stretched=stretched).withColumn("_lw", F.col("bias") / kt)
+        v = with_bias(kept, columns, None, hills, periods, stretched)
     else:
-        axes = default_grid(hills["centers"], hills["sigmas"])
+        axes = default_grid(hills["centers"], hills["sigmas"], periods=hills.get("spans"))
         grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, len(axes))
-        c = reweighting_constant(hills["centers"], hills["sigmas"], hills["heights"], grid, temperature, factor, stretched)
-        steps = F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(x)).alias("c")) for t, x in zip(hills["times"], c, strict=True)))
-        before = F.filter(steps, lambda s: s["t"] < F.col(time))
-        v = with_bias(kept, columns, time, hills, stretched=stretched).withColumn("_lw", (F.col("bias") - F.when(F.size(before) > 0, F.element_at(before, -1)["c"]).otherwise(0.0)) / kt)
-    return log_weights(v, "_lw", "_kept").drop("_lw", "_kept")
+        c = reweighting_constant(hills["centers"], hills["sigmas"], hills["heights"], grid, temperature, factor, stretched, periods)
+        v = with_bias(kept, columns, time, hills, periods, stretched, c)
+    return log_weights(v.withColumn("_lw", F.col("bias") / kt), "_lw", "_kept").drop("_lw", "_kept")
 
 
 def umbrella_energies(df: DataFrame, x: str, centers: list[float], kappas: list[float], kt: float, period: float | None = None) -> DataFrame:
@@ -132,6 +162,24 @@ def umbrella_energies(df: DataFrame, x: str, centers: list[float], kappas: list[
     return df.withColumn("u", F.array(*(one(c, k) for c, k in zip(centers, kappas, strict=True))))
 
 
+def running_constant(hills: DataFrame, points: int, lo: float, hi: float, kt: float, hill: str = "hill", slices: int = 32) -> DataFrame:
+    """(hill, c) of an untempered run in one variable, c(t) after each hill, from a table of hills (hill, center, sigma, height) numbered from 1.
+
+    The running bias at a grid point is a running sum over slices of hills: sums of whole slices, of which there are `slices`, give each its start, so a window sees one slice of one point.
+    """
+    step = (hi - lo) / max(points - 1, 1)
+    a = 1 / (1 - math.exp(-CUTOFF))
+    n = hills.agg(F.max(hill)).first()[0] or 1
+    rows = hills.withColumn("_slice", F.floor((F.col(hill) - 1) * slices / n)).withColumn("_s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + i * step)))
+    q = 0.5 * F.pow((F.col("_s") - F.col("center")) / F.col("sigma"), 2)
+    rows = rows.withColumn("_v", F.when(q < CUTOFF, F.col("height") * (a * F.exp(-q) + (1 - a))).otherwise(0.0))
+    before = rows.groupBy("_s", "_slice").agg(F.sum("_v").alias("_sum"))
+    before = before.withColumn("_start", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_slice")) - F.col("_sum")).drop("_sum")
+    run = rows.join(F.broadcast(before), ["_s", "_slice"]).withColumn("_b", (F.col("_start") + F.sum("_v").over(Window.partitionBy("_s", "_slice").orderBy(hill))) / kt)
+    top = F.max("_b").over(Window.partitionBy(hill))
+    return run.withColumn("_top", top).groupBy(hill).agg((kt * (F.max("_top") + F.log(F.sum(F.exp(F.col("_b") - F.col("_top")))) - F.log(F.count("*").cast("double")))).alias("c"))
+
+
 def wham(histogram: np.ndarray, totals: np.ndarray, reduced_bias: np.ndarray, tolerance: float = 1e-8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each bin and free energies of the windows, from counts over bins, samples of each window and reduced bias[window, bin]."""
     f = np.zeros(len(totals))

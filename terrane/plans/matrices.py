@@ -21,12 +21,20 @@ def long(t: Tables) -> DataFrame:
     return vectors(t).select("vec_id", "label", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query(f"WITH l AS ({LONG}), s AS (SELECT * FROM l WHERE d < 8) SELECT a.d AS i, b.d AS j, round(covar_pop(a.x, b.x), 8) AS c FROM s a JOIN s b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2")
+#: Covariances of all numbers, frames weighing equally.
+COVARIANCE = f"l AS ({LONG}), c AS (SELECT a.d AS i, b.d AS j, covar_pop(a.x, b.x) AS c FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2)"
+
+
+def pooled_covariance(t: Tables) -> np.ndarray:
+    v = vectors(t).select(F.lit(0).alias("one"), "embedding")
+    return decompose.covariance(decompose.collected(decompose.moments(v, "embedding", "one"), "one"))[1]
+
+
+@query(f"WITH {COVARIANCE} SELECT i, j, round(c, 8) AS c FROM c WHERE i <= j")
 def covariance_long(t: Tables) -> DataFrame:
-    """Covariances of eight dimensions with equal weight for each frame, from merged moments."""
-    v = vectors(t).select(F.lit(0).alias("one"), F.slice("embedding", 1, 8).alias("v"))
-    _, cov = decompose.covariance(decompose.collected(decompose.moments(v, "v", "one"), "one"))
-    return t.spark.createDataFrame([(i, j, round(float(cov[i, j]), 8)) for i in range(8) for j in range(i, 8)], "i long, j long, c double")
+    """Covariances of all numbers with equal weight for each frame, from merged moments."""
+    rows = [(i, j, round(c, 8)) for i, j, c in decompose.long_matrix(pooled_covariance(t)) if i <= j]
+    return t.spark.createDataFrame(rows, "i long, j long, c double")
 
 
 @query(f"WITH l AS ({LONG}) SELECT d, round(avg(x), 8) AS mean, round(var_pop(x) * count(*), 6) AS m2, count(*) AS n FROM l GROUP BY 1")
@@ -46,12 +54,12 @@ def replicate_weighted_mean(t: Tables) -> DataFrame:
     return m.groupBy(F.col("d").cast("long").alias("d")).agg(r(F.avg("x"), 8).alias("mean"))
 
 
-@query(f"WITH l AS ({LONG}), s AS (SELECT * FROM l WHERE d < 2), v AS (SELECT covar_pop(a.x, b.x) AS c, var_pop(a.x) AS va, var_pop(b.x) AS vb FROM s a JOIN s b USING (vec_id) WHERE a.d = 0 AND b.d = 1), e AS (SELECT (va + vb) / 2 + sqrt(power((va - vb) / 2, 2) + c * c) AS e1, va + vb AS tr FROM v) SELECT unnest([1, 2]) AS mode, unnest([round(e1, 8), round(tr - e1, 8)]) AS eigenvalue, unnest([round(100 * e1 / tr, 5), round(100 * (tr - e1) / tr, 5)]) AS explained FROM e")
+@query(f"WITH {COVARIANCE}, s AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON b.i = a.j GROUP BY 1, 2), m AS (SELECT sum(c) FILTER (i = j) AS p1, sum(c * c) AS p2 FROM c), q AS (SELECT sum(s.c * c.c) AS p3 FROM s JOIN c ON c.i = s.j AND c.j = s.i) SELECT round(p1, 8) AS total, round(p2, 8) AS squares, round(p3, 8) AS cubes FROM m, q")
 def explained_variance(t: Tables) -> DataFrame:
-    """Principal components of the first two dimensions, which have a closed form."""
-    v = vectors(t).select(F.lit(0).alias("one"), F.slice("embedding", 1, 2).alias("v"))
-    p = decompose.pca(v, "v", "one", 2)
-    return t.spark.createDataFrame([(k + 1, round(float(p["eigenvalues"][k]), 8), round(float(p["explained"][k]), 5)) for k in range(2)], "mode int, eigenvalue double, explained double")
+    """Sums of the first three powers of all eigenvalues; in SQL, traces of powers of the covariance matrix."""
+    v = vectors(t).select(F.lit(0).alias("one"), "embedding")
+    e = decompose.pca(v, "embedding", "one", 64)["eigenvalues"]
+    return t.spark.createDataFrame([tuple(round(float((e**k).sum()), 8) for k in (1, 2, 3))], "total double, squares double, cubes double")
 
 
 @query()
@@ -88,54 +96,104 @@ def project_fixed_axes(t: Tables) -> DataFrame:
     return p.select("vec_id", *(r(f"PC{k}").alias(f"PC{k}") for k in (1, 2, 3)))
 
 
-@query(f"WITH l AS ({LONG}), o AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM l WHERE d < 3) SELECT a.d AS i, b.d AS j, round(avg(a.x * b.x), 8) AS c, count(*) AS n FROM o a JOIN o b ON b.label = a.label AND b.n = a.n + 5 GROUP BY 1, 2")
+@query(f"WITH l AS ({LONG}), o AS (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM l) SELECT a.d AS i, b.d AS j, round(avg(a.x * b.x), 8) AS c, count(*) AS n FROM o a JOIN o b ON b.label = a.label AND b.n = a.n + 5 GROUP BY 1, 2")
 def lagged_covariance(t: Tables) -> DataFrame:
-    """Raw products at a lag of five frames within replicates."""
-    pairs = decompose.lagged(vectors(t).withColumn("v", F.slice("embedding", 1, 3)), "v", "label", ["vec_id"], 5)
-    rows = pairs.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), (F.get("pair", i).cast("double") * F.get("pair", j + 3).cast("double")).alias("p")))))).alias("s")).select("s.*")
-    return rows.groupBy("i", "j").agg(r(F.avg("p"), 8).alias("c"), F.count("*").alias("n"))
+    """Mean products of all numbers at a lag of five frames within replicates."""
+    n, c = decompose.lagged_moments(vectors(t), "embedding", "label", ["vec_id"], 5)
+    return t.spark.createDataFrame([(i, j, round(x, 8), n) for i, j, x in decompose.long_matrix(c)], "i long, j long, c double, n long")
 
 
-@query("""WITH m AS (SELECT unnest(range(0, 4)) AS k), u AS (SELECT k, d, sin((k + 1) * (d + 1) * 0.37) AS u, cos((k + 1) * (d + 1) * 0.29) AS v FROM m, (SELECT unnest(range(0, 64)) AS d)), n AS (SELECT k, sqrt(sum(u * u)) AS nu, sqrt(sum(v * v)) AS nv FROM u GROUP BY 1),
-d AS (SELECT a.k, b.k AS j, sum(a.u * b.v) / any_value(x.nu * y.nv) AS p FROM u a JOIN u b ON b.d = a.d JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY 1, 2) SELECT round(sqrt(sum(p * p) / 4), 6) AS rmsip FROM d""")
+@query(f"""WITH l AS ({LONG}), m AS (SELECT label, d, avg(x) AS m FROM l GROUP BY 1, 2), g AS (SELECT d, avg(m) AS g FROM m GROUP BY 1), u AS (SELECT label, d, m - g AS u FROM m JOIN g USING (d)), n AS (SELECT label, sqrt(sum(u * u)) AS n FROM u GROUP BY 1),
+p AS (SELECT a.label AS a, b.label AS b, sum(a.u * b.u) / any_value(x.n * y.n) AS p FROM u a JOIN u b ON b.d = a.d AND b.label > a.label JOIN n x ON x.label = a.label JOIN n y ON y.label = b.label GROUP BY 1, 2) SELECT a, b, round(abs(p), 6) AS rmsip FROM p""")
 def rmsip_fixed(t: Tables) -> DataFrame:
-    """Overlap of two sets of four fixed unit axes."""
-    at = np.arange(1, 65)
-    u, v = (np.stack([f((k + 1) * at * c) for k in range(4)], 1) for f, c in ((np.sin, 0.37), (np.cos, 0.29)))
-    x = decompose.rmsip(u / np.linalg.norm(u, axis=0), v / np.linalg.norm(v, axis=0))
-    return t.spark.createDataFrame([(round(x, 6),)], "rmsip double")
+    """Overlap of the one-dimensional subspaces that two replicates' mean displacements span."""
+    means = {k: m[1] for k, m in decompose.collected(decompose.moments(vectors(t), "embedding", "label"), "label").items()}
+    center = np.mean(list(means.values()), axis=0)
+    axes = {k: ((m - center) / np.linalg.norm(m - center))[:, None] for k, m in sorted(means.items())}
+    return t.spark.createDataFrame([(a, b, round(decompose.rmsip(axes[a], axes[b]), 6)) for a in axes for b in axes if a < b], "a long, b long, rmsip double")
+
 
+#: Atoms of these queries are three numbers each, and residues four atoms; the last number belongs to none.
+MODES = f"WITH l AS ({LONG}), v AS (SELECT d // 3 AS atom, var_pop(x) AS e FROM l WHERE d < 63 GROUP BY d, d // 3)"
 
-@query(f"WITH l AS ({LONG}), s AS (SELECT vec_id, d // 16 AS atom, x FROM l) SELECT atom, round(sqrt(sum(e)), 6) AS contribution FROM (SELECT d, d // 16 AS atom, var_pop(x) AS e FROM l GROUP BY d) GROUP BY atom")
+
+def mode_table(t: Tables, group: list[int] | None = None) -> DataFrame:
+    """(item, moved): contributions to all modes, each weighed by its eigenvalue."""
+    v = vectors(t).select(F.lit(0).alias("one"), "embedding")
+    p = decompose.pca(v, "embedding", "one", 64)
+    moved = np.sqrt((decompose.mode_contributions(p["vectors"], 3, group) ** 2 * p["eigenvalues"]).sum(1))
+    return t.spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(moved)], "item long, moved double")
+
+
+@query(MODES + " SELECT atom AS item, round(sqrt(sum(e)), 6) AS moved FROM v GROUP BY 1")
 def mode_contributions(t: Tables) -> DataFrame:
-    """Norm over the dimensions of each group of 16."""
-    e = long(t).groupBy("d").agg(F.var_pop("x").alias("e"))
-    return e.groupBy(F.floor(F.col("d") / 16).alias("atom")).agg(r(F.sqrt(F.sum("e"))).alias("contribution"))
+    """Each atom's motion, put together from its contributions to all modes; in SQL, its variance."""
+    return mode_table(t)
+
+
+@query(MODES + " SELECT atom // 4 AS item, round(sqrt(sum(e)), 6) AS moved FROM v GROUP BY 1")
+def residue_mode_contributions(t: Tables) -> DataFrame:
+    return mode_table(t, [k // 4 for k in range(21)])
 
 
-@query(f"WITH l AS ({LONG}), s AS (SELECT * FROM l WHERE d < 10) SELECT a.d AS i, b.d AS j, round(covar_pop(a.x, b.x) / sqrt(var_pop(a.x) * var_pop(b.x)), 7) AS c FROM s a JOIN s b USING (vec_id) GROUP BY 1, 2")
+@query(f"WITH l AS ({LONG}) SELECT a.d AS i, b.d AS j, round(covar_pop(a.x, b.x) / sqrt(var_pop(a.x) * var_pop(b.x)), 7) AS c FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2")
 def dccm_small(t: Tables) -> DataFrame:
-    c = residues.correlations(long(t).where("d < 10"), "vec_id", "d", "x")
-    return c.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r("c", 7).alias("c"))
+    """Correlations of all numbers, as items of one number."""
+    c = decompose.cross_correlations(vectors(t), "embedding", axes=1)[None]
+    return t.spark.createDataFrame([(i, j, round(x, 7)) for i, j, x in decompose.long_matrix(c)], "i long, j long, c double")
+
+
+#: Correlated motion of atoms by state: even and odd labels are the states.
+DCCM = f"""WITH l AS (SELECT vec_id, label % 2 AS st, d // 3 AS atom, d % 3 AS axis, x FROM ({LONG}) WHERE d < 63), c AS (SELECT a.st, a.atom AS i, b.atom AS j, a.axis, covar_pop(a.x, b.x) AS c FROM l a JOIN l b ON b.vec_id = a.vec_id AND b.axis = a.axis GROUP BY 1, 2, 3, 4),
+t AS (SELECT st, i, j, sum(c) AS c FROM c GROUP BY 1, 2, 3), d AS (SELECT st, i, c FROM t WHERE i = j), n AS (SELECT t.st, t.i, t.j, t.c / sqrt(x.c * y.c) AS c FROM t JOIN d x ON x.st = t.st AND x.i = t.i JOIN d y ON y.st = t.st AND y.i = t.j)"""
+
+
+def state_matrices(t: Tables) -> dict[int, np.ndarray]:
+    v = vectors(t).select((F.col("label") % 2).alias("st"), F.slice("embedding", 1, 63).alias("v"))
+    return decompose.cross_correlations(v, "v", "st")
+
+
+@query(DCCM + " SELECT st AS state, i, j, round(c, 7) AS c FROM n")
+def dccm_per_state(t: Tables) -> DataFrame:
+    rows = [(int(k), i, j, round(x, 7)) for k, m in state_matrices(t).items() for i, j, x in decompose.long_matrix(m)]
+    return t.spark.createDataFrame(rows, "state long, i long, j long, c double")
+
+
+@query(DCCM + " SELECT st AS state, i // 4 AS i, j // 4 AS j, round(avg(c), 7) AS c FROM n GROUP BY ALL")
+def dccm_residues(t: Tables) -> DataFrame:
+    """The same, as means over the atoms of every two residues."""
+    group = [k // 4 for k in range(21)]
+    rows = [(int(k), i, j, round(x, 7)) for k, m in state_matrices(t).items() for i, j, x in decompose.long_matrix(decompose.collapsed(m, group))]
+    return t.spark.createDataFrame(rows, "state long, i long, j long, c double")
+
+
+@query(DCCM.replace("d // 3 AS atom, d % 3 AS axis, x FROM", "d // 3 AS atom, d % 3 AS axis, x, 1.0 + vec_id % 3 AS w FROM").replace("covar_pop(a.x, b.x) AS c", "sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * sum(a.w * b.x) / sum(a.w) AS c").replace("label % 2 AS st", "0 AS st") + " SELECT i, j, round(c, 7) AS c FROM n")
+def dccm_weighted(t: Tables) -> DataFrame:
+    v = vectors(t).select((1.0 + F.col("vec_id") % 3).alias("w"), F.slice("embedding", 1, 63).alias("v"))
+    return t.spark.createDataFrame([(i, j, round(x, 7)) for i, j, x in decompose.long_matrix(decompose.cross_correlations(v, "v", weight="w")[None])], "i long, j long, c double")
 
 
-CENTERS = [[0.1 * k, -0.05 * k, 0.02 * k] for k in range(-3, 4)]
-CENTER_SQL = "WITH c AS (SELECT unnest(range(0, 7)) AS k), d AS (SELECT vec_id, embedding, k::INT AS k, power(embedding[1]::DOUBLE - 0.1 * (k - 3), 2) + power(embedding[2]::DOUBLE + 0.05 * (k - 3), 2) + power(embedding[3]::DOUBLE - 0.02 * (k - 3), 2) AS d FROM embeddings, c), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS n FROM d)"
+#: Seven centres in all 64 numbers, by a rule that SQL has too.
+CENTERS = [[(k - 3) * ((7 * d) % 11 - 5) / 100 for d in range(64)] for k in range(7)]
+CENTER_SQL = f"WITH l AS ({LONG}), c AS (SELECT unnest(range(0, 7))::INT AS k), d AS (SELECT vec_id, k, sum(power(x - (k - 3) * ((7 * d) % 11 - 5) / 100.0, 2)) AS d FROM l, c GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 12), k) AS n FROM d)"
+COORDINATES = [f"x{d:02d}" for d in range(64)]
 
 
 def points(t: Tables) -> DataFrame:
-    return vectors(t).select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("abc")))
+    return vectors(t).select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(COORDINATES)))
 
 
 @query(CENTER_SQL + " SELECT vec_id, k AS microstate FROM n WHERE n = 1")
 def nearest_center(t: Tables) -> DataFrame:
-    return msm.nearest_center(points(t), F.array("a", "b", "c"), CENTERS).select("vec_id", "microstate")
+    return msm.nearest_center(points(t), F.array(*COORDINATES), CENTERS).select("vec_id", "microstate")
 
 
-@query(CENTER_SQL + " SELECT k AS microstate, count(*) AS n, round(avg(embedding[1]::DOUBLE), 7) AS a, round(avg(embedding[2]::DOUBLE), 7) AS b, round(avg(embedding[3]::DOUBLE), 7) AS c FROM n WHERE n = 1 GROUP BY 1")
+@query(CENTER_SQL + " SELECT k AS microstate, l.d, count(*) AS n, round(avg(x), 7) AS center FROM n JOIN l USING (vec_id) WHERE n.n = 1 GROUP BY ALL")
 def kmeans_step(t: Tables) -> DataFrame:
-    s = msm.lloyd(points(t), ["a", "b", "c"], CENTERS)
-    return s.select("microstate", "n", *(r(c, 7).alias(c) for c in "abc"))
+    """New centres after one step, a row for each number."""
+    s = msm.lloyd(points(t), COORDINATES, CENTERS)
+    long_ = s.select("microstate", "n", F.posexplode(F.array(*COORDINATES)).alias("d", "center"))
+    return long_.select("microstate", F.col("d").cast("long").alias("d"), "n", r("center", 7).alias("center"))
 
 
 @query(f"WITH l AS ({LONG}), p AS (SELECT l.vec_id, sqrt(avg(power(l.x - f.x, 2)) * 3) AS v FROM l JOIN l f ON f.vec_id = 0 AND f.d = l.d GROUP BY 1) SELECT vec_id, round(v, 6) AS rmsd FROM p")

@@ -36,22 +36,6 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def whole(f: Callable[..., DataFrame], *filters: str) -> None:
-    """Registers a query also over its whole tables, as `<name>_whole`; its SQL is that of the query without the filters, if any are given."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = lambda spark, folder: f(Tables(spark, folder), whole=True)
-    if filters:
-        SQL[name] = without(SQL[f.__name__], *filters)
-
-
-def without(sql: str, *filters: str) -> str:
-    for x in filters:
-        if x not in sql:
-            raise ValueError(x)
-        sql = sql.replace(x, "")
-    return sql
-
-
 def r(column: Column | str, digits: int = 6) -> Column:
     """Rounded, since sums of doubles depend on their order in the last place."""
     c = F.col(column) if isinstance(column, str) else column

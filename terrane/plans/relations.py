@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.operators import joins, residues, reweight, states
-from terrane.plans.registry import Tables, query, r, whole as whole_tables
+from terrane.operators import joins, residues, reweight, states, timeseries
+from terrane.plans.registry import Tables, query, r
 from terrane.plans.series import MICROS
 
 
@@ -69,38 +69,38 @@ def heavy_filter(t: Tables) -> DataFrame:
     return t.part.where(~F.upper(F.trim("p_name")).like("S%")).select("p_partkey", "p_name")
 
 
-CONTACT = """WITH a AS (SELECT s_nationkey AS k, s_suppkey % 20 AS frame, s_acctbal / 1000.0 AS x, s_suppkey / 10.0 AS y FROM supplier), b AS (SELECT c_custkey % 20 AS frame, c_acctbal / 1000.0 AS x, c_custkey / 150.0 AS y FROM customer WHERE c_custkey < 600),
+CONTACT = """WITH a AS (SELECT s_nationkey AS k, s_suppkey % 20 AS frame, s_acctbal / 1000.0 AS x, s_suppkey / 10.0 AS y FROM supplier), b AS (SELECT c_custkey % 20 AS frame, c_acctbal / 1000.0 AS x, c_custkey / 150.0 AS y FROM customer),
 m AS (SELECT a.frame, k, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM a JOIN b USING (frame) GROUP BY 1, 2)"""
 
 
-def contacts(t: Tables, whole: bool = False) -> DataFrame:
+def contacts(t: Tables) -> DataFrame:
     a = t.supplier.select(F.col("s_nationkey").alias("k"), (F.col("s_suppkey") % 20).alias("frame"), (F.col("s_acctbal") / 1000.0).alias("x"), (F.col("s_suppkey") / 10.0).alias("y"))
-    b = (t.customer if whole else t.customer.where("c_custkey < 600")).select((F.col("c_custkey") % 20).alias("frame"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") / 150.0).alias("y"))
+    b = t.customer.select((F.col("c_custkey") % 20).alias("frame"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") / 150.0).alias("y"))
     return residues.contacts(a, b, "frame", "k", ["x", "y"], 0.6)
 
 
 @query(CONTACT + " SELECT frame, k AS nation, round(d, 6) AS min_distance, d < 0.6 AS in_contact FROM m")
-def theta_contacts(t: Tables, whole: bool = False) -> DataFrame:
-    return contacts(t, whole).select("frame", F.col("k").alias("nation"), r("min_distance").alias("min_distance"), "in_contact")
+def theta_contacts(t: Tables) -> DataFrame:
+    return contacts(t).select("frame", F.col("k").alias("nation"), r("min_distance").alias("min_distance"), "in_contact")
 
 
 PERSIST = CONTACT + ", p AS (SELECT k, count(*) FILTER (d < 0.6) / count(*) AS persistence, avg(d) AS mean_d, count(*) AS n FROM m GROUP BY 1)"
 
 
 @query(PERSIST + " SELECT k AS nation, round(persistence, 9) AS persistence, round(mean_d, 6) AS mean_min_distance, n AS n_frames FROM p")
-def contact_persistence(t: Tables, whole: bool = False) -> DataFrame:
-    p = residues.persistence(contacts(t, whole), "k")
+def contact_persistence(t: Tables) -> DataFrame:
+    p = residues.persistence(contacts(t), "k")
     return p.select(F.col("k").alias("nation"), r("persistence", 9).alias("persistence"), r("mean_min_distance").alias("mean_min_distance"), "n_frames")
 
 
 @query(PERSIST + " SELECT k AS nation FROM p WHERE persistence >= 0.5")
-def binding_site(t: Tables, whole: bool = False) -> DataFrame:
-    return residues.persistence(contacts(t, whole), "k", least=0.5).select(F.col("k").alias("nation"))
+def binding_site(t: Tables) -> DataFrame:
+    return residues.persistence(contacts(t), "k", least=0.5).select(F.col("k").alias("nation"))
 
 
 @query(PERSIST + " SELECT n_name AS name, round(persistence, 9) AS persistence FROM nation LEFT JOIN p ON p.k = n_nationkey AND persistence >= 0.5")
-def site_left_outer(t: Tables, whole: bool = False) -> DataFrame:
-    p = residues.persistence(contacts(t, whole), "k", least=0.5)
+def site_left_outer(t: Tables) -> DataFrame:
+    p = residues.persistence(contacts(t), "k", least=0.5)
     return t.nation.join(F.broadcast(p), F.col("k") == F.col("n_nationkey"), "left").select(F.col("n_name").alias("name"), r("persistence", 9).alias("persistence"))
 
 
@@ -163,91 +163,85 @@ def topk_residues(t: Tables) -> DataFrame:
     return g.orderBy(F.desc("rmsf"), "nation").limit(5).select("nation", r("rmsf").alias("rmsf"))
 
 
-HILLS = """WITH k AS (SELECT value AS center, epoch_us(ts) AS us, 1 + user_id % 3 AS height, 2.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase' AND event_id % 10 = 0), f AS (SELECT event_id, value AS x, epoch_us(ts) AS us FROM events WHERE event_type = 'view' AND event_id % 7 = 0),
+HILLS = """WITH k AS (SELECT value AS center, epoch_us(ts) AS us, 1 + user_id % 3 AS height, 2.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id, value AS x, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
 v AS (SELECT event_id, sum(CASE WHEN q < 6.25 THEN height * (1 / (1 - exp(-6.25)) * exp(-q) + 1 - 1 / (1 - exp(-6.25))) ELSE 0 END) AS bias FROM (SELECT f.event_id, k.height, 0.5 * power((x - center) / sigma, 2) AS q FROM f LEFT JOIN k ON {when}) GROUP BY 1)"""
 
 
-def hills(t: Tables, whole: bool = False) -> DataFrame:
-    h = t.events.where("event_type = 'purchase'" + ("" if whole else " and event_id % 10 = 0"))
+def hills(t: Tables) -> DataFrame:
+    h = t.events.where("event_type = 'purchase'")
     return h.select(F.col("value").alias("center"), F.expr(MICROS).alias("hill_time"), (1 + F.col("user_id") % 3).alias("height"), (2.0 + F.col("event_id") % 5).alias("sigma"))
 
 
-def samples(t: Tables, whole: bool = False) -> DataFrame:
-    return t.events.where("event_type = 'view'" + ("" if whole else " and event_id % 7 = 0")).select("event_id", F.col("value").alias("x"), F.expr(MICROS).alias("us"))
+def samples(t: Tables) -> DataFrame:
+    return t.events.where("event_type = 'view'").select("event_id", F.col("value").alias("x"), F.expr(MICROS).alias("us"))
 
 
 @query(HILLS.format(when="k.us < f.us") + " SELECT event_id, round(coalesce(bias, 0), 6) AS bias FROM v")
-def hills_bias(t: Tables, whole: bool = False) -> DataFrame:
-    """The bias of purchases (every tenth is a hill) at the time of every seventh view."""
-    return reweight.bias_by_join(samples(t, whole), hills(t, whole), "event_id", "x", "us").select("event_id", r("bias").alias("bias"))
+def hills_bias(t: Tables) -> DataFrame:
+    """The bias of purchases, as hills, at the time of every view."""
+    return reweight.bias_by_join(samples(t), hills(t), "event_id", "x", "us").select("event_id", r("bias").alias("bias"))
 
 
 @query(HILLS.format(when="true") + ", w AS (SELECT event_id, bias / 2.5 AS lw, count(*) OVER () AS n FROM v), s AS (SELECT *, exp(lw - max(lw) OVER ()) AS e FROM w) SELECT event_id, round(e / sum(e) OVER () * n, 6) AS weight FROM s")
-def metad_weights_final_bias(t: Tables, whole: bool = False) -> DataFrame:
-    v = reweight.bias_by_join(samples(t, whole), hills(t, whole), "event_id", "x", None)
+def metad_weights_final_bias(t: Tables) -> DataFrame:
+    v = reweight.bias_by_join(samples(t), hills(t), "event_id", "x", None)
     return reweight.log_weights(v.withColumn("lw", F.col("bias") / 2.5), "lw").select("event_id", r("weight").alias("weight"))
 
 
-@query("SELECT round(min(center) - 4 * max(sigma), 6) AS lo, round(max(center) + 4 * max(sigma), 6) AS hi, 200 AS points FROM (SELECT value AS center, 2.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase' AND event_id % 10 = 0)")
-def bias_grid(t: Tables, whole: bool = False) -> DataFrame:
-    h = hills(t, whole)
+@query("SELECT round(min(center) - 4 * max(sigma), 6) AS lo, round(max(center) + 4 * max(sigma), 6) AS hi, 200 AS points FROM (SELECT value AS center, 2.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase')")
+def bias_grid(t: Tables) -> DataFrame:
+    h = hills(t)
     return h.agg(r(F.min("center") - 4 * F.max("sigma")).alias("lo"), r(F.max("center") + 4 * F.max("sigma")).alias("hi"), F.lit(200).alias("points"))
 
 
-@query("""WITH h AS (SELECT value AS center, row_number() OVER (ORDER BY ts, event_id) AS i, 1.0 + user_id % 3 AS height, 2.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase' AND event_id % 40 = 0), g AS (SELECT unnest(range(0, 50)) * 4.0 AS s),
+@query("""WITH h AS (SELECT value AS center, row_number() OVER (ORDER BY ts, event_id) AS i, 1.0 + user_id % 3 AS height, 2.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase'), g AS (SELECT unnest(range(0, 50)) * 4.0 AS s),
 k AS (SELECT i, s, CASE WHEN 0.5 * power((s - center) / sigma, 2) < 6.25 THEN height * (1 / (1 - exp(-6.25)) * exp(-0.5 * power((s - center) / sigma, 2)) + 1 - 1 / (1 - exp(-6.25))) ELSE 0 END AS v FROM h, g),
 c AS (SELECT i, s, sum(v) OVER (PARTITION BY s ORDER BY i) AS v FROM k), e AS (SELECT i, v / 2.5 AS b, max(v / 2.5) OVER (PARTITION BY i) AS top FROM c) SELECT i::INT AS hill, round(2.5 * (max(top) + ln(sum(exp(b - top))) - ln(count(*))), 6) AS c FROM e GROUP BY i""")
-def metad_rct(t: Tables, whole: bool = False) -> DataFrame:
+def metad_rct(t: Tables) -> DataFrame:
     """c(t) after each hill of an untempered run, by a running bias at every grid point."""
-    h = t.events.where("event_type = 'purchase'" + ("" if whole else " and event_id % 40 = 0")).select(F.col("value").alias("center"), "ts", "event_id", (1.0 + F.col("user_id") % 3).alias("height"), (2.0 + F.col("event_id") % 5).alias("sigma"))
-    h = h.withColumn("hill", F.row_number().over(Window.orderBy("ts", "event_id"))).withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: i * 4.0)))
-    import math
+    h = t.events.where("event_type = 'purchase'").select(F.col("value").alias("center"), "ts", "event_id", (1.0 + F.col("user_id") % 3).alias("height"), (2.0 + F.col("event_id") % 5).alias("sigma"))
+    h = timeseries.global_ordinals(h, F.expr(MICROS), ["ts", "event_id"], "hill").withColumn("hill", (F.col("hill") + 1).cast("int"))
+    return reweight.running_constant(h, 50, 0.0, 196.0, 2.5).select("hill", r("c").alias("c"))
 
-    a = 1 / (1 - math.exp(-reweight.CUTOFF))
-    q = 0.5 * F.pow((F.col("s") - F.col("center")) / F.col("sigma"), 2)
-    v = F.when(q < reweight.CUTOFF, F.col("height") * (a * F.exp(-q) + (1 - a))).otherwise(0.0)
-    run = h.withColumn("b", F.sum(v).over(Window.partitionBy("s").orderBy("hill")) / 2.5)
-    top = run.withColumn("top", F.max("b").over(Window.partitionBy("hill")))
-    return top.groupBy("hill").agg(r(2.5 * (F.max("top") + F.log(F.sum(F.exp(F.col("b") - F.col("top")))) - F.log(F.count("*").cast("double")))).alias("c"))
 
+PERIODIC = """WITH k AS (SELECT value % 360 AS center, epoch_us(ts) AS us, 1 + user_id % 3 AS height, 5.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id, value % 360 - 180 AS x, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
+d AS (SELECT event_id, height, sigma, x - center AS d FROM f LEFT JOIN k ON k.us < f.us), q AS (SELECT event_id, height, 0.5 * power((d - 360 * round_even(d / 360, 0)) / sigma, 2) AS q FROM d)
+SELECT event_id, round(coalesce(sum(CASE WHEN q < 6.25 THEN height * (1 / (1 - exp(-6.25)) * exp(-q) + 1 - 1 / (1 - exp(-6.25))) ELSE 0 END), 0), 6) AS bias FROM q GROUP BY 1"""
 
-UMBRELLA = """WITH s AS (SELECT event_id, value AS x, user_id % 3 AS k FROM events WHERE event_id % 3 = 0), w AS (SELECT 0 AS k, 10.0 AS c, 0.02 AS kp UNION ALL SELECT 1, 30.0, 0.02 UNION ALL SELECT 2, 60.0, 0.02), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+
+@query(PERIODIC)
+def hills_bias_periodic(t: Tables) -> DataFrame:
+    """The bias of hills on an angle, at angles written in another turn."""
+    h = hills(t).select((F.col("center") % 360).alias("center"), "hill_time", "height", (F.col("sigma") + 3.0).alias("sigma"))
+    f = samples(t).withColumn("x", F.col("x") % 360 - 180)
+    return reweight.bias_by_join(f, h, "event_id", "x", "us", 360.0).select("event_id", r("bias").alias("bias"))
+
+
+UMBRELLA = """WITH s AS (SELECT event_id, value AS x, user_id % 3 AS k FROM events), w AS (SELECT 0 AS k, 10.0 AS c, 0.02 AS kp UNION ALL SELECT 1, 30.0, 0.02 UNION ALL SELECT 2, 60.0, 0.02), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
 u AS (SELECT s.event_id, w.k, 0.5 * kp / 2.5 * (x - c) * (x - c) AS u, n.n FROM s, w JOIN n USING (k)), d AS (SELECT event_id, max(ln(n) - u) AS top FROM u GROUP BY 1), l AS (SELECT u.event_id, any_value(top) + ln(sum(exp(ln(n) - u - top))) AS d FROM u JOIN d USING (event_id) GROUP BY 1)"""
 
 
-def umbrella(t: Tables, whole: bool = False) -> tuple[DataFrame, list[int]]:
-    s = (t.events if whole else t.events.where("event_id % 3 = 0")).select("event_id", F.col("value").alias("x"), (F.col("user_id") % 3).alias("k"))
+def umbrella(t: Tables) -> tuple[DataFrame, list[int]]:
+    s = t.events.select("event_id", F.col("value").alias("x"), (F.col("user_id") % 3).alias("k"))
     n = {x["k"]: x["count"] for x in s.groupBy("k").count().collect()}  # three windows
     return reweight.umbrella_energies(s, "x", [10.0, 30.0, 60.0], [0.02] * 3, 2.5), [n.get(k, 0) for k in range(3)]
 
 
 @query(UMBRELLA + " SELECT k::INT AS k, round(-ln(sum(exp(-u - d))), 8) AS f FROM u JOIN l USING (event_id) GROUP BY k")
-def mbar_sc_step(t: Tables, whole: bool = False) -> DataFrame:
-    e, n = umbrella(t, whole)
+def mbar_sc_step(t: Tables) -> DataFrame:
+    e, n = umbrella(t)
     return reweight.mbar_step(e, [0.0] * 3, n).select("k", r("f", 8).alias("f"))
 
 
 @query(UMBRELLA + " SELECT event_id, round(e / sum(e) OVER (), 10) AS weight FROM (SELECT event_id, exp(min(d) OVER () - d) AS e FROM l)")
-def umbrella_weights(t: Tables, whole: bool = False) -> DataFrame:
-    e, n = umbrella(t, whole)
+def umbrella_weights(t: Tables) -> DataFrame:
+    e, n = umbrella(t)
     return reweight.unbiased_weights(e, [0.0] * 3, n).select("event_id", r("weight", 10).alias("weight"))
 
 
 @query()
-def mbar_free_energies(t: Tables, whole: bool = False) -> DataFrame:
+def mbar_free_energies(t: Tables) -> DataFrame:
     """Converged free energies of three windows."""
-    e, n = umbrella(t, whole)
+    e, n = umbrella(t)
     f = reweight.mbar(e, n, steps=30)
     return t.spark.createDataFrame([(k, float(x)) for k, x in enumerate(f)], "k int, f double")
-
-
-#: The filters above, without which the same queries run over whole tables. Hills against samples are too many pairs for SQL there.
-SUBSETS = (" AND event_id % 10 = 0", " AND event_id % 7 = 0")
-for _f in (theta_contacts, contact_persistence, binding_site, site_left_outer):
-    whole_tables(_f, " WHERE c_custkey < 600")
-for _f in (mbar_sc_step, umbrella_weights):
-    whole_tables(_f, " WHERE event_id % 3 = 0")
-whole_tables(bias_grid, SUBSETS[0])
-whole_tables(metad_rct, " AND event_id % 40 = 0")
-for _f in (hills_bias, metad_weights_final_bias, mbar_free_energies):
-    whole_tables(_f)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import columns as C
 from terrane.operators import kinetics, msm, resample, timeseries
-from terrane.plans.registry import Tables, query, r, whole as whole_tables
+from terrane.plans.registry import Tables, query, r
 
 STATES = ["click", "purchase", "signup", "view"]
 ORDER = ["ts", "event_id"]
@@ -341,15 +341,12 @@ def except_keys(t: Tables) -> DataFrame:
     return pick("signup").subtract(pick("purchase"))
 
 
-@query("SELECT user_id, event_id, round(energy, 6) AS energy FROM (SELECT user_id, event_id, -0.008314462618 * 300.0 * ln(p / max(p) OVER ()) AS energy FROM (SELECT user_id, event_id, value / sum(value) OVER () AS p FROM events WHERE value > 0)) WHERE user_id < 10")
-def relative_energies(t: Tables, whole: bool = False) -> DataFrame:
+@query("SELECT user_id, event_id, round(energy, 6) + 0.0 AS energy FROM (SELECT user_id, event_id, -0.008314462618 * 300.0 * ln(p / max(p) OVER ()) AS energy FROM (SELECT user_id, event_id, value / sum(value) OVER () AS p FROM events WHERE value > 0))")
+def relative_energies(t: Tables) -> DataFrame:
     e = t.events.where("value > 0")
     top = e.agg(F.max("value").alias("top"))
     rows = e.crossJoin(F.broadcast(top))
-    return (rows if whole else rows.where("user_id < 10")).select("user_id", "event_id", r(C.free_energy(F.col("value"), F.col("top"))).alias("energy"))
-
-
-whole_tables(relative_energies, " WHERE user_id < 10")
+    return rows.select("user_id", "event_id", (r(C.free_energy(F.col("value"), F.col("top"))) + 0.0).alias("energy"))
 
 
 @query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM o WHERE k >= CASE WHEN user_id % 2 = 0 THEN user_id % 5 ELSE 0 END GROUP BY 1")

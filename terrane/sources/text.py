@@ -121,8 +121,9 @@ def parse_hills(text: str, rescaled: bool = True) -> dict:
     table = pd.DataFrame(rows, columns=fields)
     factor = float(table["biasf"].iloc[0]) if "biasf" in table and len(table) else -1.0
     height = table["height"].to_numpy()
-    periods = [plumed_number(constants[f"max_{n}"]) - plumed_number(constants[f"min_{n}"]) if f"min_{n}" in constants and f"max_{n}" in constants else None for n in names]
-    return {"names": names, "times": table["time"].to_numpy(), "centers": table[names].to_numpy(), "sigmas": table[[f"sigma_{n}" for n in names]].to_numpy(), "heights": height * (factor - 1) / factor if rescaled and factor > 1 else np.array(height), "factor": factor if factor > 1 else None, "periods": periods}
+    spans = [(plumed_number(constants[f"min_{n}"]), plumed_number(constants[f"max_{n}"])) if f"min_{n}" in constants and f"max_{n}" in constants else None for n in names]
+    periods = [s[1] - s[0] if s else None for s in spans]
+    return {"names": names, "times": table["time"].to_numpy(), "centers": table[names].to_numpy(), "sigmas": table[[f"sigma_{n}" for n in names]].to_numpy(), "heights": height * (factor - 1) / factor if rescaled and factor > 1 else np.array(height), "factor": factor if factor > 1 else None, "periods": periods, "spans": spans}
 
 
 def parse_xpm(text: str) -> dict:

@@ -62,14 +62,30 @@ def test_further_sources(spark, tmp_path):
     assert text.read_gro(spark, f"file://{g}").first()["z"] == pytest.approx(3)
 
 
-def test_hills_over_whole_tables(spark, sf):
-    import duckdb
-    from terrane.plans import registry, relations
+def test_metadynamics_weights_wrap_and_sort(spark):
+    """Weights from the table operator against plain sums, for a periodic variable and hills in no order."""
+    from terrane.operators import reweight
 
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-    for name, value in (("hills_bias", "bias"), ("metad_weights_final_bias", "weight")):
-        want = dict(con.execute(f"SELECT event_id, {value} FROM ({registry.without(registry.SQL[name], *relations.SUBSETS)})").fetchall())
-        got = {r["event_id"]: r[value] for r in registry.QUERIES[f"{name}_whole"](spark, sf).collect()}
-        assert got.keys() == want.keys() and len(got) == con.execute("SELECT count(*) FROM events WHERE event_type = 'view'").fetchone()[0]
-        assert all(abs(got[k] - x) < 3e-6 for k, x in want.items())
+    rng = np.random.default_rng(6)
+    period, n = 2 * np.pi, 40
+    hills = {"times": rng.permutation(n) * 1.0, "centers": rng.uniform(-np.pi, np.pi, (n, 1)), "sigmas": np.full((n, 1), 0.4), "heights": np.full(n, 1.2), "periods": [period], "spans": [(-np.pi, np.pi)]}
+    x = rng.uniform(-np.pi, np.pi, 60)
+    frames = spark.createDataFrame([(k, k * 0.7, float(v)) for k, v in enumerate(x)], "k int, time_ps double, phi double")
+    a, kt = 1 / (1 - np.exp(-6.25)), 0.008314462618 * 300
+
+    def kernel(d):
+        q = 0.5 * ((d + np.pi) % period - np.pi) ** 2 / 0.16
+        return np.where(q < 6.25, a * np.exp(-q) + 1 - a, 0)
+
+    order = np.argsort(hills["times"])
+    grid = np.linspace(-np.pi, np.pi, 200, endpoint=False)
+    run = np.cumsum([1.2 * kernel(grid - hills["centers"][i, 0]) for i in order], axis=0)
+    c = kt * (np.log(np.exp(10 * run / kt / 9).sum(1)) - np.log(np.exp(run / kt / 9).sum(1)))
+    lw = {"final": [1.2 * kernel(v - hills["centers"][:, 0]).sum() / kt for v in x]}
+    lw["rct"] = [(1.2 * kernel(v - hills["centers"][:, 0])[hills["times"] < k * 0.7].sum() - (c[m - 1] if (m := int((np.sort(hills["times"]) < k * 0.7).sum())) else 0)) / kt for k, v in enumerate(x)]
+    for mode, values in lw.items():
+        want = np.exp(values) / np.exp(values).sum() * len(x)
+        got = [r["weight"] for r in reweight.metad_weights(frames, ["phi"], "time_ps", hills, mode=mode, factor=10.0).orderBy("k").collect()]
+        assert np.allclose(got, want)
+    shuffled = hills | {k: hills[k][rng.permutation(n)] if k == "none" else hills[k] for k in ("times",)}
+    assert reweight.in_time(shuffled)["times"].tolist() == sorted(hills["times"])
