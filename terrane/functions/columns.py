@@ -68,3 +68,25 @@ def frames_in_window(start: Column, stop: Column, dt: Column, stride: int = 1) -
     """How many frames of spacing dt lie in a window, both ends counted, after striding; one at least."""
     whole = F.floor((stop - start) / dt + 1e-9) + 1
     return F.greatest(F.lit(1), F.floor(whole / stride)).cast("long")
+
+
+def checked_weight(w: Column) -> Column:
+    """A weight as it is; an error for one that is null, not a number, infinite or negative."""
+    x = w.cast("double")
+    good = x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf"))
+    return F.when(good, x).otherwise(F.raise_error(F.concat(F.lit("not a weight: "), F.coalesce(x.cast("string"), F.lit("null")))).cast("double"))
+
+
+def bin_label(state: Column, basin: Column, occupied: Column) -> Column:
+    """What a cell is called: its state, `minor` for a basin without one, nothing where nothing was sampled."""
+    return F.when(~occupied | basin.isNull() | (basin == 0), F.lit("")).otherwise(F.coalesce(state, F.lit("minor")))
+
+
+def insignificant(difference: Column, sd: Column, times: float = 2.0) -> Column:
+    """Differences that lie within so many standard deviations of 0."""
+    return F.abs(difference) < times * sd
+
+
+def sentence(n_states: Column, top: Column, share: Column, rmsip: Column, cosine: Column) -> Column:
+    """An interpretation in words of a landscape and of how well it was sampled."""
+    return F.format_string("%d major states; %s holds %.1f %% of the frames. Overlap between halves is %s and cosine content is %s.", n_states.cast("int"), top, 100.0 * share, band(rmsip), band(cosine))

@@ -99,11 +99,25 @@ def t_quantile(p: float, dof: float) -> float:
     return (lo + hi) / 2
 
 
-def replicate_intervals(stats: DataFrame, mean: str, sem: str, n: str, most: int = 1000) -> DataFrame:
-    """95 % intervals by Student's t clipped to [0, 100]; quantiles of up to `most` degrees of freedom are literals, the normal one serves beyond."""
-    few = sorted({r[0] for r in stats.select(n).where(F.col(n) > 1).distinct().limit(most).collect()})
-    q = F.coalesce(*([F.when(F.col(n) == k, t_quantile(0.975, k - 1)) for k in few] + [F.lit(1.959963984540054)]))
-    return stats.withColumn("ci_low", F.greatest(F.lit(0.0), F.col(mean) - q * F.col(sem))).withColumn("ci_high", F.least(F.lit(100.0), F.col(mean) + q * F.col(sem)))
+def replicate_intervals(stats: DataFrame, mean: str, sem: str, n: str) -> DataFrame:
+    """95 % intervals by Student's t clipped to [0, 100]; the quantile of each count of replicates is computed where it stands, and one replicate has none."""
+
+    @F.pandas_udf("double")
+    def quantile(counts):
+        known = {k: t_quantile(0.975, k - 1) for k in counts.dropna().unique() if k > 1}
+        return counts.map(known).astype(float)
+
+    q = F.nanvl(quantile(F.col(n).cast("double")), F.lit(None).cast("double"))
+    return stats.withColumn("_q", q).withColumn("ci_low", F.greatest(F.lit(0.0), F.col(mean) - F.col("_q") * F.col(sem))).withColumn("ci_high", F.least(F.lit(100.0), F.col(mean) + F.col("_q") * F.col(sem))).withColumn("ci_low", F.when(F.col("_q").isNotNull() & F.col(sem).isNotNull(), F.col("ci_low"))).withColumn("ci_high", F.when(F.col("_q").isNotNull() & F.col(sem).isNotNull(), F.col("ci_high"))).drop("_q")
+
+
+def differences_by_bootstrap(samples: DataFrame, system: str, state: str, reference: str) -> DataFrame:
+    """(system, state, lo, hi, p) of population differences from the reference, from resamples (system, b, state, population): 95 % interval and two-sided p, one over the resamples at least."""
+    ref = samples.where(F.col(system) == reference).select("b", state, F.col("population").alias("_r"))
+    d = samples.where(F.col(system) != reference).join(ref, ["b", state]).withColumn("_d", F.col("population") - F.col("_r"))
+    below, above, n = F.count(F.when(F.col("_d") <= 0, 1)), F.count(F.when(F.col("_d") >= 0, 1)), F.count("*")
+    p = F.least(F.lit(1.0), F.greatest(2 * F.least(below, above) / n, 1 / n))
+    return d.groupBy(system, state).agg(F.percentile("_d", F.lit(0.025)).alias("lo"), F.percentile("_d", F.lit(0.975)).alias("hi"), p.alias("p"))
 
 
 def hellinger(p: np.ndarray, q: np.ndarray) -> float:

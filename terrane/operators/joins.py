@@ -13,10 +13,10 @@ def _merged(left: DataFrame, right: DataFrame, by: list[str], time: str, value:
     return a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(0)))
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, key: str, direction: str = "backward", strict: bool = False, tolerance: float | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, key: str, direction: str = "backward", strict: bool = False, tolerance: float | None = None, ties: str = "earlier") -> DataFrame:
     """(by, key, time, value): the value of the right row that matches each left row's time, null if none.
 
-    backward: the last right row at or before (before, if strict); forward: the first at or after; nearest: the closer of both, the earlier on ties.
+    backward: the last right row at or before (before, if strict); forward: the first at or after; nearest: the closer of both, the earlier on ties, or the later with `ties`.
     Rows meet in one sorted pass per group: no row is copied, and no pair is formed.
     """
     both = _merged(left, right, by, time, value, key)
@@ -34,7 +34,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str
     elif direction == "forward":
         best = F.col("_f")
     else:
-        nearer = (F.col("_f._rt") - F.col("_t")) < (F.col("_t") - F.col("_b._rt"))
+        ahead, behind = F.col("_f._rt") - F.col("_t"), F.col("_t") - F.col("_b._rt")
+        nearer = ahead <= behind if ties == "later" else ahead < behind
         best = F.when(F.col("_b").isNull() | nearer, F.coalesce("_f", "_b")).otherwise(F.col("_b"))
     out = out.where("_side = 1").withColumn("_m", best)
     if tolerance is not None:
@@ -58,3 +59,32 @@ def common_keys(first: DataFrame, second: DataFrame, keys: list[str], order: str
         return t.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
     return once(first).select(*keys, F.col(order).alias("first_order")).join(once(second).select(*keys, F.col(order).alias("second_order")), keys)
+
+
+def at_time(frames: DataFrame, by: list[str], time: str, order: list[str], when: float) -> DataFrame:
+    """The frame of each group nearest to one time, the first in order on ties."""
+    best = F.min(F.struct(F.abs(F.col(time) - when).alias("_d"), *order, F.struct(*(c for c in frames.columns)).alias("_row")))
+    return frames.groupBy(*by).agg(best.alias("_best")).select("_best._row.*")
+
+
+def ends(frames: DataFrame, by: list[str], time: str, order: list[str], values: list[str]) -> DataFrame:
+    """(by, first_<value>, last_<value>...): values of the first and last frame of each group."""
+    row = F.struct(*(F.col(c) for c in dict.fromkeys([time, *order])), *(F.col(v).alias(f"_{v}") for v in values))
+    out = frames.groupBy(*by).agg(F.min(row).alias("_a"), F.max(row).alias("_z"))
+    return out.select(*by, *(F.col(f"{s}._{v}").alias(f"{n}_{v}") for v in values for s, n in (("_a", "first"), ("_z", "last"))))
+
+
+def common_to_all(tables: list[DataFrame], chain: str, residue: str, atom: str, order: str) -> DataFrame:
+    """(chain, residue, atom, order_0, order_1, ...) of atoms that all tables have, the first row of each table standing for its key.
+
+    Keys are chain, residue and atom if all tables have the same chains, else residue and atom alone; chain and order are the first table's.
+    """
+    chains = [sorted(str(r[0]) for r in t.select(chain).distinct().collect()) for t in tables]  # chains are few
+    keys = [chain, residue, atom] if all(c == chains[0] for c in chains) else [residue, atom]
+    out = None
+    for k, t in enumerate(tables):
+        w = Window.partitionBy(*keys).orderBy(order)
+        one = t.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+        one = one.select(*dict.fromkeys([*([chain] if k == 0 else []), *keys]), F.col(order).alias(f"order_{k}"))
+        out = one if out is None else out.join(one, keys)
+    return out

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators.quantiles import exact_quantiles, gaps
+
 
 def pairs(df: DataFrame, replicate: str, order: list[str], state: str, labels: list[str] | None = None, lag: int = 1) -> DataFrame:
     """(replicate, source, target) of frames `lag` apart within a replicate, after frames in other states are taken out."""
@@ -52,7 +54,10 @@ def visits(df: DataFrame, replicate: str, order: list[str], state: str, time: st
 def visit_summary(v: DataFrame, steps: DataFrame) -> DataFrame:
     """By state: visits, mean and median of whole ones, longest, total, transitions out and in, and lifetime total/out (infinite without a way out)."""
     whole = F.when(~F.col("censored"), F.col("dwell"))
-    s = v.groupBy("state").agg(F.count("*").alias("visits"), F.count(whole).alias("visits_uncensored"), F.avg(whole).alias("mean_dwell"), F.percentile(whole, F.lit(0.5)).alias("median_dwell"), F.max("dwell").alias("max_dwell"), F.sum("dwell").alias("total_time"))
+    lengths = v.where("not censored").groupBy("state", "dwell").agg(F.count("*").alias("_n"))  # few lengths, multiples of the frame spacing
+    median = lengths.groupBy("state").agg(F.percentile("dwell", F.lit(0.5), F.col("_n")).alias("median_dwell"))
+    s = v.groupBy("state").agg(F.count("*").alias("visits"), F.count(whole).alias("visits_uncensored"), F.avg(whole).alias("mean_dwell"), F.max("dwell").alias("max_dwell"), F.sum("dwell").alias("total_time"))
+    s = s.join(F.broadcast(median), "state", "left")
     moved = steps.where("source != target")
     out, in_ = moved.groupBy(F.col("source").alias("state")).agg(F.count("*").alias("transitions_out")), moved.groupBy(F.col("target").alias("state")).agg(F.count("*").alias("transitions_in"))
     s = s.join(out, "state", "left").join(in_, "state", "left").fillna(0, ["transitions_out", "transitions_in"])
@@ -75,8 +80,10 @@ def mean_first_passage(matrix: np.ndarray, dt: float = 1.0) -> np.ndarray:
 
 
 def frame_spacing(df: DataFrame, time: str, replicate: str | None = None) -> DataFrame:
-    """One row `dt`: the median positive gap, within replicates if one is named, else of the pooled distinct times."""
-    rows = df.select(replicate, time) if replicate else df.select(time).distinct()
-    w = Window.partitionBy(*([replicate] if replicate else [])).orderBy(time)
-    gaps = rows.select((F.lead(time).over(w) - F.col(time)).alias("gap")).where("gap > 0")
-    return gaps.agg(F.percentile("gap", F.lit(0.5)).alias("dt"))
+    """One row `dt`: the median positive gap, within replicates if one is named, else of the pooled distinct times; null without a gap."""
+    if replicate:
+        w = Window.partitionBy(replicate).orderBy(time)
+        between = df.select((F.lead(time).over(w) - F.col(time)).alias("gap"))
+    else:
+        between = gaps(df, time)
+    return df.sparkSession.createDataFrame([tuple(exact_quantiles(between.where("gap > 0"), "gap", [0.5]))], "dt double")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import bin_center, bin_index, free_energy
+from terrane.operators.quantiles import exact_quantiles
 
 
 def value_range(df: DataFrame, x: str, y: str, pad: float = 0.0) -> DataFrame:
@@ -92,14 +93,13 @@ def smoothed(cells: DataFrame, bins: int, sigma: float, temperature: float = 300
 
 def automatic_bins(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row `bins`: Freedman-Diaconis on both columns, the larger count, between 16 and 128."""
-
-    def wanted(c: str) -> Column:
-        v = F.col(c).cast("double")
-        iqr = F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))
-        width = 2 * iqr * F.pow(F.count("*").cast("double"), F.lit(-1.0 / 3))
-        return F.when(width > 0, F.ceil((F.max(v) - F.min(v)) / width)).otherwise(16)
-
-    return df.agg(F.least(F.lit(128), F.greatest(F.lit(16), wanted(x), wanted(y))).cast("int").alias("bins"))
+    n, *ends = df.agg(F.count("*"), *(f(F.col(c).cast("double")) for c in (x, y) for f in (F.min, F.max))).first()
+    most = 16
+    for c, lo, hi in ((x, *ends[:2]), (y, *ends[2:])):
+        quarter, three = exact_quantiles(df, c, [0.25, 0.75]) if n else (None, None)
+        width = 2 * (three - quarter) * n ** (-1 / 3) if quarter is not None else 0
+        most = max(most, math.ceil((hi - lo) / width) if width > 0 else 16)
+    return df.sparkSession.createDataFrame([(min(128, most),)], "bins int")
 
 
 def marginal(g: DataFrame, axis: str, temperature: float = 300.0) -> DataFrame:
@@ -118,3 +118,9 @@ def pmf(df: DataFrame, x: str, bins: int, weight: str, temperature: float = 300.
     w = Window.partitionBy()
     out = out.withColumn("probability", F.col("weight_sum") / F.sum("weight_sum").over(w))
     return out.select("ix", bin_center(F.col("ix"), F.col("lo"), F.col("hi"), bins).alias("center"), "count", "weight_sum", "probability", free_energy(F.col("probability"), F.max("probability").over(w), temperature).alias("pmf"))
+
+
+def colour_ceiling(g: DataFrame, value: str = "free_energy", most: float = 35.0) -> float:
+    """Where a colour scale ends: the 98th percentile of the energies, at most `most`."""
+    (q,) = exact_quantiles(g, value, [0.98])
+    return most if q is None else min(q, most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.columns import R, counter_uniform
+from terrane.functions.columns import R, bin_index, counter_uniform
 
 
 def ordinals(df: DataFrame, replicate: str, order: list[str]) -> DataFrame:
@@ -33,14 +33,51 @@ def resampled(df: DataFrame, replicate: str, order: list[str], n_boot: int, leng
     return rows.join(block_indices(sizes, replicate, n_boot, length, seed), [replicate, "_i"]).drop("_i")
 
 
+def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
+    """(b, replicate, label, t): how often each label is drawn, in one row or two that add up.
+
+    A circular block is looked up by its start among counts over windows of `length` frames, so a resample meets N / length rows instead of N; only
+    its last block, which is cut, is drawn frame by frame.
+    """
+    names = sorted(x[0] for x in df.where(F.col(label).isNotNull()).select(label).distinct().collect())  # states are few
+    rows = ordinals(df.select(replicate, *dict.fromkeys([*order, label])), replicate, order).withColumn("_n", F.count("*").over(Window.partitionBy(replicate)))
+    # the first frames once more behind the last ones, so that a window runs through
+    copy = F.when((F.col("_i") < length - 1) & (F.col("_n") >= length), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    circle = rows.withColumn("_copy", F.explode(copy)).withColumn("_i", F.col("_i") + F.col("_copy") * F.col("_n"))
+    w = Window.partitionBy(replicate).orderBy("_i").rowsBetween(0, length - 1)
+    hits = [F.sum(F.when(F.col(label) == x, 1).otherwise(0)).over(w) for x in names]
+    windows = circle.select(replicate, "_i", "_n", F.array(*hits).alias("_hits")).where(F.col("_i") < F.col("_n"))
+    sizes = rows.groupBy(replicate).agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / length).cast("int")
+    starts = sizes.select(replicate, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    starts = starts.withColumn("_i", counter_uniform(F.col("n"), F.lit(seed), F.col("b"), F.col(replicate), F.col("k")))
+    left = F.col("n") - F.col("k") * length
+    whole = starts.where(left >= length).groupBy("b", replicate, "_i").agg(F.count("*").alias("_times"))
+    whole = whole.join(windows, [replicate, "_i"]).select("b", replicate, F.posexplode("_hits").alias("_at", "_h"), "_times")
+    whole = whole.groupBy("b", replicate, "_at").agg(F.sum(F.col("_h") * F.col("_times")).alias("t")).select("b", replicate, F.get(F.array(*map(F.lit, names)), F.col("_at")).alias(label), "t")
+    cut = starts.where(left < length).select("b", replicate, F.explode(F.transform(F.sequence(F.lit(0), (left - 1).cast("int")), lambda k: (F.col("_i") + k) % F.col("n"))).alias("_i"))
+    cut = cut.join(rows.select(replicate, "_i", label), [replicate, "_i"]).groupBy("b", replicate, label).agg(F.count("*").alias("t"))
+    return whole.unionByName(cut)
+
+
 def bootstrap_populations(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
     """(b, label, population): the share of frames of every resample, zeros included."""
-    counts = resampled(df, replicate, order, n_boot, length, seed).groupBy("b", label).agg(F.sum("times").alias("t"))
+    counts = block_counts(df, replicate, order, label, n_boot, length, seed).groupBy("b", label).agg(F.sum("t").alias("t"))
     frame = df.select(label).distinct().crossJoin(df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")))
     full = frame.join(counts, ["b", label], "left").fillna(0, ["t"])
     return full.select("b", label, (F.col("t") / F.sum("t").over(Window.partitionBy("b"))).alias("population"))
 
 
+def profile_bands(df: DataFrame, replicate: str, order: list[str], value: str, bins: int, bounds: tuple[float, float], n_boot: int, length: int, seed: int = 0, temperature: float = 300.0) -> DataFrame:
+    """(bin, sd, lo, hi, support): the spread over resamples of the one-dimensional free energy in each bin, relative to the resample's densest bin."""
+    lo, hi = bounds
+    binned = df.withColumn("bin", bin_index(F.col(value).cast("double"), F.lit(float(lo)), F.lit(float(hi)), bins)).where("bin is not null")
+    counts = block_counts(binned, replicate, order, "bin", n_boot, length, seed).groupBy("b", "bin").agg(F.sum("t").alias("t")).where("t > 0")
+    energy = counts.select("b", "bin", (-R * temperature * F.log(F.col("t") / F.max("t").over(Window.partitionBy("b")))).alias("g"))
+    out = energy.groupBy("bin").agg(F.stddev_pop("g").alias("sd"), F.percentile("g", F.lit(0.025)).alias("lo"), F.percentile("g", F.lit(0.975)).alias("hi"), F.count("*").alias("_k"))
+    return out.select("bin", "sd", "lo", "hi", (F.col("_k") / n_boot).alias("support"))
+
+
 def summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """Standard deviation (population), 2.5 and 97.5 percentiles over resamples, nulls left out, and the share of resamples that have a value."""
     v = F.col(value)
@@ -75,8 +112,9 @@ def cell_intervals(samples: DataFrame, n_boot: int, least_support: float = 0.5)
 
 def bootstrap_systems(df: DataFrame, system: str, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
     """(system, b, label, population) with resamples drawn inside each system."""
-    keyed = df.withColumn("_rep", F.concat_ws("\x1f", system, replicate))
-    counts = resampled(keyed, "_rep", order, n_boot, length, seed).groupBy(system, "b", label).agg(F.sum("times").alias("t"))
+    keyed = df.withColumn("_rep", F.concat_ws("/", system, replicate))
+    owner = keyed.select("_rep", system).distinct()
+    counts = block_counts(keyed, "_rep", order, label, n_boot, length, seed).join(F.broadcast(owner), "_rep").groupBy(system, "b", label).agg(F.sum("t").alias("t"))
     frame = df.select(system, label).distinct().crossJoin(df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")))
     full = frame.join(counts, [system, "b", label], "left").fillna(0, ["t"])
     return full.select(system, "b", label, (F.col("t") / F.sum("t").over(Window.partitionBy(system, "b"))).alias("population"))

@@ -77,7 +77,8 @@ def persistence(c: DataFrame, group: str, weight: str | None = None, least: floa
 def centroid(df: DataFrame, by: list[str], values: list[str], weight: str) -> DataFrame:
     w = F.col(weight).cast("double")
     total = F.sum(w)
-    return df.groupBy(*by).agg(*(F.when(total > 0, F.sum(w * F.col(v)) / total).alias(v) for v in values))
+    refused = F.raise_error(F.lit("weights do not add up to more than 0")).cast("double")
+    return df.groupBy(*by).agg(*(F.when(total > 0, F.sum(w * F.col(v)) / total).otherwise(refused).alias(v) for v in values))
 
 
 def gyration(df: DataFrame, by: list[str], values: list[str], mass: str) -> DataFrame:
@@ -126,3 +127,31 @@ def dihedral(p: list[list[Column]]) -> Column:
     b1, b2, b3 = sub(p[1], p[0]), sub(p[2], p[1]), sub(p[3], p[2])
     n1, n2 = cross(b1, b2), cross(b2, b3)
     return F.degrees(F.atan2(inner(b1, n2) * F.sqrt(inner(b2, b2)), inner(n1, n2)))
+
+
+def with_lookup(states: DataFrame, intervals: DataFrame, state: str, columns: list[str]) -> DataFrame:
+    """States with the columns of their intervals, null where there are none."""
+    return states.join(F.broadcast(intervals.select(state, *columns)), state, "left")
+
+
+def masked(atoms: DataFrame, residue: str, names: list[str], keep: bool = True) -> DataFrame:
+    """Atoms of the named residues, or of all others."""
+    hit = F.coalesce(F.col(residue).isin(names), F.lit(False))
+    return atoms.where(hit if keep else ~hit)
+
+
+def persistence_by_state(c: DataFrame, group: str, state: str, weight: str | None = None, least: float = 0.0) -> DataFrame:
+    """(group, state, persistence, overall, most): shares of frames in contact by state, the share in all frames and the largest of all; groups whose largest is below `least` go."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    hit = F.when(F.col("in_contact"), w).otherwise(0.0)
+    each = c.groupBy(group, state).agg(F.sum(hit).alias("_h"), F.sum(w).alias("_w"))
+    every = Window.partitionBy(group)
+    share = F.try_divide("_h", "_w")
+    overall = F.try_divide(F.sum("_h").over(every), F.sum("_w").over(every))
+    out = each.select(group, state, share.alias("persistence"), overall.alias("overall"), F.greatest(F.max(share).over(every), overall).alias("most"))
+    return out.where(F.col("most") >= least)
+
+
+def site_fluctuations(fluctuation: DataFrame, site: DataFrame, group: str, value: str = "rmsf") -> DataFrame:
+    """Fluctuations of the residues of a site, with null for those that were not measured."""
+    return site.select(group).distinct().join(fluctuation.select(group, value), group, "left")

@@ -62,3 +62,8 @@ def top_k(frames: DataFrame, key: str, score: str, ordinal: str, k: int) -> Data
     """The k frames of least score in each group."""
     w = Window.partitionBy(key).orderBy(score, ordinal)
     return frames.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def records(states: DataFrame) -> DataFrame:
+    """States as rows of a report: rank, name, percentage with one place, and the place and depth of the minimum."""
+    return states.select("rank", "state", F.format_string("%.1f %%", 100 * F.col("population")).alias("share"), "ix", "iy", F.round("min_free_energy", 4).alias("depth"))

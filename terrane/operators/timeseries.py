@@ -131,6 +131,22 @@ def block_length(g: Column, n: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.ceil(2 * g), F.greatest(F.lit(1), F.floor(n / 5)))).cast("long")
 
 
+def blocks_of(g: Column | None, n: Column) -> Column:
+    """How many blocks a series is cut into: n // ceil(10 g), between 3 and 10; 5 where g is not known."""
+    if g is None:
+        return F.lit(5)
+    return F.when(g.isNull(), 5).otherwise(F.greatest(F.lit(3), F.least(F.lit(10), F.floor(n / F.greatest(F.lit(1), F.ceil(10 * g)))))).cast("int")
+
+
+def in_own_blocks(df: DataFrame, replicate: str, order: list[str], blocks: DataFrame, count: str = "blocks") -> DataFrame:
+    """`df` with the number of its block, each replicate cut into as many as `blocks` says; the last one takes the rest."""
+    w = Window.partitionBy(replicate)
+    rows = df.join(F.broadcast(blocks.select(replicate, F.col(count).alias("_k"))), replicate)
+    rn = F.row_number().over(w.orderBy(*order)) - 1
+    size = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / F.col("_k")))
+    return rows.withColumn("block", F.least(F.floor(rn / size), F.col("_k") - 1).cast("int")).drop("_k")
+
+
 def in_blocks(df: DataFrame, replicate: str, order: list[str], blocks: int) -> DataFrame:
     """`df` with the number of its block: blocks of n // blocks frames, the last one takes the rest."""
     w = Window.partitionBy(replicate)

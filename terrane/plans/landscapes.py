@@ -245,8 +245,10 @@ def kish_neff(t: Tables) -> DataFrame:
 
 @query("SELECT l_linenumber AS replicate, round(sum(l_discount / s), 9) AS share, count(*) AS n FROM lineitem, (SELECT sum(l_discount) AS s FROM lineitem) GROUP BY 1")
 def normalise_weights(t: Tables) -> DataFrame:
-    total = t.lineitem.agg(F.sum(F.when(F.col("l_discount") >= 0, F.col("l_discount"))).alias("s"))
-    return t.lineitem.crossJoin(F.broadcast(total)).groupBy(F.col("l_linenumber").alias("replicate")).agg(r(F.sum(F.col("l_discount") / F.col("s")), 9).alias("share"), F.count("*").alias("n"))
+    """Weights as shares of their sum; one that is no weight is an error."""
+    w = t.lineitem.select(F.col("l_linenumber").alias("replicate"), C.checked_weight(F.col("l_discount")).alias("w"))
+    total = w.agg(F.sum("w").alias("s"))
+    return w.crossJoin(F.broadcast(total)).groupBy("replicate").agg(r(F.sum(F.col("w") / F.col("s")), 9).alias("share"), F.count("*").alias("n"))
 
 
 @query("SELECT l_quantity AS quantity, (CASE WHEN d >= 0.7 THEN 'high' WHEN d >= 0.5 THEN 'moderate' ELSE 'low' END) AS band, count(*) AS n FROM (SELECT l_quantity, l_quantity / 50.0 AS d FROM lineitem) GROUP BY ALL")
@@ -268,3 +270,33 @@ def harmonic_bias(t: Tables) -> DataFrame:
 @query(r"SELECT p_name AS name, CASE WHEN s = '' THEN 'state' ELSE s END AS slug, count(*) AS n FROM (SELECT p_name, regexp_replace(regexp_replace(regexp_replace(trim(p_name), '^State\b', 'state'), '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '', 'g') AS s FROM part) GROUP BY ALL")
 def state_slug(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).withColumn("slug", C.slug(F.col("name")))
+
+
+@query(SYSTEMS + ", q AS (SELECT k, ix, iy, ge, 1 + ix // 8 + 2 * (iy // 8) AS basin FROM g) SELECT k AS system, ix, iy, CASE WHEN basin = 1 THEN 'A' WHEN basin = 4 THEN 'B' ELSE 'minor' END AS label FROM q")
+def bin_labels(t: Tables) -> DataFrame:
+    """What each cell is called when two of four basins are states."""
+    basin = (1 + F.floor(F.col("ix") / 8) + 2 * F.floor(F.col("iy") / 8)).cast("int")
+    state = F.when(basin == 1, "A").when(basin == 4, "B")
+    return system_grids(t).select("system", "ix", "iy", C.bin_label(state, basin, F.lit(True)).alias("label"))
+
+
+@query(SYSTEMS + " SELECT round(least(35.0, quantile_cont(ge, 0.98)), 6) AS ceiling FROM g")
+def colour_ceiling(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(round(landscape.colour_ceiling(system_grids(t)), 6),)], "ceiling double")
+
+
+@query(SYSTEMS + """, m AS (SELECT ix, iy, avg(ge) AS m, stddev_pop(ge) AS sd, count(*) AS n FROM g GROUP BY 1, 2) SELECT g.k AS system, g.ix, g.iy, abs(round(ge - m, 9)) < 2 * round(sd, 9) AS insignificant FROM g JOIN m USING (ix, iy) WHERE n > 1""")
+def insignificant_bins(t: Tables) -> DataFrame:
+    """Cells in which a system lies within two deviations of the systems' mean."""
+    g = system_grids(t)
+    m = g.groupBy("ix", "iy").agg(F.avg("free_energy").alias("m"), F.stddev_pop("free_energy").alias("sd"), F.count("*").alias("n")).where("n > 1")
+    rows = g.join(F.broadcast(m), ["ix", "iy"])
+    return rows.select("system", "ix", "iy", C.insignificant(r(F.col("free_energy") - F.col("m"), 9), r("sd", 9)).alias("insignificant"))
+
+
+@query(POP.format(w="1.0::DOUBLE").replace(" p AS (SELECT basin_id", " pops AS (SELECT basin_id") + f""", {GRID}, k AS (SELECT *, row_number() OVER (ORDER BY population DESC, basin_id) AS n FROM pops), z AS (SELECT ({QUARTERS})::INT AS basin_id, ix, iy, ge, row_number() OVER (PARTITION BY ({QUARTERS}) ORDER BY ge, iy, ix) AS rk FROM g)
+SELECT n::INT AS rank, chr((64 + n)::INT) AS state, format('{{:.1f}} %', 100 * population) AS share, ix, iy, round(ge, 4) AS depth FROM k JOIN z ON z.basin_id = k.basin_id AND rk = 1 WHERE n = 1 OR (population >= 0.05 AND n <= 3)""")
+def state_records(t: Tables) -> DataFrame:
+    """Major states as rows of a report."""
+    pops = states.ranked(states.populations(placed(t)), most=3)
+    return states.records(pops.join(states.minima(quartered(landscape.grid(frames(t), X, Y, N))), "basin_id"))

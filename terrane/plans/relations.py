@@ -245,3 +245,52 @@ def mbar_free_energies(t: Tables) -> DataFrame:
     e, n = umbrella(t)
     f = reweight.mbar(e, n, steps=30)
     return t.spark.createDataFrame([(k, float(x)) for k, x in enumerate(f)], "k int, f double")
+
+
+@query("SELECT a.event_id, (SELECT arg_min(b.value, (abs(epoch_us(b.ts) - epoch_us(a.ts)), -epoch_us(b.ts))) FROM (SELECT ts, user_id, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2) b WHERE b.user_id = a.user_id) AS value FROM events a WHERE a.event_type = 'view'")
+def asof_nearest_later(t: Tables) -> DataFrame:
+    """For every view, the value of the nearest click of the user, the later one on ties."""
+    a = t.events.where("event_type = 'view'").select("user_id", F.expr(MICROS).alias("us"), "event_id")
+    b = t.events.where("event_type = 'click'").groupBy("user_id", F.expr(MICROS).alias("us")).agg(F.max("value").alias("value"))
+    return joins.asof(a, b, ["user_id"], "us", "value", "event_id", "nearest", ties="later").select("event_id", "value")
+
+
+@query("SELECT s_suppkey, s_nationkey, 'ligand' AS side FROM supplier WHERE s_nationkey IN (3, 7) UNION ALL SELECT s_suppkey, s_nationkey, 'protein' FROM supplier WHERE s_nationkey NOT IN (3, 7)")
+def ligand_and_protein(t: Tables) -> DataFrame:
+    """Suppliers of two nations, and all others."""
+    sides = [residues.masked(t.supplier, "s_nationkey", [3, 7], keep).select("s_suppkey", "s_nationkey", F.lit(name).alias("side")) for keep, name in ((True, "ligand"), (False, "protein"))]
+    return sides[0].unionByName(sides[1])
+
+
+@query("SELECT e.event_id, v.label, round(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS norm2 FROM events e JOIN embeddings v ON v.vec_id = e.event_id")
+def frame_vectors(t: Tables) -> DataFrame:
+    """Events with the vector of the same number, as frames with their coordinates."""
+    from terrane.functions.columns import dot
+
+    v = t.embeddings.select(F.col("vec_id").alias("event_id"), "label", r(dot(F.col("embedding"), F.col("embedding"))).alias("norm2"))
+    return t.events.select("event_id").join(v, "event_id")
+
+
+@query(CONTACT + """, s AS (SELECT k, frame % 2 AS st, count(*) FILTER (d < 0.6) AS h, count(*) AS n FROM m GROUP BY 1, 2), o AS (SELECT k, sum(h) / sum(n) AS overall, greatest(max(h / n), sum(h) / sum(n)) AS most FROM s GROUP BY 1)
+SELECT k AS nation, st AS state, round(h / n, 9) AS persistence, round(overall, 9) AS overall, round(most, 9) AS most FROM s JOIN o USING (k) WHERE most >= 0.3""")
+def contact_persistence_by_state(t: Tables) -> DataFrame:
+    """Contact persistence in even and odd frames, of nations that reach 0.3 somewhere."""
+    p = residues.persistence_by_state(contacts(t).withColumn("state", F.col("frame") % 2), "k", "state", least=0.3)
+    return p.select(F.col("k").alias("nation"), "state", *(r(c, 9).alias(c) for c in ("persistence", "overall", "most")))
+
+
+@query("WITH f AS (SELECT s_nationkey AS nation, stddev_pop(s_acctbal) AS rmsf FROM supplier GROUP BY 1 HAVING count(*) > 2), s AS (SELECT DISTINCT c_nationkey AS nation FROM customer) SELECT nation, round(rmsf, 6) AS rmsf FROM s LEFT JOIN f USING (nation)")
+def site_rmsf(t: Tables) -> DataFrame:
+    """Fluctuations of the nations that customers come from; those with few suppliers have none."""
+    f = t.supplier.withColumnRenamed("s_nationkey", "nation").withColumn("n", F.count("*").over(Window.partitionBy("nation"))).where("n > 2")
+    f = residues.fluctuations(f, ["nation"], ["s_acctbal"])
+    return residues.site_fluctuations(f, t.customer.select(F.col("c_nationkey").alias("nation")), "nation").select("nation", r("rmsf").alias("rmsf"))
+
+
+@query("""WITH a AS (SELECT n_regionkey AS residue, n_name[1] AS atom, min(n_nationkey) AS o FROM nation WHERE n_nationkey < 20 GROUP BY 1, 2), b AS (SELECT n_regionkey AS residue, n_name[1] AS atom, min(n_nationkey) AS o FROM nation WHERE n_nationkey > 3 GROUP BY 1, 2), c AS (SELECT n_regionkey AS residue, n_name[1] AS atom, min(n_nationkey) AS o FROM nation GROUP BY 1, 2)
+SELECT a.residue, a.atom, a.o AS order_0, b.o AS order_1, c.o AS order_2 FROM a JOIN b USING (residue, atom) JOIN c USING (residue, atom)""")
+def common_atoms_of_three(t: Tables) -> DataFrame:
+    """Keys that three tables with different chains have, by region and first letter."""
+    n = t.nation.select(F.col("n_regionkey").alias("residue"), F.substring("n_name", 1, 1).alias("atom"), F.col("n_nationkey").alias("o"))
+    three = [n.where("o < 20").withColumn("chain", F.lit("A")), n.where("o > 3").withColumn("chain", F.lit("B")), n.withColumn("chain", F.lit("A"))]
+    return joins.common_to_all(three, "chain", "residue", "atom", "o").drop("chain")

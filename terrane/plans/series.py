@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import columns as C
-from terrane.operators import kinetics, msm, resample, timeseries
-from terrane.plans.registry import Tables, query, r
+from terrane.operators import compare, joins, kinetics, msm, resample, residues, timeseries
+from terrane.plans.registry import QUERIES, Tables, query, r
 
 STATES = ["click", "purchase", "signup", "view"]
 ORDER = ["ts", "event_id"]
@@ -275,22 +275,23 @@ def block_population_stats(t: Tables) -> DataFrame:
     return s.groupBy("user_id").agg(r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("block_sd"), F.count("*").alias("n_blocks"))
 
 
-BOOT = """WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), b AS (SELECT unnest(range(0, 20)) AS b),
+DRAWS = """WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), b AS (SELECT unnest(range(0, {n})) AS b),
 k AS (SELECT b, user_id, n, unnest(range(0, ((n + 4) // 5)::BIGINT)) AS k FROM n, b), s AS (SELECT *, ('0x' || substr(md5('0:' || b || ':' || user_id || ':' || k), 1, 8))::BIGINT % n AS start FROM k),
 d AS (SELECT b, user_id, (start + off) % n AS i FROM s, (SELECT unnest(range(0, 5)) AS off) WHERE k * 5 + off < n)"""
 
 
-@query(BOOT + " SELECT b::INT AS b, user_id, i, count(*) AS times FROM d GROUP BY ALL")
+@query(DRAWS.replace("{n}", "20") + " SELECT b::INT AS b, user_id, i, count(*) AS times FROM d GROUP BY ALL")
 def circular_blocks(t: Tables) -> DataFrame:
     n = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
     return resample.block_indices(n, "user_id", 20, 5).withColumnRenamed("_i", "i")
 
 
+BOOT = DRAWS.replace("{n}", "200")
 SHARES = BOOT + ", c AS (SELECT d.b, event_type, count(*) AS n FROM d JOIN o USING (user_id, i) GROUP BY 1, 2), f AS (SELECT b.b, e.event_type, coalesce(n, 0) AS n FROM b, (SELECT DISTINCT event_type FROM o) e LEFT JOIN c ON c.b = b.b AND c.event_type = e.event_type), p AS (SELECT b, event_type, n / sum(n) OVER (PARTITION BY b) AS population FROM f)"
 
 
 def shares(t: Tables) -> DataFrame:
-    return resample.bootstrap_populations(t.events, "user_id", ORDER, "event_type", 20, 5)
+    return resample.bootstrap_populations(t.events, "user_id", ORDER, "event_type", 200, 5)
 
 
 @query(SHARES + " SELECT b::INT AS b, event_type, round(population, 9) AS population FROM p")
@@ -368,3 +369,120 @@ def inactive_states(t: Tables) -> DataFrame:
     """Left lookup of set names; microstates outside all sets are inactive."""
     sets = t.spark.createDataFrame([("view", "MS1"), ("click", "MS2")], "event_type string, label string")
     return t.events.join(F.broadcast(sets), "event_type", "left").groupBy("event_type").agg(F.coalesce(F.first("label"), F.lit("inactive")).alias("label"), F.count("*").alias("n"))
+
+
+@query(BOOT + f""", v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, least(19, floor(value / 25))::INT AS bin FROM events WHERE value BETWEEN 0 AND 500),
+n2 AS (SELECT user_id, count(*) AS n FROM v GROUP BY 1), k2 AS (SELECT b, user_id, n, unnest(range(0, ((n + 4) // 5)::BIGINT)) AS k FROM n2, b), s2 AS (SELECT *, ('0x' || substr(md5('0:' || b || ':' || user_id || ':' || k), 1, 8))::BIGINT % n AS start FROM k2),
+d2 AS (SELECT b, user_id, (start + off) % n AS i FROM s2, (SELECT unnest(range(0, 5)) AS off) WHERE k * 5 + off < n), c2 AS (SELECT d2.b, bin, count(*) AS t FROM d2 JOIN v USING (user_id, i) GROUP BY 1, 2), g2 AS (SELECT b, bin, -0.008314462618 * 300.0 * ln(t / max(t) OVER (PARTITION BY b)) AS g FROM c2)
+SELECT bin, round(stddev_pop(g), 6) AS sd, round(quantile_cont(g, 0.025), 6) + 0.0 AS lo, round(quantile_cont(g, 0.975), 6) + 0.0 AS hi, round(count(*) / 200, 6) AS support FROM g2 GROUP BY 1""")
+def profile_bands(t: Tables) -> DataFrame:
+    """Bootstrap bands of the one-dimensional profile of a value."""
+    b = resample.profile_bands(t.events, "user_id", ORDER, "value", 20, (0.0, 500.0), 200, 5)
+    return b.select("bin", r("sd").alias("sd"), (r("lo") + 0.0).alias("lo"), (r("hi") + 0.0).alias("hi"), r("support").alias("support"))
+
+
+@query("""WITH o AS (SELECT user_id % 2 AS sys, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT sys, user_id, count(*) AS n FROM o GROUP BY 1, 2), b AS (SELECT unnest(range(0, 50)) AS b),
+k AS (SELECT b, sys, user_id, n, unnest(range(0, ((n + 3) // 4)::BIGINT)) AS k FROM n, b), s AS (SELECT *, ('0x' || substr(md5('0:' || b || ':' || sys || '/' || user_id || ':' || k), 1, 8))::BIGINT % n AS start FROM k),
+d AS (SELECT b, user_id, (start + off) % n AS i FROM s, (SELECT unnest(range(0, 4)) AS off) WHERE k * 4 + off < n), c AS (SELECT sys, d.b, event_type, count(*) AS t FROM d JOIN o USING (user_id, i) GROUP BY 1, 2, 3), p AS (SELECT sys, b, event_type, t / sum(t) OVER (PARTITION BY sys, b) AS population FROM c)
+SELECT sys AS system, event_type, round(avg(population), 8) AS mean, round(stddev_pop(population), 8) AS sd FROM p GROUP BY 1, 2""")
+def bootstrap_by_system(t: Tables) -> DataFrame:
+    """Resampled populations of two systems, each drawn from its own replicates."""
+    e = t.events.withColumn("system", F.col("user_id") % 2)
+    p = resample.bootstrap_systems(e, "system", "user_id", ORDER, "event_type", 50, 4)
+    return p.groupBy("system", "event_type").agg(r(F.avg("population"), 8).alias("mean"), r(F.stddev_pop("population"), 8).alias("sd"))
+
+
+@query("WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-20') SELECT event_id, user_id, k FROM w WHERE k % 3 = 0")
+def window_then_stride(t: Tables) -> DataFrame:
+    """The window first, then every third of its frames."""
+    w = t.events.where("ts >= timestamp_ntz'2024-01-03 00:00:00' and ts <= timestamp_ntz'2024-01-20 00:00:00'")
+    k = (F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)) - 1).cast("long")
+    return w.withColumn("k", k).where("k % 3 = 0").select("event_id", "user_id", "k")
+
+
+@query("SELECT user_id, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value, arg_min(event_type, (ts, event_id)) AS first_event_type, arg_max(event_type, (ts, event_id)) AS last_event_type FROM events GROUP BY 1")
+def first_and_last(t: Tables) -> DataFrame:
+    return joins.ends(t.events, ["user_id"], "ts", ["event_id"], ["value", "event_type"])
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 50.0), ts, event_id) AS n FROM events) WHERE n = 1")
+def frame_for_time(t: Tables) -> DataFrame:
+    """The event of each user whose value, as a time, is nearest to 50."""
+    return joins.at_time(t.events, ["user_id"], "value", ORDER, 50.0).select("user_id", "event_id", "value")
+
+
+@query("""WITH s AS (SELECT event_type AS state, count(*) AS frames FROM events GROUP BY 1), c AS (SELECT event_type AS state, avg(x) AS mean, stddev_samp(x) / sqrt(count(*)) AS sem FROM (SELECT user_id, event_type, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS x FROM events WHERE event_type <> 'error' GROUP BY 1, 2) GROUP BY 1)
+SELECT state, frames, round(mean, 6) AS mean, round(sem, 6) AS sem FROM s LEFT JOIN c USING (state)""")
+def state_intervals_join(t: Tables) -> DataFrame:
+    """States with the statistics of those that have any."""
+    s = t.events.groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("frames"))
+    n = t.events.where("event_type != 'error'").groupBy("user_id", F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
+    x = n.withColumn("x", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("user_id")))
+    c = x.groupBy("state").agg(r(F.avg("x")).alias("mean"), r(F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("sem"))
+    return residues.with_lookup(s, c, "state", ["mean", "sem"])
+
+
+@query(G + """, b AS (SELECT user_id, n, greatest(3, least(10, floor(n / greatest(1, ceil(10 * round(g, 5))))))::INT AS blocks FROM g), e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
+x AS (SELECT o.user_id, blocks, event_type, least(k // greatest(1, n // blocks), blocks - 1) AS block FROM e AS o JOIN b USING (user_id)), y AS (SELECT user_id, block, 100.0 * count(*) FILTER (event_type = 'view') / count(*) AS x FROM x GROUP BY 1, 2)
+SELECT user_id, count(*) AS n_blocks, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS block_sd FROM y GROUP BY 1""")
+def block_statistics_from_g(t: Tables) -> DataFrame:
+    """Block statistics with as many blocks as the correlation of the series allows."""
+    g = timeseries.effective_samples(t.events, "user_id", ORDER, "value")
+    blocks = g.select("user_id", timeseries.blocks_of(r("g", 5), F.col("n")).alias("blocks"))
+    s = timeseries.in_own_blocks(t.events, "user_id", ORDER, blocks).groupBy("user_id", "block").agg((100.0 * F.count(F.when(F.col("event_type") == "view", 1)) / F.count("*")).alias("x"))
+    return s.groupBy("user_id").agg(F.count("*").alias("n_blocks"), r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("block_sd"))
+
+
+@query("""WITH o AS (SELECT user_id % 3 AS sys, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), n AS (SELECT sys, user_id, count(*) AS n FROM o GROUP BY 1, 2), b AS (SELECT unnest(range(0, 100)) AS b),
+k AS (SELECT b, sys, user_id, n, unnest(range(0, ((n + 4) // 5)::BIGINT)) AS k FROM n, b), s AS (SELECT *, ('0x' || substr(md5('0:' || b || ':' || sys || '/' || user_id || ':' || k), 1, 8))::BIGINT % n AS start FROM k),
+d AS (SELECT b, user_id, (start + off) % n AS i FROM s, (SELECT unnest(range(0, 5)) AS off) WHERE k * 5 + off < n), c AS (SELECT sys, d.b, event_type, count(*) AS t FROM d JOIN o USING (user_id, i) GROUP BY 1, 2, 3), p AS (SELECT sys, b, event_type, t / sum(t) OVER (PARTITION BY sys, b) AS q FROM c),
+e AS (SELECT x.sys, x.event_type, x.q - y.q AS d FROM p x JOIN p y ON y.b = x.b AND y.event_type = x.event_type AND y.sys = 0 WHERE x.sys <> 0)
+SELECT sys AS system, event_type, round(quantile_cont(d, 0.025), 8) AS lo, round(quantile_cont(d, 0.975), 8) AS hi, least(1.0, greatest(2 * least(count(*) FILTER (d <= 0), count(*) FILTER (d >= 0)) / count(*), 1 / count(*)))::DOUBLE AS p FROM e GROUP BY 1, 2""")
+def population_difference_intervals(t: Tables) -> DataFrame:
+    """Population differences between systems with bootstrap intervals and p values."""
+    e = t.events.withColumn("system", F.col("user_id") % 3)
+    p = resample.bootstrap_systems(e, "system", "user_id", ORDER, "event_type", 100, 5)
+    d = compare.differences_by_bootstrap(p, "system", "event_type", 0)
+    return d.select("system", "event_type", r("lo", 8).alias("lo"), r("hi", 8).alias("hi"), "p")
+
+
+@query("""WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), p AS (SELECT event_type, n / sum(n) OVER () AS p FROM n), t AS (SELECT arg_max(event_type, (p, event_type)) AS top, max(p) AS share, count(*) FILTER (p >= 0.05) AS k FROM p), m AS (SELECT max(value) / 1000 AS a, min(value) AS b FROM events)
+SELECT format('{} major states; {} holds {:.1f} % of the frames. Overlap between halves is {} and cosine content is {}.', k, top, 100 * share, CASE WHEN a >= 0.7 THEN 'high' WHEN a >= 0.5 THEN 'moderate' ELSE 'low' END, CASE WHEN b >= 0.7 THEN 'high' WHEN b >= 0.5 THEN 'moderate' ELSE 'low' END) AS text FROM t, m""")
+def interpretation(t: Tables) -> DataFrame:
+    """A landscape in words; values stand for overlap and cosine content."""
+    n = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    top = p.agg(F.max(F.struct("p", "event_type")).alias("m"), F.count(F.when(F.col("p") >= 0.05, 1)).alias("k"))
+    m = t.events.agg((F.max("value") / 1000).alias("a"), F.min("value").alias("b"))
+    return top.crossJoin(m).select(C.sentence(F.col("k"), F.col("m.event_type"), F.col("m.p"), F.col("a"), F.col("b")).alias("text"))
+
+
+#: Survival of chains that have not reached their target, step by step: mean first passage times as sums of a geometric series.
+PASSAGE = f"""WITH RECURSIVE {STEPS}, n AS (SELECT source, target, count(*) AS n FROM p GROUP BY 1, 2), q AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS q FROM n),
+s(k, i, j, s) AS (SELECT 0, a.st, b.st, 1.0::DOUBLE FROM l a, l b WHERE a.st <> b.st UNION ALL SELECT any_value(s.k) + 1, q.source, s.j, sum(q.q * s.s) FROM s JOIN q ON q.target = s.i WHERE s.k < 400 AND q.source <> s.j GROUP BY q.source, s.j)
+SELECT i AS source, j AS target, round(10.0 * sum(s), 4) AS mfpt FROM s GROUP BY 1, 2"""
+
+
+@query(PASSAGE)
+def first_passage_times(t: Tables) -> DataFrame:
+    """Mean first passage times between different states."""
+    m = QUERIES["mean_first_passage"](t.spark, t.folder)
+    return m.where("source != target").select("source", "target", r("mfpt", 4).alias("mfpt"))
+
+
+#: One window's energies of every event, and its self-consistent free energies after thirty steps.
+SELF_CONSISTENT = """WITH RECURSIVE s AS (SELECT value AS x, user_id % 3 AS k FROM events), n AS (SELECT count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2 FROM s),
+u AS (SELECT 0.004 * (x - 10) * (x - 10) AS u0, 0.004 * (x - 30) * (x - 30) AS u1, 0.004 * (x - 60) * (x - 60) AS u2 FROM s),
+f(k, f0, f1, f2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT k + 1, 0.0, g1 - g0, g2 - g0 FROM (SELECT any_value(k) AS k, -ln(sum(exp(-u0 - d))) AS g0, -ln(sum(exp(-u1 - d))) AS g1, -ln(sum(exp(-u2 - d))) AS g2 FROM (SELECT *, top + ln(exp(a - top) + exp(b - top) + exp(c - top)) AS d FROM (SELECT *, greatest(a, b, c) AS top FROM (SELECT f.k, u0, u1, u2, ln(n0) + f0 - u0 AS a, ln(n1) + f1 - u1 AS b, ln(n2) + f2 - u2 AS c FROM f, u, n WHERE f.k < 30)))) WHERE k IS NOT NULL)
+SELECT unnest([0, 1, 2])::INT AS k, unnest([0.0, round(f1, 6), round(f2, 6)])::DOUBLE AS f FROM f WHERE k = 30"""
+
+
+@query(SELF_CONSISTENT)
+def mbar_after_thirty_steps(t: Tables) -> DataFrame:
+    """Free energies of three windows over all events after thirty self-consistent steps."""
+    from terrane.operators import reweight
+
+    s = t.events.select(F.col("value").alias("x"), (F.col("user_id") % 3).alias("k"))
+    n = {x["k"]: x["count"] for x in s.groupBy("k").count().collect()}  # three windows
+    f = reweight.mbar(reweight.umbrella_energies(s, "x", [10.0, 30.0, 60.0], [0.02] * 3, 2.5).persist(), [n.get(k, 0) for k in range(3)], steps=30, tolerance=0.0)
+    return t.spark.createDataFrame([(k, round(float(x), 6) + 0.0) for k, x in enumerate(f)], "k int, f double")
