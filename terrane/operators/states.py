@@ -66,4 +66,4 @@ def top_k(frames: DataFrame, key: str, score: str, ordinal: str, k: int) -> Data
 
 def records(states: DataFrame) -> DataFrame:
     """States as rows of a report: rank, name, percentage with one place, and the place and depth of the minimum."""
-    return states.select("rank", "state", F.format_string("%.1f %%", 100 * F.col("population")).alias("share"), "ix", "iy", F.round("min_free_energy", 4).alias("depth"))
+    return states.select("rank", "state", F.format_string("%.1f %%", 100 * F.col("population")).alias("share"), "ix", "iy", (F.round("min_free_energy", 4) + 0.0).alias("depth"))

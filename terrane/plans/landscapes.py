@@ -294,8 +294,8 @@ def insignificant_bins(t: Tables) -> DataFrame:
     return rows.select("system", "ix", "iy", C.insignificant(r(F.col("free_energy") - F.col("m"), 9), r("sd", 9)).alias("insignificant"))
 
 
-@query(POP.format(w="1.0::DOUBLE").replace(" p AS (SELECT basin_id", " pops AS (SELECT basin_id") + f""", {GRID}, k AS (SELECT *, row_number() OVER (ORDER BY population DESC, basin_id) AS n FROM pops), z AS (SELECT ({QUARTERS})::INT AS basin_id, ix, iy, ge, row_number() OVER (PARTITION BY ({QUARTERS}) ORDER BY ge, iy, ix) AS rk FROM g)
-SELECT n::INT AS rank, chr((64 + n)::INT) AS state, format('{{:.1f}} %', 100 * population) AS share, ix, iy, round(ge, 4) AS depth FROM k JOIN z ON z.basin_id = k.basin_id AND rk = 1 WHERE n = 1 OR (population >= 0.05 AND n <= 3)""")
+@query(POP.format(w="1.0::DOUBLE").replace(" p AS (SELECT basin_id", " pops AS (SELECT basin_id").replace("1 + l_tax AS w", "1.0::DOUBLE AS w") + f""", {GRID}, k AS (SELECT *, row_number() OVER (ORDER BY population DESC, basin_id) AS n FROM pops), z AS (SELECT ({QUARTERS})::INT AS basin_id, ix, iy, ge, row_number() OVER (PARTITION BY ({QUARTERS}) ORDER BY ge, iy, ix) AS rk FROM g)
+SELECT n::INT AS rank, chr((64 + n)::INT) AS state, format('{{:.1f}} %', 100 * population) AS share, ix, iy, round(ge, 4) + 0.0 AS depth FROM k JOIN z ON z.basin_id = k.basin_id AND rk = 1 WHERE n = 1 OR (population >= 0.05 AND n <= 3)""")
 def state_records(t: Tables) -> DataFrame:
     """Major states as rows of a report."""
     pops = states.ranked(states.populations(placed(t)), most=3)
