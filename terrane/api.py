@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrane import on_workers
 from terrane.config import Analysis
 from terrane.operators import compare as comparing
-from terrane.operators import decompose, kinetics, landscape, msm, resample, segment, states, timeseries
+from terrane.operators import decompose, kinetics, landscape, msm, resample, residues, segment, states, timeseries
 
 
 @dataclass
@@ -82,14 +82,28 @@ def kinetics_of(frames: DataFrame, s: Analysis) -> dict[str, DataFrame]:
     counts = kinetics.transition_counts(steps, labels)
     dt = kinetics.frame_spacing(frames, s.time, s.replicate).first()["dt"] or 1.0
     v = kinetics.visits(frames, s.replicate, order, "state", s.time, labels, float(dt))
-    return {"transition_counts": counts, "transition_matrix": kinetics.transition_matrix(counts), "dwell_times": v, "dwell_summary": kinetics.visit_summary(v, steps), "transition_counts_by_replicate": kinetics.grouped_counts(steps, s.replicate)}
+    names = sorted(labels)
+    p = np.zeros((len(names), len(names)))
+    for row in kinetics.transition_matrix(counts).collect():  # states are few
+        p[names.index(row["source"]), names.index(row["target"])] = row["probability"] or 0
+    m = kinetics.mean_first_passage(p, float(dt)) if names else p
+    passage = frames.sparkSession.createDataFrame([(a, b, None if np.isnan(m[i, j]) else float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "source string, target string, mfpt double")
+    return {"first_passage_times": passage, "transition_counts": counts, "transition_matrix": kinetics.transition_matrix(counts), "dwell_times": v, "dwell_summary": kinetics.visit_summary(v, steps), "transition_counts_by_replicate": kinetics.grouped_counts(steps, s.replicate)}
 
 
 def convergence_of(frames: DataFrame, s: Analysis) -> dict[str, DataFrame]:
     order = list(s.order)
     stable = timeseries.leading_fraction(frames, s.replicate, order, [0.25, 0.5, 0.75, 1.0]).groupBy("fraction", "state").agg(F.count("*").alias("frames"))
     stable = stable.withColumn("population", F.col("frames") / F.sum("frames").over(Window.partitionBy("fraction")))
-    return {"effective_samples": timeseries.effective_samples(frames, s.replicate, order, s.x), "population_stability": stable, "cosine_content": timeseries.cosine_content(frames, [s.replicate, *order], s.x, 1), "equilibration": timeseries.equilibrated(frames.select(s.replicate, *order, s.x, s.y), s.replicate, order, [s.x, s.y])}
+    return {"effective_samples": timeseries.effective_samples(frames, s.replicate, order, s.x), "population_stability": stable, "cosine_content": pooled_cosine(frames, s), "equilibration": timeseries.equilibrated(frames.select(s.replicate, *order, s.x, s.y), s.replicate, order, [s.x, s.y])}
+
+
+def pooled_cosine(frames: DataFrame, s: Analysis, k: int = 1) -> DataFrame:
+    """Cosine content of all replicates, one behind the other. Frames are numbered range by range, a replicate at a time at most."""
+    names = frames.select(s.replicate).distinct()
+    names = names.withColumn("_rank", F.row_number().over(Window.orderBy(s.replicate)))  # one row a replicate
+    ranked = frames.join(F.broadcast(names), s.replicate)
+    return timeseries.cosine_content(ranked, ["_rank", *s.order], s.x, k, key=F.col("_rank"))
 
 
 def rmsip_halves(frames: DataFrame, s: Analysis) -> float:
@@ -102,36 +116,129 @@ def rmsip_halves(frames: DataFrame, s: Analysis) -> float:
 
 
 def uncertainty_of(frames: DataFrame, s: Analysis) -> dict[str, DataFrame]:
-    """Intervals over replicates, and a block bootstrap whose blocks are twice the mean statistical inefficiency long."""
+    """Intervals over replicates, and a block bootstrap whose blocks are in each replicate twice its statistical inefficiency long."""
     order = list(s.order)
     table = comparing.population_table(frames.withColumn("_all", F.lit("all")), "_all", s.replicate, "state").drop("_all")
     table = comparing.replicate_intervals(table.withColumn("sem", F.col("replicate_sd") / F.sqrt("n_replicates")), "replicate_mean", "sem", "n_replicates")
     g = timeseries.effective_samples(frames, s.replicate, order, s.x)
-    length = int(g.agg(F.max(timeseries.block_length(F.col("g"), F.col("n")))).first()[0] or 1)
-    samples = resample.bootstrap_populations(frames, s.replicate, order, "state", s.bootstrap, length, s.seed)
+    lengths = g.select(s.replicate, timeseries.block_length(F.col("g"), F.col("n")).cast("int").alias("length"))
+    samples = resample.bootstrap_populations(frames, s.replicate, order, "state", s.bootstrap, lengths, s.seed)
     return {"replicate_intervals": table, "bootstrap_samples": samples, "bootstrap_intervals": resample.summary(samples, ["state"], "population")}
 
 
 def markov_of(frames: DataFrame, s: Analysis, columns: list[str]) -> dict:
-    """Microstates by k-means, reversible estimates at the lag and beyond, metastable sets and the Chapman-Kolmogorov test."""
+    """Microstates by k-means, a scan of lags, reversible estimates at the lag and beyond, metastable sets, the Chapman-Kolmogorov test and passage times."""
     centers = msm.kmeans(frames, columns, s.clusters, s.seed)
     labelled = msm.nearest_center(frames, F.array(*(F.col(c).cast("double") for c in columns)), centers.tolist())
-    lags = sorted({1, *(s.msm_lag * k for k in (1, 2, 3))})
+    lags = sorted({*s.msm_lags, *(s.msm_lag * k for k in (1, 2, 3))})
     counts = msm.lagged_counts(labelled, s.replicate, list(s.order), "microstate", lags).toPandas()
     table = {lag: msm.matrix(counts[counts.lag == lag], list(range(len(centers)))) for lag in lags}
+    scales, flat = msm.scan(counts, lags, len(centers))
     best = msm.estimate(table[s.msm_lag], s.msm_lag)
     m = min(s.metastable, len(best["active"]))
     chi = msm.pcca(best["T"], m)
     sets = np.full(len(centers), -1)
     sets[best["active"]] = chi.argmax(1)
-    return {"frames": labelled, "centers": centers, "estimate": best, "memberships": chi, "sets": sets, "coarse": msm.coarse(best["T"], chi), "ck": msm.chapman_kolmogorov(table, s.msm_lag, sets, 3), "passage": msm.passage_times(best["T"], best["pi"], sets[best["active"]], s.msm_lag)}
+    usable = {lag: c for lag, c in table.items() if c.sum() > 0}
+    return {"frames": labelled, "centers": centers, "scan": scales, "plateau": flat, "estimate": best, "memberships": chi, "sets": sets, "coarse": msm.coarse(best["T"], chi), "ck": msm.chapman_kolmogorov(usable, s.msm_lag, sets, 3), "passage": msm.passage_times(best["T"], best["pi"], sets[best["active"]], s.msm_lag)}
+
+
+def build_msm(frames: DataFrame, s: Analysis, columns: list[str] | None = None) -> Results:
+    """A Markov model of the projection as tables: microstates, lag scan, transition matrix, stationary distribution, metastable sets, tests and passage times."""
+    spark, m = frames.sparkSession, markov_of(frames, s, columns or [s.x, s.y])
+    e, names = m["estimate"], [f"MS{k + 1}" for k in range(m["memberships"].shape[1])]
+    own = lambda rows, schema: spark.createDataFrame(rows, schema)  # noqa: E731 small tables
+    micro = own([(k, int(v), names[v] if v >= 0 else "inactive", c.tolist()) for k, (v, c) in enumerate(zip(m["sets"], m["centers"], strict=True))], "microstate int, set int, label string, center array<double>")
+    tables = {
+        "microstates": micro,
+        "frames": m["frames"].join(F.broadcast(micro.select("microstate", "label")), "microstate", "left").fillna("inactive", ["label"]),
+        "timescales": own(m["scan"].astype(object).values.tolist(), "lag int, mode int, timescale double, active int"),
+        "transition_matrix": own([(int(e["active"][i]), int(e["active"][j]), float(p)) for (i, j), p in np.ndenumerate(e["T"])], "source int, target int, probability double"),
+        "stationary": own([(int(k), float(p)) for k, p in zip(e["active"], e["pi"], strict=True)], "microstate int, probability double"),
+        "memberships": own([(int(k), names[j], float(x)) for k, row in zip(e["active"], m["memberships"], strict=True) for j, x in enumerate(row)], "microstate int, label string, membership double"),
+        "coarse_matrix": own([(names[i], names[j], float(p)) for (i, j), p in np.ndenumerate(m["coarse"])], "source string, target string, probability double"),
+        "chapman_kolmogorov": spark.createDataFrame(m["ck"]),
+        "passage_times": own([(int(a), int(b), float(x)) for (a, b), x in np.ndenumerate(m["passage"])], "source int, target int, mfpt double"),
+    }
+    if "state" in frames.columns:
+        tables["basin_overlap"] = msm.crosstab(tables["frames"], "label", "state")
+    return Results(s, tables, {"plateau_lag": np.array([m["plateau"] or 0]), "active_fraction": np.array([len(e["active"]) / len(m["centers"])])})
+
+
+def descriptors_of(frames: DataFrame, s: Analysis, masses: list[float] | None = None) -> dict[str, DataFrame]:
+    """Deviation from the first frame and radius of gyration of every frame, their summaries by replicate, and fluctuations of every atom."""
+    keys = [s.replicate, *s.order]
+    atoms = residues.long_form(frames, keys, s.vector)
+    weigh = F.get(F.array(*map(F.lit, masses)), F.col("atom")) if masses else F.lit(1.0)
+    atoms = atoms.withColumn("mass", weigh)
+    first = frames.orderBy(*keys).select(s.vector).limit(1)
+    reference = residues.long_form(first.withColumn("_one", F.lit(0)), ["_one"], s.vector).drop("_one")
+    deviation = residues.deviations(atoms, reference, ["atom"], keys, ["x", "y", "z"])
+    series = deviation.join(residues.gyration(atoms, keys, ["x", "y", "z"], "mass"), keys)
+    summary = series.groupBy(s.replicate).agg(F.count("*").alias("frames"), *(f(c).alias(f"{c}_{n}") for c in ("rmsd", "rg") for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("max", F.max))))
+    return {"descriptor_series": series, "descriptor_summary": summary, "atom_fluctuations": residues.fluctuations(atoms, ["atom"], ["x", "y", "z"])}
+
+
+def analyze_residues(frames: DataFrame, atoms: DataFrame, s: Analysis, state: str | None = "state", ligand: list[str] | None = None) -> dict[str, DataFrame]:
+    """Fluctuations, correlations and contacts by residue, for all frames and by state. `atoms` has ordinal, chain, residue_number, residue_name and atom_name.
+
+    Residues are numbered in order of appearance; a ligand is named by its residue names.
+    """
+    spark = frames.sparkSession
+    found = residues.groups(atoms, ["chain", "residue_number"], "residue_name", "ordinal").withColumnRenamed("ordinal", "residue")
+    member = atoms.join(F.broadcast(found.select("chain", "residue_number", "residue")), ["chain", "residue_number"])
+    order = [(r["ordinal"], r["residue"]) for r in member.select("ordinal", "residue").orderBy("ordinal").collect()]  # one row an atom
+    group = [g for _, g in order]
+    keys = [*dict.fromkeys([s.replicate, *s.order, *([state] if state else []), *([s.weight] if s.weight else [])])]
+    moves = residues.long_form(frames, keys, s.vector).join(F.broadcast(member.select(F.col("ordinal").alias("atom"), "residue")), "atom")
+    flux = residues.fluctuations(moves, ["atom", "residue"], ["x", "y", "z"], s.weight)
+    out = {"residues": found, "residue_fluctuations": residues.per_group(flux, ["residue"])}
+
+    def long_(kind: dict) -> DataFrame:
+        rows = [(None if k is None else str(k), i, j, None if np.isnan(x) else x) for k, m in kind.items() for i, j, x in decompose.long_matrix(decompose.collapsed(m, group))]
+        return spark.createDataFrame(rows, "state string, i int, j int, correlation double")
+
+    out["residue_correlations"] = long_(decompose.cross_correlations(frames, s.vector, weight=s.weight))
+    if state:
+        out["residue_correlations_by_state"] = long_(decompose.cross_correlations(frames, s.vector, state))
+        each = residues.fluctuations(moves, [state, "atom", "residue"], ["x", "y", "z"], s.weight)
+        out["residue_fluctuations_by_state"] = residues.per_group(each, [state, "residue"])
+    if ligand:
+        role = F.broadcast(member.select(F.col("ordinal").alias("atom"), "residue_name", "atom_name"))
+        heavy = moves.join(role, "atom").where(residues.heavy(F.col("atom_name"))).withColumn("_frame", F.struct(*keys))
+        near = residues.contacts(residues.masked(heavy, "residue_name", ligand, False), residues.masked(heavy, "residue_name", ligand), "_frame", "residue", ["x", "y", "z"], s.contact_cutoff)
+        near = near.select("_frame.*", "residue", "min_distance", "in_contact")
+        out |= {"contacts": near, "contact_persistence": residues.persistence(near, "residue", s.weight)}
+        if state:
+            out["contact_persistence_by_state"] = residues.persistence_by_state(near, "residue", state, s.weight)
+        site = out["contact_persistence"].where("persistence >= 0.5").select("residue")
+        out["binding_site"] = residues.site_fluctuations(out["residue_fluctuations"], site, "residue")
+    return out
+
+
+def modes_of(spark: SparkSession, arrays: dict[str, np.ndarray]) -> dict[str, DataFrame]:
+    """Modes and the mean as tables, from which structures and comparisons can be made again."""
+    share = arrays.get("explained", np.full(len(arrays["eigenvalues"]), np.nan))
+    rows = [(k + 1, float(e), float(share[k]), float(share[: k + 1].sum()), arrays["vectors"][:, k].tolist()) for k, e in enumerate(arrays["eigenvalues"])]
+    return {"modes": spark.createDataFrame(rows, "mode int, eigenvalue double, explained double, cumulative double, vector array<double>"), "mean": spark.createDataFrame([(arrays["mean"].tolist(),)], "mean array<double>")}
 
 
 def analyze(frames: DataFrame, settings: Analysis) -> Results:
-    """Projection, landscape, states and, without weights, kinetics; convergence and uncertainty."""
+    """Projection, landscape, states and, without weights, kinetics; convergence and uncertainty.
+
+    With equilibration `auto`, each replicate's frames before its latest equilibration go, and modes are fitted anew.
+    """
     out = Results(settings)
     cvs, arrays = project(frames, settings)
+    if settings.equilibration == "auto":
+        order = list(settings.order)
+        series = cvs.select(settings.replicate, *order, settings.x, settings.y)
+        starts = timeseries.equilibrated(series, settings.replicate, order, [settings.x, settings.y]).where("observable = 'latest'").persist()  # one row a replicate
+        out.tables["discarded"] = starts.drop("observable")
+        cvs, arrays = project(timeseries.production(frames, starts, settings.replicate, order), settings)
     out.arrays |= arrays
+    if arrays:
+        out.tables |= modes_of(frames.sparkSession, arrays)
     cvs = cvs.persist()
     grid, n = landscape_of(cvs, settings)
     out.tables |= {"projections": cvs, "free_energy": grid} | assign_states(cvs, grid, n, settings)
@@ -144,8 +251,7 @@ def analyze(frames: DataFrame, settings: Analysis) -> Results:
 
 def rebin(projections: DataFrame, settings: Analysis) -> Results:
     """The same analysis from stored projections, without reading frames again."""
-    settings.method = "columns"
-    return analyze(projections, settings)
+    return analyze(projections, replace(settings, method="columns"))
 
 
 def compare(frames: DataFrame, settings: Analysis, reference: str | None = None) -> Results:
@@ -160,5 +266,10 @@ def compare(frames: DataFrame, settings: Analysis, reference: str | None = None)
     reference = reference or cvs.agg(F.min(settings.system)).first()[0]
     each = landscape.grid(cvs, settings.x, settings.y, n, bounds, settings.weight, settings.temperature, by=[settings.system])
     pops = comparing.population_table(tables["frames"], settings.system, settings.replicate, "state")
-    out.tables |= tables | {"system_grids": each, "populations": pops, "differences": comparing.against(pops, settings.system, "state", reference), "ddg": comparing.difference_map(each, settings.system, reference), "overlaps": comparing.overlaps(each, settings.system, settings.temperature)}
+    out.tables |= tables | {"system_grids": each, "populations": pops, "differences": comparing.against(pops, settings.system, "state", reference), "ddg": comparing.difference_map(each, settings.system, reference), "overlaps": comparing.overlaps(each, settings.system, settings.temperature)} | (modes_of(frames.sparkSession, arrays) if arrays else {})
+    if settings.bootstrap:
+        g = timeseries.effective_samples(cvs, settings.replicate, list(settings.order), settings.x)
+        length = int(g.agg(F.max(timeseries.block_length(F.col("g"), F.col("n")))).first()[0] or 1)
+        samples = resample.bootstrap_systems(tables["frames"], settings.system, settings.replicate, list(settings.order), "state", settings.bootstrap, length, settings.seed)
+        out.tables["difference_intervals"] = comparing.differences_by_bootstrap(samples, settings.system, "state", reference)
     return out

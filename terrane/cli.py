@@ -1,4 +1,4 @@
-"""Command line: analyze, compare, rebin, reweight, example, init-config."""
+"""Command line: analyze, compare, rebin, msm, residues, reweight, umbrella, example, init-config, doctor."""
 
 from __future__ import annotations
 
@@ -32,13 +32,25 @@ def example(spark: SparkSession, folder: str, frames: int = 100, atoms: int = 25
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="terrane")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "compare", "rebin"):
+    for name in ("analyze", "compare", "rebin", "msm", "residues"):
         c = sub.add_parser(name)
         c.add_argument("input")
         c.add_argument("output")
         c.add_argument("--config")
         c.add_argument("--reference")
         c.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="a setting, as JSON or a word")
+        if name == "residues":
+            c.add_argument("atoms", help="a structure in PDB format")
+            c.add_argument("--ligand", action="append", help="a residue name of the ligand")
+    c = sub.add_parser("umbrella", help="free energies and weights of umbrella windows")
+    c.add_argument("output")
+    c.add_argument("--window", action="append", nargs=3, required=True, metavar=("COLVAR", "CENTER", "KAPPA"))
+    c.add_argument("--cv", required=True)
+    c.add_argument("--temperature", type=float, default=300.0)
+    c.add_argument("--skip", type=float, default=0.0)
+    c.add_argument("--period", type=float)
+    c.add_argument("--bins", type=int, default=50)
+    sub.add_parser("doctor", help="print versions and try Python workers")
     c = sub.add_parser("reweight")
     c.add_argument("hills")
     c.add_argument("colvar")
@@ -59,8 +71,12 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("terrane").getOrCreate()
     if a.command == "example":
         example(spark, a.output)
+    elif a.command == "doctor":
+        doctor(spark)
     elif a.command == "reweight":
         reweight(spark, a)
+    elif a.command == "umbrella":
+        umbrella(spark, a)
     else:
         def value(text: str):
             try:
@@ -71,10 +87,54 @@ def main(args: list[str] | None = None) -> None:
         given = {k: value(v) for k, _, v in (x.partition("=") for x in a.set)}
         s = merged(given, from_file(a.config) if a.config else None)
         frames = api.load(spark, a.input, s)
+        if a.command == "msm":
+            result = api.build_msm(frames, s)
+            sinks.save(result.tables, a.output, {k: v.tolist() for k, v in result.arrays.items()})
+            return
+        if a.command == "residues":
+            from terrane.sources import text
+
+            sinks.save(api.analyze_residues(frames, text.read_pdb(spark, a.atoms), s, "state" if "state" in frames.columns else None, a.ligand), a.output)
+            return
         result = api.compare(frames, s, a.reference) if a.command == "compare" else api.rebin(frames, s) if a.command == "rebin" else api.analyze(frames, s)
         sinks.save(result.tables, a.output, {k: v.tolist() for k, v in result.arrays.items() if k != "vectors"})
 
 
+def doctor(spark: SparkSession) -> None:
+    """Versions, and whether Python workers answer."""
+    import sys
+
+    import numpy
+    import pandas
+    import pyarrow
+
+    api.on_workers(spark)
+    for name, version in (("python", sys.version.split()[0]), ("spark", spark.version), ("numpy", numpy.__version__), ("pandas", pandas.__version__), ("pyarrow", pyarrow.__version__)):
+        print(f"{name} {version}")
+    n = spark.range(10).mapInPandas(lambda batches: batches, "id long").count()
+    print(f"python workers {'answer' if n == 10 else 'do not answer'}")
+
+
+def umbrella(spark: SparkSession, a: argparse.Namespace) -> None:
+    from pyspark.sql import functions as F
+
+    from terrane.functions.columns import R
+    from terrane.operators import landscape
+    from terrane.operators import reweight as weights
+    from terrane.sources import text
+
+    files, centers, kappas = zip(*a.window, strict=True)
+    centers, kappas = [float(x) for x in centers], [float(x) for x in kappas]
+    samples = text.umbrella_windows(spark, list(files), a.cv, centers, kappas, skip=a.skip)
+    energies = weights.umbrella_energies(samples, "x", centers, kappas, R * a.temperature, a.period).persist()
+    n = {r["window"]: r["count"] for r in samples.groupBy("window").count().collect()}  # one row a window
+    totals = [n.get(k, 0) for k in range(len(centers))]
+    f = weights.mbar(energies, totals)
+    weighted = weights.unbiased_weights(energies, f, totals)
+    windows = spark.createDataFrame([(k, centers[k], kappas[k], totals[k], float(x)) for k, x in enumerate(f)], "window int, center double, kappa double, samples long, free_energy double")
+    sinks.save({"windows": windows, "weights": weighted.drop("u"), "pmf": landscape.pmf(weighted, "x", a.bins, "weight", a.temperature).withColumn("kt", F.lit(R * a.temperature))}, a.output)
+
+
 def reweight(spark: SparkSession, a: argparse.Namespace) -> None:
     from pyspark.sql import functions as F
 

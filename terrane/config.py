@@ -39,6 +39,7 @@ class Analysis:
     msm_lag: int = 10
     clusters: int = 100
     metastable: int = 3
+    msm_lags: tuple[int, ...] = (1, 2, 5, 10, 20)
     contact_cutoff: float = 4.5
 
     def __post_init__(self) -> None:
@@ -49,7 +50,7 @@ class Analysis:
         for name, allowed in CHOICES.items():
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {', '.join(allowed)}")
-        self.order = tuple(self.order)
+        self.order, self.msm_lags = tuple(self.order), tuple(self.msm_lags)
 
 
 def merged(*sources: dict | None) -> Analysis:

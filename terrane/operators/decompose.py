@@ -142,6 +142,8 @@ def tica(df: DataFrame, vector: str, replicate: str, order: list[str], lag: int,
     pairs = lagged(df, vector, replicate, order, lag)
     states = collected(moments(pairs, "pair", replicate), replicate)
     every = df.select(replicate).distinct().count()
+    if not states:
+        raise ValueError(f"no replicate has two frames {lag} apart")
     d = len(next(iter(states.values()))[1]) // 2
     mean = sum((m[1][:d] + m[1][d:]) / 2 for m in states.values()) / every
     c0, ct = np.zeros((d, d)), np.zeros((d, d))

@@ -5,6 +5,8 @@ Assignments and counts are joins and aggregations over frames; what reaches the
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,15 +101,19 @@ def row_stochastic(counts: np.ndarray) -> np.ndarray:
 def reversible(counts: np.ndarray, tolerance: float = 1e-12, most: int = 1_000_000) -> np.ndarray:
     """Maximum-likelihood reversible matrix by fixed-point iteration."""
     both, total = counts + counts.T, counts.sum(1)
+    if not both.sum() > 0:
+        raise ValueError("no transitions at this lag")
     x = both / both.sum()
     for _ in range(most):
         q = total / x.sum(1)
         new = both / (q[:, None] + q[None, :])
         new /= new.sum()
-        done = np.abs(new.sum(1) - x.sum(1)).max() < tolerance
+        change = np.abs(new / new.sum(1)[:, None] - x / x.sum(1)[:, None]).max()
         x = new
-        if done:
+        if change < tolerance:
             break
+    else:
+        warnings.warn(f"the reversible matrix still changed by {change:.1e} after {most} steps", stacklevel=2)
     return x / x.sum(1)[:, None]
 
 
@@ -158,6 +164,20 @@ def plateau(lags: list[int], scales: list[np.ndarray], least: float = 0.1) -> in
     return None
 
 
+def scan(counts: pd.DataFrame, lags: list[int], n: int, dt: float = 1.0, reversible_: bool = True) -> tuple[pd.DataFrame, int | None]:
+    """Implied timescales (lag, mode, timescale, active) at every lag that has an estimate, and the lag at which they stop changing; lags without one are left out."""
+    rows, kept, scales = [], [], []
+    for lag in lags:
+        try:
+            e = estimate(matrix(counts[counts.lag == lag], list(range(n))), lag, dt, reversible_)
+        except (ValueError, IndexError, np.linalg.LinAlgError):
+            continue
+        kept.append(lag)
+        scales.append(e["timescales"] / dt)
+        rows += [(lag, k + 1, float(x), len(e["active"])) for k, x in enumerate(e["timescales"])]
+    return pd.DataFrame(rows, columns=["lag", "mode", "timescale", "active"]), plateau(kept, scales)
+
+
 def pcca(t: np.ndarray, m: int, rounds: int = 2000) -> np.ndarray:
     """Memberships of m metastable sets by the inner simplex of the slow eigenvectors, improved by Nelder-Mead."""
     n = len(t)

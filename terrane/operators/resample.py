@@ -33,34 +33,30 @@ def resampled(df: DataFrame, replicate: str, order: list[str], n_boot: int, leng
     return rows.join(block_indices(sizes, replicate, n_boot, length, seed), [replicate, "_i"]).drop("_i")
 
 
-def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
-    """(b, replicate, label, t): how often each label is drawn, in one row or two that add up.
+def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0) -> DataFrame:
+    """(b, replicate, label, t): how often each label is drawn. `length` is one for all, or a table (replicate, length).
 
-    A circular block is looked up by its start among counts over windows of `length` frames, so a resample meets N / length rows instead of N; only
-    its last block, which is cut, is drawn frame by frame.
+    A circular block is the difference of two running counts along the doubled series, so a resample meets two rows for each of its N / length blocks instead of N rows.
     """
     names = sorted(x[0] for x in df.where(F.col(label).isNotNull()).select(label).distinct().collect())  # states are few
     rows = ordinals(df.select(replicate, *dict.fromkeys([*order, label])), replicate, order).withColumn("_n", F.count("*").over(Window.partitionBy(replicate)))
-    # the first frames once more behind the last ones, so that a window runs through
-    copy = F.when((F.col("_i") < length - 1) & (F.col("_n") >= length), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    circle = rows.withColumn("_copy", F.explode(copy)).withColumn("_i", F.col("_i") + F.col("_copy") * F.col("_n"))
-    w = Window.partitionBy(replicate).orderBy("_i").rowsBetween(0, length - 1)
-    hits = [F.sum(F.when(F.col(label) == x, 1).otherwise(0)).over(w) for x in names]
-    windows = circle.select(replicate, "_i", "_n", F.array(*hits).alias("_hits")).where(F.col("_i") < F.col("_n"))
+    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_i", F.col("_i") + F.col("_copy") * F.col("_n"))
+    w = Window.partitionBy(replicate).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    running = twice.select(replicate, "_i", F.array(*(F.sum(F.when(F.col(label) == x, 1).otherwise(0)).over(w) for x in names)).alias("_hits"))
     sizes = rows.groupBy(replicate).agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / length).cast("int")
-    starts = sizes.select(replicate, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    starts = starts.withColumn("_i", counter_uniform(F.col("n"), F.lit(seed), F.col("b"), F.col(replicate), F.col("k")))
-    left = F.col("n") - F.col("k") * length
-    whole = starts.where(left >= length).groupBy("b", replicate, "_i").agg(F.count("*").alias("_times"))
-    whole = whole.join(windows, [replicate, "_i"]).select("b", replicate, F.posexplode("_hits").alias("_at", "_h"), "_times")
-    whole = whole.groupBy("b", replicate, "_at").agg(F.sum(F.col("_h") * F.col("_times")).alias("t")).select("b", replicate, F.get(F.array(*map(F.lit, names)), F.col("_at")).alias(label), "t")
-    cut = starts.where(left < length).select("b", replicate, F.explode(F.transform(F.sequence(F.lit(0), (left - 1).cast("int")), lambda k: (F.col("_i") + k) % F.col("n"))).alias("_i"))
-    cut = cut.join(rows.select(replicate, "_i", label), [replicate, "_i"]).groupBy("b", replicate, label).agg(F.count("*").alias("t"))
-    return whole.unionByName(cut)
-
-
-def bootstrap_populations(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
+    sizes = sizes.withColumn("length", F.lit(length)) if isinstance(length, int) else sizes.join(F.broadcast(length.select(replicate, "length")), replicate)
+    blocks = F.ceil(F.col("n") / F.col("length")).cast("int")
+    starts = sizes.select(replicate, "n", "length", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    start = counter_uniform(F.col("n"), F.lit(seed), F.col("b"), F.col(replicate), F.col("k"))
+    span = F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length"))
+    ends = starts.withColumn("_start", start).select("b", replicate, F.explode(F.array(F.struct((F.col("_start") + span - 1).alias("i"), F.lit(1).alias("sign")), F.struct((F.col("_start") - 1).alias("i"), F.lit(-1).alias("sign")))).alias("_e"))
+    ends = ends.where("_e.i >= 0").groupBy("b", replicate, F.col("_e.i").alias("_i")).agg(F.sum("_e.sign").alias("_times")).where("_times != 0")
+    drawn = ends.join(running, [replicate, "_i"]).select("b", replicate, F.posexplode("_hits").alias("_at", "_h"), "_times")
+    counts = drawn.groupBy("b", replicate, "_at").agg(F.sum(F.col("_h") * F.col("_times")).alias("t")).where("t > 0")
+    return counts.select("b", replicate, F.get(F.array(*map(F.lit, names)), F.col("_at")).alias(label), "t")
+
+
+def bootstrap_populations(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0) -> DataFrame:
     """(b, label, population): the share of frames of every resample, zeros included."""
     counts = block_counts(df, replicate, order, label, n_boot, length, seed).groupBy("b", label).agg(F.sum("t").alias("t"))
     frame = df.select(label).distinct().crossJoin(df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")))
