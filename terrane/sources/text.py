@@ -7,6 +7,7 @@ a header or on whole files are read whole, one file a row, and parsed where they
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,10 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, place, value): lines as splits of files are read, `block` where the split begins and `place` the line's place in it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), "value")
+    return lines.withColumn("place", F.row_number().over(Window.partitionBy("path", "block").orderBy("_id")) - 1).drop("_id")
+
+
+def running(lines: DataFrame, amount: Column, name: str) -> DataFrame:
+    """Lines with a running sum along each file: within splits, started from the sums of the splits before, of which there is one row each."""
+    w = Window.partitionBy("path", "block").orderBy("place")
+    rows = lines.withColumn("_a", amount)
+    sums = rows.groupBy("path", "block").agg(F.sum("_a").alias("_s"))
+    before = sums.select("path", "block", (F.sum("_s").over(Window.partitionBy("path").orderBy("block")) - F.col("_s")).alias("_before"))
+    return rows.join(F.broadcast(before), ["path", "block"]).withColumn(name, F.sum("_a").over(w) + F.col("_before")).drop("_a", "_before")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, value) with lines numbered from 0, file by file; for formats whose lines depend on those before."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """(path, line, value) with lines numbered from 0, file by file, however many splits a file has."""
+    return running(split_lines(spark, path), F.lit(1), "line").withColumn("line", (F.col("line") - 1).cast("long"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -87,19 +102,44 @@ def parse_plumed(text: str) -> tuple[list[str], dict[str, str], list[list[float]
 
 
 def read_plumed(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row, values, constants): values by field name. Files are parsed in parallel, each whole."""
-    kind = "path string, row int, values map<string,double>, constants map<string,string>"
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for name, text in zip(b["path"], b["value"], strict=True):
-                fields, constants, rows = parse_plumed(text)
-                out += [(name, k, dict(zip(fields, r, strict=True)), constants) for k, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=["path", "row", "values", "constants"])
-
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.mapInPandas(run, kind)
+    """(path, row, values, constants): values by field name, a row a line, by splits of files. The same things are errors as in `parse_plumed`."""
+    lines = numbered_lines(spark, path).withColumn("f", F.split(F.trim(F.translate("value", "\t", " ")), " +"))
+    mark = F.get("f", F.lit(0)) == "#!"
+    heads = lines.where(mark & (F.get("f", F.lit(1)) == "FIELDS")).groupBy("path").agg(F.collect_set(F.slice("f", 3, 10_000)).alias("heads"), F.min("line").alias("first"))
+    sets = lines.where(mark & (F.get("f", F.lit(1)) == "SET") & (F.size("f") >= 4)).groupBy("path", F.get("f", F.lit(2)).alias("name")).agg(F.max_by(F.get("f", F.lit(3)), "line").alias("v"))
+    sets = sets.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("constants"))
+    data = running(lines_of_data(spark, path), F.lit(1), "row")
+    data = data.join(F.broadcast(heads), "path", "left").join(F.broadcast(sets), "path", "left")
+    names = F.get("heads", F.lit(0))
+    numbers = F.transform(F.slice("f", F.lit(1), F.size(names)), lambda x: x.try_cast("double"))
+    refused = lambda why: F.raise_error(F.lit(why)).cast("map<string,double>")
+    values = (
+        F.when(F.col("heads").isNull(), refused("numbers before any fields"))
+        .when(F.size("heads") > 1, refused("the fields change"))
+        .when(F.size("f") < F.size(names), refused("a row is shorter than its fields"))
+        .when(F.exists(numbers, lambda x: x.isNull()), refused("a word among numbers"))
+        .otherwise(F.map_from_arrays(names, numbers))
+    )
+    return data.select("path", (F.col("row") - 1).cast("int").alias("row"), values.alias("values"), F.coalesce("constants", F.create_map().cast("map<string,string>")).alias("constants"))
+
+
+def lines_of_data(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that are neither empty nor comments, cut at blanks (f)."""
+    lines = split_lines(spark, path).withColumn("value", F.trim(F.translate("value", "\t", " ")))
+    return lines.where((F.col("value") != "") & ~F.col("value").startswith("#")).withColumn("f", F.split("value", " +"))
+
+
+def read_hills(spark: SparkSession, path: str, rescaled: bool = True) -> DataFrame:
+    """(path, hill_time, names, centers, sigmas, height, factor, constants): hills as a table of any size; heights lose the well-tempered scaling if they were written with it."""
+    t = read_plumed(spark, path)
+    v = F.col("values")
+    names = F.filter(F.map_keys(v), lambda n: F.map_contains_key(v, F.concat(F.lit("sigma_"), n)))
+    factor = F.coalesce(F.try_element_at(v, F.lit("biasf")), F.lit(-1.0))
+    height = F.when(F.lit(rescaled) & (factor > 1), v["height"] * (factor - 1) / factor).otherwise(v["height"])
+    single = F.when(F.coalesce(F.try_element_at("constants", F.lit("multivariate")), F.lit("false")) == "true", F.raise_error(F.lit("multivariate hills are not supported")).cast("double")).otherwise(v["time"])
+    out = t.select("path", single.alias("hill_time"), names.alias("names"), v.alias("_v"), height.alias("height"), F.when(factor > 1, factor).alias("factor"), "constants")
+    pick = lambda prefix: F.transform("names", lambda n: F.element_at("_v", F.concat(F.lit(prefix), n)))
+    return out.select("path", "hill_time", "names", pick("").alias("centers"), pick("sigma_").alias("sigmas"), "height", "factor", "constants")
 
 
 def plumed_number(text: str) -> float:
@@ -170,14 +210,73 @@ def _cut(start: int, stop: int) -> Column:
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """(path, model, ordinal, atom_name, residue_name, chain, residue_number, x, y, z) of ATOM and HETATM records."""
-    lines = numbered_lines(spark, path)
-    w = Window.partitionBy("path").orderBy("line")
-    rows = lines.withColumn("model", F.sum(F.when(F.col("value").startswith("MODEL "), 1).otherwise(0)).over(w)).where(F.col("value").startswith("ATOM  ") | F.col("value").startswith("HETATM"))
-    ordinal = F.row_number().over(Window.partitionBy("path", "model").orderBy("line")) - 1
+    """(path, model, ordinal, atom_name, residue_name, chain, residue_number, x, y, z) of ATOM and HETATM records, by splits of files."""
+    lines = running(split_lines(spark, path), F.when(F.col("value").startswith("MODEL "), 1).otherwise(0), "model")
+    rows = lines.where(F.col("value").startswith("ATOM  ") | F.col("value").startswith("HETATM"))
+    ordinal = F.row_number().over(Window.partitionBy("path", "model").orderBy("block", "place")) - 1
     return rows.select("path", F.greatest("model", F.lit(1)).cast("int").alias("model"), ordinal.alias("ordinal"), _cut(13, 16).alias("atom_name"), _cut(18, 20).alias("residue_name"), _cut(22, 22).alias("chain"), _cut(23, 26).cast("int").alias("residue_number"), _cut(31, 38).cast("double").alias("x"), _cut(39, 46).cast("double").alias("y"), _cut(47, 54).cast("double").alias("z"))
 
 
+def reference_coordinates(spark: SparkSession, structure: str | None, frames: DataFrame | None = None, order: list[str] | None = None) -> list[float]:
+    """Flat coordinates of a structure's first model if there is a structure, else of the first frame."""
+    if structure:
+        atoms = read_gro(spark, structure).withColumn("model", F.lit(1)) if structure.endswith(".gro") else read_pdb(spark, structure)
+        return frames_of(atoms.where("model = 1"), ["model"]).first()["coords"]
+    return frames.orderBy(*(order or ["replicate", "frame"])).first()["coords"]
+
+
+def selected(atoms: DataFrame, groups: list[str], index: DataFrame | None = None) -> DataFrame:
+    """Atoms of any of several groups, each once, in order."""
+    out = None
+    for g in groups:
+        one = residue_selection(atoms, g, index).select("ordinal")
+        out = one if out is None else out.union(one)
+    return atoms.join(out.distinct(), "ordinal", "left_semi").orderBy("ordinal")
+
+
+def parse_dcd(data: bytes) -> tuple[float, int, Iterator[tuple[int, list[float]]]]:
+    """Time between frames in the file's units, atoms, and (frame, flat coordinates) of a DCD trajectory of 32-bit floats, of either byte order."""
+    import numpy as np
+
+    order = "<" if data[:4] == (84).to_bytes(4, "little") else ">"
+    head = np.frombuffer(data, f"{order}i4", 21, 4)
+    if data[4:8] not in (b"CORD", b"DROC"):
+        raise ValueError("not a DCD file")
+    delta, cell, at = float(np.frombuffer(data, f"{order}f4", 1, 44)[0]), bool(head[11]), 92
+    at += int(np.frombuffer(data, f"{order}i4", 1, at)[0]) + 8
+    n = int(np.frombuffer(data, f"{order}i4", 1, at + 4)[0])
+    at += 12
+    size = (56 if cell else 0) + 3 * (4 * n + 8)
+
+    def frames() -> Iterator[tuple[int, list[float]]]:
+        for k in range((len(data) - at) // size):
+            start = at + k * size + (56 if cell else 0)
+            axes = [np.frombuffer(data, f"{order}f4", n, start + a * (4 * n + 8) + 4) for a in range(3)]
+            yield k, np.stack(axes, 1).ravel().astype(float).tolist()
+
+    return delta * int(head[3]), n, frames()
+
+
+def read_dcd(spark: SparkSession, path: str, time_unit: float = 0.04888821) -> DataFrame:
+    """(path, frame, time_ps, coords) of DCD trajectories, a file a task; times are the file's in picoseconds."""
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b["path"], b["content"], strict=True):
+                step, _, found = parse_dcd(bytes(data))
+                rows = []
+                for k, c in found:
+                    rows.append((name, k, k * step * time_unit, c))
+                    if len(rows) == 256:
+                        yield pd.DataFrame(rows, columns=["path", "frame", "time_ps", "coords"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "frame", "time_ps", "coords"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, frame int, time_ps double, coords array<float>")
+
+
 def read_gro(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of single-frame GRO files, in Angstrom."""
     lines = numbered_lines(spark, path)
