@@ -143,6 +143,36 @@ def test_bins_stay_bounded_and_fill_best():
     assert b.n == 2 and len(b.finish()) == 2 and b.set == 0
 
 
+def plain_best_fit(lengths, capacity, slots):
+    """Sequences by looking through all open bins: the fullest that takes a piece, and the fullest closes when no slot is left."""
+    bins, closed = [], 0
+    for x in lengths:
+        fits = [b for b in bins if b + x <= capacity]
+        if fits:
+            best = max(fits)
+            bins.remove(best)
+            x += best
+        elif len(bins) == slots:
+            bins.remove(max(bins))
+            closed += 1
+        if x == capacity:
+            closed += 1
+        else:
+            bins.append(x)
+    return closed + len(bins)
+
+
+def test_as_many_sequences_as_a_plain_best_fit():
+    rng = np.random.default_rng(4)
+    for capacity, slots in ((50, 3), (100, 10), (4096, 64)):
+        lengths = rng.integers(1, capacity + 1, 400).tolist()
+        b = packing.BestFit(capacity, slots)
+        done = [s for k, x in enumerate(lengths) for s in b.add(x, k)]
+        done += b.finish()
+        assert sorted(k for s in done for k in s) == list(range(400)) and all(sum(lengths[k] for k in s) <= capacity for s in done)
+        assert len(done) == plain_best_fit(lengths, capacity, slots)
+
+
 def test_byte_bpe(docs):
     import tiktoken
 
