@@ -42,7 +42,7 @@ def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_
     rows = ordinals(df.select(replicate, *dict.fromkeys([*order, label])), replicate, order).withColumn("_n", F.count("*").over(Window.partitionBy(replicate)))
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_i", F.col("_i") + F.col("_copy") * F.col("_n"))
     w = Window.partitionBy(replicate).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    running = twice.select(replicate, "_i", F.array(*(F.sum(F.when(F.col(label) == x, 1).otherwise(0)).over(w) for x in names)).alias("_hits"))
+    running = twice.select(replicate, "_i", *(F.sum(F.when(F.col(label) == x, 1).otherwise(0)).over(w).alias(f"_h{k}") for k, x in enumerate(names)))
     sizes = rows.groupBy(replicate).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("length", F.lit(length)) if isinstance(length, int) else sizes.join(F.broadcast(length.select(replicate, "length")), replicate)
     blocks = F.ceil(F.col("n") / F.col("length")).cast("int")
@@ -50,10 +50,10 @@ def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_
     start = counter_uniform(F.col("n"), F.lit(seed), F.col("b"), F.col(replicate), F.col("k"))
     span = F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length"))
     ends = starts.withColumn("_start", start).select("b", replicate, F.explode(F.array(F.struct((F.col("_start") + span - 1).alias("i"), F.lit(1).alias("sign")), F.struct((F.col("_start") - 1).alias("i"), F.lit(-1).alias("sign")))).alias("_e"))
-    ends = ends.where("_e.i >= 0").groupBy("b", replicate, F.col("_e.i").alias("_i")).agg(F.sum("_e.sign").alias("_times")).where("_times != 0")
-    drawn = ends.join(running, [replicate, "_i"]).select("b", replicate, F.posexplode("_hits").alias("_at", "_h"), "_times")
-    counts = drawn.groupBy("b", replicate, "_at").agg(F.sum(F.col("_h") * F.col("_times")).alias("t")).where("t > 0")
-    return counts.select("b", replicate, F.get(F.array(*map(F.lit, names)), F.col("_at")).alias(label), "t")
+    ends = ends.where("_e.i >= 0").select("b", replicate, F.col("_e.i").alias("_i"), F.col("_e.sign").alias("_sign"))
+    sums = ends.join(running.hint("shuffle_hash"), [replicate, "_i"]).groupBy("b", replicate).agg(*(F.sum(F.col(f"_h{k}") * F.col("_sign")).alias(f"_h{k}") for k in range(len(names))))
+    each = F.array(*(F.struct(F.lit(x).alias("label"), F.col(f"_h{k}").alias("t")) for k, x in enumerate(names)))
+    return sums.select("b", replicate, F.explode(each).alias("_e")).select("b", replicate, F.col("_e.label").alias(label), F.col("_e.t").alias("t")).where("t > 0")
 
 
 def bootstrap_populations(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0) -> DataFrame:

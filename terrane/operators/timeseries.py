@@ -25,7 +25,7 @@ def autocorrelation(df: DataFrame, replicate: str, order: list[str], value: str,
 
 def _correlations(d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(lags, C) of a centred series for lags 1 to n - 2: the first few by products, the others, if they are asked for, from the power spectrum."""
-    n, power, near = len(d), float(d @ d) / len(d), min(64, len(d) - 2)
+    n, power, near = len(d), float(d @ d) / len(d), min(16, len(d) - 2)
     lags = np.arange(1, near + 1)
     yield lags, np.array([d[t:] @ d[:-t] for t in lags]) / ((n - lags) * power)
     if near < n - 2:
