@@ -210,17 +210,21 @@ def sliced(batch, column: int, limit: int = 500_000):
 
 
 class LearntChunks(dict):
-    """What chunks of text encode to, in bounded space; a new chunk is learnt when it is first asked for.
+    """What chunks of text encode to, in bounded space; a new chunk is learnt when it is first asked for, and one of more than `LONGEST` characters each time.
 
     Frequent chunks come early, so the first `kept` entries stay; later ones go together when there are `extra` of them.
     """
 
+    LONGEST = 200
+
     def __init__(self, learn, kept: int = 300_000, extra: int = 150_000):
         super().__init__()
         self.learn, self.kept, self.limit = learn, kept, kept + extra
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.learn(chunk)
+        ids = self.learn(chunk)
+        if len(chunk) <= self.LONGEST:
+            self[chunk] = ids
         return ids
 
     def trim(self) -> None:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from terrane.llm.common import kept_rows, only, owners, row_name, stored, text_of
 
+#: Rows whose hashes one owner answers for (some 100 bytes each while it does), so that owners grow with the table.
+OWNER_ROWS = 2_000_000
 WHITE = b" \t\n\x0b\x0c\r"
 #: Suspect hashes that may be broadcast (8 bytes each); beyond that a sort-merge join finds the texts.
 BROADCAST_HASHES = 1_000_000
@@ -165,7 +167,7 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     points), then the smallest key, then the first row read stays; a null key is the smallest.
     """
     spark = df.sparkSession
-    table = stored(fingerprints(df, key, text, owners(spark)), "fingerprints")
+    table = stored(fingerprints(df, key, text, max(owners(spark), -(-df.count() // OWNER_ROWS))), "fingerprints")
     docs = table.where("blob is null")
     bits = answer(table.where("blob is not null").select("part", "owner", "k", "n", "blob"))
     suspects = stored(repeated_hashes(docs, bits), "suspects")
