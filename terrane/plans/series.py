@@ -212,11 +212,19 @@ def equilibration_best(t: Tables) -> DataFrame:
     return best.join(n, "user_id").select("user_id", r("n_eff", 5).alias("n_eff"), F.floor(F.col("n") * 0.9).alias("starts"))
 
 
-@query()
+#: Two observables' starts; ends that do not move leave no start, and a user whose observable never moves keeps all frames.
+BOTH = f"""WITH a AS (SELECT 'value' AS observable, * FROM ({STARTS.format(x="value")} SELECT * FROM g) UNION ALL SELECT 'hour', * FROM ({STARTS.format(x="hour(ts)::DOUBLE")} SELECT * FROM g)),
+k AS (SELECT user_id, observable, arg_min(t0, (-round((n - t0) / g, 7), t0)) AS t0 FROM a GROUP BY 1, 2), w AS (SELECT k.*, g, n FROM k JOIN a USING (user_id, observable, t0)),
+l AS (SELECT user_id, arg_max(observable, (t0, observable)) AS observable FROM w GROUP BY 1), j AS (SELECT user_id, t0, max(g) AS g, any_value(n) AS n FROM a GROUP BY 1, 2 HAVING count(*) = 2), i AS (SELECT user_id, arg_min(t0, (-round((n - t0) / g, 7), t0)) AS t0 FROM j GROUP BY 1)
+SELECT user_id, observable, t0::INT AS t0, round(g, 5) AS g, round((n - t0) / g, 4) AS n_eff FROM (SELECT user_id, observable, t0, g, n FROM w UNION ALL SELECT user_id, 'latest', t0, g, n FROM w JOIN l USING (user_id, observable) UNION ALL SELECT user_id, 'joint', t0, g, n FROM j JOIN i USING (user_id, t0))"""
+
+
+@query(BOTH)
 def equilibration(t: Tables) -> DataFrame:
-    """Start of the equilibrated part of each user's series, for two observables."""
+    """Start of the equilibrated part of each user's series: of two observables, the later one and the joint one."""
     e = t.events.withColumn("hour", F.hour("ts").cast("double"))
-    return timeseries.equilibrated(e.select("user_id", *ORDER, "value", "hour"), "user_id", ORDER, ["value", "hour"])
+    out = timeseries.equilibrated(e.select("user_id", *ORDER, "value", "hour"), "user_id", ORDER, ["value", "hour"])
+    return out.select("user_id", "observable", "t0", r("g", 5).alias("g"), r("n_eff", 4).alias("n_eff"))
 
 
 @query(f"""WITH o AS (SELECT value AS p, row_number() OVER (ORDER BY ts, event_id) - 1 AS k, count(*) OVER () AS n, avg(value) OVER () AS m FROM events)
@@ -257,14 +265,18 @@ def replicate_population_stats(t: Tables) -> DataFrame:
     return p.agg(r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("sd"), r(F.stddev_samp("x") / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
 
 
-@query()
-def replicate_population_intervals(t: Tables) -> DataFrame:
-    """Means with Student intervals by state."""
-    from terrane.operators import compare
+#: Student's quantiles at 97.5 % for one to eight degrees of freedom (fixed values).
+STUDENT = "[12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135]"
+
 
+@query(f"""WITH n AS (SELECT l_returnflag AS state, l_linenumber AS k, count(*) AS c FROM lineitem GROUP BY 1, 2), t AS (SELECT l_linenumber AS k, count(*) AS t FROM lineitem GROUP BY 1), f AS (SELECT DISTINCT state, t.k, t FROM n, t), x AS (SELECT f.state, 100.0 * coalesce(c, 0) / t AS x FROM f LEFT JOIN n ON n.state = f.state AND n.k = f.k),
+s AS (SELECT state, avg(x) AS m, stddev_samp(x) / sqrt(count(*)) AS sem, count(*) AS n FROM x GROUP BY 1) SELECT state, round(m, 6) AS mean, n, round(greatest(0, m - {STUDENT}[n - 1] * sem), 5) AS ci_low, round(least(100, m + {STUDENT}[n - 1] * sem), 5) AS ci_high FROM s""")
+def replicate_population_intervals(t: Tables) -> DataFrame:
+    """Means over replicates with Student intervals by state."""
     p = compare.population_table(t.lineitem.withColumn("s", F.lit("all")), "s", "l_linenumber", "l_returnflag")
     p = p.withColumn("sem", F.col("replicate_sd") / F.sqrt("n_replicates"))
-    return compare.replicate_intervals(p, "replicate_mean", "sem", "n_replicates")
+    p = compare.replicate_intervals(p, "replicate_mean", "sem", "n_replicates")
+    return p.select(F.col("l_returnflag").alias("state"), r("replicate_mean").alias("mean"), F.col("n_replicates").alias("n"), r("ci_low", 5).alias("ci_low"), r("ci_high", 5).alias("ci_high"))
 
 
 @query("""WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), b AS (SELECT *, least(k // greatest(1, n // 4), 3) AS block FROM o),
