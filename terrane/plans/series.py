@@ -498,3 +498,16 @@ def mbar_after_thirty_steps(t: Tables) -> DataFrame:
     n = {x["k"]: x["count"] for x in s.groupBy("k").count().collect()}  # three windows
     f = reweight.mbar(reweight.umbrella_energies(s, "x", [10.0, 30.0, 60.0], [0.02] * 3, 2.5).persist(), [n.get(k, 0) for k in range(3)], steps=30, tolerance=0.0)
     return t.spark.createDataFrame([(k, round(float(x), 6) + 0.0) for k, x in enumerate(f)], "k int, f double")
+
+
+#: Row sums of the reversible estimate by its fixed point, two hundred steps from even ones.
+REVERSIBLE = _counts("1, 2, 5").replace("WITH n AS", "WITH RECURSIVE n AS", 1).replace("SELECT lag::INT AS lag, i, j, count(*) AS c FROM c GROUP BY ALL", """, m AS (SELECT lag, i, j, count(*)::DOUBLE AS c FROM c GROUP BY ALL), b AS (SELECT a.lag, a.i, a.j, a.c + z.c AS c FROM m a JOIN m z ON z.lag = a.lag AND z.i = a.j AND z.j = a.i),
+t AS (SELECT lag, i, sum(c) AS t FROM m GROUP BY 1, 2), s(k, lag, i, x) AS (SELECT 0, lag, i, 0.25::DOUBLE FROM t UNION ALL SELECT k + 1, lag, i, x / sum(x) OVER (PARTITION BY lag) FROM (SELECT any_value(p.k) AS k, b.lag, b.i, sum(b.c / (u.t / p.x + v.t / q.x)) AS x FROM b JOIN s p ON p.lag = b.lag AND p.i = b.i JOIN s q ON q.lag = b.lag AND q.i = b.j JOIN t u ON u.lag = b.lag AND u.i = b.i JOIN t v ON v.lag = b.lag AND v.i = b.j WHERE p.k < 200 GROUP BY b.lag, b.i))
+SELECT lag::INT AS lag, i::INT AS state, round(x, 7) AS stationary FROM s WHERE k = 200""").replace("t AS (SELECT unnest([1, 2, 5]) AS lag)", "lags AS (SELECT unnest([1, 2, 5]) AS lag)").replace("FROM n a, t, n b", "FROM n a, lags, n b")
+
+
+@query(REVERSIBLE)
+def reversible_stationary(t: Tables) -> DataFrame:
+    """Stationary distributions of reversible estimates at several lags."""
+    e = QUERIES["msm_estimate"](t.spark, t.folder)
+    return e.select("lag", "state", r("stationary", 7).alias("stationary"))
