@@ -205,12 +205,52 @@ def mbar_step(energies: DataFrame, f: list[float], totals: list[int]) -> DataFra
     return rows.agg(*(F.sum(F.exp(-F.col("u")[i] - F.col("d"))).alias(f"s{i}") for i in range(k))).selectExpr(f"stack({k}, {', '.join(f'{i}, -ln(s{i})' for i in range(k))}) as (k, f)")
 
 
-def mbar(energies: DataFrame, totals: list[int], steps: int = 200, tolerance: float = 1e-8) -> list[float]:
-    """Free energies of the windows, the first one 0; every step is one pass that returns K numbers."""
-    f = [0.0] * len(totals)
-    for _ in range(steps):
-        new = [r["f"] for r in mbar_step(energies, f, totals).orderBy("k").collect()]
-        new = [x - new[0] for x in new]
+def occupations(energies: DataFrame, f: list[float], totals: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows with samples: sums over all samples of each window's share of the sample, and of the products of every two shares; one pass."""
+    own = [k for k, n in enumerate(totals) if n]
+    terms = [F.lit(math.log(totals[k]) + f[k]) - F.col("u")[k] for k in own]
+    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
+    rows = energies.select(F.array(*terms).alias("_t"), top.alias("_top")).select(F.transform("_t", lambda t: F.exp(t - F.col("_top"))).alias("_e"))
+    rows = rows.select(F.transform("_e", lambda e: e / F.aggregate("_e", F.lit(0.0), lambda x, y: x + y)).alias("p"))
+    m = len(own)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    row = rows.agg(*(F.sum(F.col("p")[i]) for i in range(m)), *(F.sum(F.col("p")[i] * F.col("p")[j]) for i, j in pairs)).first()
+    products = np.zeros((m, m))
+    for (i, j), x in zip(pairs, row[m:], strict=True):
+        products[i, j] = products[j, i] = x
+    return np.array(row[:m]), products
+
+
+#: Windows up to which Newton's steps, whose sums grow with the square of their number, take over from self-consistent ones.
+NEWTON_WINDOWS = 60
+
+
+def mbar(energies: DataFrame, totals: list[int], steps: int = 200, tolerance: float = 1e-8, newton: bool = True) -> list[float]:
+    """Free energies of the windows, the first one 0. Ten self-consistent steps, then Newton's on the windows with samples, each of which must bring
+    the shares nearer to the samples of the windows, else a self-consistent one takes its place. Every step is one pass that returns K or K * K numbers."""
+
+    def consistent(g: list[float]) -> list[float]:
+        new = [r["f"] for r in mbar_step(energies, g, totals).orderBy("k").collect()]
+        return [x - new[0] for x in new]
+
+    f, own = [0.0] * len(totals), [k for k, n in enumerate(totals) if n]
+    newton = newton and 1 < len(own) <= NEWTON_WINDOWS
+    wanted, nearest = np.array([totals[k] for k in own], float), math.inf
+    for step in range(steps):
+        if newton and step >= 10:
+            shares, products = occupations(energies, f, totals)
+            off = float(np.abs(shares / wanted - 1).max())
+            if off < tolerance:
+                return consistent(f)
+            move = np.zeros(len(own))
+            move[1:] = np.linalg.lstsq((np.diag(shares) - products)[1:, 1:], (wanted - shares)[1:], rcond=None)[0]
+            if off < nearest and np.isfinite(move).all():
+                nearest = off
+                f = list(f)
+                for k, x in zip(own, move, strict=True):
+                    f[k] += float(x)
+                continue
+        new = consistent(f)
         done = max(abs(a - b) for a, b in zip(new, f, strict=True)) < tolerance
         f = new
         if done:

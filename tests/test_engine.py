@@ -153,7 +153,7 @@ def test_whole_analysis_and_comparison(spark, tmp_path):
     assert {"transition_counts", "dwell_summary", "effective_samples", "bootstrap_intervals"} <= out.tables.keys()
     again = api.rebin(out.tables["projections"], Analysis(bins=16, bootstrap=0, smooth_sigma=1.0))
     assert again.tables["states"].orderBy("state").select("population").collect() == out.tables["states"].orderBy("state").select("population").collect()
-    both = api.compare(frames, Analysis(components=3, bins=16))
+    both = api.compare(frames, Analysis(components=3, bins=16, bootstrap=10))
     assert both.tables["overlaps"].count() == 1 and both.tables["differences"].count() > 0
     sinks.save({"states": out.tables["states"]}, f"file://{tmp_path}/out", {"k": 1})
     assert sinks.load(spark, f"file://{tmp_path}/out")[1] == {"k": 1}

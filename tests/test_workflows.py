@@ -80,6 +80,21 @@ def test_umbrella_and_doctor_commands(spark, tmp_path, capsys):
     assert "python workers answer" in capsys.readouterr().out
 
 
+def test_newton_steps_reach_what_self_consistent_ones_do(spark):
+    from terrane.operators import reweight
+
+    rng = np.random.default_rng(4)
+    centers, n = [0.0, 1.0, 2.0, 3.0], [150, 0, 80, 120]
+    x = np.concatenate([c + rng.normal(0, 0.6, k) for c, k in zip(centers, n, strict=True)])
+    df = reweight.umbrella_energies(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", centers, [3.0] * 4, 1.0).persist()
+    u, f = np.stack([1.5 * (x - c) ** 2 for c in centers]), np.zeros(4)
+    for _ in range(20_000):
+        d = (np.array(n)[:, None] * np.exp(f[:, None] - u)).sum(0)
+        f = -np.log((np.exp(-u) / d).sum(1))
+        f -= f[0]
+    assert np.allclose(reweight.mbar(df, n), f, atol=1e-6)
+
+
 def test_exact_quantiles_of_more_values_than_the_driver_takes(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "MOST", 50)
     rng = np.random.default_rng(5)
