@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.llm.common import prepared
 
@@ -76,6 +77,25 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.repeats import digests, remove_repeats
+
+    return digests(remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.periods import digests, periodic_runs, repeated_tail
+
+    return digests(periodic_runs(_table(spark, sf_dir, "documents"), rewrite=repeated_tail))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrane.llm.infill import fill_in_middle, restore
+
+    out = restore(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS size,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
@@ -86,10 +106,10 @@ SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_templates, op2_chat_format, op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op6_balanced_lists_ann, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash)}
+    return {f.__name__: f for f in (op1_license_templates, op2_chat_format, op3_random_indexing_quality, op4_multiple_instance_toxicity, op5_pitman_yor_lm, op6_balanced_lists_ann, op7_best_fit_packing, op8_exact_dedup, op9_byte_bpe, op10_order_minhash, op11_repeat_intervals, op12_periodic_runs, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from terrane.llm import chat, licenses
+    from terrane.llm import chat, infill, licenses
 
-    return {"op1_license_templates": licenses.sql(), "op2_chat_format": chat.SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_license_templates": licenses.sql(), "op2_chat_format": chat.SQL, "op8_exact_dedup": OP8_SQL, "op13_fill_in_middle": infill.SQL}
