@@ -3,15 +3,16 @@
 A window is a string of `LENGTH` bytes. It is named by the least hash of the `GRAM`-byte strings in it, so equal windows have equal
 names wherever they stand. Neighbouring windows of one name make a stretch, some 70 bytes of text with all its windows.
 
-1. Partitions send the owners of hash ranges their names, 32 bits each, and get a bitmap back: which names other documents have, too.
-2. Only stretches of shared names are read again. Equal stretches enter once, with the least of their documents; each occurrence
-   is a small row (digest, document, place).
-3. All stretches of a name meet in one shard, whose suffix array is refined eight bytes at a time; the common prefix of
+1. Tasks send the owners of hash ranges their names, 32 bits each, and get a bitmap back: which names other documents have, too.
+2. Stretches of shared names are read again. A part of a task holds each of them once and asks the shards of their names about them,
+   with the least and greatest of its documents that have it, compressed; where its documents have them it keeps to itself.
+3. All stretches of a name meet in one shard, equal ones as one. Its suffix array is refined eight bytes at a time; the common prefix of
    neighbours comes with each split. A stack scan over it closes the intervals of the common-prefix tree, and those whose members
    differ in the byte before them, or begin a stretch, are the maximal repeats: a group each, with all its members.
-4. Groups meet the occurrences of their stretches, and an occurrence in a document beyond the group's least one is a span to remove.
+4. Parts get an answer for each stretch: its least document, and which of its bytes an earlier one has. No row of any exchange stands for a
+   single occurrence, so a stretch of a third of all documents costs a shard one entry a part.
 
-A name with more than `HOT` stretches (what stands around a passage of a large part of all documents) is dealt by whole windows
+A name with more than `HOT` distinct stretches (what stands around a passage of a large part of all documents) is dealt by whole windows
 instead: its windows are grouped by their bytes, with map-side aggregation, in any number of tasks.
 
 Defined results: a null text counts as empty; a null key comes after all others (as does the greatest long); rows of one key are one document
@@ -37,7 +38,10 @@ LENGTH, GRAM = 50, 16
 WINDOWS = 64
 #: Text (bytes) or rows whose names a task sends together; names that an owner answers for; bytes of stretches in a shard.
 BLOCK, BLOCK_ROWS, OWNER_NAMES, SHARD = 64_000_000, 1_000_000, 2_000_000, 4_000_000
-HOT = 20_000
+#: Distinct stretches that a task gathers before it asks about them.
+PART = 200_000
+#: Stretches of one name that meet in a shard at most, and names that may have more: the former grows so that the latter holds (8 bytes each).
+HOT, MOST_HOT = 20_000, 1_000_000
 #: Rows with what is known of a document (some 100 bytes each) that may be broadcast to texts; beyond that, texts are shuffled.
 BROADCAST_DOCUMENTS = 400_000
 LAST = 2**63 - 1
@@ -227,22 +231,23 @@ def _answers(sent: DataFrame) -> DataFrame:
 
 
 def _suspects(docs: DataFrame, answers: DataFrame) -> DataFrame:
-    """(uid, id, t, flags): for each document with a shared name a bit for each of its stretches."""
+    """(uid, id, t, n, flags): for each document with a shared name a bit for each of its stretches, of which n are set."""
 
     def run(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         told = told.sort_values("owner")
         bits = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(told["bits"], told["n"], strict=True)] or [np.zeros(0, np.uint8)])
-        flags = []
+        flags, many = [], []
         for ranks in rows["ranks"]:
             three = np.zeros((len(ranks) // 3, 4), np.uint8)
             three[:, :3] = np.frombuffer(ranks, np.uint8).reshape(-1, 3)
             own = bits[three.view("<u4")[:, 0]]
-            flags.append(np.packbits(own).tobytes() if own.any() else None)
-        out = pd.DataFrame({"uid": rows["block"] * 2**24 + rows["seq"], "id": rows["id"], "t": rows["t"], "flags": flags})
-        return out[out["flags"].notna()]
+            many.append(int(own.sum()))
+            flags.append(np.packbits(own).tobytes())
+        out = pd.DataFrame({"uid": rows["block"] * 2**24 + rows["seq"], "id": rows["id"], "t": rows["t"], "n": many, "flags": flags})
+        return out[out["n"] > 0]
 
-    found = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "uid long, id long, t long, flags binary")
-    return found.groupBy("id", "t").agg(F.min(F.struct("uid", "flags")).alias("r")).select("r.uid", "id", "t", "r.flags")
+    found = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "uid long, id long, t long, n int, flags binary")
+    return found.groupBy("id", "t").agg(F.min(F.struct("uid", "n", "flags")).alias("r")).select("r.uid", "id", "t", "r.n", "r.flags")
 
 
 def _with_known(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
@@ -250,152 +255,254 @@ def _with_known(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(known) if known.count() <= BROADCAST_DOCUMENTS else known, ["id", "t"], how)
 
 
-def _shared_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of two kinds, told by `held`: each distinct stretch of a task (digest, name, bytes, least and greatest document), and its
-    occurrences (digest, id, uid, start, size)."""
-    fields = [("held", pa.bool_()), ("digest", pa.binary()), ("name", pa.int64()), ("data", pa.binary()), ("low", pa.int64()), ("high", pa.int64()), ("id", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("size", pa.int32())]
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Arrays of known types, one behind the other, with their lengths in front."""
+    head = np.array([a.nbytes for a in arrays], "<i8").tobytes()
+    raw = head + b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _unzip(data: bytes, *types: str) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    ends = np.cumsum(np.frombuffer(raw, "<i8", len(types))) + 8 * len(types)
+    return [np.frombuffer(raw[e - n : e], t) for e, n, t in zip(ends.tolist(), np.frombuffer(raw, "<i8", len(types)).tolist(), types, strict=True)]
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
+
+def _shared_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+    """Rows of two kinds: what a part of a task asks a shard (part, shard, n, names, and packed: each distinct stretch once, with its least and
+    greatest document), and the part's documents (part, packed: numbers, keys, where which of the part's stretches stand, and the stretches' lengths)."""
+    fields = [("part", pa.int64()), ("shard", pa.int32()), ("n", pa.int32()), ("names", pa.list_(pa.int64())), ("packed", pa.binary())]
+
+    def batch(*row: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, fields, strict=True)], names=[f for f, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         only()
-        known: dict[bytes, list] = {}
-        rows: list[tuple] = []
-        digest = hashlib.blake2b
+        part = TaskContext.get().partitionId() << 20
+        known: dict[bytes, int] = {}
+        names, low, high = [], [], []
+        uids, keys, many, which, where = [], [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            entries = [(True, d, name, data, low, high, None, None, None, None) for data, (d, name, low, high) in known.items()]
-            known.clear()
-            for s in range(0, len(entries), 20_000):
-                yield batch(entries[s : s + 20_000])
+            name = np.array(names, np.int64)
+            shard = (mix64(name.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((name, shard))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            texts, lows, highs, ranked = list(known), np.array(low, np.int64), np.array(high, np.int64), shard[order]
+            edge = np.flatnonzero(np.diff(ranked, prepend=-1, append=shards))
+            for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                own = order[s:e]
+                data = [texts[k] for k in own.tolist()]
+                yield batch(part, int(ranked[s]), e - s, name[own].tolist(), _zip(np.array([len(x) for x in data], "<u2"), np.frombuffer(b"".join(data), np.uint8), lows[own], highs[own]))
+            extent = np.array([len(texts[k]) for k in order.tolist()], "<u2")
+            yield batch(part, None, None, None, _zip(np.array(uids, "<i8"), np.array(keys, "<i8"), np.array(many, "<i4"), place[np.array(which, np.int64)], np.array(where, "<i4"), extent))
+            for x in (known, names, low, high, uids, keys, many, which, where):
+                x.clear()
 
         for whole in batches:
             for b in sliced(whole, 0):
                 for data, i, uid, flags in zip(b.column(0).cast(pa.binary()).to_pylist(), *(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    names, begin, end = stretches(data, length, gram)
-                    want = np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(names)))
-                    for name, s, e in zip(names[want].view(np.int64).tolist(), begin[want].tolist(), (end[want] + length - 1).tolist(), strict=True):
-                        part = data[s:e]
-                        entry = known.get(part)
-                        if entry is None:
-                            entry = known[part] = [digest(part, digest_size=16).digest(), name, i, i]
-                        elif i < entry[2]:
-                            entry[2] = i
-                        elif i > entry[3]:
-                            entry[3] = i
-                        rows.append((False, entry[0], None, None, None, None, i, uid, s, e - s))
-                    if len(rows) >= 20_000:
-                        yield batch(rows)
-                        rows = []
-                    if len(known) >= 200_000:
+                    found, begin, end = stretches(data, length, gram)
+                    want = np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(found)))
+                    for name, s, e in zip(found[want].view(np.int64).tolist(), begin[want].tolist(), (end[want] + length - 1).tolist(), strict=True):
+                        k = known.setdefault(data[s:e], len(names))
+                        if k == len(names):
+                            names.append(name)
+                            low.append(i)
+                            high.append(i)
+                        elif i < low[k]:
+                            low[k] = i
+                        elif i > high[k]:
+                            high[k] = i
+                        which.append(k)
+                        where.append(s)
+                    uids.append(uid)
+                    keys.append(i)
+                    many.append(len(want))
+                    if len(names) >= PART or len(which) >= 4 * PART:
                         yield from flush()
-        if rows:
-            yield batch(rows)
-        yield from flush()
+                        part += 1
+        if uids:
+            yield from flush()
+
+    return docs.select("text", "id", "uid", "flags").mapInArrow(run, "part long, shard int, n int, names array<long>, packed binary")
+
+
+def _unpacked(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(texts, least documents, greatest documents) that a part asks about."""
+    sizes, data, low, high = _unzip(packed, "<u2", "u1", "<i8", "<i8")
+    ends, raw = np.cumsum(sizes, dtype=np.int64).tolist(), data.tobytes()
+    return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], low, high
+
 
-    return docs.select("text", "id", "uid", "flags").mapInArrow(run, "held boolean, digest binary, name long, data binary, low long, high long, id long, uid long, start int, size int")
+def _united(piece: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each piece, overlapping and touching ones as one."""
+    order = np.lexsort((start, piece))
+    piece, start, end = piece[order], start[order], end[order]
+    base = piece * np.int64(2**32)
+    reach = np.maximum.accumulate(base + end)
+    new = np.ones(len(piece), bool)
+    new[1:] = base[1:] + start[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(piece))[: len(first)] - 1
+    return piece[first], start[first], reach[last] - base[last]
 
 
-def _groups(held: DataFrame, shards: int, length: int, every: bool) -> DataFrame:
-    """(digest, offset, size, least, grp): the members of the groups of maximal repeats, a stretch that several documents have among
-    them. `every`: also members that no document but the group's least one has."""
+def _answered(asks: DataFrame, hot: np.ndarray, length: int, every: bool) -> DataFrame:
+    """(part, shard, packed): for each stretch that a part asks about its least document, and its members of groups of maximal repeats (place, size,
+    group), a stretch that several documents have among them. Without `every`, members are united that another document before the least one has, too."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.groupby("digest", sort=False).agg(name=("name", "first"), data=("data", "first"), low=("low", "min"), high=("high", "max")).reset_index()
-        rows = rows.sort_values(["name", "digest"], ignore_index=True)
-        low, high, sizes = rows["low"].to_numpy(), rows["high"].to_numpy(), rows["data"].map(len).to_numpy()
-        kinds = pd.factorize(rows["name"])[0]
-        piece, offset, groups = maximal_repeats(rows["data"].tolist(), kinds, low, length)
+        known: dict[bytes, int] = {}
+        names, low, high, refs = [], [], [], []
+        for told, packed in zip(rows["names"], rows["packed"], strict=True):
+            texts, least, most = _unpacked(packed)
+            ref = np.empty(len(texts), np.int64)
+            cold = ~np.isin(told, hot)
+            for k, (text, name, a, b, usual) in enumerate(zip(texts, told, least.tolist(), most.tolist(), cold.tolist(), strict=True)):
+                if not usual:
+                    ref[k] = -1
+                    continue
+                at = ref[k] = known.setdefault(text, len(names))
+                if at == len(names):
+                    names.append(name)
+                    low.append(a)
+                    high.append(b)
+                else:
+                    low[at], high[at] = min(low[at], a), max(high[at], b)
+            refs.append(ref)
+        texts, lows, highs = list(known), np.array(low, np.int64), np.array(high, np.int64)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        piece, offset, groups = maximal_repeats(texts, np.unique(np.array(names, np.int64), return_inverse=True)[1], lows, length)
         g = np.array(groups, np.int64).reshape(-1, 4)
         many = g[:, 1] - g[:, 0] + 1
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(g[:, 0], many)
-        alone = np.flatnonzero(low < high)  # a stretch of several documents is a repeat by itself
-        who = np.concatenate([piece[at], alone])
-        out = {"offset": np.concatenate([offset[at], np.zeros(len(alone), np.int64)]), "size": np.concatenate([np.repeat(g[:, 2], many), sizes[alone]]), "least": np.concatenate([np.repeat(g[:, 3], many), low[alone]])}
-        number = np.concatenate([np.repeat(np.arange(len(g)), many), len(g) + np.arange(len(alone))])
-        out = pd.DataFrame({"digest": rows["digest"].to_numpy()[who], **out, "grp": (int(key[0]) << 32) + number})
-        return out if every else out[out["least"].to_numpy() < high[who]]
-
-    dealt = held.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(run, "digest binary, offset long, size long, least long, grp long")
-
-
-def _hot_groups(held: DataFrame, length: int) -> DataFrame:
-    """The same for stretches of hot names: every window that stands in two stretches, or in one of two documents."""
+        who, start, size, least = piece[at], offset[at], np.repeat(g[:, 2], many), np.repeat(g[:, 3], many)
+        group = (int(key[0]) << 32) + np.repeat(np.arange(len(g)), many)
+        if every:
+            alone = np.flatnonzero(lows < highs)  # a stretch of several documents is a repeat by itself
+            who, start, size = np.concatenate([who, alone]), np.concatenate([start, np.zeros(len(alone), np.int64)]), np.concatenate([size, sizes[alone]])
+            group = np.concatenate([group, (int(key[0]) << 32) + len(g) + np.arange(len(alone))])
+            order = np.argsort(who, kind="stable")
+            who, start, size, group = who[order], start[order], size[order], group[order]
+        else:
+            before = least < lows[who]
+            who, start, stop = _united(who[before], start[before], start[before] + size[before])
+            size, group = stop - start, np.zeros(0, np.int64)
+        begin = np.searchsorted(who, np.arange(len(texts) + 1))
+        answers = []
+        for ref in refs:
+            own = np.maximum(ref, 0)
+            count = np.where(ref < 0, 0, begin[own + 1] - begin[own]) if len(texts) else np.zeros(len(ref), np.int64)
+            take = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[own] if len(texts) else count, count)
+            least = np.where(ref < 0, LAST, lows[own]) if len(texts) else np.full(len(ref), LAST)
+            answers.append(_zip(least.astype("<i8"), count.astype("<u2"), start[take].astype("<u2"), size[take].astype("<u2"), group[take].astype("<i8") if every else group))
+        return pd.DataFrame({"part": rows["part"], "shard": rows["shard"], "packed": answers})
+
+    return asks.groupBy("shard").applyInPandas(run, "part long, shard int, packed binary")
+
+
+def _hot_answers(asks: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """(part, at, start, least, grp): every window of a hot name that two stretches or two documents have, `at` the stretch's place in its part's question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in sliced(whole, 1, 50_000):
-                rows = [(d, s, data[s : s + length], low, high) for d, data, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True) for s in range(len(data) - length + 1)]
-                types = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["digest", "offset", "window", "low", "high"])
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        for b in batches:
+            for part, shard, names, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = np.flatnonzero(np.isin(names, hot))
+                texts, low, high = _unpacked(packed)
+                for s in range(0, len(at), 1000):
+                    rows = [(part, shard, k, i, texts[k][i : i + length], int(low[k]), int(high[k])) for k in at[s : s + 1000].tolist() for i in range(len(texts[k]) - length + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "shard", "at", "start", "window", "low", "high"])
+
+    cut = stored(asks.select("part", "shard", "names", "packed").mapInArrow(run, "part long, shard int, at int, start int, window binary, low long, high long"), "windows")
+    least = cut.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).where("n > 1 or least < most")
+    return cut.join(least, "window").select("part", "shard", "at", "start", "least", F.xxhash64("window").alias("grp"))
 
-    cut = held.select("digest", "data", "low", "high").mapInArrow(run, "digest binary, offset long, window binary, low long, high long")
-    least = cut.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
-    return cut.join(least, "window").select("digest", "offset", F.lit(length).cast("long").alias("size"), "least", F.xxhash64("window").alias("grp")).distinct()
 
+def _placed(parts: DataFrame, answers: DataFrame, length: int, every: bool) -> DataFrame:
+    """A part's documents with its answers: (uid, cuts: first and last place of each run of bytes to remove), or, with `every`, (id, start, size, grp)."""
 
-def _members(df: DataFrame, key: str, text: str, length: int, gram: int, every: bool, hot: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents as `_identity` gives them; members of groups by document: id, uid, start, size, least, grp; documents with shared names)."""
-    hot = HOT if hot is None else hot
+    def run(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told, out = told.sort_values(["shard"], kind="stable"), []
+        usual = told[told["packed"].notna()]
+        opened = [_unzip(x, "<i8", "<u2", "<u2", "<u2", "<i8") for x in usual["packed"]]
+        low, count, start, size, group = (np.concatenate([o[k] for o in opened]).astype(np.int64) for k in range(5))
+        begin = np.concatenate([[0], np.cumsum(count)])
+        base = dict(zip(usual["shard"].tolist(), np.cumsum([0, *(len(o[0]) for o in opened[:-1])]).tolist(), strict=True))
+        more = told[told["packed"].isna()]
+        hot_at = np.array([base[s] for s in more["shard"]], np.int64) + more["at"].to_numpy(np.int64)
+        order = np.argsort(hot_at, kind="stable")
+        hot_at, hot_start, hot_least, hot_group = hot_at[order], *(more[c].to_numpy(np.int64)[order] for c in ("start", "least", "grp"))
+        for packed in rows["packed"]:
+            uids, keys, many, which, where, extent = _unzip(packed, "<i8", "<i8", "<i4", "<i4", "<i4", "<u2")
+            doc = np.repeat(np.arange(len(uids)), many)
+            which, where, key = which.astype(np.int64), where.astype(np.int64), keys[doc]
+            n = count[which]
+            take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[which], n)
+            spans = [(np.repeat(doc, n), np.repeat(where, n) + start[take], size[take], group[take] if every else take)]
+            if not every:
+                later = key > low[which]  # a document before this one has the whole stretch
+                spans.append((doc[later], where[later], extent[which[later]].astype(np.int64), where[later]))
+            a, b = np.searchsorted(hot_at, which, "left"), np.searchsorted(hot_at, which, "right")
+            n = b - a
+            take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+            fit = np.ones(len(take), bool) if every else np.repeat(key, n) > hot_least[take]
+            spans.append((np.repeat(doc, n)[fit], (np.repeat(where, n) + hot_start[take])[fit], np.full(int(fit.sum()), length), hot_group[take][fit]))
+            d, s, z, g = (np.concatenate([x[k] for x in spans]) for k in range(4))
+            if every:
+                out.append(pd.DataFrame({"id": keys[d], "start": s, "size": z, "grp": g}))
+                continue
+            d, s, e = _united(d, s, s + z)
+            edge = np.flatnonzero(np.diff(d, prepend=-1, append=-2))
+            cuts = np.stack([s, e], 1).astype("<i8")
+            out.append(pd.DataFrame({"uid": uids[d[edge[:-1]]], "cuts": [cuts[x:y].tobytes() for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False)]}))
+        return pd.concat(out)
+
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(run, "id long, start long, size long, grp long" if every else "uid long, cuts binary")
+
+
+def _found(df: DataFrame, key: str, text: str, length: int, gram: int, every: bool, hot: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents as `_identity` gives them; documents with shared names; what `_placed` gives)."""
     docs = _identity(df, key, text)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     names = stored(_names(docs, max(2, total * 2 // (length - gram + 2) // OWNER_NAMES + 1), length, gram), "names")
     answers = stored(_answers(names.where("owner is not null").select("block", "owner", "n", "names", "twice")), "answers")
     suspects = stored(_suspects(names.where("owner is null").select("block", "seq", "id", "t", "ranks"), answers), "suspects")
     forget(names, answers)
-    shared = stored(_shared_stretches(_with_known(docs, suspects, "inner"), length, gram), "stretches", partition_by="held")
-    held, places = shared.where("held").drop("held"), shared.where("not held")
-    often = stored(held.groupBy("name").count().where(F.col("count") > hot).select("name"), "often")
-    size = held.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
-    usual = held
-    if hot_names := not often.isEmpty():
-        usual = held.join(often, "name", "left_anti")
-    groups = _groups(usual.select("name", "digest", "data", "low", "high"), shards, length, every)
-    if hot_names:
-        groups = groups.unionByName(_hot_groups(held.join(often, "name", "left_semi"), length))
-    groups = stored(groups, "groups")
-    found = places.select("digest", "id", "uid", "start").join(groups, "digest")
-    found = found.join(suspects.select("uid", "t"), "uid") if every else found
-    return docs, found.withColumn("start", F.col("start") + F.col("offset")).drop("offset", "digest"), suspects
+    about = suspects.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-about * (length + 18) // SHARD))
+    shared = stored(_shared_stretches(_with_known(docs, suspects, "inner"), shards, length, gram), "stretches")
+    asks, parts = shared.where("shard is not null"), shared.where("shard is null").select("part", "packed")
+    many = asks.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT if hot is None else hot, many // MOST_HOT)
+    often = asks.select(F.explode("names").alias("name")).groupBy("name").count().where(F.col("count") > limit).select("name")
+    hot_names = np.sort(np.array([r["name"] for r in often.collect()], np.int64))  # no more than MOST_HOT
+    told = stored(_answered(asks, hot_names, length, every), "told").select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("start", "int"), ("least", "long"), ("grp", "long"))))
+    if len(hot_names):
+        told = told.unionByName(_hot_answers(asks, hot_names, length).withColumn("packed", F.lit(None).cast("binary")))
+    return docs, suspects, _placed(parts, told, length, every)
 
 
 def repeat_groups(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """(grp, key, start, size): all occurrences, in bytes, of each maximal repeat of `length` bytes or more that two places share. A repeat is
     maximal within its stretches; a passage longer than a stretch shows as several groups that overlap by `length` - 1 bytes."""
-    _, found, _ = _members(df, key, text, length, gram, True, hot)
+    _, _, found = _found(df, key, text, length, gram, True, hot)
     return found.select("grp", F.when(F.col("id") < LAST, F.col("id")).alias(key), "start", "size").distinct()
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    s = np.array(spans, np.int64).reshape(-1, 2)
-    s = s[np.argsort(s[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(s[:, 1])
-    new = np.concatenate([[True], s[1:, 0] > reach[:-1]])
-    first = np.flatnonzero(new)
-    return list(zip(s[first, 0].tolist(), reach[np.append(first[1:], len(s)) - 1].tolist(), strict=True))
-
-
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int | None = None) -> DataFrame:
     """One row for each row of `df`: key, n_bytes, spans (start, size of each maximal removed run of bytes), kept (the other bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller key.
     """
-    docs, found, suspects = _members(df, key, text, length, gram, False, hot)
-    spans = found.where("id > least").groupBy("uid").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("found"))
+    docs, suspects, found = _found(df, key, text, length, gram, False, hot)
+    cuts = stored(found.join(suspects.select("uid", "id", "t"), "uid").drop("uid"), "cuts")
     types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])), pa.binary()]
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [_merged([(x["start"], x["end"]) for x in row]) for row in b.column(1).to_pylist()]
-            flat = [np.array(x, "<i8").tobytes() for x in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(flat, pa.binary())], names=["uid", "cuts"])
-
-    cuts = spans.mapInArrow(merged, "uid long, cuts binary").join(suspects.select("uid", "id", "t"), "uid").drop("uid")
-    cuts = stored(cuts, "cuts")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
         for whole in batches:
