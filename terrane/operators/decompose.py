@@ -1,7 +1,7 @@
 """Moments, principal components and time-lagged components of vector columns.
 
-A partition makes one partial state (n, mean, M2) per key with matrix products over Arrow batches; partial states merge pairwise in a tree.
-Only D x D matrices reach the driver, so D is bounded (`MOST_DIMENSIONS`); the number of rows is not.
+A task makes partial states (n, mean, M2) of its keys with matrix products over Arrow batches; strips of their rows merge in two levels.
+Only D x D matrices reach the driver, so D is bounded (`MOST_DIMENSIONS`); the number of rows is not. `wide` has the modes of more dimensions.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import dot
 
 MOST_DIMENSIONS = 4096
+#: Rows of M2 in a strip; bytes of rows and states that a task holds; partitions whose states are folded first.
+STRIP, HELD, NEIGHBOURS = 64, 400_000_000, 32
 Moments = tuple[int, np.ndarray, np.ndarray]
 
 
@@ -45,45 +46,110 @@ def _rows(batch: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def moments(df: DataFrame, vector: str, by: str) -> DataFrame:
-    """(by, n, mean, m2): exact moments of every key's vectors."""
+    """(by, strip, n, mean, m2): exact moments of every key's vectors, M2 in strips of `STRIP` of its rows, so that no task merges a whole matrix.
+
+    A task gathers rows by key until a matrix product pays, and sends what it has whenever its states or rows pass `HELD` bytes. States
+    of one key and strip are folded as they stream: those of neighbouring partitions first, then the rest.
+    """
     kind = dict(df.dtypes)[by]
+    schema = f"`{by}` {kind}, strip int, part int, n long, mean array<double>, m2 array<double>"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         state: dict[object, Moments] = {}
+        rows: dict[object, list[np.ndarray]] = {}
+        held: dict[object, int] = {}
+
+        def settle(k: object) -> None:
+            if held.pop(k, 0):
+                m = of_rows(np.concatenate(rows.pop(k)))
+                state[k] = merged(state[k], m) if k in state else m
+
+        def sent(key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for k in list(held):
+                settle(k)
+            for k, (n, mean, m2) in state.items():
+                for s in range(0, len(mean), STRIP):
+                    columns = [pa.array([k], key_type), pa.array([s // STRIP], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([mean]), pa.array([m2[s : s + STRIP].ravel()])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[by, "strip", "part", "n", "mean", "m2"])
+            state.clear()
+
+        key_type, d = None, 1
         for b in batches:
             if not b.num_rows:
                 continue
-            x, keys = _rows(b, 1), np.array(b.column(0).to_pylist(), object)
-            if x.shape[1] > MOST_DIMENSIONS:
-                raise ValueError(f"{x.shape[1]} dimensions; project to at most {MOST_DIMENSIONS} first")
-            for k in dict.fromkeys(keys.tolist()):
-                m = of_rows(x[keys == k])
-                state[k] = merged(state[k], m) if k in state else m
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array(list(state), schema.field(0).type), pa.array([m[0] for m in state.values()], pa.int64()), pa.array([m[1] for m in state.values()]), pa.array([m[2].ravel() for m in state.values()])], names=[by, "n", "mean", "m2"])
-
-    from pyspark.sql.pandas.types import to_arrow_schema
+            x, key_type = _rows(b, 1), b.column(0).type
+            d = x.shape[1]
+            if d > MOST_DIMENSIONS:
+                raise ValueError(f"{d} dimensions; more than {MOST_DIMENSIONS} are for wide.pca")
+            seen = b.column(0).dictionary_encode()
+            codes = np.asarray(seen.indices.fill_null(len(seen.dictionary)))
+            values = [*seen.dictionary.to_pylist(), None]
+            if (codes[1:] < codes[:-1]).any():
+                order = np.argsort(codes, kind="stable")
+                x, codes = x[order], codes[order]
+            edge = np.flatnonzero(np.diff(codes, prepend=-1, append=len(values)))
+            for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                k = values[codes[s]]
+                rows.setdefault(k, []).append(x[s:e])
+                held[k] = held.get(k, 0) + e - s
+                if held[k] >= 2 * d:
+                    settle(k)
+            if 8 * d * (sum(held.values()) + d * len(state)) > HELD:
+                yield from sent(key_type)
+        yield from sent(key_type)
+
+    some = df.select(by, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(partial, schema)
+    half = _folded(some.withColumn("part", (F.col("part") / NEIGHBOURS).cast("int")), by, schema)
+    return _folded(half.withColumn("part", F.lit(0)), by, schema).drop("part")
+
+
+def _folded(states: DataFrame, by: str, schema: str) -> DataFrame:
+    """States of one key, strip and part as one, each read once."""
+
+    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, m2, last = 0, None, None, None
+        for b in batches:
+            for k in range(b.num_rows):
+                last = b
+                n2, mean2, more = b.column(3)[k].as_py(), b.column(4)[k].values.to_numpy(), b.column(5)[k].values.to_numpy()
+                more = more.reshape(-1, len(mean2))
+                if not n:
+                    n, mean, m2 = n2, mean2.copy(), more.copy()
+                    continue
+                delta, first = mean2 - mean, key[1].as_py() * STRIP
+                m2 += more
+                m2 += np.outer(delta[first : first + len(m2)] * (n * n2 / (n + n2)), delta)
+                mean, n = mean + delta * (n2 / (n + n2)), n + n2
+        yield pa.RecordBatch.from_arrays([*(last.column(c).slice(0, 1) for c in range(3)), pa.array([n], pa.int64()), pa.array([mean]), pa.array([m2.ravel()])], names=last.schema.names)
 
-    schema = to_arrow_schema(df.select(by).schema)
-    out = f"`{by}` {kind}, n long, mean array<double>, m2 array<double>"
+    return states.groupBy(by, "strip", "part").applyInArrow(fold, schema)
 
-    def final(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total: Moments | None = None
-        for n, mean, m2 in zip(rows["n"], rows["mean"], rows["m2"], strict=True):
-            m = (int(n), np.asarray(mean), np.asarray(m2).reshape(len(mean), -1))
-            total = m if total is None else merged(total, m)
-        return pd.DataFrame({by: [key[0]], "n": [total[0]], "mean": [total[1]], "m2": [total[2].ravel()]})
 
-    some = df.select(by, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(partial, out)
-    # a first round of merging by a salted key, so that one key's partial states do not all meet in one task
-    salted = some.withColumn("_salt", (F.monotonically_increasing_id() % 16).cast("int"))
-    half = salted.groupBy(by, "_salt").applyInPandas(lambda key, rows: final((key[0],), rows), out)
-    return half.groupBy(by).applyInPandas(final, out)
+def merged_tables(states: DataFrame, by: str) -> DataFrame:
+    """Tables of `moments` put together (a union, a stream's batches) as one."""
+    schema = f"`{by}` {dict(states.dtypes)[by]}, strip int, part int, n long, mean array<double>, m2 array<double>"
+    return _folded(states.select(by, "strip", F.lit(0).alias("part"), "n", "mean", "m2"), by, schema).drop("part")
 
 
 def collected(table: DataFrame, by: str) -> dict[object, Moments]:
-    """Moments by key: as many as there are keys, D x D each."""
-    return {r[by]: (r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(len(r["mean"]), -1)) for r in table.collect()}
+    """Moments by key on the driver: as many as there are keys, D x D each."""
+    strips: dict[object, list] = {}
+    for r in table.toLocalIterator():
+        strips.setdefault(r[by], []).append((r["strip"], r["n"], np.array(r["mean"]), np.array(r["m2"])))
+    out = {}
+    for k, found in strips.items():
+        found.sort(key=lambda x: x[0])
+        out[k] = (found[0][1], found[0][2], np.concatenate([x[3] for x in found]).reshape(len(found[0][2]), -1))
+    return out
+
+
+def entries(table: DataFrame, by: str) -> DataFrame:
+    """(by, i, j, n, c): the covariances (1/N) in a table of `moments`, one row each, without passing the driver."""
+    long = table.select(by, "strip", "n", F.size("mean").alias("_d"), F.posexplode("m2").alias("_at", "_c"))
+    return long.select(by, (F.col("strip") * STRIP + F.floor(F.col("_at") / F.col("_d"))).cast("long").alias("i"), (F.col("_at") % F.col("_d")).cast("long").alias("j"), "n", (F.col("_c") / F.col("n")).alias("c"))
 
 
 def covariance(states: dict[object, Moments], weighting: str = "equal-replicate") -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +296,12 @@ def extreme_structures(mean: np.ndarray, vector: np.ndarray, eigenvalue: float,
     return mean + np.linspace(-scale, scale, steps)[:, None] * np.sqrt(max(eigenvalue, 0)) * vector
 
 
-def long_matrix(matrix: np.ndarray) -> list[tuple[int, int, float]]:
-    """(i, j, value) of a dense matrix."""
-    return [(int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(matrix)]
+def long_table(spark: SparkSession, matrices: dict[object, np.ndarray], by: str | None = None, kind: str = "long") -> DataFrame:
+    """(by, i, j, value) of dense matrices: rows travel whole and are taken apart on the executors."""
+    rows = [(k, i, row.tolist()) for k, m in matrices.items() for i, row in enumerate(np.asarray(m, float))]
+    table = spark.createDataFrame(rows, f"`{by or '_by'}` {kind}, i long, _row array<double>")
+    out = table.select(*table.columns[:2], F.posexplode("_row").alias("_j", "value")).withColumn("j", F.col("_j").cast("long"))
+    return out.select(*([by] if by else []), "i", "j", "value")
 
 
 def lagged_moments(df: DataFrame, vector: str, replicate: str, order: list[str], lag: int) -> tuple[int, np.ndarray]:

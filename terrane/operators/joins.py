@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranges
+
 
 def _merged(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, key: str) -> DataFrame:
     """Both sides in one table, ordered by one shuffle: rows of the left carry their key."""
@@ -13,22 +15,24 @@ def _merged(left: DataFrame, right: DataFrame, by: list[str], time: str, value:
     return a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(0)))
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, key: str, direction: str = "backward", strict: bool = False, tolerance: float | None = None, ties: str = "earlier") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str, key: str, direction: str = "backward", strict: bool = False, tolerance: float | None = None, ties: str = "earlier", rows: int | None = None) -> DataFrame:
     """(by, key, time, value): the value of the right row that matches each left row's time, null if none.
 
     backward: the last right row at or before (before, if strict); forward: the first at or after; nearest: the closer of both, the earlier on ties, or the later with `ties`.
-    Rows meet in one sorted pass per group: no row is copied, and no pair is formed.
+    Rows meet in one sorted pass per group: no row is copied, and no pair is formed. With `rows`, groups of more rows than that are passed range by range.
     """
     both = _merged(left, right, by, time, value, key)
+    both = ranges.in_ranges(both, by, F.col("_t"), rows) if rows else both
+    parts = [*by, "_range"] if rows else by
     before = F.col("_side") if not strict else -F.col("_side")
-    w = Window.partitionBy(*by).orderBy("_t", before).rowsBetween(Window.unboundedPreceding, 0)
-    v = Window.partitionBy(*by).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*parts).orderBy("_t", before).rowsBetween(Window.unboundedPreceding, 0)
+    v = Window.partitionBy(*parts).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.when(F.col("_rt").isNotNull(), F.struct("_rt", "_v"))
     out = both
-    if direction in ("backward", "nearest"):
-        out = out.withColumn("_b", F.last(hit, ignorenulls=True).over(w))
-    if direction in ("forward", "nearest"):
-        out = out.withColumn("_f", F.last(hit, ignorenulls=True).over(v))
+    for side, window, back in (("_b", w, True), ("_f", v, False)):
+        if direction in ("backward" if back else "forward", "nearest"):
+            own = F.last(hit, ignorenulls=True).over(window)
+            out = ranges.carried(out, by, hit, own, side, back) if rows else out.withColumn(side, own)
     if direction == "backward":
         best: Column = F.col("_b")
     elif direction == "forward":
@@ -43,9 +47,16 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], time: str, value: str
     return out.select(*by, F.col("_key").alias(key), F.col("_t").alias(time), F.col("_m._rt").alias("matched_time"), F.col("_m._v").alias(value))
 
 
-def accumulated_before(left: DataFrame, right: DataFrame, by: list[str], time: str, amount: str, key: str) -> DataFrame:
-    """For each left row, the sum and the count of right rows strictly before it: the separable range join, as a running sum in one sorted pass."""
+def accumulated_before(left: DataFrame, right: DataFrame, by: list[str], time: str, amount: str, key: str, rows: int | None = None) -> DataFrame:
+    """For each left row, the sum and the count of right rows strictly before it: the separable range join, as a running sum in one sorted pass,
+    or, with `rows`, range by range in groups of more rows than that."""
     both = _merged(left, right, by, time, amount, key)
+    if rows:
+        both = ranges.in_ranges(both, by, F.col("_t"), rows)
+        at = ["_t", F.desc("_side")]
+        both = ranges.running(both, by, "_range", at, F.coalesce(F.col("_v"), F.lit(0.0)), "_s")
+        both = ranges.running(both, by, "_range", at, F.when(F.col("_v").isNotNull(), 1).otherwise(0), "_n")
+        return both.where("_side = 1").select(*by, F.col("_key").alias(key), F.coalesce("_s", F.lit(0.0)).alias("total"), F.col("_n").cast("long").alias("n"))
     w = Window.partitionBy(*by).orderBy("_t", F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_s", F.sum("_v").over(w)).withColumn("_n", F.count("_v").over(w))
     return out.where("_side = 1").select(*by, F.col("_key").alias(key), F.coalesce("_s", F.lit(0.0)).alias("total"), F.col("_n").alias("n"))

@@ -6,12 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranges
 from terrane.operators.quantiles import exact_quantiles, gaps
 
 
-def pairs(df: DataFrame, replicate: str, order: list[str], state: str, labels: list[str] | None = None, lag: int = 1) -> DataFrame:
-    """(replicate, source, target) of frames `lag` apart within a replicate, after frames in other states are taken out."""
+def pairs(df: DataFrame, replicate: str, order: list[str], state: str, labels: list[str] | None = None, lag: int = 1, rows_each: int | None = None) -> DataFrame:
+    """(replicate, source, target) of frames `lag` apart within a replicate, after frames in other states are taken out. With `rows_each`, replicates
+    of more frames than that are cut in ranges with halos."""
     rows = df.where(F.col(state).isin(labels)) if labels else df
+    if rows_each:
+        ahead = ranges.lagged(rows, [replicate], order, state, [lag], rows_each)
+        return ahead.select(replicate, F.col(state).alias("source"), F.col("_ahead")[0].alias("target")).where("target is not null")
     w = Window.partitionBy(replicate).orderBy(*order)
     out = rows.select(replicate, F.col(state).alias("source"), F.lead(state, lag).over(w).alias("target"))
     return out.where("target is not null")
@@ -39,9 +44,15 @@ def transition_matrix(counts: DataFrame) -> DataFrame:
     return counts.withColumn("probability", F.when(out > 0, F.col("n") / out))
 
 
-def visits(df: DataFrame, replicate: str, order: list[str], state: str, time: str, labels: list[str] | None = None, dt: float = 1.0) -> DataFrame:
-    """Runs of one state: start, end, frames, dwell, and whether the run is the first or last of its replicate and so cut off."""
+def visits(df: DataFrame, replicate: str, order: list[str], state: str, time: str, labels: list[str] | None = None, dt: float = 1.0, rows_each: int | None = None) -> DataFrame:
+    """Runs of one state: start, end, frames, dwell, and whether the run is the first or last of its replicate and so cut off. With `rows_each`,
+    replicates of more frames than that are cut in ranges, whose runs are stitched."""
     rows = df.where(F.col(state).isin(labels)) if labels else df
+    if rows_each:
+        out = ranges.runs(rows, [replicate], order, state, rows_each).groupBy(replicate, "run").agg(F.first(state).alias("state"), F.min(time).alias("start_time"), F.max(time).alias("end_time"), F.count("*").alias("frames"))
+        last = out.groupBy(F.col(replicate).alias("_key")).agg(F.max("run").alias("_last"))
+        out = out.join(last, F.col(replicate).eqNullSafe(F.col("_key"))).drop("_key")
+        return out.withColumn("dwell", F.col("frames") * dt).withColumn("censored", (F.col("run") == 1) | (F.col("run") == F.col("_last"))).drop("_last")
     w = Window.partitionBy(replicate).orderBy(*order)
     new = F.when(F.col(state) == F.lag(state).over(w), 0).otherwise(1)
     runs = rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

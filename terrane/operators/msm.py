@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranges
 from terrane.operators.decompose import squared_distance, timescales
 
 
@@ -59,11 +60,15 @@ def regular_space(points: np.ndarray, distance: float, most: int = 2000) -> np.n
     return np.array(centers)
 
 
-def lagged_counts(df: DataFrame, replicate: str, order: list[str], state: str, lags: list[int], sliding: bool = True) -> DataFrame:
+def lagged_counts(df: DataFrame, replicate: str, order: list[str], state: str, lags: list[int], sliding: bool = True, rows_each: int | None = None) -> DataFrame:
     """(lag, i, j, c): pairs `lag` frames apart within a replicate for all lags in one sorted pass; negative labels take no part. Without
-    `sliding`, only every lag-th frame starts a pair."""
-    w = Window.partitionBy(replicate).orderBy(*order)
-    rows = df.select(F.col(state).alias("i"), (F.row_number().over(w) - 1).alias("rn"), F.array(*(F.struct(F.lit(t).alias("lag"), F.lead(state, t).over(w).alias("j")) for t in lags)).alias("p"))
+    `sliding`, only every lag-th frame starts a pair. With `rows_each`, replicates of more frames than that are cut in ranges with halos."""
+    if rows_each:
+        ahead = ranges.lagged(df.select(replicate, *order, state), [replicate], order, state, lags, rows_each)
+        rows = ahead.select(F.col(state).alias("i"), F.col("_ordinal").alias("rn"), F.array(*(F.struct(F.lit(t).alias("lag"), F.col("_ahead")[k].alias("j")) for k, t in enumerate(lags))).alias("p"))
+    else:
+        w = Window.partitionBy(replicate).orderBy(*order)
+        rows = df.select(F.col(state).alias("i"), (F.row_number().over(w) - 1).alias("rn"), F.array(*(F.struct(F.lit(t).alias("lag"), F.lead(state, t).over(w).alias("j")) for t in lags)).alias("p"))
     out = rows.select("i", "rn", F.explode("p").alias("p")).select("p.lag", "i", "p.j", "rn").where("j is not null")
     if dict(df.dtypes)[state] != "string":
         out = out.where("i >= 0 and j >= 0")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import R, wrapped
@@ -77,31 +78,12 @@ def untempered(height, factor):
     return F.when(factor > 1, height * (factor - 1) / factor).otherwise(height)
 
 
-def bias_by_join(frames: DataFrame, hills: DataFrame, key: str, x: str, time: str | None, period: float | None = None) -> DataFrame:
-    """(key, bias) for one variable from a table of hills (center, sigma, height, hill_time) of any size.
+def bias_by_join(frames: DataFrame, hills: DataFrame, key: str, x: str | list[str], time: str | None, period: float | None | list[float | None] = None, centers: list[str] | None = None, sigmas: list[str] | None = None) -> DataFrame:
+    """(key, bias) from a table of hills of any size; see `hills.bias`."""
+    from terrane.operators.hills import bias as of_hills
 
-    A hill ends at `CUTOFF`, so with cells as wide as the farthest hill reaches, a frame meets only hills of its own cell and of those beside it: an equal join
-    on cells, whose pairs are added up by key before they travel.
-    """
-    widest = hills.agg(F.max(F.col("sigma").cast("double"))).first()[0]
-    reach = math.sqrt(2 * CUTOFF) * (widest or 1.0)
-    if period:
-        cells = max(1, int(period // reach))
-        cell = lambda c: F.pmod(F.floor(c * (cells / period)), F.lit(cells))
-        around = lambda c: F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.pmod(cell(c) + k, F.lit(cells))))
-    else:
-        cell = lambda c: F.floor(c / reach)
-        around = lambda c: F.sequence(cell(c) - 1, cell(c) + 1)
-    d = F.col("_x") - F.col("center")
-    d = wrapped(d, period) if period else d
-    dp2 = 0.5 * (d / F.col("sigma")) * (d / F.col("sigma"))
-    a = 1 / (1 - math.exp(-CUTOFF))
-    v = F.when(dp2 < CUTOFF, F.col("height") * (a * F.exp(-dp2) + (1 - a))).otherwise(0.0)
-    here = frames.select(key, F.col(x).cast("double").alias("_x"), *([F.col(time).alias("_t")] if time else []), cell(F.col(x).cast("double")).alias("_cell"))
-    there = hills.select("center", "sigma", "height", *(["hill_time"] if time else []), F.explode(around(F.col("center").cast("double"))).alias("_cell"))
-    pairs = here.join(there, "_cell")
-    sums = (pairs.where("hill_time < _t") if time else pairs).groupBy(key).agg(F.sum(v).alias("bias"))
-    return frames.select(key).join(sums, key, "left").fillna(0.0, ["bias"])
+    names = [x] if isinstance(x, str) else x
+    return of_hills(frames, hills, key, names, time, period if isinstance(period, list) else [period] * len(names), centers, sigmas)
 
 
 def log_weights(df: DataFrame, log_weight: str, kept: str | None = None) -> DataFrame:
@@ -129,7 +111,7 @@ def default_grid(centers: np.ndarray, sigmas: np.ndarray, points: int = 200, per
 
 
 def reweighting_constant(centers: np.ndarray, sigmas: np.ndarray, heights: np.ndarray, grid: np.ndarray, temperature: float, factor: float | None, stretched: bool = True, periods: list[float | None] | None = None) -> np.ndarray:
-    """c(t) after each hill, in the order given, from the running bias on a grid."""
+    """c(t) after each hill, in the order given, from the running bias at the points of a grid: for hills that fit the driver; `hills.constants` is for tables."""
     kt = R * temperature
     v, out = np.zeros(len(grid)), np.zeros(len(heights))
     for i in range(len(heights)):
@@ -162,36 +144,38 @@ def umbrella_energies(df: DataFrame, x: str, centers: list[float], kappas: list[
     return df.withColumn("u", F.array(*(one(c, k) for c, k in zip(centers, kappas, strict=True))))
 
 
-def running_constant(hills: DataFrame, points: int, lo: float, hi: float, kt: float, hill: str = "hill", slices: int = 32) -> DataFrame:
-    """(hill, c) of an untempered run in one variable, c(t) after each hill, from a table of hills (hill, center, sigma, height) numbered from 1.
+def wham(histogram: np.ndarray, totals: np.ndarray, reduced_bias: np.ndarray, tolerance: float = 1e-8, most: int = 100_000, inefficiency: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each bin and free energies of the windows, from counts[window, bin] or counts over bins, samples of each window and reduced bias[window, bin].
 
-    The running bias at a grid point is a running sum over slices of hills: sums of whole slices, of which there are `slices`, give each its start, so a window sees one slice of one point.
+    In logarithms throughout, so that stiff windows far apart stay finite. A window whose samples are correlated counts its samples over its statistical
+    `inefficiency`; for that, counts must be given by window. A bin without samples has probability 0; a warning tells if `most` rounds were not enough.
     """
-    step = (hi - lo) / max(points - 1, 1)
-    a = 1 / (1 - math.exp(-CUTOFF))
-    n = hills.agg(F.max(hill)).first()[0] or 1
-    rows = hills.withColumn("_slice", F.floor((F.col(hill) - 1) * slices / n)).withColumn("_s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: lo + i * step)))
-    q = 0.5 * F.pow((F.col("_s") - F.col("center")) / F.col("sigma"), 2)
-    rows = rows.withColumn("_v", F.when(q < CUTOFF, F.col("height") * (a * F.exp(-q) + (1 - a))).otherwise(0.0))
-    before = rows.groupBy("_s", "_slice").agg(F.sum("_v").alias("_sum"))
-    before = before.withColumn("_start", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_slice")) - F.col("_sum")).drop("_sum")
-    run = rows.join(F.broadcast(before), ["_s", "_slice"]).withColumn("_b", (F.col("_start") + F.sum("_v").over(Window.partitionBy("_s", "_slice").orderBy(hill))) / kt)
-    top = F.max("_b").over(Window.partitionBy(hill))
-    return run.withColumn("_top", top).groupBy(hill).agg((kt * (F.max("_top") + F.log(F.sum(F.exp(F.col("_b") - F.col("_top")))) - F.log(F.count("*").cast("double")))).alias("c"))
-
-
-def wham(histogram: np.ndarray, totals: np.ndarray, reduced_bias: np.ndarray, tolerance: float = 1e-8, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each bin and free energies of the windows, from counts over bins, samples of each window and reduced bias[window, bin]."""
+    histogram, totals, u = np.asarray(histogram, float), np.asarray(totals, float), np.asarray(reduced_bias, float)
+    if inefficiency is not None:
+        g = np.maximum(1.0, np.asarray(inefficiency, float))
+        if histogram.ndim < 2:
+            raise ValueError("an inefficiency for each window needs counts by window")
+        histogram, totals = histogram / g[:, None], totals / g
+    counts = histogram.sum(0) if histogram.ndim == 2 else histogram
+    with np.errstate(divide="ignore"):
+        log_counts, log_totals = np.log(counts), np.log(totals)
+    seen, own = counts > 0, totals > 0
+    if not seen.any() or not own.any():
+        raise ValueError("no samples")
     f = np.zeros(len(totals))
     for _ in range(most):
-        p = histogram / (totals[:, None] * np.exp(f[:, None] - reduced_bias)).sum(0)
-        new = -np.log((p * np.exp(-reduced_bias)).sum(1))
+        log_p = log_counts[seen] - _lse((log_totals[own] + f[own])[:, None] - u[np.ix_(own, seen)], axis=0)
+        new = -_lse(log_p[None, :] - u[:, seen], axis=1)
         new -= new[0]
         done = np.abs(new - f).max() < tolerance
         f = new
         if done:
             break
-    return p / p.sum(), f
+    else:
+        warnings.warn(f"WHAM did not settle to {tolerance} in {most} rounds", stacklevel=2)
+    p = np.zeros(len(counts))
+    p[seen] = np.exp(log_p - _lse(log_p))
+    return p, f
 
 
 def mbar_step(energies: DataFrame, f: list[float], totals: list[int]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import dot
-from terrane.operators import decompose, msm, residues
+from terrane.operators import decompose, msm, residues, wide
 from terrane.plans.registry import Tables, query, r
 
 LONG = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings"
@@ -25,6 +25,14 @@ def long(t: Tables) -> DataFrame:
 COVARIANCE = f"l AS ({LONG}), c AS (SELECT a.d AS i, b.d AS j, covar_pop(a.x, b.x) AS c FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2)"
 
 
+#: As atoms of three numbers: 64 numbers and two zeros are 22 atoms.
+PADDED = f"{LONG} UNION ALL SELECT vec_id, label, 0.0::DOUBLE, unnest([64, 65]) FROM embeddings WHERE embedding IS NOT NULL"
+
+
+def padded(t: Tables, name: str = "v") -> DataFrame:
+    return vectors(t).withColumn(name, F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(0.0), F.lit(0.0))))
+
+
 def pooled_covariance(t: Tables) -> np.ndarray:
     v = vectors(t).select(F.lit(0).alias("one"), "embedding")
     return decompose.covariance(decompose.collected(decompose.moments(v, "embedding", "one"), "one"))[1]
@@ -33,8 +41,8 @@ def pooled_covariance(t: Tables) -> np.ndarray:
 @query(f"WITH {COVARIANCE} SELECT i, j, round(c, 8) AS c FROM c WHERE i <= j")
 def covariance_long(t: Tables) -> DataFrame:
     """Covariances of all numbers with equal weight for each frame, from merged moments."""
-    rows = [(i, j, round(c, 8)) for i, j, c in decompose.long_matrix(pooled_covariance(t)) if i <= j]
-    return t.spark.createDataFrame(rows, "i long, j long, c double")
+    v = vectors(t).select(F.lit(0).alias("one"), "embedding")
+    return decompose.entries(decompose.moments(v, "embedding", "one"), "one").where("i <= j").select("i", "j", r("c", 8).alias("c"))
 
 
 @query(f"WITH l AS ({LONG}) SELECT d, round(avg(x), 8) AS mean, round(var_pop(x) * count(*), 6) AS m2, count(*) AS n FROM l GROUP BY 1")
@@ -62,6 +70,14 @@ def explained_variance(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([tuple(round(float((e**k).sum()), 8) for k in (1, 2, 3))], "total double, squares double, cubes double")
 
 
+@query(f"WITH {COVARIANCE} SELECT round(sum(c) FILTER (i = j), 8) AS total, round(sum(c * c), 8) AS squares, count(DISTINCT i) AS modes, true AS settled FROM c")
+def wide_spectrum(t: Tables) -> DataFrame:
+    """Modes without a covariance matrix: trace and squares of all eigenvalues of a range finder, which SQL takes from the matrix."""
+    p = wide.pca(vectors(t), "embedding", k=64, block=16)
+    e = p["eigenvalues"]
+    return t.spark.createDataFrame([(round(float(e.sum()), 8), round(float((e**2).sum()), 8), len(e), bool(p["residual"] < 1e-8 * e[0]))], "total double, squares double, modes long, settled boolean")
+
+
 @query()
 def pca_modes(t: Tables) -> DataFrame:
     """Ten modes of all dimensions with equal weight for each replicate."""
@@ -100,7 +116,7 @@ def project_fixed_axes(t: Tables) -> DataFrame:
 def lagged_covariance(t: Tables) -> DataFrame:
     """Mean products of all numbers at a lag of five frames within replicates."""
     n, c = decompose.lagged_moments(vectors(t), "embedding", "label", ["vec_id"], 5)
-    return t.spark.createDataFrame([(i, j, round(x, 8), n) for i, j, x in decompose.long_matrix(c)], "i long, j long, c double, n long")
+    return decompose.long_table(t.spark, {0: c}).select("i", "j", r("value", 8).alias("c"), F.lit(n).cast("long").alias("n"))
 
 
 @query(f"""WITH l AS ({LONG}), m AS (SELECT label, d, avg(x) AS m FROM l GROUP BY 1, 2), g AS (SELECT d, avg(m) AS g FROM m GROUP BY 1), u AS (SELECT label, d, m - g AS u FROM m JOIN g USING (d)), n AS (SELECT label, sqrt(sum(u * u)) AS n FROM u GROUP BY 1),
@@ -113,14 +129,13 @@ def rmsip_fixed(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(a, b, round(decompose.rmsip(axes[a], axes[b]), 6)) for a in axes for b in axes if a < b], "a long, b long, rmsip double")
 
 
-#: Atoms of these queries are three numbers each, and residues four atoms; the last number belongs to none.
-MODES = f"WITH l AS ({LONG}), v AS (SELECT d // 3 AS atom, var_pop(x) AS e FROM l WHERE d < 63 GROUP BY d, d // 3)"
+#: Atoms of these queries are three numbers each, and residues four atoms.
+MODES = f"WITH l AS ({PADDED}), v AS (SELECT d // 3 AS atom, var_pop(x) AS e FROM l GROUP BY d, d // 3)"
 
 
 def mode_table(t: Tables, group: list[int] | None = None) -> DataFrame:
     """(item, moved): contributions to all modes, each weighed by its eigenvalue."""
-    v = vectors(t).select(F.lit(0).alias("one"), "embedding")
-    p = decompose.pca(v, "embedding", "one", 64)
+    p = decompose.pca(padded(t).select(F.lit(0).alias("one"), "v"), "v", "one", 66)
     moved = np.sqrt((decompose.mode_contributions(p["vectors"], 3, group) ** 2 * p["eigenvalues"]).sum(1))
     return t.spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(moved)], "item long, moved double")
 
@@ -133,44 +148,43 @@ def mode_contributions(t: Tables) -> DataFrame:
 
 @query(MODES + " SELECT atom // 4 AS item, round(sqrt(sum(e)), 6) AS moved FROM v GROUP BY 1")
 def residue_mode_contributions(t: Tables) -> DataFrame:
-    return mode_table(t, [k // 4 for k in range(21)])
+    return mode_table(t, [k // 4 for k in range(22)])
 
 
 @query(f"WITH l AS ({LONG}) SELECT a.d AS i, b.d AS j, round(covar_pop(a.x, b.x) / sqrt(var_pop(a.x) * var_pop(b.x)), 7) AS c FROM l a JOIN l b USING (vec_id) GROUP BY 1, 2")
 def dccm_small(t: Tables) -> DataFrame:
     """Correlations of all numbers, as items of one number."""
     c = decompose.cross_correlations(vectors(t), "embedding", axes=1)[None]
-    return t.spark.createDataFrame([(i, j, round(x, 7)) for i, j, x in decompose.long_matrix(c)], "i long, j long, c double")
+    return decompose.long_table(t.spark, {0: c}).select("i", "j", r("value", 7).alias("c"))
 
 
 #: Correlated motion of atoms by state: even and odd labels are the states.
-DCCM = f"""WITH l AS (SELECT vec_id, label % 2 AS st, d // 3 AS atom, d % 3 AS axis, x FROM ({LONG}) WHERE d < 63), c AS (SELECT a.st, a.atom AS i, b.atom AS j, a.axis, covar_pop(a.x, b.x) AS c FROM l a JOIN l b ON b.vec_id = a.vec_id AND b.axis = a.axis GROUP BY 1, 2, 3, 4),
+DCCM = f"""WITH l AS (SELECT vec_id, label % 2 AS st, d // 3 AS atom, d % 3 AS axis, x FROM ({PADDED})), c AS (SELECT a.st, a.atom AS i, b.atom AS j, a.axis, covar_pop(a.x, b.x) AS c FROM l a JOIN l b ON b.vec_id = a.vec_id AND b.axis = a.axis GROUP BY 1, 2, 3, 4),
 t AS (SELECT st, i, j, sum(c) AS c FROM c GROUP BY 1, 2, 3), d AS (SELECT st, i, c FROM t WHERE i = j), n AS (SELECT t.st, t.i, t.j, t.c / sqrt(x.c * y.c) AS c FROM t JOIN d x ON x.st = t.st AND x.i = t.i JOIN d y ON y.st = t.st AND y.i = t.j)"""
 
 
 def state_matrices(t: Tables) -> dict[int, np.ndarray]:
-    v = vectors(t).select((F.col("label") % 2).alias("st"), F.slice("embedding", 1, 63).alias("v"))
+    v = padded(t).select((F.col("label") % 2).alias("st"), "v")
     return decompose.cross_correlations(v, "v", "st")
 
 
 @query(DCCM + " SELECT st AS state, i, j, round(c, 7) AS c FROM n")
 def dccm_per_state(t: Tables) -> DataFrame:
-    rows = [(int(k), i, j, round(x, 7)) for k, m in state_matrices(t).items() for i, j, x in decompose.long_matrix(m)]
-    return t.spark.createDataFrame(rows, "state long, i long, j long, c double")
+    return decompose.long_table(t.spark, {int(k): m for k, m in state_matrices(t).items()}, "state").withColumn("value", r("value", 7)).withColumnRenamed("value", "c")
 
 
 @query(DCCM + " SELECT st AS state, i // 4 AS i, j // 4 AS j, round(avg(c), 7) AS c FROM n GROUP BY ALL")
 def dccm_residues(t: Tables) -> DataFrame:
     """The same, as means over the atoms of every two residues."""
-    group = [k // 4 for k in range(21)]
-    rows = [(int(k), i, j, round(x, 7)) for k, m in state_matrices(t).items() for i, j, x in decompose.long_matrix(decompose.collapsed(m, group))]
-    return t.spark.createDataFrame(rows, "state long, i long, j long, c double")
+    group = [k // 4 for k in range(22)]
+    matrices = {int(k): decompose.collapsed(m, group) for k, m in state_matrices(t).items()}
+    return decompose.long_table(t.spark, matrices, "state").withColumn("value", r("value", 7)).withColumnRenamed("value", "c")
 
 
 @query(DCCM.replace("d // 3 AS atom, d % 3 AS axis, x FROM", "d // 3 AS atom, d % 3 AS axis, x, 1.0 + vec_id % 3 AS w FROM").replace("covar_pop(a.x, b.x) AS c", "sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * sum(a.w * b.x) / sum(a.w) AS c").replace("label % 2 AS st", "0 AS st") + " SELECT i, j, round(c, 7) AS c FROM n")
 def dccm_weighted(t: Tables) -> DataFrame:
-    v = vectors(t).select((1.0 + F.col("vec_id") % 3).alias("w"), F.slice("embedding", 1, 63).alias("v"))
-    return t.spark.createDataFrame([(i, j, round(x, 7)) for i, j, x in decompose.long_matrix(decompose.cross_correlations(v, "v", weight="w")[None])], "i long, j long, c double")
+    v = padded(t).select((1.0 + F.col("vec_id") % 3).alias("w"), "v")
+    return decompose.long_table(t.spark, {0: decompose.cross_correlations(v, "v", weight="w")[None]}).select("i", "j", r("value", 7).alias("c"))
 
 
 #: Seven centres in all 64 numbers, by a rule that SQL has too.
@@ -204,11 +218,11 @@ def rmsd_series(t: Tables) -> DataFrame:
     return out.select("vec_id", r(F.col("rmsd") * F.sqrt(F.lit(3.0))).alias("rmsd"))
 
 
-ATOMS = "WITH a AS (SELECT vec_id, label, d // 3 AS atom, max(x) FILTER (d % 3 = 0) AS x, max(x) FILTER (d % 3 = 1) AS y, max(x) FILTER (d % 3 = 2) AS z FROM (" + LONG + ") WHERE d < 63 GROUP BY ALL)"
+ATOMS = "WITH a AS (SELECT vec_id, label, d // 3 AS atom, max(x) FILTER (d % 3 = 0) AS x, max(x) FILTER (d % 3 = 1) AS y, max(x) FILTER (d % 3 = 2) AS z FROM (" + PADDED + ") GROUP BY ALL)"
 
 
 def atoms(t: Tables) -> DataFrame:
-    return residues.long_form(vectors(t).withColumn("c", F.slice("embedding", 1, 63)), ["vec_id", "label"], "c").withColumn("mass", 12.0 + F.col("atom") % 3).withColumn("atom", F.col("atom").cast("long"))
+    return residues.long_form(padded(t, "c"), ["vec_id", "label"], "c").withColumn("mass", 12.0 + F.col("atom") % 3).withColumn("atom", F.col("atom").cast("long"))
 
 
 @query(ATOMS + ", m AS (SELECT *, 12.0 + atom % 3 AS w FROM a), c AS (SELECT vec_id, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz FROM m GROUP BY 1) SELECT vec_id, round(sqrt(sum(w * (power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) / sum(w)), 6) AS rg FROM m JOIN c USING (vec_id) GROUP BY 1")
@@ -283,7 +297,7 @@ def vector_norms(t: Tables) -> DataFrame:
 
 @query()
 def superposition(t: Tables) -> DataFrame:
-    """Frames of 21 points fitted onto the first one."""
-    v = vectors(t).select("vec_id", F.slice("embedding", 1, 63).cast("array<double>").alias("c"))
+    """Frames of 22 points fitted onto the first one."""
+    v = padded(t, "c").select("vec_id", "c")
     ref = np.array(v.where("vec_id = 0").first()["c"]).reshape(-1, 3)
     return decompose.superposed(v, "c", ref).select("vec_id", "fit_rmsd")

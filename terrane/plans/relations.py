@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import hills as hill_work
 from terrane.operators import joins, residues, reweight, states, timeseries
 from terrane.plans.registry import Tables, query, r
-from terrane.plans.series import MICROS
+from terrane.plans.series import MICROS, ONE_SERIES
 
 
 def side(t: Tables, kind: str) -> DataFrame:
@@ -52,6 +54,28 @@ def range_join_accumulate(t: Tables) -> DataFrame:
     return out.select("user_id", "event_id", r("total", 4).alias("total"), "n")
 
 
+def _once(t: Tables, kind: str) -> DataFrame:
+    """One row a time: the greatest value."""
+    return side(t, kind).groupBy("us").agg(F.max("value").alias("value"))
+
+
+ONCE = "WITH l AS (SELECT epoch_us(ts) AS us, event_id FROM events WHERE event_type = 'view'), q AS (SELECT epoch_us(ts) AS us, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+
+
+@query(ONCE + """, b AS (SELECT l.event_id, l.us, q.us AS bu, q.value AS bv FROM l ASOF LEFT JOIN q ON l.us >= q.us), f AS (SELECT l.event_id, q.us AS fu, q.value AS fv FROM l ASOF LEFT JOIN q ON l.us <= q.us)
+SELECT event_id, us, CASE WHEN bu IS NULL OR fu - us < us - bu THEN coalesce(fu, bu) ELSE bu END AS matched_time, CASE WHEN bu IS NULL OR fu - us < us - bu THEN coalesce(fv, bv) ELSE bv END AS value FROM b JOIN f USING (event_id)""")
+def asof_nearest_one_series(t: Tables) -> DataFrame:
+    """The nearest purchase to every view, of whichever user, in ranges of time."""
+    return joins.asof(side(t, "view"), _once(t, "purchase"), [], "us", "value", "event_id", "nearest", rows=ONE_SERIES)
+
+
+@query("WITH l AS (SELECT epoch_us(ts) AS us, event_id FROM events WHERE event_type = 'view'), q AS (SELECT epoch_us(ts) AS us, value FROM events WHERE event_type = 'purchase'), s AS (SELECT us, sum(sum(value)) OVER w AS total, sum(count(*)) OVER w AS n FROM q GROUP BY us WINDOW w AS (ORDER BY us)) SELECT l.event_id, round(coalesce(total, 0), 4) AS total, coalesce(n, 0)::BIGINT AS n FROM l ASOF LEFT JOIN s ON l.us > s.us")
+def range_join_one_series(t: Tables) -> DataFrame:
+    """Number and value of all purchases before every view, in ranges of time."""
+    out = joins.accumulated_before(side(t, "view"), side(t, "purchase"), [], "us", "value", "event_id", rows=ONE_SERIES)
+    return out.select("event_id", r("total", 4).alias("total"), "n")
+
+
 @query("""WITH a AS (SELECT p_brand, p_type, min(p_partkey) AS first_order FROM part WHERE p_size < 25 GROUP BY 1, 2), b AS (SELECT p_brand, p_type, min(p_partkey) AS second_order FROM part WHERE p_size >= 25 GROUP BY 1, 2) SELECT * FROM a JOIN b USING (p_brand, p_type)""")
 def common_key_mapping(t: Tables) -> DataFrame:
     return joins.common_keys(t.part.where("p_size < 25"), t.part.where("p_size >= 25"), ["p_brand", "p_type"], "p_partkey")
@@ -201,7 +225,36 @@ def metad_rct(t: Tables) -> DataFrame:
     """c(t) after each hill of an untempered run, by a running bias at every grid point."""
     h = t.events.where("event_type = 'purchase'").select(F.col("value").alias("center"), "ts", "event_id", (1.0 + F.col("user_id") % 3).alias("height"), (2.0 + F.col("event_id") % 5).alias("sigma"))
     h = timeseries.global_ordinals(h, F.expr(MICROS), ["ts", "event_id"], "hill").withColumn("hill", (F.col("hill") + 1).cast("int"))
-    return reweight.running_constant(h, 50, 0.0, 196.0, 2.5).select("hill", r("c").alias("c"))
+    return hill_work.constants(h, "hill", [np.arange(50) * 4.0], 2.5).select(F.col("hill").cast("int").alias("hill"), r("c").alias("c"))
+
+
+#: Purchases as hills in two variables: the value, and the hour of the day, which wraps.
+TWO = """k AS (SELECT value AS c1, hour(ts) + minute(ts) / 60.0 AS c2, epoch_us(ts) AS us, event_id, 1 + user_id % 3 AS height, 2.0 + event_id % 5 AS s1, 0.5 + (event_id % 3) / 4.0 AS s2 FROM events WHERE event_type = 'purchase')"""
+
+
+def two_variables(t: Tables, kind: str) -> DataFrame:
+    e = t.events.where(F.col("event_type") == kind).withColumn("us", F.expr(MICROS)).withColumn("c1", F.col("value").cast("double")).withColumn("c2", F.hour("ts") + F.minute("ts") / 60.0)
+    return e.select("event_id", "us", "c1", "c2", F.col("us").alias("hill_time"), (1.0 + F.col("user_id") % 3).alias("height"), (2.0 + F.col("event_id") % 5).alias("s1"), (0.5 + F.col("event_id") % 3 / 4.0).alias("s2"))
+
+
+@query(f"""WITH {TWO}, f AS (SELECT event_id, value AS x1, hour(ts) + minute(ts) / 60.0 AS x2, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),
+d AS (SELECT f.event_id, k.height, (x1 - c1) / s1 AS d1, (x2 - c2) AS d2, s2 FROM f JOIN k ON k.us < f.us AND abs(x1 - c1) < 22), q AS (SELECT event_id, height, 0.5 * (d1 * d1 + power((d2 - 24 * round_even(d2 / 24, 0)) / s2, 2)) AS q FROM d),
+v AS (SELECT event_id, sum(height * (1 / (1 - exp(-6.25)) * exp(-q) + 1 - 1 / (1 - exp(-6.25)))) AS bias FROM q WHERE q < 6.25 GROUP BY 1) SELECT f.event_id, round(coalesce(bias, 0), 6) AS bias FROM f LEFT JOIN v USING (event_id)""")
+def hills_bias_two_variables(t: Tables) -> DataFrame:
+    """The bias of purchases in value and hour of the day at the time of every view."""
+    out = hill_work.bias(two_variables(t, "view"), two_variables(t, "purchase"), "event_id", ["c1", "c2"], "us", [None, 24.0], ["c1", "c2"], ["s1", "s2"])
+    return out.select("event_id", r("bias").alias("bias"))
+
+
+@query(f"""WITH {TWO}, h AS (SELECT *, row_number() OVER (ORDER BY us, event_id) AS i FROM k), g AS (SELECT a.i * 20.0 AS p1, b.i * 3.0 AS p2, a.i * 8 + b.i AS s FROM range(0, 11) a(i), range(0, 8) b(i)),
+q AS (SELECT h.i, s, height, 0.5 * (power((p1 - c1) / s1, 2) + power(((p2 - c2) - 24 * round_even((p2 - c2) / 24, 0)) / s2, 2)) AS q FROM h, g),
+w AS (SELECT i, s, CASE WHEN q < 6.25 THEN height * (1 / (1 - exp(-6.25)) * exp(-q) + 1 - 1 / (1 - exp(-6.25))) ELSE 0 END AS v FROM q), c AS (SELECT i, s, sum(v) OVER (PARTITION BY s ORDER BY i) / 2.5 AS b FROM w),
+e AS (SELECT i, b, max(b) OVER (PARTITION BY i) AS top FROM c) SELECT i::INT AS hill, round(2.5 * (max(10.0 / 9 * top) + ln(sum(exp(10.0 / 9 * (b - top)))) - max(top / 9) - ln(sum(exp((b - top) / 9)))), 6) AS c FROM e GROUP BY i""")
+def metad_rct_two_variables(t: Tables) -> DataFrame:
+    """c(t) of a tempered run in two variables, one of them periodic, on a grid of 11 x 8 points."""
+    h = timeseries.global_ordinals(two_variables(t, "purchase"), F.col("us"), ["us", "event_id"], "hill").withColumn("hill", F.col("hill") + 1)
+    out = hill_work.constants(h, "hill", [np.arange(11) * 20.0, np.arange(8) * 3.0], 2.5, 10.0, [None, 24.0], ["c1", "c2"], ["s1", "s2"])
+    return out.select(F.col("hill").cast("int").alias("hill"), r("c").alias("c"))
 
 
 PERIODIC = """WITH k AS (SELECT value % 360 AS center, epoch_us(ts) AS us, 1 + user_id % 3 AS height, 5.0 + event_id % 5 AS sigma FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id, value % 360 - 180 AS x, epoch_us(ts) AS us FROM events WHERE event_type = 'view'),

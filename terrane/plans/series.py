@@ -12,6 +12,7 @@ from terrane.operators import compare, joins, kinetics, msm, resample, residues,
 from terrane.plans.registry import QUERIES, Tables, query, r
 
 STATES = ["click", "purchase", "signup", "view"]
+CODE = "CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE -1 END"
 ORDER = ["ts", "event_id"]
 MAJOR = "SELECT user_id, ts, event_id, event_type AS st FROM events WHERE event_type <> 'error'"
 STEPS = f"m AS ({MAJOR}), p AS (SELECT * FROM (SELECT user_id, st AS source, lead(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM m) WHERE target IS NOT NULL), l AS (SELECT DISTINCT st FROM m)"
@@ -69,6 +70,34 @@ def dwell_times(t: Tables) -> DataFrame:
     return kinetics.visits(t.events.withColumn("us", F.expr(MICROS)), "user_id", ORDER, "event_type", "us", STATES, 10.0)
 
 
+#: Frames of a range of the queries that take all users as one series.
+ONE_SERIES = 2000
+WHOLE = "n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events)"
+
+
+def as_one(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.expr(MICROS).alias("us"), "event_type", F.lit(0).alias("one"), F.expr(CODE).alias("micro"))
+
+
+@query(f"WITH {WHOLE}, m AS (SELECT event_type AS st, lead(event_type) OVER (ORDER BY ts, event_id) AS target FROM events WHERE event_type <> 'error'), l AS (SELECT DISTINCT st FROM m), c AS (SELECT st AS source, target, count(*) AS n FROM m WHERE target IS NOT NULL GROUP BY ALL) SELECT a.st AS source, b.st AS target, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN c ON c.source = a.st AND c.target = b.st")
+def transition_counts_one_series(t: Tables) -> DataFrame:
+    """Transitions of all events as one long replicate, cut in ranges with halos."""
+    return kinetics.transition_counts(kinetics.pairs(as_one(t), "one", ["us", "event_id"], "event_type", STATES, rows_each=ONE_SERIES), STATES)
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM events WHERE event_type <> 'error'), g AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT run::BIGINT AS run, any_value(event_type) AS state, epoch_us(min(ts)) AS start_time, epoch_us(max(ts)) AS end_time, count(*) AS frames, count(*) * 10.0::DOUBLE AS dwell, run = 1 OR run = max(run) OVER () AS censored FROM g GROUP BY run""")
+def dwell_times_one_series(t: Tables) -> DataFrame:
+    """Visits of all events as one long replicate, stitched at the cuts of ranges."""
+    return kinetics.visits(as_one(t), "one", ["us", "event_id"], "event_type", "us", STATES, 10.0, rows_each=ONE_SERIES).drop("one")
+
+
+@query(f"WITH {WHOLE}, t AS (SELECT unnest([1, 7, 40]) AS lag), i AS (SELECT k, {CODE} AS i FROM n) SELECT lag::INT AS lag, a.i, b.i AS j, count(*) AS c FROM i a, t, i b WHERE b.k = a.k + lag AND a.i >= 0 AND b.i >= 0 AND a.k % lag = 0 GROUP BY ALL")
+def msm_counts_one_series(t: Tables) -> DataFrame:
+    """Strided counts at three lags of all events as one long replicate."""
+    return msm.lagged_counts(as_one(t), "one", ["us", "event_id"], "micro", [1, 7, 40], sliding=False, rows_each=ONE_SERIES)
+
+
 @query(f"""WITH {VISITS}, s AS (SELECT state, count(*) AS visits, count(*) FILTER (NOT censored) AS visits_uncensored, avg(dwell) FILTER (NOT censored) AS mean_dwell, quantile_cont(dwell, 0.5) FILTER (NOT censored) AS median_dwell, max(dwell) AS max_dwell, sum(dwell) AS total_time FROM w GROUP BY 1),
 i AS (SELECT target AS state, count(*) AS n FROM p WHERE source <> target GROUP BY 1), o2 AS (SELECT source AS state, count(*) AS n FROM p WHERE source <> target GROUP BY 1)
 SELECT state, visits, visits_uncensored, round(mean_dwell, 6) AS mean_dwell, median_dwell, max_dwell, total_time, coalesce(o2.n, 0) AS transitions_out, coalesce(i.n, 0) AS transitions_in, round(CASE WHEN o2.n > 0 THEN total_time / o2.n ELSE 'inf'::DOUBLE END, 6) AS lifetime FROM s LEFT JOIN o2 USING (state) LEFT JOIN i USING (state)""")
@@ -101,9 +130,6 @@ def median_dt_unique(t: Tables) -> DataFrame:
     return kinetics.frame_spacing(t.events.select(F.expr(MICROS).alias("us")), "us")
 
 
-CODE = "CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 ELSE -1 END"
-
-
 def coded(t: Tables) -> DataFrame:
     return t.events.withColumn("micro", F.expr(CODE))
 

@@ -31,11 +31,7 @@ def moments_sink(folder: str, vector: str, by: str):
 
 
 def merged_moments(spark, folder: str, by: str) -> dict:
-    """All batches' moments by key."""
+    """All batches' moments by key, merged on the executors."""
     from terrane.operators import decompose
 
-    out: dict = {}
-    for row in spark.read.parquet(folder).orderBy("epoch").collect():  # keys times batches, D x D each
-        m = decompose.collected(spark.createDataFrame([row]), by)[row[by]]
-        out[row[by]] = decompose.merged(out[row[by]], m) if row[by] in out else m
-    return out
+    return decompose.collected(decompose.merged_tables(spark.read.parquet(folder), by), by)
