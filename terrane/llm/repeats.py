@@ -37,9 +37,9 @@ LENGTH, GRAM = 50, 16
 #: Windows of a stretch: texts of a short period have long stretches, which are cut.
 WINDOWS = 64
 #: Text (bytes) or rows whose names a task sends together; names that an owner answers for; bytes of stretches in a shard.
-BLOCK, BLOCK_ROWS, OWNER_NAMES, SHARD = 64_000_000, 1_000_000, 2_000_000, 4_000_000
+BLOCK, BLOCK_ROWS, OWNER_NAMES, SHARD = 64_000_000, 1_000_000, 2_000_000, 2_000_000
 #: Distinct stretches that a task gathers before it asks about them.
-PART = 200_000
+PART = 100_000
 #: Stretches of one name that meet in a shard at most, and names that may have more: the former grows so that the latter holds (8 bytes each).
 HOT, MOST_HOT = 20_000, 1_000_000
 #: Rows with what is known of a document (some 100 bytes each) that may be broadcast to texts; beyond that, texts are shuffled.
