@@ -3,7 +3,8 @@
 A template is license wording in which `[[ ... ]]` is optional (and may nest) and `<<name:2-5>>` is replaceable by two to
 five tokens of any kind; all other wording is mandatory and must match word for word. A template compiles into a
 nondeterministic automaton over tokens. The automata of all templates run as one, determinised state by state as texts ask for
-it, from every place whose word can begin a template. Phrases are templates without markup.
+it, from every place whose word can begin a template. Phrases are templates without markup. A text whose
+mandatory wording was altered anywhere is not that license: at most its opening clause is found, as a notice.
 
 Defined results: null text counts as empty; without a match places are null, labels empty strings and the score 0; repeated
 keys are rows of their own; an empty table gives no rows; other columns are not read.
@@ -23,15 +24,25 @@ _BLANKS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b i
 
 #: Base phrases and their labels (fixed values).
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Public license wording (fixed values), as templates.
+#: Whole public license texts (fixed values), as templates: what may vary is the holder's name and how conditions are numbered.
+MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the <<holder:1-8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_CLAUSE = "[[3]] neither the name of <<holder:1-8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_DISCLAIMED = "this software is provided by the <<holder:1-8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the <<holder:1-8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+ISC = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<holder:1-6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<holder:1-6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+#: Public license wording (fixed values), as templates. A label that ends in `-notice` is an opening clause or a mark, not a license.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license [[version]] 2 0 [[the license [[you may not use this file except in compliance with the license]]]]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted [[provided that the following conditions are met]]"),
+    ("bsd-2-clause", f"{_BSD} {_DISCLAIMED}"),
+    ("bsd-3-clause", f"{_BSD} {_CLAUSE} {_DISCLAIMED}"),
+    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted [[provided that the following conditions are met]]"),
     ("cc-by-nc", "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[<<share:0-1>> <<major:1-1>> 0]]"),
     ("cc-by-x.0", "licensed under [[a]] [[the]] [[creative commons]] cc by <<major:1-1>> 0"),
     ("cc0", "[[this work is]] released under [[the]] cc0 <<major:0-1>> [[0]] [[universal]]"),
     ("gpl-3.0", "[[this <<kind:1-2>> is]] licensed under the gnu general public license version 3"),
     ("gpl-or-later", "free software you can redistribute it and or modify it under the terms of the gnu <<kind:0-1>> general public license as published by the free software foundation"),
+    ("isc", ISC),
+    ("mit", MIT),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in <<the:1-2>> without restriction"),
@@ -164,10 +175,11 @@ def words_of(text: str) -> list[bytes]:
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the places (label, start) of every row.
 
-    The score is 1 where a whole template's wording stands, 0.5 where a base phrase alone does, else 0.
+    The score is 1 where a license's whole wording or a statement that names it stands, 0.75 where only a notice does, 0.5 where a base phrase alone does, else 0.
     """
     n_base = len(phrases)
     label = [k for k, _ in (*phrases, *templates)]
+    whole_text = {k for k, name in enumerate(label) if k >= n_base and not name.endswith("-notice")}
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"]
@@ -182,7 +194,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", phrases: tuple
                     found = automaton.places(words)
                     base = [s for k, s in found if k < n_base]
                     own = {label[k] for k, _ in found if k < n_base}
-                    score = 1.0 if len(base) < len(found) else 0.5 if base else 0.0
+                    score = 1.0 if any(k in whole_text for k, _ in found) else 0.75 if len(base) < len(found) else 0.5 if base else 0.0
                     rows.append((i, len(words), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(own)), ",".join(sorted({label[k] for k, _ in found})), score, [{"label": label[k], "start": s} for k, s in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -204,5 +216,5 @@ p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j, list_concat(
 q AS (SELECT doc_id, w, list_transform(b, lambda x: x.s) AS s, list_distinct(list_transform(b, lambda x: x.l)) AS bl, list_filter([{wording}], lambda x: x IS NOT NULL) AS tl FROM p)
 SELECT doc_id, len(w) AS n_words, len(s) AS n_base, list_min(s) AS first_word, list_max(s) AS last_word,
        {joined.format("bl")} AS base_labels, {joined.format("list_concat(bl, tl)")} AS labels,
-       CASE WHEN len(tl) > 0 THEN 1.0 WHEN len(s) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q
+       CASE WHEN len(list_filter(tl, lambda x: NOT ends_with(x, '-notice'))) > 0 THEN 1.0 WHEN len(tl) > 0 THEN 0.75 WHEN len(s) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q
 """
