@@ -27,6 +27,8 @@ from terrane.llm.common import stored
 
 NEAREST = 10
 SAMPLE, LIST, MOST_LISTS = 40_000, 256, 4096
+#: Queries that one task compares with a part of the lists.
+QUERIES = 20_000
 REPLICATE, COPIES, PROBE = 1.03, 4, 1.1
 DEGREE, BEAM = 24, 64
 PART = 20_000
@@ -215,7 +217,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                 columns = ([g for g, _, _ in rows], b.column(0).take(pa.array([i for _, i, _ in rows], pa.int64())), [x[i].tobytes() for _, i, _ in rows], [o for _, _, o in rows])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.int32(), None, pa.binary(), pa.list_(pa.int32())), strict=True)], names=["dealt", "id", "q", "lists"])
 
-        opened = queries.mapInArrow(ask, "dealt int, id long, q binary, lists array<int>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        sides = max(1, -(-queries.count() // QUERIES))  # each has a copy of the postings that its queries open
+        opened = queries.mapInArrow(ask, "dealt int, id long, q binary, lists array<int>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
+        copies = postings.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
 
         def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             found: list[tuple] = []
@@ -242,7 +246,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
                         found += [(query, j, score) for score, j in mine]
             return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-        met = opened.groupBy("dealt", "part").cogroup(postings.groupBy("dealt", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
+        met = opened.groupBy("dealt", "part", "side").cogroup(copies.groupBy("dealt", "part", "side")).applyInPandas(compare, "query_id long, vec_id long, score double")
         once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
         return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
