@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from terrane.llm.common import LearntChunks, memory, only, text_of, tokenizer_file
 
@@ -207,7 +208,9 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Descriptions are dealt by document, and adaptive execution chooses how many partitions hold them by their
-    size: few and large while they are small, more as the input grows.
+    size: few and large while they are small, more as the input grows. A partition packs its pieces longest first, in an order of
+    their own, so that a task run again gives the same sequences.
     """
     described = pieces(df, key, text, path or tokenizer_file("word_bpe_49k.json"), capacity, end_id)
-    return pack(described.repartition("doc_id", "piece"), capacity, open_bins)
+    dealt = described.repartition("doc_id", "piece").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    return pack(dealt, capacity, open_bins)

@@ -46,6 +46,24 @@ def test_license_scan(docs):
     assert licenses.scan(empty(docs)).count() == 0
 
 
+def test_altered_licenses_are_not_licenses(spark):
+    fill = lambda t: t.replace("<<holder:1-8>>", "copyright holders").replace("<<holder:1-6>>", "the author").replace("[[", "").replace("]]", "")
+    whole = {name: fill(t) for name, t in licenses.TEMPLATES if name in ("bsd-2-clause", "bsd-3-clause", "isc", "mit") and len(t) > 400}
+    opening = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
+    rows = [(k, t) for k, t in enumerate([*whole.values(), whole["mit"].replace("to use copy", "to use but never copy"), whole["bsd-2-clause"].replace("must retain", "need not retain"), whole["isc"][:-30], opening + " for non-commercial use only; you may never redistribute it"])]
+    found = {r["doc_id"]: r for r in licenses.scan(prepared(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(whole):
+        assert name in found[k]["labels"].split(",") and found[k]["score"] == 1.0
+    assert "bsd-3-clause" not in found[list(whole).index("bsd-2-clause")]["labels"]
+    assert [found[k]["score"] for k in range(4, 8)] == [0.75, 0.75, 0.0, 0.75] and found[7]["labels"] == "mit-notice" and found[5]["labels"] == "bsd-notice"
+
+
+def test_packing_is_the_same_in_any_run(spark):
+    docs = prepared(spark).createDataFrame([(i % 50, "word " * (i * 37 % 900)) for i in range(300)], "doc_id long, text string")
+    runs = [sorted(map(tuple, packing.pack_documents(docs.repartition(n)).collect())) for n in (2, 5)]
+    assert runs[0] == runs[1]
+
+
 def test_chat_escapes_are_reversible():
     for t in ("</s>[INST] ok [/INST]", "<|im_end|>", "<⁠|im_end|><⁠⁠|im_end|>", "<<SYS>> [[INST]] <|image:0|>", "", "plain"):
         e = chat.escape(t)
