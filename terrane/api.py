@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrane import on_workers
 from terrane.config import Analysis
 from terrane.operators import compare as comparing
-from terrane.operators import decompose, kinetics, landscape, msm, resample, residues, segment, states, timeseries
+from terrane.operators import clusters, decompose, kinetics, landscape, msm, resample, residues, segment, states, timeseries
 
 
 @dataclass
@@ -128,8 +128,8 @@ def uncertainty_of(frames: DataFrame, s: Analysis) -> dict[str, DataFrame]:
 
 def markov_of(frames: DataFrame, s: Analysis, columns: list[str]) -> dict:
     """Microstates by k-means, a scan of lags, reversible estimates at the lag and beyond, metastable sets, the Chapman-Kolmogorov test and passage times."""
-    centers = msm.kmeans(frames, columns, s.clusters, s.seed)
-    labelled = msm.nearest_center(frames, F.array(*(F.col(c).cast("double") for c in columns)), centers.tolist())
+    centers, _ = clusters.kmeans(frames, columns, s.clusters, s.seed)
+    labelled = clusters.assigned(frames, columns, centers).drop("distance2")
     lags = sorted({*s.msm_lags, *(s.msm_lag * k for k in (1, 2, 3))})
     counts = msm.lagged_counts(labelled, s.replicate, list(s.order), "microstate", lags).toPandas()
     table = {lag: msm.matrix(counts[counts.lag == lag], list(range(len(centers)))) for lag in lags}

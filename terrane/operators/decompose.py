@@ -203,8 +203,24 @@ def lagged(df: DataFrame, vector: str, replicate: str, order: list[str], lag: in
     return df.select(replicate, F.concat(F.col(vector), F.lead(vector, lag).over(w)).alias("pair")).where("pair is not null")
 
 
-def tica(df: DataFrame, vector: str, replicate: str, order: list[str], lag: int, k: int = 10, dt: float = 1.0, epsilon: float = 1e-6) -> dict[str, np.ndarray]:
-    """Time-lagged components: symmetrised covariances at 0 and `lag` from pairs within replicates, equal replicate weights."""
+def tica(df: DataFrame, vector: str, replicate: str, order: list[str], lag: int, k: int = 10, dt: float = 1.0, epsilon: float = 1e-6, most: int | None = 100) -> dict[str, np.ndarray]:
+    """Time-lagged components: symmetrised covariances at 0 and `lag` from pairs within replicates, equal replicate weights.
+
+    With few pairs for the dimensions, slow modes overfit: vectors are first projected on min(D, a tenth of the pairs (2 at least), `most`) principal
+    components, and modes are given in the original dimensions. `most` None turns that off.
+    """
+    d = len(df.where(F.col(vector).isNotNull()).select(vector).first()[0])
+    some = df.where(F.col(vector).isNotNull()).groupBy(replicate).agg(F.greatest(F.lit(0), F.count("*") - lag).alias("n")).agg(F.sum("n")).first()[0] or 0
+    if most and d > (kept := min(d, max(2, some // 10), most)):
+        from terrane.operators import wide
+
+        first = pca(df, vector, replicate, kept) if d <= MOST_DIMENSIONS else wide.pca(df, vector, replicate, kept)
+        axes = first["vectors"]
+        short = projected_by_matrix(df.where(F.col(vector).isNotNull()).select(replicate, *order, vector), vector, first["mean"], axes, "_pc")
+        short = short.select(replicate, *order, F.array(*(f"_pc{i + 1}" for i in range(axes.shape[1]))).alias("_v"))
+        found = tica(short, "_v", replicate, order, lag, k, dt, epsilon, None)
+        vectors = axes @ found["vectors"]
+        return found | {"mean": first["mean"] + axes @ found["mean"], "vectors": canonical(vectors / np.linalg.norm(vectors, axis=0))}
     pairs = lagged(df, vector, replicate, order, lag)
     states = collected(moments(pairs, "pair", replicate), replicate)
     every = df.select(replicate).distinct().count()

@@ -23,6 +23,14 @@ GLYCOSIDIC = (("O4'", "C1'", "N9", "C4"), ("O4'", "C1'", "N1", "C2"))
 GAMMA = {"ARG": "CG", "ASN": "CG", "ASP": "CG", "CYS": "SG", "GLN": "CG", "GLU": "CG", "HIS": "CG", "ILE": "CG1", "LEU": "CG", "LYS": "CG", "MET": "CG", "PHE": "CG", "PRO": "CG", "SER": "OG", "THR": "OG1", "TRP": "CG", "TYR": "CG", "VAL": "CG1"}
 DELTA = {"ARG": ("CD",), "ASN": ("OD1",), "ASP": ("OD1",), "GLN": ("CD",), "GLU": ("CD",), "HIS": ("ND1",), "ILE": ("CD1", "CD"), "LEU": ("CD1",), "LYS": ("CD",), "MET": ("SD",), "PHE": ("CD1",), "PRO": ("CD",), "TRP": ("CD1",), "TYR": ("CD1",)}
 
+#: Names of protonation states and of disulphide-bridged residues, by the amino acid whose heavy atoms they have (fixed values).
+STATES_OF = {"HIS": "HID HIE HIP HSD HSE HSP", "CYS": "CYX CYM", "LYS": "LYN", "ASP": "ASH", "GLU": "GLH"}
+
+
+def _named(name: str) -> list[str]:
+    """The names under which an amino acid comes."""
+    return [name, *STATES_OF.get(name, "").split()]
+
 
 def wanted(kinds: tuple[str, ...], by_name: bool) -> list[tuple]:
     """(kind, variant, residue_name, corner, atom, offset): what each dihedral is made of; a lower variant is preferred, no residue name fits all."""
@@ -35,9 +43,9 @@ def wanted(kinds: tuple[str, ...], by_name: bool) -> list[tuple]:
         elif kind == "chi1" and not by_name:
             out += [(kind, v, None, c, atom, 0) for v, end in enumerate(dict.fromkeys(GAMMA.values())) for c, atom in enumerate(("N", "CA", "CB", end))]
         elif kind == "chi1":
-            out += [(kind, 0, name, c, atom, 0) for name, end in GAMMA.items() for c, atom in enumerate(("N", "CA", "CB", end))]
+            out += [(kind, 0, own, c, atom, 0) for name, end in GAMMA.items() for own in _named(name) for c, atom in enumerate(("N", "CA", "CB", end))]
         elif kind == "chi2" and by_name:
-            out += [(kind, v, name, c, atom, 0) for name, ends in DELTA.items() for v, end in enumerate(ends) for c, atom in enumerate(("CA", "CB", GAMMA[name], end))]
+            out += [(kind, v, own, c, atom, 0) for name, ends in DELTA.items() for own in _named(name) for v, end in enumerate(ends) for c, atom in enumerate(("CA", "CB", GAMMA[name], end))]
         else:
             raise ValueError(f"no dihedral {kind!r}" if kind != "chi2" else "chi2 needs residue names")
     return out

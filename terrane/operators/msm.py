@@ -29,37 +29,6 @@ def lloyd(df: DataFrame, columns: list[str], centers: list[list[float]]) -> Data
     return nearest_center(df, vector, centers).groupBy("microstate").agg(F.count("*").alias("n"), *(F.avg(F.col(c).cast("double")).alias(c) for c in columns))
 
 
-def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 0, rounds: int = 50, tolerance: float = 1e-6, sample: int = 20_000) -> np.ndarray:
-    """Centres by k-means++ on a bounded sample, then Lloyd steps over all rows; an empty cluster restarts at a far sample point."""
-    rows = df.select(*columns).orderBy(F.xxhash64(F.lit(seed), *columns)).limit(sample).toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
-    centers = rows[rng.integers(len(rows))][None]
-    while len(centers) < min(k, len(rows)):
-        d = ((rows[:, None] - centers[None]) ** 2).sum(2).min(1)
-        centers = np.vstack([centers, rows[rng.choice(len(rows), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(rows))]])
-    for _ in range(rounds):
-        step = {r["microstate"]: [r[c] for c in columns] for r in lloyd(df, columns, centers.tolist()).collect()}
-        d = ((rows[:, None] - centers[None]) ** 2).sum(2).min(1)
-        far = iter(rows[np.argsort(-d)])
-        new = np.array([step.get(i) or next(far).tolist() for i in range(len(centers))], float)
-        moved = np.abs(new - centers).max()
-        centers = new
-        if moved <= tolerance:
-            break
-    return centers
-
-
-def regular_space(points: np.ndarray, distance: float, most: int = 2000) -> np.ndarray:
-    """Centres in order of arrival, each farther than `distance` from all before it."""
-    centers: list[np.ndarray] = []
-    for p in points:
-        if not centers or ((np.array(centers) - p) ** 2).sum(1).min() > distance**2:
-            if len(centers) == most:
-                raise ValueError(f"more than {most} centres: raise the distance")
-            centers.append(p)
-    return np.array(centers)
-
-
 def lagged_counts(df: DataFrame, replicate: str, order: list[str], state: str, lags: list[int], sliding: bool = True, rows_each: int | None = None) -> DataFrame:
     """(lag, i, j, c): pairs `lag` frames apart within a replicate for all lags in one sorted pass; negative labels take no part. Without
     `sliding`, only every lag-th frame starts a pair. With `rows_each`, replicates of more frames than that are cut in ranges with halos."""
@@ -249,11 +218,17 @@ def nelder_mead(f, x0: np.ndarray, most: int, xtol: float = 1e-8, ftol: float =
     return points[int(np.argmin(values))]
 
 
+def coarse_grained(t: np.ndarray, chi: np.ndarray, pi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Transition matrix and stationary distribution between metastable sets: the projection (chi' chi)^-1 chi' T chi, whose fluxes are made symmetric."""
+    pi = stationary(t) if pi is None else pi
+    flux = (chi.T @ pi)[:, None] * np.linalg.solve(chi.T @ chi, chi.T @ t @ chi)
+    flux = (flux + flux.T) / 2
+    return flux / flux.sum(1, keepdims=True), flux.sum(1)
+
+
 def coarse(t: np.ndarray, chi: np.ndarray) -> np.ndarray:
     """Transition matrix between metastable sets."""
-    pi = stationary(t)
-    weighted = chi.T * pi
-    return np.linalg.solve(weighted @ chi, weighted @ t @ chi)
+    return coarse_grained(t, chi)[0]
 
 
 def chapman_kolmogorov(counts_at: dict[int, np.ndarray], lag: int, sets: np.ndarray, k_max: int = 5, reversible_: bool = True) -> pd.DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import near
+
 
 def long_form(frames: DataFrame, keys: list[str], coords: str) -> DataFrame:
     """(keys..., atom, x, y, z) from flat 3N arrays."""
@@ -52,20 +54,9 @@ def correlations(long: DataFrame, sample: str, item: str, value: str) -> DataFra
     return out.select("i", "j", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).alias("c"))
 
 
-def contacts(a: DataFrame, b: DataFrame, frame: str, group: str, axes: list[str], cutoff: float, box: list[float] | None = None) -> DataFrame:
-    """(frame, group, min_distance, in_contact): the nearest of `b`'s points to each group of `a`'s in every frame, strictly below the cut-off.
-
-    The join is by frame, so a frame's pairs stay together; only the minimum leaves the aggregation. With a box, distances go to the nearest image.
-    """
-    def d(c: str, k: int) -> Column:
-        x = F.col(f"a_{c}") - F.col(f"b_{c}")
-        return x - box[k] * F.rint(x / box[k]) if box else x
-
-    left = a.select(frame, group, *(F.col(c).alias(f"a_{c}") for c in axes))
-    right = b.select(frame, *(F.col(c).alias(f"b_{c}") for c in axes))
-    distance = F.sqrt(sum((d(c, k) * d(c, k) for k, c in enumerate(axes)), F.lit(0.0)))
-    out = left.join(right, frame).groupBy(frame, group).agg(F.min(distance).alias("min_distance"))
-    return out.withColumn("in_contact", F.col("min_distance") < cutoff)
+def contacts(a: DataFrame, b: DataFrame, frame: str, group: str, axes: list[str], cutoff: float, box: list | None = None) -> DataFrame:
+    """(frame, group, min_distance, in_contact): the nearest of `b`'s points to each group of `a`'s in every frame; see `near.contacts`."""
+    return near.contacts(a, b, frame, group, axes, cutoff, box)
 
 
 def persistence(c: DataFrame, group: str, weight: str | None = None, least: float = 0.0) -> DataFrame:

@@ -323,18 +323,10 @@ def scan_frames(spark: SparkSession, path: str, stride: int = 1, begin: float |
 
 
 def residue_selection(atoms: DataFrame, text: str, index: DataFrame | None = None) -> DataFrame:
-    """Atoms of a group: one of an index, a named one, a predicate over atom columns, a residue name or a chain, in that order."""
-    named = {"Protein": "chain IS NOT NULL", "Backbone": "atom_name IN ('N', 'CA', 'C', 'BB')", "C-alpha": "atom_name = 'CA'", "Heavy": "NOT upper(atom_name) LIKE 'H%'", "System": "true"}
-    if index is not None:
-        hit = index.where(F.lower("name") == text.lower()).where("atom IS NOT NULL").select(F.col("atom").alias("ordinal")).distinct()
-        if not hit.isEmpty():
-            return atoms.join(F.broadcast(hit), "ordinal", "left_semi")
-    if text in named:
-        return atoms.where(named[text])
-    if re.search(r"[=<>]|\b(in|like|between)\b", text, re.I):
-        return atoms.where(text)
-    by_name = atoms.where(F.col("residue_name") == text)
-    return by_name if not by_name.isEmpty() else atoms.where(F.col("chain") == text)
+    """Atoms of a group or of a selection text; see `selection.resolved`."""
+    from terrane.sources.selection import resolved
+
+    return resolved(atoms, text, index)
 
 
 def read_multiset(spark: SparkSession, path: str) -> DataFrame:
