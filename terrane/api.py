@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrane import on_workers
 from terrane.config import Analysis
 from terrane.operators import compare as comparing
-from terrane.operators import clusters, decompose, kinetics, landscape, msm, resample, residues, segment, states, timeseries
+from terrane.operators import clusters, decompose, kinetics, landscape, msm, overlaps, resample, residues, segment, states, timeseries
 
 
 @dataclass
@@ -106,6 +106,26 @@ def pooled_cosine(frames: DataFrame, s: Analysis, k: int = 1) -> DataFrame:
     return timeseries.cosine_content(ranked, ["_rank", *s.order], s.x, k, key=F.col("_rank"))
 
 
+def modes_convergence(frames: DataFrame, cvs: DataFrame, s: Analysis) -> dict[str, DataFrame]:
+    """Overlaps of halves, of leading parts and of replicates, and the verdict on sampling that they, cosine content and effective samples give."""
+    spark, order = frames.sparkSession, list(s.order)
+    found = overlaps.convergence(frames, s.vector, s.replicate, order, s.components, weighting=s.weighting)
+    text = lambda r: None if r is None else str(r)
+    number = lambda x: None if np.isnan(x) else float(x)
+    tables = {
+        "rmsip": spark.createDataFrame([("pooled" if k == 0 else text(r), number(x)) for k, (r, x) in enumerate(found["halves"])], "replicate string, rmsip double"),
+        "progressive_overlap": spark.createDataFrame([(100 * f, number(x)) for f, x in found["progressive"]], "percent double, rmsip double"),
+        "pairwise_rmsip": spark.createDataFrame([(text(a), text(b), number(x)) for a, b, x in found["pairs"]], "a string, b string, rmsip double"),
+    }
+    each = [timeseries.effective_samples(cvs, s.replicate, order, c).select(s.replicate, "n", "g") for c in (s.x, s.y)]
+    worst = each[0].unionByName(each[1]).groupBy(s.replicate).agg((F.max("n") / F.max("g")).alias("e"))
+    total = worst.agg(F.sum("e").alias("n_eff"))
+    halves = float(found["halves"][0][1]) if found["halves"] else float("nan")
+    verdict = timeseries.verdict(F.coalesce(F.lit(number(halves)), F.lit(0.0)), F.col("cosine_content"), F.col("n_eff"))
+    tables["sampling"] = pooled_cosine(cvs, s).crossJoin(total).select(F.lit(number(halves)).cast("double").alias("rmsip"), "cosine_content", "n_eff", verdict.alias("verdict"))
+    return tables
+
+
 def rmsip_halves(frames: DataFrame, s: Analysis) -> float:
     """Overlap of the modes of the first and second halves of every replicate."""
     w = Window.partitionBy(s.replicate)
@@ -195,14 +215,15 @@ def analyze_residues(frames: DataFrame, atoms: DataFrame, s: Analysis, state: st
     out = {"residues": found, "residue_fluctuations": residues.per_group(flux, ["residue"])}
 
     def long_(kind: dict) -> DataFrame:
-        rows = [(None if k is None else str(k), i, j, None if np.isnan(x) else x) for k, m in kind.items() for i, j, x in decompose.long_matrix(decompose.collapsed(m, group))]
-        return spark.createDataFrame(rows, "state string, i int, j int, correlation double")
+        table = decompose.long_table(spark, {None if k is None else str(k): decompose.collapsed(m, group) for k, m in kind.items()}, "state", "string")
+        return table.select("state", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.when(~F.isnan("value"), F.col("value")).alias("correlation"))
 
     out["residue_correlations"] = long_(decompose.cross_correlations(frames, s.vector, weight=s.weight))
     if state:
         out["residue_correlations_by_state"] = long_(decompose.cross_correlations(frames, s.vector, state))
         each = residues.fluctuations(moves, [state, "atom", "residue"], ["x", "y", "z"], s.weight)
         out["residue_fluctuations_by_state"] = residues.per_group(each, [state, "residue"])
+        out["residue_state_differences"] = residues.all_state_differences(moves, state, "residue", "atom", ["x", "y", "z"], s.weight).join(F.broadcast(found.select("residue", "chain", "residue_number", "residue_name")), "residue")
     if ligand:
         role = F.broadcast(member.select(F.col("ordinal").alias("atom"), "residue_name", "atom_name"))
         heavy = moves.join(role, "atom").where(residues.heavy(F.col("atom_name"))).withColumn("_frame", F.struct(*keys))
@@ -240,6 +261,9 @@ def analyze(frames: DataFrame, settings: Analysis) -> Results:
     if arrays:
         out.tables |= modes_of(frames.sparkSession, arrays)
     cvs = cvs.persist()
+    if arrays:
+        kept = timeseries.production(frames, starts, settings.replicate, list(settings.order)) if settings.equilibration == "auto" else frames
+        out.tables |= modes_convergence(kept, cvs, settings)
     grid, n = landscape_of(cvs, settings)
     out.tables |= {"projections": cvs, "free_energy": grid} | assign_states(cvs, grid, n, settings)
     labelled = out.tables["frames"]
@@ -268,8 +292,12 @@ def compare(frames: DataFrame, settings: Analysis, reference: str | None = None)
     pops = comparing.population_table(tables["frames"], settings.system, settings.replicate, "state")
     out.tables |= tables | {"system_grids": each, "populations": pops, "differences": comparing.against(pops, settings.system, "state", reference), "ddg": comparing.difference_map(each, settings.system, reference), "overlaps": comparing.overlaps(each, settings.system, settings.temperature)} | (modes_of(frames.sparkSession, arrays) if arrays else {})
     if settings.bootstrap:
-        g = timeseries.effective_samples(cvs, settings.replicate, list(settings.order), settings.x)
-        length = int(g.agg(F.max(timeseries.block_length(F.col("g"), F.col("n")))).first()[0] or 1)
+        keyed = cvs.withColumn("_rep", F.concat_ws("/", settings.system, settings.replicate))
+        g = timeseries.effective_samples(keyed, "_rep", list(settings.order), settings.x)
+        owner = keyed.select("_rep", settings.system, settings.replicate).distinct()
+        own = g.select("_rep", timeseries.block_length(F.col("g"), F.col("n")).alias("l")).join(owner, "_rep")
+        system = Window.partitionBy(settings.system)  # a system's replicates share its longest block
+        length = own.select(settings.system, settings.replicate, F.max("l").over(system).cast("int").alias("length"))
         samples = resample.bootstrap_systems(tables["frames"], settings.system, settings.replicate, list(settings.order), "state", settings.bootstrap, length, settings.seed)
         out.tables["difference_intervals"] = comparing.differences_by_bootstrap(samples, settings.system, "state", reference)
     return out

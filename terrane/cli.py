@@ -50,6 +50,7 @@ def main(args: list[str] | None = None) -> None:
     c.add_argument("--skip", type=float, default=0.0)
     c.add_argument("--period", type=float)
     c.add_argument("--bins", type=int, default=50)
+    c.add_argument("--method", choices=("mbar", "wham"), default="mbar")
     sub.add_parser("doctor", help="print versions and try Python workers")
     c = sub.add_parser("reweight")
     c.add_argument("hills")
@@ -121,6 +122,7 @@ def umbrella(spark: SparkSession, a: argparse.Namespace) -> None:
     from terrane.functions.columns import R
     from terrane.operators import landscape
     from terrane.operators import reweight as weights
+    from terrane.operators import umbrella as wham
     from terrane.sources import text
 
     files, centers, kappas = zip(*a.window, strict=True)
@@ -129,22 +131,36 @@ def umbrella(spark: SparkSession, a: argparse.Namespace) -> None:
     energies = weights.umbrella_energies(samples, "x", centers, kappas, R * a.temperature, a.period).persist()
     n = {r["window"]: r["count"] for r in samples.groupBy("window").count().collect()}  # one row a window
     totals = [n.get(k, 0) for k in range(len(centers))]
+    if a.method == "wham":
+        g = wham.inefficiencies(samples, "window", "time", "x", len(centers))
+        profile, f = wham.wham(samples, "x", "window", centers, kappas, a.bins, a.temperature, a.period, inefficiency=g)
+        windows = spark.createDataFrame([(k, centers[k], kappas[k], totals[k], g[k], f[k]) for k in range(len(centers))], "window int, center double, kappa double, samples long, inefficiency double, free_energy double")
+        sinks.save({"windows": windows, "pmf": profile.withColumn("kt", F.lit(R * a.temperature))}, a.output)
+        energies.unpersist()
+        return
     f = weights.mbar(energies, totals)
     weighted = weights.unbiased_weights(energies, f, totals)
     windows = spark.createDataFrame([(k, centers[k], kappas[k], totals[k], float(x)) for k, x in enumerate(f)], "window int, center double, kappa double, samples long, free_energy double")
     sinks.save({"windows": windows, "weights": weighted.drop("u"), "pmf": landscape.pmf(weighted, "x", a.bins, "weight", a.temperature).withColumn("kt", F.lit(R * a.temperature))}, a.output)
+    energies.unpersist()
 
 
 def reweight(spark: SparkSession, a: argparse.Namespace) -> None:
+    import numpy as np
     from pyspark.sql import functions as F
 
+    from terrane.operators import hills
     from terrane.operators import reweight as weights
     from terrane.sources import text
 
-    hills = text.parse_hills("\n".join(r[0] for r in spark.read.text(a.hills).collect()))  # a run's hills, one line each
-    table = text.read_plumed(spark, a.colvar)
-    frames = table.select("row", F.col("values")["time"].alias("time_ps"), *(F.col("values")[n].alias(n) for n in hills["names"]))
-    out = weights.metad_weights(frames, hills["names"], "time_ps", hills, a.temperature, a.mode, hills["factor"], a.skip)
+    table, names, spans, factor = text.hill_table(spark, a.hills)
+    centers, sigmas = [f"c{k}" for k in range(len(names))], [f"s{k}" for k in range(len(names))]
+    ends = table.agg(*(F.min(c).alias(f"lo_{c}") for c in centers), *(F.max(c).alias(f"hi_{c}") for c in centers), *(F.max(x).alias(x) for x in sigmas)).first()
+    box = np.array([[ends[f"lo_{c}"] for c in centers], [ends[f"hi_{c}"] for c in centers]])
+    axes = weights.default_grid(box, np.array([[ends[x] for x in sigmas]]), periods=spans)
+    colvar = text.read_plumed(spark, a.colvar)
+    frames = colvar.select("row", F.col("values")["time"].alias("time_ps"), *(F.col("values")[n].alias(n) for n in names))
+    out = hills.weights(frames, table, "row", names, "time_ps", a.temperature, a.mode, factor, a.skip, axes, [s[1] - s[0] if s else None for s in spans], centers, sigmas)
     sinks.write_weights(out, a.output)
 
 

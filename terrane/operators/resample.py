@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.functions.columns import R, bin_index, counter_uniform
+from terrane.operators import ranges
 
 
 def ordinals(df: DataFrame, replicate: str, order: list[str]) -> DataFrame:
@@ -33,32 +40,115 @@ def resampled(df: DataFrame, replicate: str, order: list[str], n_boot: int, leng
     return rows.join(block_indices(sizes, replicate, n_boot, length, seed), [replicate, "_i"]).drop("_i")
 
 
-def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0) -> DataFrame:
-    """(b, replicate, label, t): how often each label is drawn. `length` is one for all, or a table (replicate, length).
+#: Draws of one replicate that a task makes by itself; the blocks of a replicate with more are dealt as rows.
+DRAWS = 5_000_000
+
 
-    A circular block is the difference of two running counts along the doubled series, so a resample meets two rows for each of its N / length blocks instead of N rows.
+def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0, within: list[str] | None = None) -> DataFrame:
+    """(within, b, label, t): how often each label is drawn, by replicate, or by the columns `within` (all rows of a replicate in one) in parts that are still to be added up. `length` is one for all, or a table (replicate, length).
+
+    A circular block is the difference of two running counts along the doubled series. Replicates go one after another, sorted, through tasks that draw,
+    add up over all their replicates, and send counts only; the few that are too long for that are numbered and summed range by range instead.
     """
-    names = sorted(x[0] for x in df.where(F.col(label).isNotNull()).select(label).distinct().collect())  # states are few
-    rows = ordinals(df.select(replicate, *dict.fromkeys([*order, label])), replicate, order).withColumn("_n", F.count("*").over(Window.partitionBy(replicate)))
-    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_i", F.col("_i") + F.col("_copy") * F.col("_n"))
-    w = Window.partitionBy(replicate).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    running = twice.select(replicate, "_i", *(F.sum(F.when(F.col(label) == x, 1).otherwise(0)).over(w).alias(f"_h{k}") for k, x in enumerate(names)))
-    sizes = rows.groupBy(replicate).agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("length", F.lit(length)) if isinstance(length, int) else sizes.join(F.broadcast(length.select(replicate, "length")), replicate)
-    blocks = F.ceil(F.col("n") / F.col("length")).cast("int")
-    starts = sizes.select(replicate, "n", "length", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    within_ = [replicate] if within is None else within
+    if len(within_) > 1:
+        raise ValueError("one column at most")
+    rows = df.select(*dict.fromkeys([replicate, *order, label, *within_]))
+    rows = rows.withColumn("_length", F.lit(length)) if isinstance(length, int) else rows.join(length.select(replicate, F.col("length").alias("_length")), replicate)
+    long = rows.groupBy(replicate).agg((F.count("*") / F.first("_length") * n_boot).alias("_d")).where(F.col("_d") > DRAWS).select(replicate)
+    usual = rows
+    if not long.isEmpty():
+        usual = rows.join(long.withColumnRenamed(replicate, "_long"), F.col(replicate).eqNullSafe(F.col("_long")), "left_anti")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    key = F.concat(F.when(F.col(replicate).isNull(), "n").otherwise("r"), F.coalesce(F.col(replicate).cast("string"), F.lit("")))
+    sent = usual.repartition(replicate).sortWithinPartitions(replicate, *order).select(key.alias("_r"), F.col("_length").cast("long").alias("_length"), F.col(label).alias("_label"), *(F.col(w).alias("_within") for w in within_))
+    schema = T.StructType([*(T.StructField(w, kinds[w]) for w in within_), T.StructField("b", T.IntegerType()), T.StructField(label, kinds[label]), T.StructField("t", T.LongType())])
+
+    def drawn(name: str, n: int, size: int) -> np.ndarray:
+        """Where each block of each resample starts: what `counter_uniform` gives."""
+        blocks = -(-n // size)
+        own = "" if name == "n" else f"{name[1:]}:"
+        digest, out = hashlib.md5, np.empty(n_boot * blocks, np.int64)
+        at = 0
+        for b in range(n_boot):
+            head = f"{seed}:{b}:{own}"
+            out[at : at + blocks] = [int(digest(f"{head}{k}".encode(), usedforsecurity=False).hexdigest()[:8], 16) for k in range(blocks)]
+            at += blocks
+        return (out % n).reshape(n_boot, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, totals = to_arrow_schema(schema), {}
+
+        def add(name: str, size: int, group: object, labels: list[pa.Array]) -> None:
+            found = pa.chunked_array(labels).combine_chunks().dictionary_encode()
+            codes, n = np.asarray(found.indices.fill_null(-1)), len(found)
+            starts = drawn(name, n, size)
+            span = np.minimum(size, n - np.arange(starts.shape[1]) * size)
+            for k, x in enumerate(found.dictionary.to_pylist()):
+                count = np.concatenate([[0], np.cumsum(np.tile(codes == k, 2))])
+                t = (count[starts + span] - count[starts]).sum(1)
+                totals[group, x] = totals.get((group, x), 0) + t
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (group, x), t in totals.items():
+                hit = np.flatnonzero(t)
+                columns = [*([[group] * len(hit)] if within_ else []), hit, [x] * len(hit), t[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            totals.clear()
+
+        open_: tuple | None = None
+        held: list[pa.Array] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seen = batch.column(0).dictionary_encode()
+            codes = np.asarray(seen.indices)
+            edge = np.flatnonzero(np.diff(codes, prepend=-1, append=-1))
+            for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                name = seen.dictionary[int(codes[s])].as_py()
+                if open_ is None or open_[0] != name:
+                    if open_:
+                        add(*open_, held)
+                    open_, held = (name, batch.column(1)[s].as_py(), batch.column(3)[s].as_py() if within_ else None), []
+                held.append(batch.column(2).slice(s, e - s))
+            if len(totals) * n_boot > 5_000_000:
+                yield from flush()
+        if open_:
+            add(*open_, held)
+        yield from flush()
+
+    out = sent.mapInArrow(run, schema)
+    if usual is rows:
+        return out
+    few = rows.join(long.withColumnRenamed(replicate, "_long"), F.col(replicate).eqNullSafe(F.col("_long")), "left_semi")
+    return out.unionByName(_by_rows(few, replicate, order, label, n_boot, seed, within_))
+
+
+def _by_rows(rows: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, seed: int, within: list[str]) -> DataFrame:
+    """The same with a row for each end of each block; series are numbered and counted in ranges."""
+    keys = [*dict.fromkeys([replicate, *within])]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first("_length").alias("length"))
+    names = [r[0] for r in rows.where(F.col(label).isNotNull()).select(label).distinct().collect()]  # labels are few
+    placed = ranges.numbered(rows, [replicate], order, name="_i").withColumn("_block", F.floor(F.col("_i") / ranges.ROWS))
+    for k, x in enumerate(names):
+        placed = ranges.running(placed, [replicate], "_block", ["_i"], F.when(F.col(label) == x, 1).otherwise(0), f"_h{k}")
+    ends_at = placed.select(replicate, "_i", *(f"_h{k}" for k in range(len(names))))
+    whole = rows.groupBy(replicate).agg(*(F.count(F.when(F.col(label) == x, 1)).alias(f"_a{k}") for k, x in enumerate(names)))
+    starts = sizes.select(*keys, "n", "length", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("length")).cast("int") - 1)))
     start = counter_uniform(F.col("n"), F.lit(seed), F.col("b"), F.col(replicate), F.col("k"))
     span = F.least(F.col("length"), F.col("n") - F.col("k") * F.col("length"))
-    ends = starts.withColumn("_start", start).select("b", replicate, F.explode(F.array(F.struct((F.col("_start") + span - 1).alias("i"), F.lit(1).alias("sign")), F.struct((F.col("_start") - 1).alias("i"), F.lit(-1).alias("sign")))).alias("_e"))
-    ends = ends.where("_e.i >= 0").select("b", replicate, F.col("_e.i").alias("_i"), F.col("_e.sign").alias("_sign"))
-    sums = ends.join(running.hint("shuffle_hash"), [replicate, "_i"]).groupBy("b", replicate).agg(*(F.sum(F.col(f"_h{k}") * F.col("_sign")).alias(f"_h{k}") for k in range(len(names))))
+    ends = starts.withColumn("_s", start).withColumn("_e", F.col("_s") + span).select(*keys, "b", F.explode(F.array(F.struct((F.col("_e") % F.col("n")).alias("i"), F.lit(1).alias("sign"), F.floor(F.col("_e") / F.col("n")).alias("round")), F.struct(F.col("_s").alias("i"), F.lit(-1).alias("sign"), F.lit(0).cast("long").alias("round")))).alias("x"))
+    met = ends.select(*keys, "b", F.col("x.i").alias("_i"), "x.sign", "x.round").join(ends_at, [replicate, "_i"]).join(whole, replicate)
+    sums = met.groupBy(*within, "b").agg(*(F.sum(F.col("sign") * (F.col(f"_h{k}") + F.col("round") * F.col(f"_a{k}"))).alias(f"_h{k}") for k in range(len(names))))
     each = F.array(*(F.struct(F.lit(x).alias("label"), F.col(f"_h{k}").alias("t")) for k, x in enumerate(names)))
-    return sums.select("b", replicate, F.explode(each).alias("_e")).select("b", replicate, F.col("_e.label").alias(label), F.col("_e.t").alias("t")).where("t > 0")
+    return sums.select(*within, "b", F.explode(each).alias("_e")).select(*within, "b", F.col("_e.label").alias(label), F.col("_e.t").cast("long").alias("t")).where("t > 0")
 
 
 def bootstrap_populations(df: DataFrame, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0) -> DataFrame:
     """(b, label, population): the share of frames of every resample, zeros included."""
-    counts = block_counts(df, replicate, order, label, n_boot, length, seed).groupBy("b", label).agg(F.sum("t").alias("t"))
+    counts = block_counts(df, replicate, order, label, n_boot, length, seed, []).groupBy("b", label).agg(F.sum("t").alias("t"))
     frame = df.select(label).distinct().crossJoin(df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")))
     full = frame.join(counts, ["b", label], "left").fillna(0, ["t"])
     return full.select("b", label, (F.col("t") / F.sum("t").over(Window.partitionBy("b"))).alias("population"))
@@ -68,7 +158,7 @@ def profile_bands(df: DataFrame, replicate: str, order: list[str], value: str, b
     """(bin, sd, lo, hi, support): the spread over resamples of the one-dimensional free energy in each bin, relative to the resample's densest bin."""
     lo, hi = bounds
     binned = df.withColumn("bin", bin_index(F.col(value).cast("double"), F.lit(float(lo)), F.lit(float(hi)), bins)).where("bin is not null")
-    counts = block_counts(binned, replicate, order, "bin", n_boot, length, seed).groupBy("b", "bin").agg(F.sum("t").alias("t")).where("t > 0")
+    counts = block_counts(binned, replicate, order, "bin", n_boot, length, seed, []).groupBy("b", "bin").agg(F.sum("t").alias("t")).where("t > 0")
     energy = counts.select("b", "bin", (-R * temperature * F.log(F.col("t") / F.max("t").over(Window.partitionBy("b")))).alias("g"))
     out = energy.groupBy("bin").agg(F.stddev_pop("g").alias("sd"), F.percentile("g", F.lit(0.025)).alias("lo"), F.percentile("g", F.lit(0.975)).alias("hi"), F.count("*").alias("_k"))
     return out.select("bin", "sd", "lo", "hi", (F.col("_k") / n_boot).alias("support"))
@@ -106,11 +196,12 @@ def cell_intervals(samples: DataFrame, n_boot: int, least_support: float = 0.5)
     return out.select("ix", "iy", "support", *(F.when(~rare, F.col(c)).alias(c) for c in ("sd", "lo", "hi")))
 
 
-def bootstrap_systems(df: DataFrame, system: str, replicate: str, order: list[str], label: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
-    """(system, b, label, population) with resamples drawn inside each system."""
+def bootstrap_systems(df: DataFrame, system: str, replicate: str, order: list[str], label: str, n_boot: int, length: int | DataFrame, seed: int = 0) -> DataFrame:
+    """(system, b, label, population) with resamples drawn inside each system. `length` is one for all, or a table (system, replicate, length)."""
     keyed = df.withColumn("_rep", F.concat_ws("/", system, replicate))
-    owner = keyed.select("_rep", system).distinct()
-    counts = block_counts(keyed, "_rep", order, label, n_boot, length, seed).join(F.broadcast(owner), "_rep").groupBy(system, "b", label).agg(F.sum("t").alias("t"))
+    if not isinstance(length, int):
+        length = length.select(F.concat_ws("/", system, replicate).alias("_rep"), "length")
+    counts = block_counts(keyed, "_rep", order, label, n_boot, length, seed, [system]).groupBy(system, "b", label).agg(F.sum("t").alias("t"))
     frame = df.select(system, label).distinct().crossJoin(df.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b")))
     full = frame.join(counts, [system, "b", label], "left").fillna(0, ["t"])
     return full.select(system, "b", label, (F.col("t") / F.sum("t").over(Window.partitionBy(system, "b"))).alias("population"))
@@ -127,7 +218,6 @@ def resegmented(samples: DataFrame, basins: DataFrame, bins: int, temperature: f
 
     One resample is one task's group of at most bins**2 rows, so resamples run in parallel. Basins without a match have a null id.
     """
-    import numpy as np
     import pandas as pd
 
     from terrane.operators import segment

@@ -97,6 +97,37 @@ def state_differences(df: DataFrame, state: str, item: list[str], values: list[s
     return both.select(*item, "n_a", "n_b", "rmsf_a", "rmsf_b", (F.col("rmsf_b") - F.col("rmsf_a")).alias("delta_rmsf"), moved.alias("displacement"))
 
 
+def all_state_differences(moves: DataFrame, state: str, residue: str, atom: str, axes: list[str], weight: str | None = None, reference: str | None = None) -> DataFrame:
+    """(residue, state_a, state_b, n_atoms, rmsf_a, rmsf_b, delta_rmsf, mean_rmsd, centroid_displacement, n_frames_a, n_frames_b): every state against the
+    reference, the state of most frames (the least name on ties). Weights count within each state.
+
+    One aggregation gives each atom's mean and fluctuation in each state; what is compared is as many rows as atoms and states.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    mean = {c: F.sum(w * F.col(c)) / F.sum(w) for c in axes}
+    spread = sum((F.sum(w * F.col(c) * F.col(c)) / F.sum(w) - mean[c] * mean[c] for c in axes), F.lit(0.0))
+    per = moves.groupBy(state, residue, atom).agg(F.count("*").alias("_n"), F.greatest(spread, F.lit(0.0)).alias("_msf"), *(m.alias(f"_{c}") for c, m in mean.items()))
+    if reference is None:
+        sizes = per.groupBy(state).agg(F.max("_n").alias("_n")).orderBy(F.desc("_n"), state).first()
+        if sizes is None:
+            return per.select(residue, *(F.lit(None).cast("double").alias(c) for c in ("delta_rmsf", "mean_rmsd", "centroid_displacement"))).limit(0)
+        reference = sizes[state]
+    a = per.where(F.col(state) == reference).select(residue, atom, F.col("_n").alias("_na"), F.col("_msf").alias("_fa"), *(F.col(f"_{c}").alias(f"_a{c}") for c in axes))
+    both = per.where(F.col(state) != reference).join(a, [residue, atom])
+    moved = [F.col(f"_{c}") - F.col(f"_a{c}") for c in axes]
+    out = both.groupBy(residue, F.col(state).alias("state_b")).agg(
+        F.count("*").alias("n_atoms"),
+        F.sqrt(F.avg("_fa")).alias("rmsf_a"),
+        F.sqrt(F.avg("_msf")).alias("rmsf_b"),
+        F.sqrt(F.avg(sum((m * m for m in moved), F.lit(0.0)))).alias("mean_rmsd"),
+        F.sqrt(sum((F.pow(F.avg(m), 2) for m in moved), F.lit(0.0))).alias("centroid_displacement"),
+        F.max("_na").alias("n_frames_a"),
+        F.max("_n").alias("n_frames_b"),
+    )
+    columns = [residue, F.lit(reference).alias("state_a"), "state_b", "n_atoms", "rmsf_a", "rmsf_b", (F.col("rmsf_b") - F.col("rmsf_a")).alias("delta_rmsf"), "mean_rmsd", "centroid_displacement", "n_frames_a", "n_frames_b"]
+    return out.select(*columns)
+
+
 def broken_chains(atoms: DataFrame, frame: str, segment: str, order: str, axes: list[str], limit: float = 4.5) -> DataFrame:
     """Consecutive atoms of a segment farther apart than `limit`."""
     w = Window.partitionBy(frame, segment).orderBy(order)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import dot
-from terrane.operators import decompose, msm, residues, wide
+from terrane.operators import decompose, msm, overlaps, residues, wide
 from terrane.plans.registry import Tables, query, r
 
 LONG = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings"
@@ -86,6 +86,15 @@ def pca_modes(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "mode int, eigenvalue double, explained double, cumulative double, vector array<double>")
 
 
+@query()
+def mode_overlaps(t: Tables) -> DataFrame:
+    """Overlaps of the modes of halves, of leading parts with all frames, and of replicates, labels being replicates; and their sampling verdict."""
+    found = overlaps.convergence(vectors(t), "embedding", "label", ["vec_id"], 10)
+    rows = [("halves", None if k == 0 else float(a), None, float(x)) for k, (a, x) in enumerate(found["halves"])]
+    rows += [("leading", float(f), None, float(x)) for f, x in found["progressive"]] + [("pair", float(a), float(b), float(x)) for a, b, x in found["pairs"]]
+    return t.spark.createDataFrame(rows, "kind string, a double, b double, rmsip double")
+
+
 @query()
 def tica_modes(t: Tables) -> DataFrame:
     """Slow modes at a lag of five frames."""
@@ -265,6 +274,18 @@ def state_differences(t: Tables) -> DataFrame:
     return d.select("atom", "n_a", "n_b", *(r(c).alias(c) for c in ("rmsf_a", "rmsf_b", "delta_rmsf", "displacement")))
 
 
+@query(ATOMS + """, s AS (SELECT *, 1.0 + vec_id % 2 AS w FROM a), p AS (SELECT label % 3 AS st, atom, count(*) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz,
+greatest(0, sum(w * x * x) / sum(w) - power(sum(w * x) / sum(w), 2) + sum(w * y * y) / sum(w) - power(sum(w * y) / sum(w), 2) + sum(w * z * z) / sum(w) - power(sum(w * z) / sum(w), 2)) AS msf FROM s GROUP BY 1, 2),
+r AS (SELECT arg_min(st, (-n, st)) AS st FROM (SELECT st, max(n) AS n FROM p GROUP BY 1)) SELECT b.atom // 4 AS residue, b.st AS state, count(*) AS n_atoms, round(sqrt(avg(a.msf)), 6) AS rmsf_a, round(sqrt(avg(b.msf)), 6) AS rmsf_b, round(sqrt(avg(b.msf)) - sqrt(avg(a.msf)), 6) AS delta_rmsf,
+round(sqrt(avg(power(b.mx - a.mx, 2) + power(b.my - a.my, 2) + power(b.mz - a.mz, 2))), 6) AS mean_rmsd, round(sqrt(power(avg(b.mx - a.mx), 2) + power(avg(b.my - a.my), 2) + power(avg(b.mz - a.mz), 2)), 6) AS displacement
+FROM p b JOIN p a ON a.atom = b.atom AND a.st = (SELECT st FROM r) AND b.st <> a.st GROUP BY 1, 2""")
+def residue_state_differences(t: Tables) -> DataFrame:
+    """Every state's residues against those of the state of most frames, with weights."""
+    m = atoms(t).withColumn("st", F.col("label") % 3).withColumn("residue", F.floor(F.col("atom") / 4)).withColumn("w", 1.0 + F.col("vec_id") % 2)
+    d = residues.all_state_differences(m, "st", "residue", "atom", ["x", "y", "z"], "w")
+    return d.select("residue", F.col("state_b").alias("state"), "n_atoms", *(r(c).alias(c) for c in ("rmsf_a", "rmsf_b", "delta_rmsf", "mean_rmsd")), r("centroid_displacement").alias("displacement"))
+
+
 @query(ATOMS + """, c AS (SELECT label, vec_id, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM a GROUP BY 1, 2), g AS (SELECT a.label, a.vec_id, sqrt(avg(power(x - cx, 2) + power(y - cy, 2) + power(z - cz, 2))) AS rg FROM a JOIN c USING (label, vec_id) GROUP BY 1, 2),
 s AS (SELECT label, round(avg(rg), 6) AS rg_mean, round(stddev_samp(rg), 6) AS rg_sd, count(*) AS frames FROM g GROUP BY 1), f AS (SELECT label, atom, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS rmsf FROM a GROUP BY 1, 2), h AS (SELECT label, round(avg(rmsf), 6) AS rmsf_mean, round(max(rmsf), 6) AS rmsf_max FROM f GROUP BY 1) SELECT * FROM s JOIN h USING (label)""")
 def state_ensemble_summary(t: Tables) -> DataFrame:

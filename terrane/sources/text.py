@@ -105,7 +105,7 @@ def read_plumed(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, values, constants): values by field name, a row a line, by splits of files. The same things are errors as in `parse_plumed`."""
     lines = numbered_lines(spark, path).withColumn("f", F.split(F.trim(F.translate("value", "\t", " ")), " +"))
     mark = F.get("f", F.lit(0)) == "#!"
-    heads = lines.where(mark & (F.get("f", F.lit(1)) == "FIELDS")).groupBy("path").agg(F.collect_set(F.slice("f", 3, 10_000)).alias("heads"), F.min("line").alias("first"))
+    heads = lines.where(mark & (F.get("f", F.lit(1)) == "FIELDS")).groupBy("path").agg(F.collect_set(F.slice("f", F.lit(3), F.size("f"))).alias("heads"), F.min("line").alias("first"))
     sets = lines.where(mark & (F.get("f", F.lit(1)) == "SET") & (F.size("f") >= 4)).groupBy("path", F.get("f", F.lit(2)).alias("name")).agg(F.max_by(F.get("f", F.lit(3)), "line").alias("v"))
     sets = sets.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("constants"))
     data = running(lines_of_data(spark, path), F.lit(1), "row")
@@ -150,6 +150,22 @@ def plumed_number(text: str) -> float:
     return (-1 if m[1] == "-" else 1) * float(m[2] or 1) * math.pi / float(m[3] or 1) if m else float(text)
 
 
+def hill_spans(names: list[str], constants: dict[str, str]) -> list[tuple[float, float] | None]:
+    """Ends of the period of each variable, from constants such as min_phi and max_phi; none for variables that do not wrap."""
+    return [(plumed_number(constants[f"min_{n}"]), plumed_number(constants[f"max_{n}"])) if f"min_{n}" in constants and f"max_{n}" in constants else None for n in names]
+
+
+def hill_table(spark: SparkSession, path: str, rescaled: bool = True) -> tuple[DataFrame, list[str], list[tuple[float, float] | None], float | None]:
+    """(hills, names, spans, bias factor): hills with hill_time, height, and c0, s0, c1, ... for the variables, of any number; names, periods and factor are the first row's."""
+    found = read_hills(spark, path, rescaled)
+    head = found.first()
+    if head is None:
+        raise ValueError("no hills")
+    names = list(head["names"])
+    columns = [F.get("centers", F.lit(k)).alias(f"c{k}") for k in range(len(names))] + [F.get("sigmas", F.lit(k)).alias(f"s{k}") for k in range(len(names))]
+    return found.select("hill_time", "height", *columns), names, hill_spans(names, dict(head["constants"] or {})), head["factor"]
+
+
 def parse_hills(text: str, rescaled: bool = True) -> dict:
     """Centres, widths, deposited heights, times and periods of hills; heights lose the well-tempered scaling if they were written with it."""
     import numpy as np
@@ -161,7 +177,7 @@ def parse_hills(text: str, rescaled: bool = True) -> dict:
     table = pd.DataFrame(rows, columns=fields)
     factor = float(table["biasf"].iloc[0]) if "biasf" in table and len(table) else -1.0
     height = table["height"].to_numpy()
-    spans = [(plumed_number(constants[f"min_{n}"]), plumed_number(constants[f"max_{n}"])) if f"min_{n}" in constants and f"max_{n}" in constants else None for n in names]
+    spans = hill_spans(names, constants)
     periods = [s[1] - s[0] if s else None for s in spans]
     return {"names": names, "times": table["time"].to_numpy(), "centers": table[names].to_numpy(), "sigmas": table[[f"sigma_{n}" for n in names]].to_numpy(), "heights": height * (factor - 1) / factor if rescaled and factor > 1 else np.array(height), "factor": factor if factor > 1 else None, "periods": periods, "spans": spans}
 
