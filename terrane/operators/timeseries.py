@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.operators import ranges
+
 
 def autocorrelation(df: DataFrame, replicate: str, order: list[str], value: str, lags: int) -> DataFrame:
     """(replicate, lag, c, n): C(t) = sum dx_i dx_{i+t} / ((n - t) var), population variance."""
@@ -76,8 +78,61 @@ def inefficiencies(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.where(constant, np.nan, np.maximum(g, 1.0))
 
 
-def effective_samples(df: DataFrame, replicate: str, order: list[str], value: str) -> DataFrame:
-    """(replicate, n, g, n_eff). A replicate is one ordered series, which the transform needs whole."""
+#: Lags that passes over long replicates reach, one after another.
+REACHES = (4096, 65_536, 1_000_000)
+
+
+def _from_blocks(df: DataFrame, replicate: str, order: list[str], value: str, rows: int) -> list[tuple]:
+    """(replicate, n, g) of replicates, by the products of blocks with themselves and the rows behind them up to a reach, through their spectra."""
+    about = df.groupBy(replicate).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+    out = [(r[replicate], r["n"], 1.0) for r in about if r["n"] < 4 or r["lo"] == r["hi"]]
+    open_ = {r[replicate]: r for r in about if r["n"] >= 4 and r["lo"] != r["hi"]}
+    for reach in REACHES:
+        if not open_:
+            break
+        reach, width = min(reach, max(r["n"] for r in open_.values())), max(rows, reach)
+        means = df.sparkSession.createDataFrame([(k, float(r["m"])) for k, r in open_.items()], f"_key {dict(df.dtypes)[replicate]}, _m double")
+        centred = df.join(F.broadcast(means), F.col(replicate).eqNullSafe(F.col("_key"))).select(replicate, *order, (F.col(value).cast("double") - F.col("_m")).alias("_d"))
+        placed = ranges.numbered(centred, [replicate], order, rows).withColumn("_block", F.floor(F.col("_ordinal") / width))
+        halo = (F.col("_ordinal") % width < reach) & (F.col("_block") > 0)
+        spread = placed.withColumn("_home", F.explode(F.when(halo, F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block")))).select(replicate, "_home", "_block", "_ordinal", "_d")
+
+        def products(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("_ordinal")
+            x = own["_d"].to_numpy(float)
+            head = np.where(own["_block"].to_numpy() == key[1], x, 0.0)
+            size = 1 << (2 * len(x) - 1).bit_length()
+            sums = np.fft.irfft(np.conj(np.fft.rfft(head, size)) * np.fft.rfft(x, size), size)[1 : reach + 1]
+            return pd.DataFrame({replicate: [key[0]], "s": [np.pad(sums, (0, reach - len(sums)))]})
+
+        def added(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({replicate: [key[0]], "s": [np.sum(np.stack(own["s"]), 0)]})
+
+        kind = f"`{replicate}` {dict(df.dtypes)[replicate]}, s array<double>"
+        for r in spread.groupBy(replicate, "_home").applyInPandas(products, kind).groupBy(replicate).applyInPandas(added, kind).toLocalIterator():
+            k, n = open_[r[replicate]], open_[r[replicate]]["n"]
+            lags = np.arange(1, min(reach, n - 2) + 1)
+            c = np.array(r["s"])[: len(lags)] / ((n - lags) * k["v"])
+            crossed = np.flatnonzero((c <= 0) & (lags > 3))
+            if len(crossed) or len(lags) == n - 2:
+                use = slice(crossed[0] if len(crossed) else None)
+                out.append((r[replicate], n, max(1.0, 1 + 2 * float(c[use] @ (1 - lags[use] / n)))))
+                del open_[r[replicate]]
+    if open_:
+        raise ValueError(f"series correlated beyond {REACHES[-1]} frames: {sorted(map(str, open_))[:5]}")
+    return out
+
+
+def effective_samples(df: DataFrame, replicate: str, order: list[str], value: str, rows_each: int | None = None) -> DataFrame:
+    """(replicate, n, g, n_eff). A replicate is one ordered series, which the transform needs whole; with `rows_each`, longer ones are cut in blocks."""
+    if rows_each:
+        some = df.select(replicate, *dict.fromkeys([*order, value]))
+        long = some.groupBy(F.col(replicate).alias("_long")).count().where(F.col("count") > rows_each).select("_long")
+        same = F.col(replicate).eqNullSafe(F.col("_long"))
+        found = _from_blocks(some.join(long, same, "left_semi"), replicate, order, value, rows_each)
+        kind = f"`{replicate}` {dict(df.dtypes)[replicate]}, n long, g double, n_eff double"
+        table = df.sparkSession.createDataFrame([(r, n, g, n / g) for r, n, g in found], kind)
+        return effective_samples(some.join(long, same, "left_anti"), replicate, order, value).unionByName(table)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values(order)[value].to_numpy(float)

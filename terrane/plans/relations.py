@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.operators import hills as hill_work
-from terrane.operators import joins, residues, reweight, states, timeseries
+from terrane.operators import joins, representatives, residues, reweight, states, timeseries
 from terrane.plans.registry import Tables, query, r
 from terrane.plans.series import MICROS, ONE_SERIES
 
@@ -176,8 +176,8 @@ def topk_representatives(t: Tables) -> DataFrame:
 @query("WITH d AS (SELECT a.s_nationkey AS k, a.s_suppkey AS i, avg(abs(a.s_acctbal - b.s_acctbal)) AS m FROM supplier a JOIN supplier b ON b.s_nationkey = a.s_nationkey GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(m, 6), i) AS n FROM d) SELECT k, i AS medoid, round(m, 4) AS mean_distance FROM n WHERE n = 1")
 def medoid(t: Tables) -> DataFrame:
     """The supplier of each nation nearest to the others on average."""
-    a, b = t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x")), t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("y"))
-    d = a.join(b, "k").groupBy("k", "i").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("m"))
+    s = t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"))
+    d = representatives.distance_sums(s, ["k"], "x", "i").withColumn("m", F.col("total") / F.col("n"))
     return d.groupBy("k").agg(F.min(F.struct(r("m").alias("m"), "i")).alias("s")).select("k", F.col("s.i").alias("medoid"), r("s.m", 4).alias("mean_distance"))
 
 

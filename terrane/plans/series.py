@@ -210,6 +210,13 @@ def statistical_inefficiency(t: Tables) -> DataFrame:
     return timeseries.effective_samples(t.events, "user_id", ORDER, "value").select("user_id", "n", r("g", 5).alias("g"))
 
 
+@query(G.replace("PARTITION BY user_id ", "").replace("SELECT user_id, value, row_number()", "SELECT 0 AS user_id, value, row_number()").replace("SELECT user_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1", "SELECT 0 AS user_id, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM events").replace("b.k > a.k ", "b.k BETWEEN a.k + 1 AND a.k + 150 ") + " SELECT n, round(g, 5) AS g, round(n / g, 4) AS n_eff FROM g WHERE EXISTS (FROM z)")
+def n_eff_one_series(t: Tables) -> DataFrame:
+    """Effective samples of all events as one long replicate, from blocks; in SQL, from lags to 150."""
+    e = t.events.select(F.lit(0).alias("one"), F.expr(MICROS).alias("us"), "event_id", F.col("value").cast("double").alias("value"))
+    return timeseries.effective_samples(e, "one", ["us", "event_id"], "value", ONE_SERIES).select("n", r("g", 5).alias("g"), r("n_eff", 4).alias("n_eff"))
+
+
 @query(G + " SELECT user_id, round(n / g, 4) AS n_eff FROM g")
 def n_eff(t: Tables) -> DataFrame:
     return timeseries.effective_samples(t.events, "user_id", ORDER, "value").select("user_id", r("n_eff", 4).alias("n_eff"))

@@ -202,3 +202,38 @@ def test_wham_counts_correlated_samples_less():
     other, _ = reweight.wham(counts, counts.sum(1), u, inefficiency=[1.0, 20.0])
     alike, _ = reweight.wham(counts[0] + counts[1] / 20, np.array([counts[0].sum(), counts[1].sum() / 20]), u)
     assert np.allclose(p, same) and np.allclose(other, alike) and not np.allclose(p, other) and abs(f[1]) < 0.2
+
+
+def test_effective_samples_of_long_replicates(spark):
+    from terrane.operators import timeseries
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k, (n, keep) in {"slow": (900, 0.97), "white": (500, 0.0), "flat": (300, None), "few": (3, 0.5)}.items():
+        x = np.zeros(n)
+        for i in range(1, n):
+            x[i] = 0.0 if keep is None else keep * x[i - 1] + rng.standard_normal()
+        rows += [(k, i, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "rep string, t long, x double").repartition(3)
+    plain = {r["rep"]: r["g"] for r in timeseries.effective_samples(df, "rep", ["t"], "x").collect()}
+    for each in (2, 100, 700):
+        got = {r["rep"]: r["g"] for r in timeseries.effective_samples(df, "rep", ["t"], "x", each).collect()}
+        assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-8 * plain[k] for k in plain)
+
+
+def test_medoids_without_pairs(spark):
+    from terrane.operators import representatives
+
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(0, 3, (260, 2)), 1)
+    df = spark.createDataFrame([(i, "a" if i < 200 else None, float(p), float(q)) for i, (p, q) in enumerate(x)], "i long, g string, x double, y double").repartition(4)
+    for rows in (10_000, 30):
+        got = {r["i"]: r["total"] for r in representatives.distance_sums(df, ["g"], "x", "i", rows).collect()}
+        for i in range(260):
+            own = x[:200, 0] if i < 200 else x[200:, 0]
+            assert abs(got[i] - np.abs(own - x[i, 0]).sum()) < 1e-8
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).sum(1)
+    key, mean, passes = representatives.medoid(df, ["x", "y"], "i")
+    assert key == int(d.argmin()) and abs(mean - d.min() / 260) < 1e-9 and passes < 4
+    with pytest.raises(ValueError, match="not enough"):
+        representatives.medoid(df, ["x", "y"], "i", most_passes=0)
