@@ -16,12 +16,18 @@ from terrane.operators import clusters, decompose, kinetics, landscape, msm, ove
 
 @dataclass
 class Results:
-    """Tables by name, and small arrays that belong to the run."""
+    """Tables by name, and small arrays that belong to the run. Tables that others read are cached until `release`."""
 
     settings: Analysis
     tables: dict[str, DataFrame] = field(default_factory=dict)
     arrays: dict[str, np.ndarray] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Frees what the tables of this run have cached; they can still be read, at the cost of computing them anew."""
+        for name in ("projections", "basins", "discarded"):
+            if name in self.tables:
+                self.tables[name].unpersist()
+
 
 def load(spark: SparkSession, path: str, settings: Analysis) -> DataFrame:
     """Frames from Parquet, strided from the first frame and then cut to the time window."""
@@ -102,7 +108,7 @@ def pooled_cosine(frames: DataFrame, s: Analysis, k: int = 1) -> DataFrame:
     """Cosine content of all replicates, one behind the other. Frames are numbered range by range, a replicate at a time at most."""
     names = frames.select(s.replicate).distinct()
     names = names.withColumn("_rank", F.row_number().over(Window.orderBy(s.replicate)))  # one row a replicate
-    ranked = frames.join(F.broadcast(names), s.replicate)
+    ranked = frames.join(names, s.replicate)
     return timeseries.cosine_content(ranked, ["_rank", *s.order], s.x, k, key=F.col("_rank"))
 
 
@@ -255,7 +261,7 @@ def analyze(frames: DataFrame, settings: Analysis) -> Results:
         order = list(settings.order)
         series = cvs.select(settings.replicate, *order, settings.x, settings.y)
         starts = timeseries.equilibrated(series, settings.replicate, order, [settings.x, settings.y]).where("observable = 'latest'").persist()  # one row a replicate
-        out.tables["discarded"] = starts.drop("observable")
+        out.tables["discarded"] = starts
         cvs, arrays = project(timeseries.production(frames, starts, settings.replicate, order), settings)
     out.arrays |= arrays
     if arrays:
@@ -290,7 +296,7 @@ def compare(frames: DataFrame, settings: Analysis, reference: str | None = None)
     reference = reference or cvs.agg(F.min(settings.system)).first()[0]
     each = landscape.grid(cvs, settings.x, settings.y, n, bounds, settings.weight, settings.temperature, by=[settings.system])
     pops = comparing.population_table(tables["frames"], settings.system, settings.replicate, "state")
-    out.tables |= tables | {"system_grids": each, "populations": pops, "differences": comparing.against(pops, settings.system, "state", reference), "ddg": comparing.difference_map(each, settings.system, reference), "overlaps": comparing.overlaps(each, settings.system, settings.temperature)} | (modes_of(frames.sparkSession, arrays) if arrays else {})
+    out.tables |= tables | {"projections": cvs, "system_grids": each, "populations": pops, "differences": comparing.against(pops, settings.system, "state", reference), "ddg": comparing.difference_map(each, settings.system, reference), "overlaps": comparing.overlaps(each, settings.system, settings.temperature)} | (modes_of(frames.sparkSession, arrays) if arrays else {})
     if settings.bootstrap:
         keyed = cvs.withColumn("_rep", F.concat_ws("/", settings.system, settings.replicate))
         g = timeseries.effective_samples(keyed, "_rep", list(settings.order), settings.x)

@@ -196,7 +196,7 @@ def blocks_of(g: Column | None, n: Column) -> Column:
 def in_own_blocks(df: DataFrame, replicate: str, order: list[str], blocks: DataFrame, count: str = "blocks") -> DataFrame:
     """`df` with the number of its block, each replicate cut into as many as `blocks` says; the last one takes the rest."""
     w = Window.partitionBy(replicate)
-    rows = df.join(F.broadcast(blocks.select(replicate, F.col(count).alias("_k"))), replicate)
+    rows = df.join(blocks.select(replicate, F.col(count).alias("_k")), replicate)
     rn = F.row_number().over(w.orderBy(*order)) - 1
     size = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / F.col("_k")))
     return rows.withColumn("block", F.least(F.floor(rn / size), F.col("_k") - 1).cast("int")).drop("_k")

@@ -296,7 +296,8 @@ def umbrella_weights(t: Tables) -> DataFrame:
 def mbar_free_energies(t: Tables) -> DataFrame:
     """Converged free energies of three windows."""
     e, n = umbrella(t)
-    f = reweight.mbar(e, n, steps=30)
+    f = reweight.mbar(e.persist(), n, steps=30)
+    e.unpersist()
     return t.spark.createDataFrame([(k, float(x)) for k, x in enumerate(f)], "k int, f double")
 
 

@@ -529,7 +529,9 @@ def mbar_after_thirty_steps(t: Tables) -> DataFrame:
 
     s = t.events.select(F.col("value").alias("x"), (F.col("user_id") % 3).alias("k"))
     n = {x["k"]: x["count"] for x in s.groupBy("k").count().collect()}  # three windows
-    f = reweight.mbar(reweight.umbrella_energies(s, "x", [10.0, 30.0, 60.0], [0.02] * 3, 2.5).persist(), [n.get(k, 0) for k in range(3)], steps=30, tolerance=0.0, newton=False)
+    energies = reweight.umbrella_energies(s, "x", [10.0, 30.0, 60.0], [0.02] * 3, 2.5).persist()  # read once a step
+    f = reweight.mbar(energies, [n.get(k, 0) for k in range(3)], steps=30, tolerance=0.0, newton=False)
+    energies.unpersist()
     return t.spark.createDataFrame([(k, round(float(x), 6) + 0.0) for k, x in enumerate(f)], "k int, f double")
 
 

@@ -27,7 +27,7 @@ def running(lines: DataFrame, amount: Column, name: str) -> DataFrame:
     rows = lines.withColumn("_a", amount)
     sums = rows.groupBy("path", "block").agg(F.sum("_a").alias("_s"))
     before = sums.select("path", "block", (F.sum("_s").over(Window.partitionBy("path").orderBy("block")) - F.col("_s")).alias("_before"))
-    return rows.join(F.broadcast(before), ["path", "block"]).withColumn(name, F.sum("_a").over(w) + F.col("_before")).drop("_a", "_before")
+    return rows.join(before, ["path", "block"]).withColumn(name, F.sum("_a").over(w) + F.col("_before")).drop("_a", "_before")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +109,7 @@ def read_plumed(spark: SparkSession, path: str) -> DataFrame:
     sets = lines.where(mark & (F.get("f", F.lit(1)) == "SET") & (F.size("f") >= 4)).groupBy("path", F.get("f", F.lit(2)).alias("name")).agg(F.max_by(F.get("f", F.lit(3)), "line").alias("v"))
     sets = sets.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("constants"))
     data = running(lines_of_data(spark, path), F.lit(1), "row")
-    data = data.join(F.broadcast(heads), "path", "left").join(F.broadcast(sets), "path", "left")
+    data = data.join(heads, "path", "left").join(sets, "path", "left")
     names = F.get("heads", F.lit(0))
     numbers = F.transform(F.slice("f", F.lit(1), F.size(names)), lambda x: x.try_cast("double"))
     refused = lambda why: F.raise_error(F.lit(why)).cast("map<string,double>")
@@ -297,7 +297,7 @@ def read_gro(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of single-frame GRO files, in Angstrom."""
     lines = numbered_lines(spark, path)
     n = lines.where("line = 1").select("path", F.trim("value").cast("int").alias("n"))
-    rows = lines.join(F.broadcast(n), "path").where((F.col("line") >= 2) & (F.col("line") < F.col("n") + 2))
+    rows = lines.join(n, "path").where((F.col("line") >= 2) & (F.col("line") < F.col("n") + 2))
     return rows.select("path", (F.col("line") - 2).alias("ordinal"), _cut(1, 5).cast("int").alias("residue_number"), _cut(6, 10).alias("residue_name"), _cut(11, 15).alias("atom_name"), *((_cut(a, a + 7).cast("double") * 10).alias(c) for a, c in ((21, "x"), (29, "y"), (37, "z"))))
 
 
