@@ -22,7 +22,6 @@ A span may cut a character, so what is kept is bytes. Memory: about ten times th
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
