@@ -5,7 +5,6 @@ import struct
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from terrane.operators import clusters, decompose, features, msm, near
 from terrane.sources import selection, text, xtc
