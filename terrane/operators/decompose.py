@@ -17,7 +17,7 @@ from terrane.functions.columns import dot
 
 MOST_DIMENSIONS = 4096
 #: Rows of M2 in a strip; bytes of rows and states that a task holds; partitions whose states are folded first.
-STRIP, HELD, NEIGHBOURS = 64, 400_000_000, 32
+STRIP, HELD, NEIGHBOURS = 64, 200_000_000, 32
 Moments = tuple[int, np.ndarray, np.ndarray]
 
 
@@ -101,7 +101,8 @@ def moments(df: DataFrame, vector: str, by: str) -> DataFrame:
                 yield from sent(key_type)
         yield from sent(key_type)
 
-    some = df.select(by, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(partial, schema)
+    plain = dict(df.dtypes)[vector] in ("array<float>", "array<double>")  # other numbers become doubles before they travel
+    some = df.select(by, F.col(vector) if plain else F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).mapInArrow(partial, schema)
     half = _folded(some.withColumn("part", (F.col("part") / NEIGHBOURS).cast("int")), by, schema)
     return _folded(half.withColumn("part", F.lit(0)), by, schema).drop("part")
 

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.operators.ranges import dealt
 from terrane.operators.reweight import CUTOFF, hill_kernel
 
 #: Frames and hills of a cell that meet in one task, at most about; hills of a block of `constants`.
-FRAMES, HILLS, BLOCK = 16_384, 16_384, 4096
+FRAMES, HILLS, BLOCK = 8192, 8192, 4096
 #: Points of a grid (8 bytes each) of which every block gets a copy.
 MOST_POINTS = 5_000_000
 _SLICE = 512
@@ -109,7 +110,8 @@ def bias(frames: DataFrame, hills: DataFrame, key: str, x: list[str], time: str
         return pa.table({"k": rows.column("k"), "v": out})
 
     kind = dict(frames.dtypes)[key]
-    sums = here.select("cell", "i", "j", "k", "p", "t").groupBy("cell", "i", "j").cogroup(there.select("cell", "i", "j", "c", "s", "h", "t").groupBy("cell", "i", "j")).applyInArrow(run, f"k {kind}, v double")
+    here, there = dealt(here.select("cell", "i", "j", "k", "p", "t"), "cell", "i", "j"), dealt(there.select("cell", "i", "j", "c", "s", "h", "t"), "cell", "i", "j")
+    sums = here.groupBy("cell", "i", "j").cogroup(there.groupBy("cell", "i", "j")).applyInArrow(run, f"k {kind}, v double")
     sums = sums.groupBy("k").agg(F.sum("v").alias("bias")).withColumnRenamed("k", key)
     return frames.select(key).join(sums, key, "left").fillna(0.0, ["bias"])
 

@@ -15,6 +15,12 @@ ROWS = 1_000_000
 _CUTS = 1000
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by keys to as many tasks as the cluster has use for: for work that is long though its rows are few, which adaptive execution would put together."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def in_ranges(df: DataFrame, by: list[str], time: Column, rows: int = ROWS) -> DataFrame:
     """`df` with `_range`, from 0 in order of time within each replicate: 0 for all rows of a replicate of at most `rows` of them.
 

@@ -61,7 +61,7 @@ def block_counts(df: DataFrame, replicate: str, order: list[str], label: str, n_
         usual = rows.join(long.withColumnRenamed(replicate, "_long"), F.col(replicate).eqNullSafe(F.col("_long")), "left_anti")
     kinds = {f.name: f.dataType for f in rows.schema.fields}
     key = F.concat(F.when(F.col(replicate).isNull(), "n").otherwise("r"), F.coalesce(F.col(replicate).cast("string"), F.lit("")))
-    sent = usual.repartition(replicate).sortWithinPartitions(replicate, *order).select(key.alias("_r"), F.col("_length").cast("long").alias("_length"), F.col(label).alias("_label"), *(F.col(w).alias("_within") for w in within_))
+    sent = ranges.dealt(usual, replicate).sortWithinPartitions(replicate, *order).select(key.alias("_r"), F.col("_length").cast("long").alias("_length"), F.col(label).alias("_label"), *(F.col(w).alias("_within") for w in within_))
     schema = T.StructType([*(T.StructField(w, kinds[w]) for w in within_), T.StructField("b", T.IntegerType()), T.StructField(label, kinds[label]), T.StructField("t", T.LongType())])
 
     def drawn(name: str, n: int, size: int) -> np.ndarray:

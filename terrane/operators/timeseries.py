@@ -139,7 +139,7 @@ def effective_samples(df: DataFrame, replicate: str, order: list[str], value: st
         g = inefficiency(x)
         return pd.DataFrame({replicate: [key[0]], "n": [len(x)], "g": [g], "n_eff": [len(x) / g]})
 
-    return df.select(replicate, *dict.fromkeys([*order, value])).groupBy(replicate).applyInPandas(run, f"{replicate} {dict(df.dtypes)[replicate]}, n long, g double, n_eff double")
+    return ranges.dealt(df.select(replicate, *dict.fromkeys([*order, value])), replicate).groupBy(replicate).applyInPandas(run, f"{replicate} {dict(df.dtypes)[replicate]}, n long, g double, n_eff double")
 
 
 def starts_of(n: int, step: int = 1) -> np.ndarray:
