@@ -190,6 +190,13 @@ def test_nearest_neighbours_recall(spark, tables):
     assert all(abs(dict(w).get(i, s) - s) < 1e-12 for q, w in want.items() for i, s in got[q])
 
 
+def test_nearest_neighbours_with_queries_split_among_tasks(spark, tables, monkeypatch):
+    rows = lambda: sorted(map(tuple, ann.nearest(tables["embeddings"]).collect()))
+    whole = rows()
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    assert rows() == whole
+
+
 def test_nearest_neighbours_recall_with_hundreds_of_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST", 16)
     x = np.random.default_rng(2).normal(size=(8000, 64))
