@@ -12,6 +12,7 @@ from terrane import on_workers
 from terrane.config import Analysis
 from terrane.operators import compare as comparing
 from terrane.operators import clusters, decompose, kinetics, landscape, msm, overlaps, resample, residues, segment, states, timeseries
+from terrane.sources.trajectories import read_trajectory
 
 
 @dataclass
@@ -30,8 +31,11 @@ class Results:
 
 
 def load(spark: SparkSession, path: str, settings: Analysis) -> DataFrame:
-    """Frames from Parquet, strided from the first frame and then cut to the time window."""
+    """Frames from Parquet or from trajectories (paths divided by `;`, a file a replicate), strided from the first frame and then cut to the time window."""
     on_workers(spark)
+    if path.lower().endswith((".xtc", ".trr", ".dcd")):
+        found = read_trajectory(spark, [p.strip() for p in path.split(";") if p.strip()], settings.stride, settings.begin, settings.end)
+        return found.select(F.col("path").alias(settings.replicate), F.col("frame").alias(settings.order[0]), F.col("time_ps").alias(settings.time), F.col("coords").alias(settings.vector))
     df = spark.read.parquet(path)
     if settings.stride > 1:
         df = df.where(F.col(settings.order[0]) % settings.stride == 0)

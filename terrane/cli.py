@@ -93,9 +93,9 @@ def main(args: list[str] | None = None) -> None:
             sinks.save(result.tables, a.output, {k: v.tolist() for k, v in result.arrays.items()})
             return
         if a.command == "residues":
-            from terrane.sources import text
+            from terrane.sources.structures import read_structure
 
-            sinks.save(api.analyze_residues(frames, text.read_pdb(spark, a.atoms), s, "state" if "state" in frames.columns else None, a.ligand), a.output)
+            sinks.save(api.analyze_residues(frames, read_structure(spark, a.atoms), s, "state" if "state" in frames.columns else None, a.ligand), a.output)
             return
         result = api.compare(frames, s, a.reference) if a.command == "compare" else api.rebin(frames, s) if a.command == "rebin" else api.analyze(frames, s)
         sinks.save(result.tables, a.output, {k: v.tolist() for k, v in result.arrays.items() if k != "vectors"})

@@ -7,7 +7,6 @@ a header or on whole files are read whole, one file a row, and parsed where they
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -236,7 +235,9 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
 def reference_coordinates(spark: SparkSession, structure: str | None, frames: DataFrame | None = None, order: list[str] | None = None) -> list[float]:
     """Flat coordinates of a structure's first model if there is a structure, else of the first frame."""
     if structure:
-        atoms = read_gro(spark, structure).withColumn("model", F.lit(1)) if structure.endswith(".gro") else read_pdb(spark, structure)
+        from terrane.sources.structures import read_structure
+
+        atoms = read_structure(spark, structure)
         return frames_of(atoms.where("model = 1"), ["model"]).first()["coords"]
     return frames.orderBy(*(order or ["replicate", "frame"])).first()["coords"]
 
@@ -250,47 +251,12 @@ def selected(atoms: DataFrame, groups: list[str], index: DataFrame | None = None
     return atoms.join(out.distinct(), "ordinal", "left_semi").orderBy("ordinal")
 
 
-def parse_dcd(data: bytes) -> tuple[float, int, Iterator[tuple[int, list[float]]]]:
-    """Time between frames in the file's units, atoms, and (frame, flat coordinates) of a DCD trajectory of 32-bit floats, of either byte order."""
-    import numpy as np
-
-    order = "<" if data[:4] == (84).to_bytes(4, "little") else ">"
-    head = np.frombuffer(data, f"{order}i4", 21, 4)
-    if data[4:8] not in (b"CORD", b"DROC"):
-        raise ValueError("not a DCD file")
-    delta, cell, at = float(np.frombuffer(data, f"{order}f4", 1, 44)[0]), bool(head[11]), 92
-    at += int(np.frombuffer(data, f"{order}i4", 1, at)[0]) + 8
-    n = int(np.frombuffer(data, f"{order}i4", 1, at + 4)[0])
-    at += 12
-    size = (56 if cell else 0) + 3 * (4 * n + 8)
-
-    def frames() -> Iterator[tuple[int, list[float]]]:
-        for k in range((len(data) - at) // size):
-            start = at + k * size + (56 if cell else 0)
-            axes = [np.frombuffer(data, f"{order}f4", n, start + a * (4 * n + 8) + 4) for a in range(3)]
-            yield k, np.stack(axes, 1).ravel().astype(float).tolist()
-
-    return delta * int(head[3]), n, frames()
-
-
 def read_dcd(spark: SparkSession, path: str, time_unit: float = 0.04888821) -> DataFrame:
-    """(path, frame, time_ps, coords) of DCD trajectories, a file a task; times are the file's in picoseconds."""
+    """(path, frame, time_ps, coords) of DCD trajectories, by ranges of frames; times are the file's in picoseconds."""
+    from terrane.sources.trajectories import read_trajectory
 
-    def run(batches):
-        for b in batches:
-            for name, data in zip(b["path"], b["content"], strict=True):
-                step, _, found = parse_dcd(bytes(data))
-                rows = []
-                for k, c in found:
-                    rows.append((name, k, k * step * time_unit, c))
-                    if len(rows) == 256:
-                        yield pd.DataFrame(rows, columns=["path", "frame", "time_ps", "coords"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "frame", "time_ps", "coords"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, frame int, time_ps double, coords array<float>")
+    found = read_trajectory(spark, path, time_unit=time_unit)
+    return found.select("path", F.col("frame").cast("int").alias("frame"), "time_ps", "coords")
 
 
 def read_gro(spark: SparkSession, path: str) -> DataFrame:

@@ -37,6 +37,22 @@ def _folder(path: str):
     return fs.LocalFileSystem(), path
 
 
+def _named(path: str) -> list[str]:
+    """Files that a path names; its last part may hold `*` and `?`."""
+    folder, _, last = path.rpartition("/")
+    if not any(c in last for c in "*?"):
+        return [path]
+    from fnmatch import fnmatchcase
+
+    from pyarrow import fs
+
+    system, inside = _folder(folder or ".")
+    found = [f.base_name for f in system.get_file_info(fs.FileSelector(inside)) if f.is_file and fnmatchcase(f.base_name, last)]
+    if not found:
+        raise ValueError(f"no file is named by {path}")
+    return [f"{folder}/{f}" if folder else f for f in sorted(found)]
+
+
 def heads(file, size: int) -> Iterator[tuple[int, int, int, float]]:
     """(offset, bytes, step, time) of each whole frame of an open file; a last frame that was cut off is left out."""
     at = 0
@@ -143,11 +159,14 @@ class _Frames(InputPartition):
         self.path, self.frames = path, frames
 
 
-class XtcReader(DataSourceReader):
-    """Frames of the files that the options name: path, stride, begin, end (ps), frames (of a partition), atoms (numbers from 0, divided by commas)."""
+class FrameReader(DataSourceReader):
+    """Frames of the files that the options name: path, stride, begin, end (ps), frames (of a partition), atoms (numbers from 0, divided by commas).
+
+    A format says by `heads` where a file's frames are, and by `decoded` what the bytes of one hold.
+    """
 
     def __init__(self, options: dict):
-        self.paths = [p.strip() for p in options.get("path", "").split(";") if p.strip()]
+        self.paths = [f for p in options.get("path", "").split(";") if p.strip() for f in _named(p.strip())]
         if not self.paths:
             raise ValueError("the option path is needed")
         self.stride = max(1, int(options.get("stride", 1)))
@@ -155,12 +174,18 @@ class XtcReader(DataSourceReader):
         self.each = max(1, int(options.get("frames", 500)))
         self.atoms = [int(a) for a in options["atoms"].split(",")] if options.get("atoms") else None
 
+    def heads(self, file, size: int) -> Iterator[tuple[int, int, int, float]]:
+        raise NotImplementedError
+
+    def decoded(self, frame: bytes) -> tuple[list[float] | None, np.ndarray]:
+        raise NotImplementedError
+
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in self.paths:
             system, inside = _folder(path)
             with system.open_input_file(inside) as file:
-                chosen = [(n, *h) for n, h in enumerate(heads(file, file.size())) if n % self.stride == 0 and self.begin <= h[3] <= self.end]
+                chosen = [(n, *h) for n, h in enumerate(self.heads(file, file.size())) if n % self.stride == 0 and self.begin <= h[3] <= self.end]
             out += [_Frames(path, chosen[k : k + self.each]) for k in range(0, len(chosen), self.each)]
         return out or [_Frames(self.paths[0], [])]
 
@@ -175,12 +200,17 @@ class XtcReader(DataSourceReader):
                 rows = []
                 for number, offset, length, step, time in partition.frames[s : s + 64]:
                     file.seek(offset)
-                    box, coords = decoded(file.read(length))
+                    box, coords = self.decoded(file.read(length))
                     rows.append((partition.path, number, step, float(time), box, coords if take is None else coords[take]))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["path", "frame", "step", "time_ps", "box", "coords"])
 
 
+class XtcReader(FrameReader):
+    heads = staticmethod(heads)
+    decoded = staticmethod(decoded)
+
+
 class XtcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -193,13 +223,18 @@ class XtcSource(DataSource):
         return XtcReader(dict(self.options))
 
 
-def read_xtc(spark: SparkSession, paths: str | list[str], stride: int = 1, begin: float | None = None, end: float | None = None, atoms: list[int] | None = None, frames: int = 500) -> DataFrame:
-    """(path, frame, step, time_ps, box, coords) of XTC files: every `stride`-th frame from the first on, cut to a time window, of all atoms or of some."""
+def scanned(spark: SparkSession, source: type[DataSource], paths: str | list[str], stride: int = 1, begin: float | None = None, end: float | None = None, atoms: list[int] | None = None, frames: int = 500, **more: object) -> DataFrame:
+    """Frames by a data source of trajectories, under the options of `FrameReader` and of its own."""
     from terrane import on_workers
 
     on_workers(spark)
-    spark.dataSource.register(XtcSource)
-    reader = spark.read.format("xtc").option("path", ";".join([paths] if isinstance(paths, str) else paths)).option("stride", stride).option("frames", frames)
-    for name, value in (("begin", begin), ("end", end), ("atoms", ",".join(map(str, atoms)) if atoms is not None else None)):
+    spark.dataSource.register(source)
+    reader = spark.read.format(source.name()).option("path", ";".join([paths] if isinstance(paths, str) else paths)).option("stride", stride).option("frames", frames)
+    for name, value in (("begin", begin), ("end", end), ("atoms", ",".join(map(str, atoms)) if atoms is not None else None), *more.items()):
         reader = reader.option(name, value) if value is not None else reader
     return reader.load()
+
+
+def read_xtc(spark: SparkSession, paths: str | list[str], stride: int = 1, begin: float | None = None, end: float | None = None, atoms: list[int] | None = None, frames: int = 500) -> DataFrame:
+    """(path, frame, step, time_ps, box, coords) of XTC files: every `stride`-th frame from the first on, cut to a time window, of all atoms or of some."""
+    return scanned(spark, XtcSource, paths, stride, begin, end, atoms, frames)
