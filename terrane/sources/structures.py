@@ -33,63 +33,92 @@ def _in_order(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy("path", "model").orderBy(*order)) - 1).cast("int")).select(*ATOM_COLUMNS)
 
 
+def _states(lines: DataFrame) -> DataFrame:
+    """Lines of mmCIF files with _in (what section a line stands in), _prose (within a text field), _data (number of its data block), _values and _start (values of atoms before it).
+
+    A split cannot know in which state it begins, so it is summed up for each: an even or odd number of semicolons before, among atoms or not. One row a split is put in order, which tells the states.
+    """
+    word = F.regexp_extract(F.lower(F.trim(F.translate("value", "\t", " "))), r"^(\S+)", 1)
+    kind = F.when(word.startswith(_ATOMS), "atoms").when(word.rlike("^(data_|save_|loop_$|stop_$|global_$|_)"), "other")
+    w = Window.partitionBy("path", "block").orderBy("place")
+    mark = F.when(F.col("value").startswith(";"), 1).otherwise(0)
+    values = F.filter(F.regexp_extract_all("value", F.lit(_VALUE), F.lit(0)), lambda v: ~v.startswith("#"))
+    rows = lines.select("*", mark.alias("_m"), F.sum(mark).over(w).alias("_marks"), kind.alias("_k"), word.startswith("data_").alias("_d"), F.substring(word, len(_ATOMS) + 1, 1000).alias("_head"), values.alias("_values"))
+
+    def under(odd: Column) -> tuple[Column, Column]:
+        prose = ((F.col("_marks") + odd) % 2 == 1) | (F.col("_m") == 1)
+        return prose, F.when(~prose, F.col("_k"))
+
+    both = [under(F.lit(p)) for p in (0, 1)]
+    seen = rows.select("*", *(F.last(k, ignorenulls=True).over(w).alias(f"_last{p}") for p, (_, k) in enumerate(both)))
+    inside = lambda p, a: (F.coalesce(F.col(f"_last{p}"), F.lit(a)) == "atoms") & both[p][1].isNull() & ~both[p][0]
+    ends = seen.groupBy("path", "block").agg(
+        F.sum("_m").alias("_m"),
+        *(F.max_by(k, F.when(k.isNotNull(), F.col("place"))).alias(f"_e{p}") for p, (_, k) in enumerate(both)),
+        *(F.count_if(~prose & F.col("_d")).alias(f"_d{p}") for p, (prose, _) in enumerate(both)),
+        *(F.sum(F.when(inside(p, a), F.size("_values")).otherwise(0)).alias(f"_n{p}{a}") for p in (0, 1) for a in ("atoms", "other")),
+    )
+    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    pick = lambda one, two: F.when(F.col("_odd") == 0, F.col(one)).otherwise(F.col(two))
+    ends = ends.withColumn("_odd", F.coalesce(F.sum("_m").over(order), F.lit(0)) % 2)
+    ends = ends.withColumn("_before", F.coalesce(F.last(pick("_e0", "_e1"), ignorenulls=True).over(order), F.lit("other")))
+    number = F.when(F.col("_before") == "atoms", pick("_n0atoms", "_n1atoms")).otherwise(pick("_n0other", "_n1other"))
+    ends = ends.select("path", "block", "_odd", "_before", F.coalesce(F.sum(pick("_d0", "_d1")).over(order), F.lit(0)).alias("_d_before"), F.coalesce(F.sum(number).over(order), F.lit(0)).alias("_n_before"))
+    prose, own = under(F.col("_odd"))
+    out = rows.join(ends, ["path", "block"]).withColumn("_prose", prose).withColumn("_kind", own)
+    out = out.withColumn("_in", F.coalesce(F.last("_kind", ignorenulls=True).over(w), "_before")).withColumn("_atoms", (F.col("_in") == "atoms") & F.col("_kind").isNull())
+    size = F.when(F.col("_atoms") & ~F.col("_prose"), F.size("_values")).otherwise(0)
+    data = F.sum(F.when(~F.col("_prose") & F.col("_d"), 1).otherwise(0)).over(w) + F.col("_d_before")
+    return out.select("path", "block", "place", "_kind", "_prose", "_atoms", "_head", "_values", size.alias("_size"), data.alias("_data"), (F.sum(size).over(w) - size + F.col("_n_before")).alias("_start"))
+
+
 def read_cif(spark: SparkSession, path: str) -> DataFrame:
-    """(path, model, ordinal, atom_name, residue_name, chain, residue_number, x, y, z) of the atom loops of mmCIF files, names and numbers the author's where there are any.
+    """(path, entry, model, ordinal, atom_name, residue_name, chain, residue_number, x, y, z) of the atom loops of mmCIF files, names and numbers the author's where there are any.
 
     Columns stand in any order, values may be quoted and rows may be broken or joined anywhere at blanks; `.` and `?` are null. Text between
     lines that begin with a semicolon is passed over, and is an error among the atoms, as are values that fill no whole row. Atoms outside a loop are not read.
-    Models of several data blocks of a file are kept apart: the numbers of later blocks follow those of earlier ones, as do coordinates without a model.
+    A file's data blocks are its entries, from 0, each with models and atoms of its own; without a model's number it is 1.
     """
-    lines = running(split_lines(spark, path), F.when(F.col("value").startswith(";"), 1).otherwise(0), "_marks")
-    prose = (F.col("_marks") % 2 == 1) | F.col("value").startswith(";")
-    text = F.lower(F.trim(F.translate("value", "\t", " ")))
-    word = F.regexp_extract(text, r"^(\S+)", 1)
-    kind = F.when(prose, None).when(word.startswith(_ATOMS), "atoms").when(word.rlike("^(data_|save_|loop_$|stop_$|global_$|_)"), "other")
-    lines = lines.withColumn("_kind", kind).withColumn("_prose", prose)
-    lines = carried(lines, F.col("_kind"), "_in")
-    starts = F.when(~F.col("_prose") & word.startswith("data_"), 1).otherwise(0)
-    inside = (F.col("_in") == "atoms") & F.col("_kind").isNull()
-    values = F.filter(F.regexp_extract_all("value", F.lit(_VALUE), F.lit(0)), lambda v: ~v.startswith("#"))
-    refused = F.raise_error(F.lit("a text field among atoms")).cast("array<string>")
-    lines = running(lines, starts, "_data").withColumn("_values", F.when(inside, F.when(F.col("_prose"), refused).otherwise(values)))
-    heads = lines.where("_kind = 'atoms'").select("path", "_data", "block", "place", F.substring(word, len(_ATOMS) + 1, 1000).alias("_head"))
-    heads = heads.groupBy("path", "_data").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "place", "_head"))), lambda h: h["_head"]).alias("_heads"))
-    data = running(lines.where(inside), F.size("_values"), "_end").withColumn("_start", F.col("_end") - F.size("_values"))
-    first = data.groupBy("path", "_data").agg(F.min("_start").alias("_first"), F.max("_end").alias("_last"))
-    data = data.where(F.size("_values") > 0).join(first.join(heads, ["path", "_data"]), ["path", "_data"])
-    width = F.size("_heads")
-    whole = (F.col("_last") - F.col("_first")) % width == 0
-    data = data.withColumn("_at", F.when(whole, F.col("_start") - F.col("_first")).otherwise(F.raise_error(F.lit("values of atoms fill no whole row")).cast("long")))
-    fits = (F.col("_at") % width == 0) & (F.size("_values") == width)
-    lined = data.where(fits).select("path", "_data", "_heads", F.floor(F.col("_at") / width).alias("_row"), "_values")
-    loose = data.where(~fits).select("path", "_data", "_heads", "_at", F.posexplode("_values").alias("_k", "_v")).withColumn("_at", F.col("_at") + F.col("_k"))
-    loose = loose.groupBy("path", "_data", "_heads", F.floor(F.col("_at") / width).alias("_row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda v: v["_v"]).alias("_values"))
-    rows = lined.unionByName(loose)
+    lines = _states(split_lines(spark, path))
+    head = F.when(F.col("_kind") == "atoms", F.struct("block", "place", "_head"))
+    first = lines.where("_kind = 'atoms' OR _atoms").groupBy("path", "_data").agg(
+        F.transform(F.array_sort(F.collect_list(head)), lambda h: h["_head"]).alias("_heads"),
+        F.min(F.when(F.col("_size") > 0, F.col("_start"))).alias("_first"),
+        F.sum("_size").alias("_total"),
+        F.max(F.col("_atoms") & F.col("_prose")).alias("_text"),
+    )
+    refused = lambda why: F.raise_error(F.lit(why)).cast("int")
+    width = F.when(F.col("_text"), refused("a text field among atoms")).when(F.col("_total") % F.size("_heads") != 0, refused("values of atoms fill no whole row")).otherwise(F.size("_heads"))
+    first = first.select("path", "_data", "_heads", "_first", width.alias("_width"))
+    data = lines.where("_size > 0 OR _atoms AND _prose").select("path", "_data", "_start", "_values").join(first, ["path", "_data"]).withColumn("_at", F.col("_start") - F.col("_first"))
+    row = F.floor(F.col("_at") / F.col("_width"))
+    rows = data.withColumn("_row", F.explode(F.sequence(row, F.floor((F.col("_at") + F.size("_values") - 1) / F.col("_width")))))
+    begin = F.greatest(F.col("_row") * F.col("_width") - F.col("_at"), F.lit(0)).cast("int")
+    stop = F.least((F.col("_row") + 1) * F.col("_width") - F.col("_at"), F.size("_values")).cast("int")
+    rows = rows.select("path", "_data", "_row", "_heads", "_start", F.slice("_values", begin + 1, stop - begin).alias("_piece"))
+    rows = rows.groupBy("path", "_data", "_row").agg(F.any_value("_heads").alias("_heads"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_piece"))), lambda p: p["_piece"])).alias("_values"))
 
     def field(*names: str) -> Column:
         found = []
         for n in names:
             v = F.get("_values", (F.array_position("_heads", n) - 1).cast("int"))
             bare = F.when(F.array_contains("_heads", n) & ~v.isin(".", "?"), v)
-            quoted = F.length(bare).cast("int") >= 2
-            ends = F.substring(bare, 1, 1)
-            found.append(F.when(quoted & ends.isin("'", '"') & (F.substring(bare, -1, 1) == ends), bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare))
+            found.append(F.when(bare.rlike("(?s)^(['\"]).*\\1$") & (F.length(bare) > 1), bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare))
         return F.coalesce(*found)
 
     out = rows.select(
         "path",
-        "_data",
+        F.greatest(F.col("_data") - 1, F.lit(0)).cast("int").alias("entry"),
         "_row",
-        F.coalesce(field("pdbx_pdb_model_num").cast("int"), F.lit(1)).alias("_model"),
+        F.coalesce(field("pdbx_pdb_model_num").cast("int"), F.lit(1)).alias("model"),
         field("auth_atom_id", "label_atom_id").alias("atom_name"),
         field("auth_comp_id", "label_comp_id").alias("residue_name"),
         field("auth_asym_id", "label_asym_id").alias("chain"),
         field("auth_seq_id", "label_seq_id").cast("int").alias("residue_number"),
         *(field(f"cartn_{c}").cast("double").alias(c) for c in "xyz"),
     )
-    most = out.groupBy("path", "_data").agg(F.max("_model").alias("_most"))
-    shift = most.select("path", "_data", (F.sum("_most").over(Window.partitionBy("path").orderBy("_data")) - F.col("_most")).alias("_shift"))
-    return _in_order(out.join(shift, ["path", "_data"]).withColumn("model", (F.col("_model") + F.col("_shift")).cast("int")), "_row")
+    ordinal = (F.row_number().over(Window.partitionBy("path", "entry", "model").orderBy("_row")) - 1).cast("int")
+    return out.withColumn("ordinal", ordinal).select("path", "entry", *ATOM_COLUMNS[1:])
 
 
 def read_mol2(spark: SparkSession, path: str) -> DataFrame:
@@ -133,13 +162,14 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pdb": read_pdb,
 
 
 def read_structure(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of a structure file of any known format, in the columns of `read_cif`; what a format lacks is null, and its only model is 1."""
+    """Atoms of a structure file of any known format, in the columns of `read_cif`; what a format lacks is null, and its only model is 1. Of several entries of a file the first is the structure."""
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     name = name[:-3] if name.endswith(".gz") else name
     kind = name.rsplit(".", 1)[-1]
     if kind not in READERS:
         raise ValueError(f"no reader for files that end in .{kind}; there are {', '.join(sorted(READERS))}")
     found = READERS[kind](spark, path)
+    found = found.where("entry = 0") if "entry" in found.columns else found
     found = found.withColumn("model", F.col("frame") + 1) if "frame" in found.columns else found
     for column, missing in (("model", F.lit(1)), ("residue_name", F.lit(None).cast("string")), ("chain", F.lit(None).cast("string")), ("residue_number", F.lit(None).cast("int"))):
         found = found if column in found.columns else found.withColumn(column, missing)

@@ -57,7 +57,9 @@ def test_cif_models_blocks_and_errors(spark, tmp_path):
     head = "loop_\n" + "".join(f"_atom_site.{h}\n" for h in HEADS)
     rows = lambda m: "\n".join(" ".join(cif_row(k, m)) for k in range(3)) + "\n"
     p = written(tmp_path, "b.cif", "data_A\n" + head + rows(1) + rows(2) + "data_B\n" + head + rows(1))
-    assert atoms(read_cif(spark, p)) == [expected(k, m) for m in (1, 2, 3) for k in range(3)]
+    for entry, models in ((0, (1, 2)), (1, (1,))):
+        assert atoms(read_cif(spark, p).where(f"entry = {entry}")) == [expected(k, m) for m in models for k in range(3)]
+    assert atoms(read_structure(spark, p)) == [expected(k, m) for m in (1, 2) for k in range(3)]
     few = written(tmp_path, "c.cif", "data_A\nloop_\n_atom_site.Cartn_x\n_atom_site.cartn_y\n_atom_site.CARTN_Z\n1 2 .\n")
     assert atoms(read_cif(spark, few)) == [(1, 0, None, None, None, None, 1.0, 2.0, None)]
     assert atoms(read_cif(spark, written(tmp_path, "d.cif", "data_A\n_atom_site.id 1\n"))) == []
