@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.columns import dot
-from terrane.operators import decompose, msm, overlaps, residues, wide
+from terrane.operators import decompose, msm, overlaps, residues, timeseries, wide
 from terrane.plans.registry import Tables, query, r
 
 LONG = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings"
@@ -95,6 +95,32 @@ def mode_overlaps(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "kind string, a double, b double, rmsip double")
 
 
+#: Sums of the even and the odd numbers of a vector, in order within labels; a half's leading axis of two numbers has a closed form.
+TWO = f"""l AS ({LONG}), e AS (SELECT vec_id, label, sum(x) FILTER (d % 2 = 0) AS x, sum(x) FILTER (d % 2 = 1) AS y FROM l GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n, x - avg(x) OVER (PARTITION BY label) AS p FROM e),
+h AS (SELECT label, k >= n // 2 AS late, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS angle FROM o WHERE n >= 4 GROUP BY 1, 2),
+s AS (SELECT label, abs(cos(max(angle) FILTER (late) - max(angle) FILTER (NOT late))) AS rmsip FROM h GROUP BY 1),
+w AS (SELECT label, any_value(n) AS n, CASE WHEN any_value(n) < 3 THEN 0 ELSE 2.0 / any_value(n) * power(sum(p * cos(pi() * k / (n - 1))), 2) / sum(p * p) END AS cosine, var_pop(x) AS v FROM o GROUP BY 1),
+c AS (SELECT a.label, b.k - a.k AS lag, sum(a.p * b.p) / ((any_value(a.n) - (b.k - a.k)) * any_value(w.v)) AS c FROM o a JOIN o b ON b.label = a.label AND b.k > a.k AND b.k - a.k <= a.n - 2 JOIN w ON w.label = a.label GROUP BY 1, 2),
+z AS (SELECT label, min(lag) AS stop FROM c WHERE c <= 0 AND lag > 3 GROUP BY 1),
+g AS (SELECT w.label, w.n, w.cosine, CASE WHEN w.n < 4 THEN 1 ELSE greatest(1, 1 + 2 * coalesce((SELECT sum(c.c * (1 - c.lag / w.n)) FROM c LEFT JOIN z ON z.label = c.label WHERE c.label = w.label AND c.lag < coalesce(z.stop, w.n - 1)), 0)) END AS g FROM w)"""
+
+
+@query(f"""WITH {TWO} SELECT g.label, round(s.rmsip, 6) AS rmsip, round(g.cosine, 6) AS cosine_content, round(g.n / g.g, 3) AS n_eff,
+CASE WHEN g.n / g.g < 50 THEN 'Insufficient' WHEN coalesce(s.rmsip, 0) >= 0.7 AND g.cosine < 0.5 THEN 'Good' WHEN coalesce(s.rmsip, 0) >= 0.5 AND g.cosine < 0.7 THEN 'Mixed' ELSE 'Poor' END AS verdict FROM g LEFT JOIN s USING (label)""")
+def sampling_by_label(t: Tables) -> DataFrame:
+    """How well each label samples two collective numbers: overlap of the leading modes of its halves, cosine content and effective samples, and the verdict that they give."""
+    number = lambda odd: F.expr(f"aggregate(filter(transform(embedding, (v, i) -> CASE WHEN i % 2 = {odd} THEN CAST(v AS DOUBLE) END), v -> v IS NOT NULL), 0D, (a, v) -> a + v)")
+    two = vectors(t).select("vec_id", "label", number(0).alias("x"), number(1).alias("y")).withColumn("v", F.array("x", "y"))
+    halves = overlaps.convergence(two, "v", "label", ["vec_id"], 1)["halves"][1:]
+    found = t.spark.createDataFrame([(int(k), float(v)) for k, v in halves], "label int, rmsip double")
+    cosine = timeseries.cosine_content(two, ["vec_id"], "x", 1, by=["label"])
+    n = timeseries.effective_samples(two, "label", ["vec_id"], "x")
+    both = cosine.join(n.drop("n"), "label").join(found, "label", "left")
+    verdict = timeseries.verdict(F.coalesce("rmsip", F.lit(0.0)), F.col("cosine_content"), F.col("n_eff"))
+    return both.select("label", r("rmsip", 6).alias("rmsip"), r("cosine_content", 6).alias("cosine_content"), r("n_eff", 3).alias("n_eff"), verdict.alias("verdict"))
+
+
 @query()
 def tica_modes(t: Tables) -> DataFrame:
     """Slow modes at a lag of five frames."""
