@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane import on_workers
-from terrane.config import Analysis
+from terrane.config import Analysis, merged
 from terrane.operators import compare as comparing
 from terrane.operators import clusters, decompose, kinetics, landscape, msm, overlaps, resample, residues, segment, states, timeseries
+from terrane.sources import sinks
 from terrane.sources.trajectories import read_trajectory
 
 
@@ -288,6 +289,19 @@ def rebin(projections: DataFrame, settings: Analysis) -> Results:
     return analyze(projections, replace(settings, method="columns"))
 
 
+def rebin_run(spark: SparkSession, folder: str, given: dict | None = None) -> Results:
+    """A new landscape and its states from a stored run: settings that are not given are the run's, its projections stay as they are.
+
+    Transients were discarded when the run was made; bootstraps are made anew only if their number is given.
+    """
+    given = dict(given or {})
+    settings = merged({"equilibration": "report", "bootstrap": 0, "method": "columns"} | given, sinks.stored_settings(spark, folder))
+    if settings.equilibration == "auto":
+        raise ValueError("transients are discarded by the analysis, not when its grid is made anew")
+    on_workers(spark)
+    return rebin(spark.read.parquet(f"{folder}/projections"), settings)
+
+
 def compare(frames: DataFrame, settings: Analysis, reference: str | None = None) -> Results:
     """Systems on one shared projection and grid: populations, energies, difference maps and overlaps."""
     out = Results(settings)

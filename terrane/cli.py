@@ -34,13 +34,14 @@ def main(args: list[str] | None = None) -> None:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("analyze", "compare", "rebin", "msm", "residues"):
         c = sub.add_parser(name)
-        c.add_argument("input")
+        c.add_argument("input", help="frames in Parquet, or trajectories divided by `;`; for rebin, projections or a stored run")
         c.add_argument("output")
         c.add_argument("--config")
         c.add_argument("--reference")
+        c.add_argument("--from", dest="run", metavar="RUN", help="a stored run, whose settings stand where none are given")
         c.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="a setting, as JSON or a word")
         if name == "residues":
-            c.add_argument("atoms", help="a structure in PDB format")
+            c.add_argument("atoms", help="a structure file")
             c.add_argument("--ligand", action="append", help="a residue name of the ligand")
     c = sub.add_parser("umbrella", help="free energies and weights of umbrella windows")
     c.add_argument("output")
@@ -86,11 +87,16 @@ def main(args: list[str] | None = None) -> None:
                 return text
 
         given = {k: value(v) for k, _, v in (x.partition("=") for x in a.set)}
-        s = merged(given, from_file(a.config) if a.config else None)
+        file = from_file(a.config) if a.config else {}
+        if a.command == "rebin" and sinks.is_run(spark, a.input):
+            result = api.rebin_run(spark, a.input, file | given)
+            sinks.save(result.tables, a.output, about(result))
+            return
+        s = merged(given, file, sinks.stored_settings(spark, a.run) if a.run else None)
         frames = api.load(spark, a.input, s)
         if a.command == "msm":
             result = api.build_msm(frames, s)
-            sinks.save(result.tables, a.output, {k: v.tolist() for k, v in result.arrays.items()})
+            sinks.save(result.tables, a.output, about(result))
             return
         if a.command == "residues":
             from terrane.sources.structures import read_structure
@@ -98,7 +104,12 @@ def main(args: list[str] | None = None) -> None:
             sinks.save(api.analyze_residues(frames, read_structure(spark, a.atoms), s, "state" if "state" in frames.columns else None, a.ligand), a.output)
             return
         result = api.compare(frames, s, a.reference) if a.command == "compare" else api.rebin(frames, s) if a.command == "rebin" else api.analyze(frames, s)
-        sinks.save(result.tables, a.output, {k: v.tolist() for k, v in result.arrays.items() if k != "vectors"})
+        sinks.save(result.tables, a.output, about(result, "vectors"))
+
+
+def about(result: api.Results, *without: str) -> dict:
+    """What a run keeps beside its tables: small arrays and its settings."""
+    return {k: v.tolist() for k, v in result.arrays.items() if k not in without} | {"settings": vars(result.settings)}
 
 
 def doctor(spark: SparkSession) -> None:

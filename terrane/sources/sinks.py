@@ -22,6 +22,25 @@ def load(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["tables"]}, manifest["about"]
 
 
+def is_run(spark: SparkSession, folder: str) -> bool:
+    try:
+        stored_settings(spark, folder)
+    except ValueError:
+        return False
+    return True
+
+
+def stored_settings(spark: SparkSession, folder: str) -> dict:
+    """Settings that a stored run was made with; an error if the folder holds no run, none if the run kept no settings."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        about = json.loads(spark.read.text(f"{folder}/manifest").first()[0])["about"]
+    except AnalysisException as e:
+        raise ValueError(f"{folder} holds no stored run") from e
+    return about.get("settings") or {}
+
+
 def wide_grid(grid: DataFrame, value: str = "free_energy") -> DataFrame:
     """A row for each iy with a column for each ix, for spreadsheets."""
     return grid.groupBy("iy").pivot("ix").agg(F.first(value)).orderBy("iy")

@@ -177,3 +177,25 @@ def test_intervals_of_any_count(spark):
     df = spark.createDataFrame([(50.0, 2.0, 2000), (50.0, 2.0, 3), (50.0, None, 1)], "m double, sem double, n long")
     rows = {r["n"]: r for r in compare.replicate_intervals(df, "m", "sem", "n").collect()}
     assert rows[2000]["ci_high"] == pytest.approx(50 + 2 * 1.9611514) and rows[3]["ci_high"] == pytest.approx(50 + 2 * 4.30265273) and rows[1]["ci_low"] is None
+
+
+def test_a_stored_run_gives_its_settings(spark, tmp_path, monkeypatch, two_states):
+    run, other, plain = (str(tmp_path / n) for n in ("run", "other", "plain"))
+    was = Analysis(method="columns", x="x", y="y", bins=14, temperature=310, smooth_sigma=1.0, max_states=4, bootstrap=20)
+    kept = two_states.where("frame >= 40").select("replicate", "frame", "time_ps", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+    sinks.save({"projections": kept}, run, {"settings": vars(was)})
+    assert Analysis(**sinks.stored_settings(spark, run)) == was
+    new = api.rebin_run(spark, run, {"bins": 9})
+    assert new.settings == Analysis(**vars(was) | {"bins": 9, "bootstrap": 0}) and "bootstrap_intervals" not in new.tables
+    assert new.tables["free_energy"].count() == 81 and new.tables["projections"].count() == kept.count()
+    new.release()
+    seen = []
+    monkeypatch.setattr(api, "analyze", lambda frames, s: seen.append(s) or api.Results(s, {"projections": frames}))
+    cli.main(["analyze", run + "/projections", other, "--from", run, "--set", "stride=2", "--set", 'order=["frame"]'])
+    assert seen == [Analysis(**vars(was) | {"stride": 2})] and sinks.is_run(spark, other) and sinks.stored_settings(spark, other)["stride"] == 2
+    spark.range(3).write.parquet(plain)
+    assert not sinks.is_run(spark, plain)
+    with pytest.raises(ValueError, match="no stored run"):
+        cli.main(["analyze", plain, other, "--from", plain])
+    with pytest.raises(ValueError, match="discarded by the analysis"):
+        api.rebin_run(spark, run, {"equilibration": "auto"})
