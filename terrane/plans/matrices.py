@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.columns import dot
+from terrane.functions.columns import dot, sentence
 from terrane.operators import decompose, msm, overlaps, residues, timeseries, wide
 from terrane.plans.registry import Tables, query, r
 
@@ -110,17 +110,39 @@ g AS (SELECT w.label, w.n, w.cosine, CASE WHEN w.n < 4 THEN 1 ELSE greatest(1, 1
 CASE WHEN g.n / g.g < 50 THEN 'Insufficient' WHEN coalesce(s.rmsip, 0) >= 0.7 AND g.cosine < 0.5 THEN 'Good' WHEN coalesce(s.rmsip, 0) >= 0.5 AND g.cosine < 0.7 THEN 'Mixed' ELSE 'Poor' END AS verdict FROM g LEFT JOIN s USING (label)""")
 def sampling_by_label(t: Tables) -> DataFrame:
     """How well each label samples two collective numbers: overlap of the leading modes of its halves, cosine content and effective samples, and the verdict that they give."""
-    number = lambda odd: F.expr(f"aggregate(filter(transform(embedding, (v, i) -> CASE WHEN i % 2 = {odd} THEN CAST(v AS DOUBLE) END), v -> v IS NOT NULL), 0D, (a, v) -> a + v)")
-    two = vectors(t).select("vec_id", "label", number(0).alias("x"), number(1).alias("y")).withColumn("v", F.array("x", "y"))
-    halves = overlaps.convergence(two, "v", "label", ["vec_id"], 1)["halves"][1:]
-    found = t.spark.createDataFrame([(int(k), float(v)) for k, v in halves], "label int, rmsip double")
-    cosine = timeseries.cosine_content(two, ["vec_id"], "x", 1, by=["label"])
-    n = timeseries.effective_samples(two, "label", ["vec_id"], "x")
-    both = cosine.join(n.drop("n"), "label").join(found, "label", "left")
+    two = two_numbers(t)
+    both = sampled(two).join(timeseries.effective_samples(two, "label", ["vec_id"], "x").drop("n"), "label")
     verdict = timeseries.verdict(F.coalesce("rmsip", F.lit(0.0)), F.col("cosine_content"), F.col("n_eff"))
     return both.select("label", r("rmsip", 6).alias("rmsip"), r("cosine_content", 6).alias("cosine_content"), r("n_eff", 3).alias("n_eff"), verdict.alias("verdict"))
 
 
+@query(f"""WITH {TWO}, q AS (SELECT label, CASE WHEN x < 0 THEN 'low' ELSE 'high' END || '-' || CASE WHEN y < 0 THEN 'low' ELSE 'high' END AS state, count(*) AS n FROM e GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY label) AS p FROM q),
+m AS (SELECT label, arg_max(state, (p, state)) AS top, max(p) AS share, count(*) FILTER (p >= 0.05) AS k FROM p GROUP BY 1)
+SELECT label, format('{{}} major states; {{}} holds {{:.1f}} % of the frames. Overlap between halves is {{}} and cosine content is {{}}.', k, top, 100 * share, CASE WHEN coalesce(rmsip, 0) >= 0.7 THEN 'high' WHEN coalesce(rmsip, 0) >= 0.5 THEN 'moderate' ELSE 'low' END, CASE WHEN cosine >= 0.7 THEN 'high' WHEN cosine >= 0.5 THEN 'moderate' ELSE 'low' END) AS text
+FROM m JOIN g USING (label) LEFT JOIN s USING (label)""")
+def interpretation_by_label(t: Tables) -> DataFrame:
+    """Each label's states, the quadrants of two collective numbers, in words, with the overlap of its halves and its cosine content."""
+    two = two_numbers(t)
+    side = lambda c: F.when(F.col(c) < 0, "low").otherwise("high")
+    n = two.groupBy("label", F.concat_ws("-", side("x"), side("y")).alias("state")).agg(F.count("*").alias("n"))
+    p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
+    top = p.groupBy("label").agg(F.max(F.struct("p", "state")).alias("m"), F.count(F.when(F.col("p") >= 0.05, 1)).alias("k")).join(sampled(two), "label")
+    return top.select("label", sentence(F.col("k"), F.col("m.state"), F.col("m.p"), F.coalesce("rmsip", F.lit(0.0)), F.col("cosine_content")).alias("text"))
+
+
+def two_numbers(t: Tables) -> DataFrame:
+    """Sums of the even and of the odd numbers of each vector, x and y, and both as a vector v."""
+    number = lambda odd: F.expr(f"aggregate(filter(transform(embedding, (v, i) -> CASE WHEN i % 2 = {odd} THEN CAST(v AS DOUBLE) END), v -> v IS NOT NULL), 0D, (a, v) -> a + v)")
+    return vectors(t).select("vec_id", "label", number(0).alias("x"), number(1).alias("y")).withColumn("v", F.array("x", "y"))
+
+
+def sampled(two: DataFrame) -> DataFrame:
+    """(label, rmsip of its halves' leading modes, cosine_content); labels are few."""
+    halves = overlaps.convergence(two, "v", "label", ["vec_id"], 1)["halves"][1:]
+    found = two.sparkSession.createDataFrame([(int(k), float(v)) for k, v in halves], "label int, rmsip double")
+    return timeseries.cosine_content(two, ["vec_id"], "x", 1, by=["label"]).drop("n").join(found, "label", "left")
+
+
 @query()
 def tica_modes(t: Tables) -> DataFrame:
     """Slow modes at a lag of five frames."""
