@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import decompose, hills, joins, kinetics, msm, ranges, reweight, wide
+from terrane.operators import decompose, fields, hills, joins, kinetics, msm, ranges, reweight, wide
 
 
 @pytest.fixture(scope="module")
@@ -115,6 +115,29 @@ def test_hills_in_several_variables(spark, periods, blocks, monkeypatch):
     assert len(none) == 90 and all(r["bias"] == 0 for r in none)
 
 
+@pytest.mark.parametrize("period", [None, 6.0, 0.7])
+def test_hills_in_one_variable(spark, period, monkeypatch):
+    """Blocks of a few rows, equal times and places, hills wider than the period, nulls."""
+    monkeypatch.setattr(fields, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    f = [(np.array([round(rng.uniform(-5, 5), 1)]), float(rng.integers(0, 60))) for i in range(150)]
+    h = [(np.array([round(rng.uniform(-5, 5), 1)]), np.array([[0.2, 0.5, 0.55, 3.0][i % 4]]), float(rng.uniform(0.5, 2)), float(rng.integers(0, 60))) for i in range(170)]
+    frames = spark.createDataFrame([*((i, float(x[0]), t) for i, (x, t) in enumerate(f)), (150, None, 3.0), (151, 1.0, None)], "id long, x double, t double")
+    table = spark.createDataFrame([*((float(c[0]), float(s[0]), a, t) for c, s, a, t in h), (None, 1.0, 1.0, 1.0), (1.0, 1.0, None, 1.0)], "center double, sigma double, height double, hill_time double")
+    for time in ("t", None):
+        got = [r["bias"] for r in reweight.bias_by_join(frames, table, "id", "x", time, period).orderBy("id").collect()]
+        assert np.allclose(got[:150], plain_bias(f, h, [period], bool(time)), atol=1e-10)
+        assert got[150] == 0 and len(got) == 152
+
+
+def test_hills_in_one_place_are_not_paired(spark):
+    """Views and hills by turns in one place: 2e10 pairs before their time, which would take minutes."""
+    n = 200_000
+    frames, table = spark.range(n).selectExpr("id", "0.3 AS x", "2 * id AS t"), spark.range(n).selectExpr("0.3 AS center", "1.0 AS sigma", "1.0 AS height", "2 * id + 1 AS hill_time")
+    got = reweight.bias_by_join(frames, table, "id", "x", "t").agg(F.max(F.abs(F.col("bias") - F.col("id"))), F.count("*")).first()
+    assert got[0] < 1e-6 and got[1] == n
+
+
 @pytest.mark.parametrize("factor", [None, 8.0])
 def test_constants_in_two_variables(spark, factor):
     rng = np.random.default_rng(4)
