@@ -20,17 +20,31 @@ def ordinals(df: DataFrame, replicate: str, order: list[str]) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
 
 
+#: Draws that a task of `block_indices` makes, at about; blocks that it draws in a row; frames whose draws are counted together.
+TASK_DRAWS, CHUNK, STRETCH = 2_000_000, 20_000, 100_000
+
+
 def block_indices(sizes: DataFrame, replicate: str, n_boot: int, length: int, seed: int = 0) -> DataFrame:
     """(b, replicate, _i, times): circular blocks of `length` frames, ceil(n/length) starts a resample, cut to n frames.
 
-    `times` counts how often a frame was drawn, so equal draws travel once.
+    `times` counts how often a frame was drawn, so equal draws travel once. Tasks grow in number with the draws: chunks of blocks are dealt to
+    tasks that draw them, blocks to tasks of the stretches of frames that they cover.
     """
-    n = F.col("n")
-    blocks = F.ceil(n / length).cast("int")
-    starts = sizes.select(replicate, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    n, start, stretch = F.col("n"), F.col("start"), F.col("_stretch")
+    draws = (sizes.agg(F.sum("n")).first()[0] or 0) * n_boot
+    tasks = max(sizes.sparkSession.sparkContext.defaultParallelism, -(-draws // TASK_DRAWS))
+    blocks = F.ceil(n / length).cast("long")
+    dealt = sizes.select(replicate, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    dealt = dealt.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((blocks - 1) / CHUNK)))).repartition(tasks, "b", replicate, "_chunk")
+    starts = dealt.withColumn("k", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(blocks, (F.col("_chunk") + 1) * CHUNK) - 1)))
     starts = starts.withColumn("start", counter_uniform(n, F.lit(seed), F.col("b"), F.col(replicate), F.col("k")))
-    rows = starts.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).where(F.col("k") * length + F.col("off") < n)
-    return rows.groupBy("b", replicate, ((F.col("start") + F.col("off")) % n).alias("_i")).agg(F.count("*").alias("times"))
+    stop = start + F.least(F.lit(length), n - F.col("k") * length)
+    spans = F.array(F.struct(start.alias("a"), F.least(stop, n).alias("z")), F.struct(F.lit(0).cast("long").alias("a"), (stop - n).alias("z")))
+    spans = starts.select("b", replicate, F.explode(F.filter(spans, lambda s: s["z"] > s["a"])).alias("s")).select("b", replicate, "s.a", "s.z")
+    spans = spans.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("a") / STRETCH), F.floor((F.col("z") - 1) / STRETCH)))).repartition(tasks, "b", replicate, "_stretch")
+    own = F.sequence(F.greatest("a", stretch * STRETCH), F.least(F.col("z"), (stretch + 1) * STRETCH) - 1)
+    rows = spans.select("b", replicate, "_stretch", F.explode(own).alias("_i"))
+    return rows.groupBy("b", replicate, "_stretch", "_i").agg(F.count("*").alias("times")).drop("_stretch")
 
 
 def resampled(df: DataFrame, replicate: str, order: list[str], n_boot: int, length: int, seed: int = 0) -> DataFrame:

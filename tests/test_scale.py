@@ -1,5 +1,6 @@
 """Operators that split what one task or the driver cannot hold: moments, modes of many dimensions, hills, long series."""
 
+import hashlib
 import warnings
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import decompose, fields, hills, joins, kinetics, msm, ranges, reweight, wide
+from terrane.operators import decompose, fields, hills, joins, kinetics, msm, ranges, resample, reweight, wide
 
 
 @pytest.fixture(scope="module")
@@ -260,3 +261,21 @@ def test_medoids_without_pairs(spark):
     assert key == int(d.argmin()) and abs(mean - d.min() / 260) < 1e-9 and passes < 4
     with pytest.raises(ValueError, match="not enough"):
         representatives.medoid(df, ["x", "y"], "i", most_passes=0)
+
+
+def test_tasks_of_block_indices_grow_with_the_draws(spark, monkeypatch):
+    """One long replicate and a short one: the same draws as plainly drawn, in tasks of a bounded number."""
+    for name, value in (("TASK_DRAWS", 2000), ("CHUNK", 50), ("STRETCH", 300)):
+        monkeypatch.setattr(resample, name, value)
+    sizes = spark.createDataFrame([("long", 20_003), ("short", 3), ("one", 1)], "r string, n long")
+    out = resample.block_indices(sizes, "r", 4, 7, 5).withColumn("task", F.spark_partition_id()).collect()
+    plain = {}
+    for r, n in (("long", 20_003), ("short", 3), ("one", 1)):
+        for b in range(4):
+            for k in range(-(-n // 7)):
+                start = int(hashlib.md5(f"5:{b}:{r}:{k}".encode()).hexdigest()[:8], 16) % n
+                for off in range(min(7, n - 7 * k)):
+                    at = (b, r, (start + off) % n)
+                    plain[at] = plain.get(at, 0) + 1
+    assert {(x["b"], x["r"], x["_i"]): x["times"] for x in out} == plain and len(out) == len(plain)
+    assert max(np.bincount([x["task"] for x in out])) < 6000
