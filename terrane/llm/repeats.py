@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import forget, mix64, only, sliced, stored, text_of
+from terrane.llm.common import forget, give_back, mix64, only, sliced, stored, text_of
 
 LENGTH, GRAM = 50, 16
 #: Windows of a stretch: texts of a short period have long stretches, which are cut.
@@ -169,7 +169,7 @@ def _names(docs: DataFrame, owners: int, length: int, gram: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
     def block_rows(block: int, ids: list, hashes: list, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names = np.concatenate(found)
+        names = mix64(np.concatenate(found))  # the least of many hashes lie near 0; owners need them all over
         owner = names // np.uint64(span)
         names = owner << np.uint64(32) | (names - owner * np.uint64(span)) >> shift
         sizes = np.array([len(f) for f in found])
@@ -209,8 +209,11 @@ def _names(docs: DataFrame, owners: int, length: int, gram: int) -> DataFrame:
                     if size >= BLOCK or len(ids) >= BLOCK_ROWS:
                         yield from block_rows(base + nth, ids, hashes, found)
                         ids, hashes, found, size, nth = [], [], [], 0, nth + 1
+                        give_back()
         if ids:
             yield from block_rows(base + nth, ids, hashes, found)
+        ids, hashes, found = [], [], []
+        give_back()
 
     return docs.mapInArrow(run, "block long, seq int, id long, t long, ranks binary, owner int, n int, names binary, twice binary")
 
@@ -221,9 +224,13 @@ def _answers(sent: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         names = [np.frombuffer(x, "<u4") for x in rows["names"]]
         twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(rows["twice"], rows["n"], strict=True)]
-        values, count = np.unique(np.concatenate(names), return_counts=True)
-        shared = values[count > 1]
+        values = np.concatenate(names)
+        values.sort()
+        again = values[1:][values[1:] == values[:-1]]
+        shared = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
         bits = [np.packbits(t | np.isin(x, shared, assume_unique=True)).tobytes() for x, t in zip(names, twice, strict=True)]
+        del names, twice, values, again, shared
+        give_back()
         return pd.DataFrame({"block": rows["block"], "owner": rows["owner"], "n": rows["n"], "bits": bits})
 
     return sent.groupBy("owner").applyInPandas(run, "block long, owner int, n int, bits binary")
@@ -243,6 +250,8 @@ def _suspects(docs: DataFrame, answers: DataFrame) -> DataFrame:
             many.append(int(own.sum()))
             flags.append(np.packbits(own).tobytes())
         out = pd.DataFrame({"uid": rows["block"] * 2**24 + rows["seq"], "id": rows["id"], "t": rows["t"], "n": many, "flags": flags})
+        del bits, flags
+        give_back()
         return out[out["n"] > 0]
 
     found = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "uid long, id long, t long, n int, flags binary")
@@ -300,6 +309,8 @@ def _shared_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> D
             yield batch(part, None, None, None, _zip(np.array(uids, "<i8"), np.array(keys, "<i8"), np.array(many, "<i4"), place[np.array(which, np.int64)], np.array(where, "<i4"), extent))
             for x in (known, names, low, high, uids, keys, many, which, where):
                 x.clear()
+            del texts, lows, highs, order, place, shard, name, ranked, extent
+            give_back()
 
         for whole in batches:
             for b in sliced(whole, 0):
@@ -399,6 +410,8 @@ def _answered(asks: DataFrame, hot: np.ndarray, length: int, every: bool) -> Dat
             take = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[own] if len(texts) else count, count)
             least = np.where(ref < 0, LAST, lows[own]) if len(texts) else np.full(len(ref), LAST)
             answers.append(_zip(least.astype("<i8"), count.astype("<u2"), start[take].astype("<u2"), size[take].astype("<u2"), group[take].astype("<i8") if every else group))
+        del known, texts, names, low, high, refs, piece, offset, groups, g, at, who, start, size, least, group
+        give_back()
         return pd.DataFrame({"part": rows["part"], "shard": rows["shard"], "packed": answers})
 
     return asks.groupBy("shard").applyInPandas(run, "part long, shard int, packed binary")
@@ -459,6 +472,8 @@ def _placed(parts: DataFrame, answers: DataFrame, length: int, every: bool) -> D
             edge = np.flatnonzero(np.diff(d, prepend=-1, append=-2))
             cuts = np.stack([s, e], 1).astype("<i8")
             out.append(pd.DataFrame({"uid": uids[d[edge[:-1]]], "cuts": [cuts[x:y].tobytes() for x, y in zip(edge.tolist(), edge[1:].tolist(), strict=False)]}))
+        del opened, low, count, start, size, group, begin
+        give_back()
         return pd.concat(out)
 
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(run, "id long, start long, size long, grp long" if every else "uid long, cuts binary")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from terrane.llm import infill, periods, repeats
-from terrane.llm.common import prepared
+from terrane.llm.common import give_back, prepared
 
 SCHEMA = "doc_id long, text string, t string, n long, uid long, digest binary, name string, form string"
 
@@ -250,3 +250,21 @@ def test_empty_tables(spark):
     none = table(spark, [(1, "x")]).limit(0)
     assert repeats.remove_repeats(none).count() == 0 and repeats.repeat_groups(none).count() == 0
     assert periods.periodic_runs(none).count() == 0 and infill.fill_in_middle(none).count() == 0
+
+
+def test_workers_give_memory_back():
+    """What lies between arrays that stay is free for the system again, not only for this process."""
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4 // 1024
+    arrays = [np.ones(6000) for _ in range(8000)]
+    high = held()
+    arrays = arrays[::50]
+    give_back()
+    assert held() < high - 250 and len(arrays) == 160
+
+
+def test_owners_of_names_have_like_shares(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, rng.bytes(3000).hex()) for i in range(60)], "doc_id long, text string")
+    sent = repeats._names(repeats._identity(docs, "doc_id", "text"), 8, 50, 16).where("owner is not null")
+    shares = [r[1] for r in sent.groupBy("owner").sum("n").collect()]
+    assert len(shares) == 8 and max(shares) < 1.2 * sum(shares) / 8
