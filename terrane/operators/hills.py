@@ -1,6 +1,6 @@
-"""Bias of deposited hills in any number of variables, for tables of hills and of frames of any size. One variable is the work of `fields`.
+"""Bias of deposited hills in any number of variables, for tables of hills and of frames of any size. One variable is the work of `fields`, two are that of `planes`.
 
-A hill ends at a cut-off, so with cells as wide as the farthest hill reaches a frame meets the hills of its own cell and of the cells
+In three and more a hill ends at a cut-off, so with cells as wide as the farthest hill reaches a frame meets the hills of its own cell and of the cells
 around it. A cell with many frames or hills is dealt in blocks of both, by hash, so that every pair of blocks is a task of its own; inside, frames and hills
 are in order of time, and a slice of frames is worked against the hills that can count for it in one array expression.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators import fields
+from terrane.operators import fields, planes
 from terrane.operators.ranges import dealt
 from terrane.operators.reweight import CUTOFF, hill_kernel
 
@@ -62,6 +62,8 @@ def bias(frames: DataFrame, hills: DataFrame, key: str, x: list[str], time: str
     centers, sigmas, periods = centers or ["center"], sigmas or ["sigma"], periods or [None] * d
     if d == 1:
         return fields.bias(frames, hills, key, x[0], time, periods[0], centers[0], sigmas[0])
+    if d == 2:
+        return planes.bias(frames, hills, key, x, time, periods, centers, sigmas)
     limit = math.sqrt(2 * CUTOFF)
     widest = hills.agg(*(F.max(F.col(s).cast("double")) for s in sigmas)).first()
     reach = [limit * (w or 1.0) for w in widest]

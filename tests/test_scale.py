@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import decompose, fields, hills, joins, kinetics, msm, ranges, resample, reweight, wide
+from terrane.operators import decompose, fields, hills, joins, kinetics, msm, planes, ranges, resample, reweight, wide
 
 
 @pytest.fixture(scope="module")
@@ -139,6 +139,56 @@ def test_hills_in_one_place_are_not_paired(spark):
     assert got[0] < 1e-6 and got[1] == n
 
 
+def test_hills_in_two_variables_in_tiles(spark, monkeypatch):
+    """Tiles dealt in blocks, widths of several octaves, equal times, hills wider than the period, nulls, what is not finite."""
+    monkeypatch.setattr(planes, "FRAMES", 11)
+    monkeypatch.setattr(planes, "HILLS", 9)
+    rng = np.random.default_rng(6)
+    f = [(rng.uniform(-9, 9, 2).round(1), float(rng.integers(0, 40))) for i in range(120)]
+    h = [(rng.uniform(-9, 9, 2).round(1), np.array([[0.3, 0.5, 1.9, 4.0][i % 4], [0.4, 2.0, 0.7][i % 3]]), float(rng.uniform(0.5, 2)), float(rng.integers(0, 40))) for i in range(110)]
+    bad = [(None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0), (1e300, 1.0)]
+    frames = spark.createDataFrame([*((i, *map(float, x), t) for i, (x, t) in enumerate(f)), *((200 + i, x, y, 50.0) for i, (x, y) in enumerate(bad)), (210, 1.0, 1.0, None)], "id long, x double, y double, t double")
+    for periods in ([None, None], [None, 5.0], [7.0, 1.5]):
+        for time in ("t", None):
+            table = spark.createDataFrame([*((*map(float, c), *map(float, s), a, t) for c, s, a, t in h), (1.0, None, 1.0, 1.0, 1.0, 1.0), (1.0, 1.0, 1.0, 1.0, None, 1.0), *([(1.0, 1.0, 1.0, 1.0, 1.0, None)] if time else []), (1e300, 1.0, 0.5, 0.5, 2.5, 1.0)], "c1 double, c2 double, s1 double, s2 double, height double, hill_time double")
+            got = {r["id"]: r["bias"] for r in hills.bias(frames, table, "id", ["x", "y"], time, periods, ["c1", "c2"], ["s1", "s2"]).collect()}
+            if not periods[0]:  # what 1e300 is within a period is rounding only
+                assert np.allclose([got[i] for i in range(120)], plain_bias(f, h, periods, bool(time)), atol=1e-10) and got[203] == pytest.approx(2.5)
+            else:
+                alone = {r["id"]: r["bias"] for r in hills.bias(frames, table.where("c1 < 1e10"), "id", ["x", "y"], time, periods, ["c1", "c2"], ["s1", "s2"]).collect()}
+                assert np.allclose([alone[i] for i in range(120)], plain_bias(f, h, periods, bool(time)), atol=1e-10)
+            assert len(got) == 125 and got[200] == got[201] == got[202] == 0 and (not time or got[210] == 0)
+
+
+@pytest.mark.parametrize("period", [None, 24.0, 1.8])
+def test_hills_in_two_variables_meet_few_frames(period, monkeypatch):
+    """Results of a tile against every pair, and pairs that grow more slowly than frames times hills."""
+    rng, direct, met = np.random.default_rng(2), planes.direct, []
+    for few in (4, planes.FEW):
+        monkeypatch.setattr(planes, "FEW", few)
+        monkeypatch.setattr(planes, "PAIRS", 1000 * few)
+        pairs = []
+        for n in (2000, 8000):
+            p = np.stack([rng.uniform(0, 4, n), rng.uniform(0, period if period and period < 2 else 2, n)])
+            own = np.stack([rng.uniform(-5, 9, n), rng.uniform(-3, 5, n), rng.uniform(1, 2, n), rng.uniform(0.5, 1, n), rng.uniform(1, 3, n), np.sort(rng.integers(0, 500, n) * 1.0)])
+            t, met = np.sort(rng.integers(0, 500, n) * 1.0), []
+            monkeypatch.setattr(planes, "direct", lambda q, counted, *more: (met.append(counted.sum()), direct(q, counted, *more))[1])  # noqa: B023
+            top = period if period and period < 2 else 2.0
+            got = planes.field(p, t, own, (2.0, top / 2), (4.0, top), (1.0, 0.5), [None, period])
+            counted = np.searchsorted(own[5], t, "left")
+            assert np.allclose(got, direct(p, counted, own, [None, period]), rtol=1e-12, atol=1e-10)
+            pairs.append(sum(met))
+        if few == 4 and period != 1.8:  # hills wider than half a period fold inside cells
+            assert pairs[1] < 10 * pairs[0] and pairs[1] < 0.1 * counted.sum()
+
+
+def test_hills_in_one_place_of_a_plane_are_not_paired(spark):
+    n = 200_000
+    frames, table = spark.range(n).selectExpr("id", "0.3 AS x", "23.9 AS y", "2 * id AS t"), spark.range(n).selectExpr("0.3 AS c1", "-0.1 AS c2", "1.0 AS s1", "0.5 AS s2", "1.0 AS height", "2 * id + 1 AS hill_time")
+    got = hills.bias(frames, table, "id", ["x", "y"], "t", [None, 24.0], ["c1", "c2"], ["s1", "s2"]).agg(F.max(F.abs(F.col("bias") - F.col("id"))), F.count("*")).first()
+    assert got[0] < 1e-6 and got[1] == n
+
+
 @pytest.mark.parametrize("factor", [None, 8.0])
 def test_constants_in_two_variables(spark, factor):
     rng = np.random.default_rng(4)
