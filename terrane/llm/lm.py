@@ -6,14 +6,15 @@ distribution over the known words and one unknown. A text begins in the context
 1. Texts are cut into blocks of tokens numbered within the block (`blocks`).
 2. Words are numbered for the corpus, by their bytes and never by a hash: blocks send their words to `SLICES` slices, which add up counts and send numbers back (`numbered`).
 3. Blocks send each owner the (context, word) pairs of its contexts with their counts, and where they stand (`entries`). An owner is some `OWNER_TOKENS` tokens, so their
-   number grows with the corpus. A context of more than `COMMON` tokens is split among all owners by the word that follows.
+   number grows with the corpus. A context of more than `COMMON` tokens is split among all owners by the word that follows; an owner's share is merged once (`merged`).
 4. Owners seat customers by Gibbs sampling (`seated`). With a gamma variable for each restaurant (s given T tables: Gamma(strength / discount + T)) the tables t of its
    dishes are independent given s: p(t) ~ S(c, t) (discount s parent)^t, S the generalised Stirling numbers. So no total is guessed and no order matters; random
    numbers follow from the numbers of context and word, so results do not depend on partitions.
 5. Tables are the customers of the parent, which is seated by word slices (`parents`); then contexts are seated anew given the parent, and the
    predictive probabilities of `SAMPLES` seatings are averaged (`scored`).
 
-Restaurants that are split among owners are drawn once, in step 4, and their totals are exact before step 5 uses them. For dishes of more than `EXACT` customers
+Restaurants that are split among owners follow the same rule: all that a sweep takes from other dishes is the restaurant's total, and after each sweep the totals of shares
+are added up (`total_of`). So scores do not hang on `COMMON`. For dishes of more than `EXACT` customers
 the conditional is taken from its limit (`opened_by_many`; at `EXACT` customers means differ by less than 2 %). Discounts are n1 / (n1 + 2 n2), n1 and n2 the
 dishes of one and of two customers, over the whole corpus; strengths are constants.
 
@@ -166,31 +167,49 @@ def changes(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
+_ENTRY = "kind int, owner int, block long, context binary, total binary, run binary, word binary, count binary, uses binary, docs binary, times binary"
+
+
+def dishes_row(context: np.ndarray, total: np.ndarray, word: np.ndarray, count: np.ndarray) -> dict[str, bytes]:
+    """Dishes in order of contexts and words, packed as `Dishes` reads them."""
+    start, run = runs(changes(context))
+    step = np.diff(word, prepend=0)
+    step[start] = word[start]
+    return {"context": packed(np.diff(context[start], prepend=0)), "total": packed(total[start]), "run": packed(run), "word": packed(step), "count": packed(count)}
+
+
 def entries(cut: DataFrame, dictionary: DataFrame, n_owners: int, common: int = COMMON) -> DataFrame:
-    """Rows of three kinds: 0, a block's documents with what follows from counts alone; 1, an owner's pairs in a block; 2, the same with the documents they stand in."""
+    """Rows of four kinds: 0, a block's documents with what follows from counts alone; 1, an owner's pairs in a block, of contexts that it holds whole; 3, its shares of the others; 2, both with the documents they stand in."""
     names = ["kind", "owner", "block", "context", "total", "run", "word", "count", "uses", "docs", "times"]
 
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame(columns=names)
-        row, token = left.iloc[0], unpacked(left["tokens"].iloc[0])
+        row, token = left.iloc[0], unpacked(left["tokens"].iloc[0]).astype(np.int32)
         length, held = unpacked(row["lengths"]), np.frombuffer(row["held"], np.uint8) > 0
         number, count = np.zeros((2, sum(struct.unpack_from("<Q", x)[0] for x in right["at"])), np.int64)
         for at, n, c in zip(right["at"], right["numbers"], right["counts"], strict=True):
             at = unpacked(at)
             number[at], count[at] = unpacked(n), unpacked(c)
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
-        doc, many = np.repeat(np.arange(len(length)), length), len(number)
+        doc, many = np.repeat(np.arange(len(length), dtype=np.int32), length), len(number)
         known, base = np.add.reduceat((count > 0)[token].astype(np.int64), first), np.add.reduceat(np.log10(count + 0.5)[token], first)
         out = [dict.fromkeys(names) | {"kind": 0, "owner": -1, "block": row["block"], "context": row["ids"], "total": row["nulls"], "run": row["held"], "word": row["lengths"], "count": packed(known), "docs": base.astype("<f8").tobytes()}]
-        before = np.concatenate([[0], token[:-1]])  # a text ends with the end token, so the next one begins after it
+        before = np.concatenate([np.zeros(1, np.int32), token[:-1]])  # a text ends with the end token, so the next one begins after it
         mixed = mix64(number.astype(np.uint64))
         with np.errstate(over="ignore"):
             split = mix64(mixed[before] + number[token].astype(np.uint64))
-        owner = (np.where(count[before] > common, split, mixed[before]) % np.uint64(n_owners)).astype(np.int64)
+        alone = count[before] <= common
+        split[alone] = mixed[before[alone]]
+        split %= np.uint64(n_owners)
+        owner = split.astype(np.int32)
+        del split, alone
         rank = np.empty(many, np.int64)
         rank[np.argsort(number)] = np.arange(many)
-        key = (owner * many + rank[before]) * many + rank[token]
+        key = owner.astype(np.int64)
+        for x in (before, token):
+            key *= many
+            key += rank[x]
         order = np.argsort(key, kind="stable")
         key, doc, train = key[order], doc[order], ~held[doc[order]]
         new = changes(key)
@@ -199,22 +218,25 @@ def entries(cut: DataFrame, dictionary: DataFrame, n_owners: int, common: int =
         c, uses = np.add.reduceat(train.astype(np.int64), pair), np.diff(np.append(np.searchsorted(place, pair), len(place)))
         where = order[pair]
         owner, v, w = owner[where], before[where], token[where]
+        del key, new, order, train, before, token, where, pair  # a block's tokens are many
         at = np.searchsorted(owner, np.arange(n_owners + 1))
         place_at = np.concatenate([[0], np.cumsum(uses)])
         for o in np.flatnonzero(np.diff(at)).tolist():
             s, e = at[o], at[o + 1]
-            start, run = runs(changes(v[s:e]))
-            context, word = number[v[s:e][start]], number[w[s:e]]
-            step = np.diff(word, prepend=0)
-            step[start] = word[start]
-            same = {"owner": o, "block": row["block"], "context": packed(np.diff(context, prepend=0)), "total": packed(count[v[s:e][start]]), "run": packed(run), "word": packed(step), "count": packed(c[s:e])}
+            head = {"owner": o, "block": row["block"]}
+            same = head | dishes_row(number[v[s:e]], count[v[s:e]], number[w[s:e]], c[s:e])
             p, q = place_at[s], place_at[e]
-            out.append(dict.fromkeys(names) | same | {"kind": 1})
+            shared = count[v[s:e]] > common
+            if not shared.any():
+                out.append(dict.fromkeys(names) | same | {"kind": 1})
+            else:
+                for kind, some in ((1, np.flatnonzero(~shared) + s), (3, np.flatnonzero(shared) + s)):
+                    if len(some):
+                        out.append(dict.fromkeys(names) | head | dishes_row(number[v[some]], count[v[some]], number[w[some]], c[some]) | {"kind": kind})
             out.append(dict.fromkeys(names) | same | {"kind": 2, "uses": packed(uses[s:e]), "docs": packed(doc[place[p:q]]), "times": packed(times[p:q])})
         return pd.DataFrame(out, columns=names)
 
-    schema = "kind int, owner int, block long, context binary, total binary, run binary, word binary, count binary, uses binary, docs binary, times binary"
-    return cut.select("block", "ids", "nulls", "held", "lengths", "tokens").groupBy("block").cogroup(dictionary.where("block >= 0").groupBy("block")).applyInPandas(pairs, schema)
+    return cut.select("block", "ids", "nulls", "held", "lengths", "tokens").groupBy("block").cogroup(dictionary.where("block >= 0").groupBy("block")).applyInPandas(pairs, _ENTRY)
 
 
 def uniform(key: np.ndarray, draw: int) -> np.ndarray:
@@ -321,9 +343,11 @@ def _log_factorial(t: np.ndarray) -> np.ndarray:
 
 
 class Dishes:
-    """An owner's dishes, merged from the rows of blocks."""
+    """An owner's dishes, merged from the rows of blocks.
 
-    def __init__(self, rows: pd.DataFrame, common: int = COMMON):
+    `known` has the contexts of more than `common` tokens, in order, and their tables over all owners after 0, 1, ... sweeps; without it the owner holds all contexts whole."""
+
+    def __init__(self, rows: pd.DataFrame, common: int = COMMON, known: tuple[np.ndarray, list[np.ndarray]] | None = None):
         contexts, totals, words, counts = [], [], [], []
         for r in rows[["context", "total", "run", "word", "count"]].itertuples(index=False):
             run, step = unpacked(r.run), unpacked(r.word)
@@ -339,7 +363,8 @@ class Dishes:
         pair, self.at = np.unique(v * len(self.words) + w, return_inverse=True)  # at: the dish of each pair of each row
         self.v, self.w = np.divmod(pair, len(self.words))
         self.c = np.bincount(self.at, count, len(pair)).astype(np.int64)
-        self.common = self.totals > common  # contexts that other owners hold, too
+        self.common = (self.totals > common) & (known is not None)  # contexts that other owners hold, too
+        self.known = [x[np.searchsorted(known[0], self.contexts[self.common])] for x in known[1]] if known else []
         with np.errstate(over="ignore"):
             self.key = mix64(mix64(self.contexts.astype(np.uint64))[self.v] + self.words[self.w].astype(np.uint64))
 
@@ -349,11 +374,18 @@ class Dishes:
             s = gamma(STRENGTH[1] / discount + tables, mix64(self.contexts.astype(np.uint64) + np.uint64(sweep << 48)))
             return opened(self.c, discount * s[self.v] * parent[self.w], discount, self.key + np.uint64(sweep))
 
+    def whole(self, t: np.ndarray, sweeps: int) -> np.ndarray:
+        """Tables of every restaurant after so many sweeps, those of other owners among them."""
+        out = np.bincount(self.v, t, len(self.contexts))
+        if self.common.any():
+            out[self.common] = self.known[sweeps]
+        return out
+
     def swept(self, parent: np.ndarray, discount: float, first: int) -> Iterator[np.ndarray]:
         """The seatings after each sweep."""
         t = np.minimum(self.c, 1)
         for k in range(BURN_IN + SAMPLES):
-            t = self.drawn(parent, np.bincount(self.v, t, len(self.contexts)), discount, first + k)
+            t = self.drawn(parent, self.whole(t, k), discount, first + k)
             yield t
 
     def begun(self, vocabulary: int) -> np.ndarray:
@@ -362,55 +394,86 @@ class Dishes:
         return 1 / ((self.words // SLICES + 1) * SLICES * harmonic)
 
     def split(self, vocabulary: int) -> np.ndarray:
-        """Tables in the contexts that several owners hold, 0 elsewhere: one draw, the same whenever it is asked for."""
-        out, at, discount = np.zeros(len(self.c), np.int64), np.flatnonzero(self.common[self.v]), DISCOUNT[1]
-        if len(at):
-            s = STRENGTH[1] / discount + self.totals**discount
-            out[at] = opened(self.c[at], discount * s[self.v[at]] * self.begun(vocabulary)[self.w[at]], discount, self.key[at])
-        return out
+        """Tables that are seated apart from the sweeps: none, since contexts in parts are swept like all others."""
+        return np.zeros(len(self.c), np.int64)
+
+
+def merged(parts: DataFrame, n_owners: int) -> DataFrame:
+    """One row for each owner that has shares of contexts: all of them, merged from the rows of blocks."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        d = Dishes(rows)
+        row = dict.fromkeys(rows.columns) | {"kind": 3, "owner": key[0], "block": -1} | dishes_row(d.contexts[d.v], d.totals[d.v], d.words[d.w], d.c)
+        return pd.DataFrame([row], columns=rows.columns)
+
+    return parts.repartition(n_owners, "owner").groupBy("owner").applyInPandas(run, _ENTRY)
+
+
+def total_at_first(shares: DataFrame) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    """The contexts held in shares, of which a corpus has one in `COMMON` tokens at most, and their tables before any sweep, one a dish."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k in range(len(rows)):
+                d = Dishes(rows.iloc[k : k + 1])
+                yield pd.DataFrame({"context": d.contexts, "tables": np.bincount(d.v, np.minimum(d.c, 1), len(d.contexts)).astype(np.int64)})
+
+    found = sorted(map(tuple, shares.mapInPandas(run, "context long, tables long").groupBy("context").agg(F.sum("tables")).collect()))
+    return (np.array([f[0] for f in found]), [np.array([f[1] for f in found])]) if found else None
+
+
+def total_of(shares: DataFrame, known: tuple[np.ndarray, list[np.ndarray]], vocabulary: int, discount: float, first: int, common: int) -> np.ndarray:
+    """Tables of the contexts held in shares after one more sweep than `known` has. Shares have the parent's probabilities, or start from `begun`."""
+    ids, so_far = known[0], len(known[1]) - 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(len(ids), np.int64)
+        for rows in batches:
+            for k in range(len(rows)):
+                d = Dishes(rows.iloc[k : k + 1], common, known)
+                parent = np.frombuffer(rows["parent"].iloc[k], "<f8") if "parent" in rows else d.begun(vocabulary)
+                t = d.drawn(parent, d.whole(d.c, so_far), discount, first + so_far)
+                out[np.searchsorted(ids, d.contexts)] += np.bincount(d.v, t, len(d.contexts)).astype(np.int64)
+        yield pd.DataFrame({"context": ids, "tables": out})
+
+    found = dict(map(tuple, shares.mapInPandas(run, "context long, tables long").groupBy("context").agg(F.sum("tables")).collect()))
+    return np.array([found[i] for i in ids.tolist()])
 
 
 _SHARED = "slice int, kind int, owner int, numbers binary, values binary"
 
 
-def seated(sent: DataFrame, n_owners: int, vocabulary: int, common: int = COMMON) -> DataFrame:
-    """What owners tell the slices: 0, tables by word; 1, tables by context held in parts; and as kind 2 the dishes of one and of two customers."""
+def seated(sent: DataFrame, n_owners: int, vocabulary: int, common: int = COMMON, known: tuple[np.ndarray, list[np.ndarray]] | None = None) -> DataFrame:
+    """What owners tell the slices: 0, tables by word; and as kind 2 the dishes of one and of two customers."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        dishes = Dishes(rows, common)
+        dishes = Dishes(rows, common, known)
         *_, t = (x for _, x in zip(range(BURN_IN), dishes.swept(dishes.begun(vocabulary), DISCOUNT[1], 1), strict=False))
-        shared = dishes.common[dishes.v]
-        t = np.where(shared, dishes.split(vocabulary), t)
-        ids = np.flatnonzero(dishes.common)
-        by = ((0, dishes.words, np.bincount(dishes.w, t, len(dishes.words))), (1, dishes.contexts[ids], np.bincount(dishes.v, t, len(dishes.contexts))[ids]))
+        order = np.argsort(dishes.words % SLICES, kind="stable")
+        numbers, values = dishes.words[order], np.bincount(dishes.w, t, len(dishes.words))[order]
+        at = np.searchsorted(numbers % SLICES, np.arange(SLICES + 1))
         out = [(0, 2, key[0], b"", packed(np.array([(dishes.c == 1).sum(), (dishes.c == 2).sum()])))]
-        for kind, numbers, values in by:
-            order = np.argsort(numbers % SLICES, kind="stable")
-            numbers, values = numbers[order], values[order]
-            at = np.searchsorted(numbers % SLICES, np.arange(SLICES + 1))
-            out += [(s, kind, key[0], packed(np.diff(numbers[at[s] : at[s + 1]], prepend=0)), packed(values[at[s] : at[s + 1]])) for s in np.flatnonzero(np.diff(at)).tolist()]
+        out += [(s, 0, key[0], packed(np.diff(numbers[at[s] : at[s + 1]], prepend=0)), packed(values[at[s] : at[s + 1]])) for s in np.flatnonzero(np.diff(at)).tolist()]
         return pd.DataFrame(out, columns=["slice", "kind", "owner", "numbers", "values"])
 
     return sent.repartition(n_owners, "owner").groupBy("owner").applyInPandas(run, _SHARED)
 
 
 def parents(told: DataFrame, vocabulary: int, discount: float) -> DataFrame:
-    """What slices tell the owners that asked: 0, customers and tables of each word in the corpus; 1, tables of each context held in parts; and sums as owner -1."""
+    """What slices tell the owners that asked: customers and tables of each word in the corpus; and sums as owner -1."""
     base, s = 1 / (vocabulary + 1), STRENGTH[0] / discount + vocabulary / 2
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         numbers, values = [np.cumsum(unpacked(x)) for x in rows["numbers"]], [unpacked(x) for x in rows["values"]]
         found, at = np.unique(np.concatenate(numbers), return_inverse=True)
         c, cuts = np.bincount(at, np.concatenate(values), len(found)).astype(np.int64), np.cumsum([len(n) for n in numbers])[:-1]
-        out = []
-        if key[1] == 0:
-            t = opened(c, np.full(len(c), discount * s * base), discount, mix64(found.astype(np.uint64)))
-            out.append((-1, 0, b"", packed(np.array([c.sum(), t.sum()])), b""))
+        t = opened(c, np.full(len(c), discount * s * base), discount, mix64(found.astype(np.uint64)))
+        out = [(-1, 0, b"", packed(np.array([c.sum(), t.sum()])), b"")]
         for owner, n, k in zip(rows["owner"], rows["numbers"], np.split(at, cuts), strict=True):
-            out.append((owner, key[1], n, packed(c[k]), packed(t[k]) if key[1] == 0 else b""))
+            out.append((owner, 0, n, packed(c[k]), packed(t[k])))
         return pd.DataFrame(out, columns=["owner", "kind", "numbers", "customers", "tables"])
 
-    return told.where("kind < 2").groupBy("slice", "kind").applyInPandas(run, "owner int, kind int, numbers binary, customers binary, tables binary")
+    return told.where("kind < 2").groupBy("slice").applyInPandas(run, "owner int, kind int, numbers binary, customers binary, tables binary")
 
 
 def looked_up(rows: pd.DataFrame, kind: int, column: str, numbers: np.ndarray) -> np.ndarray:
@@ -425,29 +488,40 @@ def looked_up(rows: pd.DataFrame, kind: int, column: str, numbers: np.ndarray) -
     return np.where(found[order][at] == numbers, values[order][at], 0)
 
 
+def parent_of(words: np.ndarray, told: pd.DataFrame, vocabulary: int, sums: tuple[int, int], discount: float) -> np.ndarray:
+    """The probabilities of words in the corpus restaurant."""
+    customers, tables = looked_up(told, 0, "customers", words), looked_up(told, 0, "tables", words)
+    return (np.maximum(customers - discount * tables, 0) + (STRENGTH[0] + discount * sums[1]) / (vocabulary + 1)) / (STRENGTH[0] + sums[0])
+
+
+def with_parent(shares: DataFrame, told: DataFrame, n_owners: int, vocabulary: int, sums: tuple[int, int], discount: float) -> DataFrame:
+    """Shares of contexts with the parent's probabilities of their words."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return left.assign(parent=[parent_of(Dishes(left).words, right, vocabulary, sums, discount).astype("<f8").tobytes()] if len(left) else [])
+
+    both = shares.repartition(n_owners, "owner").groupBy("owner").cogroup(told.where("owner >= 0").repartition(n_owners, "owner").groupBy("owner"))
+    return both.applyInPandas(run, _ENTRY + ", parent binary")
+
+
 def predictive(dishes: Dishes, told: pd.DataFrame, vocabulary: int, sums: tuple[int, int], discounts: tuple[float, float]) -> np.ndarray:
     """The averaged predictive probability of each dish."""
-    customers, tables = looked_up(told, 0, "customers", dishes.words), looked_up(told, 0, "tables", dishes.words)
-    parent = (np.maximum(customers - discounts[0] * tables, 0) + (STRENGTH[0] + discounts[0] * sums[1]) / (vocabulary + 1)) / (STRENGTH[0] + sums[0])
-    shared, split = dishes.common[dishes.v], dishes.split(vocabulary)
-    in_parts = looked_up(told, 1, "customers", dishes.contexts)
+    parent = parent_of(dishes.words, told, vocabulary, sums, discounts[0])
     mean = np.zeros(len(dishes.c))
     for k, t in enumerate(dishes.swept(parent, discounts[1], 1 + BURN_IN + SAMPLES)):
         if k >= BURN_IN:
-            t = np.where(shared, split, t)
-            whole = np.where(dishes.common, in_parts, np.bincount(dishes.v, t, len(dishes.contexts)))
-            mean += np.maximum(dishes.c - discounts[1] * t, 0) + (STRENGTH[1] + discounts[1] * whole[dishes.v]) * parent[dishes.w]
+            mean += np.maximum(dishes.c - discounts[1] * t, 0) + (STRENGTH[1] + discounts[1] * dishes.whole(t, k + 1)[dishes.v]) * parent[dishes.w]
     return mean / SAMPLES / (STRENGTH[1] + dishes.totals[dishes.v])
 
 
-def scored(sent: DataFrame, told: DataFrame, n_owners: int, vocabulary: int, sums: tuple[int, int], discounts: tuple[float, float], common: int = COMMON) -> DataFrame:
+def scored(sent: DataFrame, told: DataFrame, n_owners: int, vocabulary: int, sums: tuple[int, int], discounts: tuple[float, float], common: int = COMMON, known: tuple[np.ndarray, list[np.ndarray]] | None = None) -> DataFrame:
     """For each owner and block, the sums of log10 probabilities over each document's tokens."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
             return pd.DataFrame(columns=["block", "docs", "score"])
         left = left.sort_values("block")
-        dishes = Dishes(left, common)
+        dishes = Dishes(left, common, known)
         log = np.log10(predictive(dishes, right, vocabulary, sums, discounts))[dishes.at]
         out, at = [], 0
         for r in left.itertuples(index=False):
@@ -513,9 +587,20 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", fold
     sent = stored(entries(cut, dictionary, n_owners, common), "entries", "kind")
     forget(cut, dictionary)
     of_kind = lambda k: sent.where(F.col("kind") == k)
-    told = stored(seated(of_kind(1), n_owners, vocabulary, common), "tables")
+    shares = stored(merged(of_kind(3), n_owners), "shares")
+    known = total_at_first(shares)
+    for _ in range(BURN_IN - 1 if known else 0):
+        known[1].append(total_of(shares, known, vocabulary, DISCOUNT[1], 1, common))
+    told = stored(seated(of_kind(1).unionByName(shares), n_owners, vocabulary, common, known), "tables")
     discounts = estimated(one, two, DISCOUNT[0]), estimated(*_sums(told.where("kind = 2"), "values", 2), DISCOUNT[1])
     back = stored(parents(told, vocabulary, discounts[0]), "parents")
     forget(told)
     sums = tuple(_sums(back.where("owner < 0"), "customers", 2))
-    return summed(of_kind(0), scored(of_kind(2), back, n_owners, vocabulary, sums, discounts, common), n_train, vocabulary)
+    if known:
+        priced = stored(with_parent(shares, back, n_owners, vocabulary, sums, discounts[0]), "priced")
+        known = known[0], known[1][:1]
+        for _ in range(BURN_IN + SAMPLES):
+            known[1].append(total_of(priced, known, vocabulary, discounts[1], 1 + BURN_IN + SAMPLES, common))
+        forget(priced)
+    forget(shares)
+    return summed(of_kind(0), scored(of_kind(2), back, n_owners, vocabulary, sums, discounts, common, known), n_train, vocabulary)

@@ -145,6 +145,15 @@ def test_language_model_does_not_depend_on_partitions(spark, tables):
     assert got.keys() == want.keys() and all(got[i]["score"] == pytest.approx(r["score"], rel=1e-9) and got[i]["n_known"] == r["n_known"] for i, r in want.items())
 
 
+def test_language_model_does_not_depend_on_what_is_split(spark, tables):
+    """Contexts held whole and contexts split among owners are seated by one rule."""
+    docs = tables["documents"].where("doc_id < 200")
+    want = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, owner_tokens=20_000).collect()}
+    for common in (1_000, 50):
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, owner_tokens=20_000, common=common).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(w, rel=1e-9) for i, w in want.items())
+
+
 def test_language_model_prefers_what_it_has_seen(spark):
     rng = np.random.default_rng(8)
     text = lambda: " ".join(f"w{int(x)}" for x in rng.integers(300, size=80))
