@@ -6,9 +6,10 @@ names wherever they stand. Neighbouring windows of one name make a stretch, some
 1. Tasks send the owners of hash ranges their names, 32 bits each, and get a bitmap back: which names other documents have, too.
 2. Stretches of shared names are read again. A part of a task holds each of them once and asks the shards of their names about them,
    with the least and greatest of its documents that have it, compressed; where its documents have them it keeps to itself.
-3. All stretches of a name meet in one shard, equal ones as one. Its suffix array is refined eight bytes at a time; the common prefix of
-   neighbours comes with each split. A stack scan over it closes the intervals of the common-prefix tree, and those whose members
-   differ in the byte before them, or begin a stretch, are the maximal repeats: a group each, with all its members.
+3. All stretches of a name meet in one chunk of a shard, equal ones as one. Suffixes that share `LENGTH` bytes make the buckets of its suffix
+   array, which is refined eight bytes at a time; the common prefix of neighbours comes with each split. A stack scan over it closes the intervals of the common-prefix tree, and those whose members
+   differ in the byte before them, or begin a stretch, are the maximal repeats: a group each, with all its members. Chunks are small and as
+   many as the input needs; shards are few, so that the rows between parts and shards grow with the input.
 4. Parts get an answer for each stretch: its least document, and which of its bytes an earlier one has. No row of any exchange stands for a
    single occurrence, so a stretch of a third of all documents costs a shard one entry a part.
 
@@ -17,7 +18,8 @@ instead: its windows are grouped by their bytes, with map-side aggregation, in a
 
 Defined results: a null text counts as empty; a null key comes after all others (as does the greatest long); rows of one key are one document
 for what counts as smaller, and each is judged by itself; texts below `LENGTH` bytes stay whole; an empty table gives no rows; other columns are not read.
-A span may cut a character, so what is kept is bytes. Memory: about ten times the longest text; a shard takes some `SHARD` bytes of text.
+A span may cut a character, so what is kept is bytes. Memory: about ten times the longest text; a chunk takes some `CHUNK` bytes of text, and `OPEN`
+of them are unpacked at a time; a task holds the compressed questions of one shard, `SHARD_CHUNKS` chunks at most.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ from terrane.llm.common import forget, give_back, mix64, only, sliced, stored, t
 LENGTH, GRAM = 50, 16
 #: Windows of a stretch: texts of a short period have long stretches, which are cut.
 WINDOWS = 64
-#: Text (bytes) or rows whose names a task sends together; names that an owner answers for; bytes of stretches in a shard.
-BLOCK, BLOCK_ROWS, OWNER_NAMES, SHARD = 64_000_000, 1_000_000, 2_000_000, 2_000_000
+#: Text (bytes) or rows whose names a task sends together; names that an owner answers for; bytes of stretches in a chunk.
+BLOCK, BLOCK_ROWS, OWNER_NAMES, CHUNK = 64_000_000, 1_000_000, 2_000_000, 2_000_000
+#: Shards, as long as none has more chunks than the second number: a part asks each shard in one row, so rows grow with parts times shards.
+SHARDS, SHARD_CHUNKS = 256, 64
+#: Chunks of a shard that are open together; rows of a batch of questions.
+OPEN, ASKED = 16, 32
 #: Distinct stretches that a task gathers before it asks about them.
 PART = 100_000
 #: Stretches of one name that meet in a shard at most, and names that may have more: the former grows so that the latter holds (8 bytes each).
@@ -49,11 +55,9 @@ _DIVERSE = -1
 
 def grams(data: bytes) -> np.ndarray:
     """The eight bytes from each place on, as little-endian numbers."""
-    out = np.empty(max(len(data) - 7, 0), np.uint64)
-    for r in range(min(8, len(out))):
-        m = (len(data) - r) // 8
-        out[r::8] = np.frombuffer(data, "<u8", m, r)
-    return out
+    if len(data) < 8:
+        return np.empty(0, np.uint64)
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).copy()
 
 
 def stretches(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +66,10 @@ def stretches(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     eight = grams(data)
     with np.errstate(over="ignore"):
-        low = mix64(eight[: -(gram - 8)] * np.uint64(0x9FB21C651E98DF25) + eight[gram - 8 :])
+        low = eight[: len(eight) - (gram - 8)]
+        for k in [*range(8, gram - 8, 8), gram - 8]:
+            low = low * np.uint64(0x9FB21C651E98DF25) + eight[k : k + len(low)]
+        low = mix64(low)
     span, wide = length - gram + 1, 1
     while 2 * wide <= span:
         low, wide = np.minimum(low[:-wide], low[wide:]), 2 * wide
@@ -78,18 +85,32 @@ def stretches(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return low[begin], begin, begin + size
 
 
-def _refined(text: bytes, at: np.ndarray, stop: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes [at, stop) in order within each kind, and the common prefix of each with the one before it (0 across kinds).
+def _refined(text: bytes, at: np.ndarray, stop: np.ndarray, kind: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes [at, stop) of `length` bytes or more that share these bytes with another one of their kind, in order within each such group, and
+    the common prefix of each with the one before it (0 across groups).
 
-    Places whose order is open are sorted by their next eight bytes, round by round; a place whose neighbours differ is settled.
+    Groups are found by a hash of kind and bytes and compared in full. Then places whose order is open are sorted by their next eight bytes, round
+    by round; a place whose neighbours differ is settled.
     """
-    order = np.argsort(kind, kind="stable")
-    eight = grams(text + bytes(16)).byteswap()
-    prefix = np.full(len(at), -1, np.int64)
-    ranked = kind[order]
-    prefix[0] = 0
-    prefix[1:][ranked[1:] != ranked[:-1]] = 0
-    depth = 0
+    eight = grams(text + bytes(16))
+    parts = sorted({*range(0, length - 7, 8), max(length - 8, 0)})
+    mask = np.uint64(2 ** (8 * min(length, 8)) - 1)
+    name = kind.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for k in parts:
+            name = name * np.uint64(0x9FB21C651E98DF25) + (eight[at + k] & mask)
+    name = mix64(name)
+    order = np.argsort(name)
+    again = name[order[1:]] == name[order[:-1]]
+    order = order[np.append(False, again) | np.append(again, False)]
+    alike = lambda x: x[order[1:]] == x[order[:-1]]
+    same = lambda: np.logical_and.reduce([alike(kind), *(alike(eight[at + k] & mask) for k in parts)])
+    equal = same()
+    if (alike(name) & ~equal).any():  # different bytes of one hash
+        order = order[np.lexsort([*((eight[at + k] & mask)[order] for k in parts), kind[order]])]
+        equal = same()
+    prefix = np.append(np.zeros(min(len(order), 1), np.int64), np.where(equal, -1, 0))
+    depth = length
     while True:
         open_ = prefix < 0
         live = np.flatnonzero(open_ | np.append(open_[1:], False))
@@ -99,7 +120,7 @@ def _refined(text: bytes, at: np.ndarray, stop: np.ndarray, kind: np.ndarray) ->
         segment = np.cumsum(head)
         p = order[live]
         left = np.clip(stop[p] - at[p] - depth, 0, 8)
-        word = eight[np.minimum(at[p] + depth, len(eight) - 1)]
+        word = eight[np.minimum(at[p] + depth, len(eight) - 1)].byteswap()
         word &= np.where(left > 0, ~np.uint64(0) << ((8 - np.maximum(left, 1)) * 8).astype(np.uint64), np.uint64(0))
         way = np.lexsort((left, word, segment))
         order[live], word, left = p[way], word[way], left[way]
@@ -112,8 +133,8 @@ def _refined(text: bytes, at: np.ndarray, stop: np.ndarray, kind: np.ndarray) ->
 
 
 def maximal_repeats(pieces: list[bytes], kinds: np.ndarray, least: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """Groups of maximal repeats among pieces of one kind: (piece of each suffix in order, its place in the piece, groups), where
-    a group (first, last, size, least) is the suffixes from first to last, which share `size` bytes, and the least of their pieces' numbers."""
+    """Groups of maximal repeats among pieces of one kind: (piece of each suffix that another one shares `length` bytes with, in order, its place
+    in the piece, groups), where a group (first, last, size, least) is the suffixes from first to last, which share `size` bytes, and the least of their pieces' numbers."""
     sizes = np.array([len(p) for p in pieces], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     many = np.maximum(sizes - length + 1, 0)
@@ -123,7 +144,7 @@ def maximal_repeats(pieces: list[bytes], kinds: np.ndarray, least: np.ndarray, l
         return piece, offset, []
     text = b"".join(pieces)
     at = begin[piece] + offset
-    order, prefix = _refined(text, at, begin[piece + 1], kinds[piece])
+    order, prefix = _refined(text, at, begin[piece + 1], kinds[piece], length)
     piece, offset, at = piece[order], offset[order], at[order]
     before = np.where(offset > 0, np.frombuffer(text, np.uint8)[np.maximum(at - 1, 0)].astype(np.int64), _DIVERSE)
     groups: list[tuple[int, int, int, int]] = []
@@ -132,7 +153,11 @@ def maximal_repeats(pieces: list[bytes], kinds: np.ndarray, least: np.ndarray, l
     if not len(inside):
         return piece, offset, groups
     brk = np.flatnonzero(np.diff(inside) > 1)
-    for s, e in zip(inside[np.append(0, brk + 1)].tolist(), inside[np.append(brk, len(inside) - 1)].tolist(), strict=True):
+    head, tail = inside[np.append(0, brk + 1)], inside[np.append(brk, len(inside) - 1)]
+    two = head[head == tail]  # intervals of two suffixes need no stack
+    two = two[(before[two - 1] != before[two]) | (before[two] == _DIVERSE)]
+    groups += zip((two - 1).tolist(), two.tolist(), prefix[two].tolist(), np.minimum(least[piece[two - 1]], least[piece[two]]).tolist(), strict=True)
+    for s, e in zip(head[head < tail].tolist(), tail[head < tail].tolist(), strict=True):
         low, left = least[piece[s - 1 : e + 1]].tolist(), before[s - 1 : e + 1].tolist()
         stack: list[list[int]] = []
         for k, common in enumerate([*prefix[s : e + 1].tolist(), -1]):
@@ -152,6 +177,12 @@ def maximal_repeats(pieces: list[bytes], kinds: np.ndarray, least: np.ndarray, l
     return piece, offset, groups
 
 
+def _wider(gram: int, length: int, size: int) -> int:
+    """Bytes of a gram for a table of so many bytes: one more for each fourfold of 64 MB. Otherwise nearly all stretches of a large table would have
+    names that others have by chance. Names only say where to look, so results do not depend on it."""
+    return max(gram, min(gram + ((size >> 27).bit_length() + 1) // 2, length // 2))
+
+
 def _identity(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, t, text): the key with null as the last one, a hash that tells texts of one key apart, the text."""
     out = df.select(F.coalesce(df[key].cast("long"), F.lit(LAST)).alias("id"), text_of(df, text).alias("text"))
@@ -173,10 +204,15 @@ def _names(docs: DataFrame, owners: int, length: int, gram: int) -> DataFrame:
         owner = names // np.uint64(span)
         names = owner << np.uint64(32) | (names - owner * np.uint64(span)) >> shift
         sizes = np.array([len(f) for f in found])
-        sent, rank = np.unique(names, return_inverse=True)
-        pairs = np.unique(rank * np.int64(len(ids)) + np.repeat(np.arange(len(ids)), sizes))
-        twice = np.bincount(pairs // len(ids), minlength=len(sent)) > 1
-        three = np.ascontiguousarray(rank.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        order = np.argsort(names)
+        names, doc = names[order], np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[order]
+        new = np.append(True, names[1:] != names[:-1])
+        first = np.flatnonzero(new)
+        sent, twice = names[first], np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        three = rank.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        del order, names, doc, new, first, rank
         ends = (np.cumsum(sizes) * 3).tolist()
         for s in range(0, len(ids), 10_000):
             yield batch([(block, k, ids[k], hashes[k], three[ends[k - 1] if k else 0 : ends[k]], None, None, None, None) for k in range(s, min(s + 10_000, len(ids)))])
@@ -218,6 +254,13 @@ def _names(docs: DataFrame, owners: int, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, seq int, id long, t long, ranks binary, owner int, n int, names binary, twice binary")
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values stand in an ordered array, looked up one by one: what it costs grows with the values, not with the array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _answers(sent: DataFrame) -> DataFrame:
     """(block, owner, n, bits): a bit for each name that a block sent, set if two documents have it."""
 
@@ -228,7 +271,7 @@ def _answers(sent: DataFrame) -> DataFrame:
         values.sort()
         again = values[1:][values[1:] == values[:-1]]
         shared = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
-        bits = [np.packbits(t | np.isin(x, shared, assume_unique=True)).tobytes() for x, t in zip(names, twice, strict=True)]
+        bits = [np.packbits(t | _among(x, shared)).tobytes() for x, t in zip(names, twice, strict=True)]
         del names, twice, values, again, shared
         give_back()
         return pd.DataFrame({"block": rows["block"], "owner": rows["owner"], "n": rows["n"], "bits": bits})
@@ -276,13 +319,18 @@ def _unzip(data: bytes, *types: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[e - n : e], t) for e, n, t in zip(ends.tolist(), np.frombuffer(raw, "<i8", len(types)).tolist(), types, strict=True)]
 
 
-def _shared_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+def _chunk(names: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunk of each name. Consecutive chunks make a shard."""
+    return (mix64(names.view(np.uint64)) % np.uint64(chunks)).astype(np.int64)
+
+
+def _shared_stretches(docs: DataFrame, shards: int, chunks: int, length: int, gram: int) -> DataFrame:
     """Rows of two kinds: what a part of a task asks a shard (part, shard, n, names, and packed: each distinct stretch once, with its least and
     greatest document), and the part's documents (part, packed: numbers, keys, where which of the part's stretches stand, and the stretches' lengths)."""
     fields = [("part", pa.int64()), ("shard", pa.int32()), ("n", pa.int32()), ("names", pa.list_(pa.int64())), ("packed", pa.binary())]
 
-    def batch(*row: object) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(row, fields, strict=True)], names=[f for f, _ in fields])
+    def batch(*rows: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -290,26 +338,32 @@ def _shared_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> D
         only()
         part = TaskContext.get().partitionId() << 20
         known: dict[bytes, int] = {}
-        names, low, high = [], [], []
-        uids, keys, many, which, where = [], [], [], [], []
+        names, which, where = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
+        uids, keys, many = [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            name = np.array(names, np.int64)
-            shard = (mix64(name.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((name, shard))
+            texts, own = list(known), np.array(which, np.int64)
+            name, lows, highs = np.empty(len(texts), np.int64), np.full(len(texts), LAST), np.full(len(texts), -LAST - 1)
+            key = np.repeat(np.array(keys, np.int64), many)
+            name[own] = np.concatenate(names).view(np.int64)
+            np.minimum.at(lows, own, key)
+            np.maximum.at(highs, own, key)
+            chunk = _chunk(name, chunks)
+            order = np.lexsort((name, chunk))
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order))
-            texts, lows, highs, ranked = list(known), np.array(low, np.int64), np.array(high, np.int64), shard[order]
-            edge = np.flatnonzero(np.diff(ranked, prepend=-1, append=shards))
+            texts, name, lows, highs, ranked = [texts[k] for k in order.tolist()], name[order], lows[order], highs[order], chunk[order] * shards // chunks
+            extent = np.fromiter(map(len, texts), "<u2", len(texts))
+            edge, rows = np.flatnonzero(np.diff(ranked, prepend=-1, append=shards)), []
             for s, e in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                own = order[s:e]
-                data = [texts[k] for k in own.tolist()]
-                yield batch(part, int(ranked[s]), e - s, name[own].tolist(), _zip(np.array([len(x) for x in data], "<u2"), np.frombuffer(b"".join(data), np.uint8), lows[own], highs[own]))
-            extent = np.array([len(texts[k]) for k in order.tolist()], "<u2")
-            yield batch(part, None, None, None, _zip(np.array(uids, "<i8"), np.array(keys, "<i8"), np.array(many, "<i4"), place[np.array(which, np.int64)], np.array(where, "<i4"), extent))
-            for x in (known, names, low, high, uids, keys, many, which, where):
+                rows.append((part, int(ranked[s]), e - s, name[s:e], _zip(extent[s:e], np.frombuffer(b"".join(texts[s:e]), np.uint8), lows[s:e], highs[s:e])))
+                if len(rows) == ASKED:
+                    yield batch(*rows)
+                    rows = []
+            yield batch(*rows, (part, None, None, None, _zip(np.array(uids, "<i8"), np.array(keys, "<i8"), np.array(many, "<i4"), place[own], np.concatenate(where).astype("<i4"), extent)))
+            for x in (known, which, uids, keys, many):
                 x.clear()
-            del texts, lows, highs, order, place, shard, name, ranked, extent
+            del names[1:], where[1:], texts, own, name, lows, highs, key, chunk, order, place, ranked, extent, rows
             give_back()
 
         for whole in batches:
@@ -317,22 +371,14 @@ def _shared_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> D
                 for data, i, uid, flags in zip(b.column(0).cast(pa.binary()).to_pylist(), *(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     found, begin, end = stretches(data, length, gram)
                     want = np.flatnonzero(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(found)))
-                    for name, s, e in zip(found[want].view(np.int64).tolist(), begin[want].tolist(), (end[want] + length - 1).tolist(), strict=True):
-                        k = known.setdefault(data[s:e], len(names))
-                        if k == len(names):
-                            names.append(name)
-                            low.append(i)
-                            high.append(i)
-                        elif i < low[k]:
-                            low[k] = i
-                        elif i > high[k]:
-                            high[k] = i
-                        which.append(k)
-                        where.append(s)
+                    begin = begin[want]
+                    which += [known.setdefault(data[s:e], len(known)) for s, e in zip(begin.tolist(), (end[want] + length - 1).tolist(), strict=True)]
+                    names.append(found[want])
+                    where.append(begin)
                     uids.append(uid)
                     keys.append(i)
                     many.append(len(want))
-                    if len(names) >= PART or len(which) >= 4 * PART:
+                    if len(known) >= PART or len(which) >= 4 * PART:
                         yield from flush()
                         part += 1
         if uids:
@@ -348,6 +394,11 @@ def _unpacked(packed: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], low, high
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places from each begin on, as many as its count."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+
+
 def _united(piece: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each piece, overlapping and touching ones as one."""
     order = np.lexsort((start, piece))
@@ -361,60 +412,98 @@ def _united(piece: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return piece[first], start[first], reach[last] - base[last]
 
 
-def _answered(asks: DataFrame, hot: np.ndarray, length: int, every: bool) -> DataFrame:
-    """(part, shard, packed): for each stretch that a part asks about its least document, and its members of groups of maximal repeats (place, size,
-    group), a stretch that several documents have among them. Without `every`, members are united that another document before the least one has, too."""
+def _told(raw: bytes, begin: np.ndarray, size: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, every: bool) -> tuple[np.ndarray, ...]:
+    """(least, count, start, size, group) of the stretches of a chunk: the least document of each and how many members of groups it has, and these
+    in order; groups are numbered from 0."""
+    known: dict[bytes, int] = {}
+    ref = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(begin.tolist(), (begin + size).tolist(), strict=True)], np.int64)
+    lows, highs, kind = np.full(len(known), LAST), np.full(len(known), -LAST - 1), np.empty(len(known), np.int64)
+    np.minimum.at(lows, ref, low)
+    np.maximum.at(highs, ref, high)
+    kind[ref] = names
+    texts = list(known)
+    piece, offset, groups = maximal_repeats(texts, np.unique(kind, return_inverse=True)[1], lows, length)
+    g = np.array(groups, np.int64).reshape(-1, 4)
+    many = g[:, 1] - g[:, 0] + 1
+    at = _spread(g[:, 0], many)
+    who, start, extent, least = piece[at], offset[at], np.repeat(g[:, 2], many), np.repeat(g[:, 3], many)
+    group = np.repeat(np.arange(len(g)), many)
+    if every:
+        alone = np.flatnonzero(lows < highs)  # a stretch of several documents is a repeat by itself
+        sizes = np.array([len(texts[k]) for k in alone.tolist()], np.int64)
+        who, start, extent = np.concatenate([who, alone]), np.concatenate([start, np.zeros(len(alone), np.int64)]), np.concatenate([extent, sizes])
+        group = np.concatenate([group, len(g) + np.arange(len(alone))])
+        order = np.argsort(who, kind="stable")
+        who, start, extent, group = who[order], start[order], extent[order], group[order]
+    else:
+        before = least < lows[who]
+        who, start, stop = _united(who[before], start[before], start[before] + extent[before])
+        extent, group = stop - start, np.zeros(len(who), np.int64)
+    first = np.searchsorted(who, np.arange(len(texts) + 1))
+    count = np.diff(first)[ref]
+    take = _spread(first[ref], count)
+    return lows[ref], count, start[take], extent[take], group[take]
+
+
+def _answered(asks: DataFrame, hot: int, shards: int, chunks: int, length: int, every: bool) -> DataFrame:
+    """(part, shard, packed, hot): for each stretch that a part asks about its least document, and its members of groups of maximal repeats (place, size,
+    group), a stretch that several documents have among them. Without `every`, members are united that another document before the least one has, too. Names
+    that parts ask for more than `hot` times get no members; they are told in rows without a part.
+
+    The chunks of a shard are worked on one after the other, `OPEN` of them unpacked at a time."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, int] = {}
-        names, low, high, refs = [], [], [], []
-        for told, packed in zip(rows["names"], rows["packed"], strict=True):
-            texts, least, most = _unpacked(packed)
-            ref = np.empty(len(texts), np.int64)
-            cold = ~np.isin(told, hot)
-            for k, (text, name, a, b, usual) in enumerate(zip(texts, told, least.tolist(), most.tolist(), cold.tolist(), strict=True)):
-                if not usual:
-                    ref[k] = -1
-                    continue
-                at = ref[k] = known.setdefault(text, len(names))
-                if at == len(names):
-                    names.append(name)
-                    low.append(a)
-                    high.append(b)
-                else:
-                    low[at], high[at] = min(low[at], a), max(high[at], b)
-            refs.append(ref)
-        texts, lows, highs = list(known), np.array(low, np.int64), np.array(high, np.int64)
-        sizes = np.array([len(x) for x in texts], np.int64)
-        piece, offset, groups = maximal_repeats(texts, np.unique(np.array(names, np.int64), return_inverse=True)[1], lows, length)
-        g = np.array(groups, np.int64).reshape(-1, 4)
-        many = g[:, 1] - g[:, 0] + 1
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(g[:, 0], many)
-        who, start, size, least = piece[at], offset[at], np.repeat(g[:, 2], many), np.repeat(g[:, 3], many)
-        group = (int(key[0]) << 32) + np.repeat(np.arange(len(g)), many)
-        if every:
-            alone = np.flatnonzero(lows < highs)  # a stretch of several documents is a repeat by itself
-            who, start, size = np.concatenate([who, alone]), np.concatenate([start, np.zeros(len(alone), np.int64)]), np.concatenate([size, sizes[alone]])
-            group = np.concatenate([group, (int(key[0]) << 32) + len(g) + np.arange(len(alone))])
-            order = np.argsort(who, kind="stable")
-            who, start, size, group = who[order], start[order], size[order], group[order]
-        else:
-            before = least < lows[who]
-            who, start, stop = _united(who[before], start[before], start[before] + size[before])
-            size, group = stop - start, np.zeros(0, np.int64)
-        begin = np.searchsorted(who, np.arange(len(texts) + 1))
-        answers = []
-        for ref in refs:
-            own = np.maximum(ref, 0)
-            count = np.where(ref < 0, 0, begin[own + 1] - begin[own]) if len(texts) else np.zeros(len(ref), np.int64)
-            take = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[own] if len(texts) else count, count)
-            least = np.where(ref < 0, LAST, lows[own]) if len(texts) else np.full(len(ref), LAST)
-            answers.append(_zip(least.astype("<i8"), count.astype("<u2"), start[take].astype("<u2"), size[take].astype("<u2"), group[take].astype("<i8") if every else group))
-        del known, texts, names, low, high, refs, piece, offset, groups, g, at, who, start, size, least, group
+        shard, groups, often = int(key[0]), 0, []
+        names = [np.asarray(x, np.int64) for x in rows["names"]]
+        place = [_chunk(x, chunks) for x in names]
+        answers: list[list[tuple]] = [[] for _ in names]
+        low_chunk, end_chunk = -(-shard * chunks // shards), -(-(shard + 1) * chunks // shards)
+        for lower in range(low_chunk, end_chunk, OPEN):
+            upper = min(lower + OPEN, end_chunk)
+            found = []
+            for packed, own in zip(rows["packed"], place, strict=True):
+                a, b = np.searchsorted(own, (lower, upper)).tolist()
+                sizes, data, low, high = _unzip(packed, "<u2", "u1", "<i8", "<i8")
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                found.append((data[ends[a] : ends[b]].tobytes(), sizes[a:b].astype(np.int64), low[a:b].copy(), high[a:b].copy(), (a, b)))
+            raw = b"".join(x[0] for x in found)
+            sizes, low, high = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
+            ranges = [x[4] for x in found]
+            del found, data
+            name, own = (np.concatenate([x[a:b] for x, (a, b) in zip(c, ranges, strict=True)]) for c in (names, place))
+            begin = np.cumsum(sizes) - sizes
+            value, asked = np.unique(name, return_counts=True)
+            often.append(value[asked > hot])
+            usual = np.flatnonzero(~_among(name, often[-1]))
+            order = usual[np.argsort(own[usual], kind="stable")]
+            least, count = np.full(len(name), LAST), np.zeros(len(name), np.int64)
+            members = []
+            edge = np.searchsorted(own[order], np.arange(lower, upper + 1)).tolist()
+            for s, e in zip(edge, edge[1:], strict=False):
+                if s < e:
+                    k = order[s:e]
+                    least[k], count[k], *member, group = _told(raw, begin[k], sizes[k], name[k], low[k], high[k], length, every)
+                    members.append((*member, (shard << 32) + groups + group if every else group))
+                    groups += int(group.max(initial=-1)) + 1
+            start, extent, group = (np.concatenate([m[k] for m in members] or [np.zeros(0, np.int64)]) for k in range(3))
+            first = np.zeros(len(name), np.int64)
+            first[order] = np.cumsum(count[order]) - count[order]
+            take = _spread(first, count)
+            least, start, extent, group = least.astype("<i8"), start[take].astype("<u2"), extent[take].astype("<u2"), group[take].astype("<i8")
+            row, member = np.cumsum([0, *(b - a for a, b in ranges)]).tolist(), np.concatenate([[0], np.cumsum(count)])
+            for out, s, e in zip(answers, row, row[1:], strict=False):
+                x, y = int(member[s]), int(member[e])
+                out.append(tuple(c.copy() for c in (least[s:e], count[s:e].astype("<u2"), start[x:y], extent[x:y], group[x:y] if every else group[:0])))
+            del raw, sizes, low, high, name, own, begin, members, least, count, start, extent, group, take, first, order, usual, member
+            give_back()
+        packed = [_zip(*(np.concatenate(c) for c in zip(*out, strict=True))) for out in answers]
+        del answers, names, place
         give_back()
-        return pd.DataFrame({"part": rows["part"], "shard": rows["shard"], "packed": answers})
+        out = pd.DataFrame({"part": rows["part"].astype("Int64"), "shard": rows["shard"], "packed": packed})
+        more = pd.DataFrame({"part": pd.array([None], "Int64"), "shard": [shard], "hot": [np.concatenate(often)]})
+        return pd.concat([out.assign(hot=None), more.assign(packed=None)[["part", "shard", "packed", "hot"]]]) if len(more["hot"][0]) else out.assign(hot=None)
 
-    return asks.groupBy("shard").applyInPandas(run, "part long, shard int, packed binary")
+    return asks.groupBy("shard").applyInPandas(run, "part long, shard int, packed binary, hot array<long>")
 
 
 def _hot_answers(asks: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
@@ -423,9 +512,14 @@ def _hot_answers(asks: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         for b in batches:
-            for part, shard, names, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = np.flatnonzero(np.isin(names, hot))
-                texts, low, high = _unpacked(packed)
+            names, many = b.column(2).flatten().to_numpy(), np.asarray(b.column(2).value_lengths())
+            found = np.split(_among(names, hot), np.cumsum(many)[:-1])
+            for nth, own in enumerate(found):
+                at = np.flatnonzero(own)
+                if not len(at):
+                    continue
+                part, shard = b.column(0)[nth].as_py(), b.column(1)[nth].as_py()
+                texts, low, high = _unpacked(b.column(3)[nth].as_py())
                 for s in range(0, len(at), 1000):
                     rows = [(part, shard, k, i, texts[k][i : i + length], int(low[k]), int(high[k])) for k in at[s : s + 1000].tolist() for i in range(len(texts[k]) - length + 1)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "shard", "at", "start", "window", "low", "high"])
@@ -483,21 +577,24 @@ def _found(df: DataFrame, key: str, text: str, length: int, gram: int, every: bo
     """(documents as `_identity` gives them; documents with shared names; what `_placed` gives)."""
     docs = _identity(df, key, text)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    gram = _wider(gram, length, total)
     names = stored(_names(docs, max(2, total * 2 // (length - gram + 2) // OWNER_NAMES + 1), length, gram), "names")
     answers = stored(_answers(names.where("owner is not null").select("block", "owner", "n", "names", "twice")), "answers")
     suspects = stored(_suspects(names.where("owner is null").select("block", "seq", "id", "t", "ranks"), answers), "suspects")
     forget(names, answers)
     about = suspects.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-about * (length + 18) // SHARD))
-    shared = stored(_shared_stretches(_with_known(docs, suspects, "inner"), shards, length, gram), "stretches")
+    chunks = max(1, -(-about * (length + 18) // CHUNK))
+    shards = min(chunks, max(SHARDS, -(-chunks // SHARD_CHUNKS)))
+    shared = stored(_shared_stretches(_with_known(docs, suspects, "inner"), shards, chunks, length, gram), "stretches")
     asks, parts = shared.where("shard is not null"), shared.where("shard is null").select("part", "packed")
     many = asks.agg(F.sum("n")).first()[0] or 0
     limit = max(HOT if hot is None else hot, many // MOST_HOT)
-    often = asks.select(F.explode("names").alias("name")).groupBy("name").count().where(F.col("count") > limit).select("name")
-    hot_names = np.sort(np.array([r["name"] for r in often.collect()], np.int64))  # no more than MOST_HOT
-    told = stored(_answered(asks, hot_names, length, every), "told").select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("start", "int"), ("least", "long"), ("grp", "long"))))
+    told = stored(_answered(asks, limit, shards, chunks, length, every), "told")
+    often = told.where("part is null").select("shard", "hot").collect()  # no more than MOST_HOT names
+    hot_names = np.sort(np.array([x for r in often for x in r["hot"]], np.int64))
+    told = told.where("part is not null").drop("hot").select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("at", "int"), ("start", "int"), ("least", "long"), ("grp", "long"))))
     if len(hot_names):
-        told = told.unionByName(_hot_answers(asks, hot_names, length).withColumn("packed", F.lit(None).cast("binary")))
+        told = told.unionByName(_hot_answers(asks.where(F.col("shard").isin([r["shard"] for r in often])), hot_names, length).withColumn("packed", F.lit(None).cast("binary")))
     return docs, suspects, _placed(parts, told, length, every)
 
 

@@ -268,3 +268,64 @@ def test_owners_of_names_have_like_shares(spark):
     sent = repeats._names(repeats._identity(docs, "doc_id", "text"), 8, 50, 16).where("owner is not null")
     shares = [r[1] for r in sent.groupBy("owner").sum("n").collect()]
     assert len(shares) == 8 and max(shares) < 1.2 * sum(shares) / 8
+
+
+def test_rows_between_parts_and_shards_grow_with_the_input(spark, monkeypatch):
+    """Chunks grow with the input in number, shards do not until they have many chunks: a part asks each of them in one row at most."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(120))) for i in range(60)]
+    rows += [(100 + i, t[40:] + " " + rows[(i * 7) % 60][1][:300]) for i, (_, t) in enumerate(rows)] + [(None, rows[3][1]), (5, rows[9][1])]
+    tables, asked = {}, []
+
+    def stored(df, name):
+        tables[name] = df = spark.createDataFrame(df.collect(), df.schema)
+        if name == "stretches":
+            asked.append(df.where("shard is not null").count() / df.where("shard is null").count())
+        return df
+
+    monkeypatch.setattr(repeats, "stored", stored)
+    expected = removed_plainly(rows)
+    for size, shards, most, opened in ((2_000_000, 256, 64, 16), (300, 4, 1000, 16), (300, 4, 1000, 3), (300, 2, 30, 1)):
+        for name, value in (("CHUNK", size), ("SHARDS", shards), ("SHARD_CHUNKS", most), ("OPEN", opened), ("PART", 200)):
+            monkeypatch.setattr(repeats, name, value)
+        for hot in (20_000, 5):
+            found = repeats.digests(repeats.remove_repeats(table(spark, rows), hot=hot)).collect()
+            assert sorted((tuple(r) for r in found), key=repr) == expected
+    assert asked[0] == 1 and max(asked[2:6]) <= 4 and 4 < asked[6]
+
+
+def test_values_of_an_ordered_array():
+    rng = np.random.default_rng(2)
+    for values, ordered in ((rng.integers(0, 50, 30), np.unique(rng.integers(0, 50, 20))), (np.arange(3), np.zeros(0, np.int64)), (np.zeros(0, np.int64), np.arange(3))):
+        assert repeats._among(values, ordered).tolist() == np.isin(values, ordered).tolist()
+
+
+def test_repeats_whatever_hashes_are(monkeypatch):
+    """Strings of one hash are told apart by their bytes and kinds."""
+    pieces, kinds = [b"a passage of many words", b"b passage of many words", b"a passage of few", b"passage of many words x"], np.array([0, 0, 0, 1])
+    groups = []
+    for mixed in (repeats.mix64, lambda x: np.zeros_like(x)):
+        monkeypatch.setattr(repeats, "mix64", mixed)
+        piece, offset, found = repeats.maximal_repeats(pieces, kinds, np.arange(4), 9)
+        groups.append(sorted((n, least, sorted(zip(piece[a : b + 1].tolist(), offset[a : b + 1].tolist(), strict=True))) for a, b, n, least in found))
+    assert groups[0] == groups[1] == [(12, 0, [(0, 1), (1, 1), (2, 1)]), (13, 0, [(0, 0), (2, 0)]), (22, 0, [(0, 1), (1, 1)])]
+
+
+def test_wide_grams_count_with_all_their_bytes(spark):
+    """Larger tables have longer grams, all of whose bytes tell in a name; what is removed does not depend on them."""
+    assert [repeats._wider(16, 50, size) for size in (0, 10**8, 10**9, 10**10, 10**14)] == [16, 16, 18, 20, 25] and repeats._wider(16, 20, 10**10) == 16
+    draw = random.Random(4)
+    text = bytes(draw.randrange(256) for _ in range(50))
+    for gram in range(16, 26):
+        one = repeats.stretches(text, gram, gram)[0][0]
+        for k in range(gram):
+            other = bytearray(text)
+            other[k] ^= 1
+            assert repeats.stretches(bytes(other), gram, gram)[0][0] != one
+        assert repeats.stretches(text[:gram] + b"x", gram, gram)[0][0] == one
+    rows = [(i, "".join(draw.choice("ab ") for _ in range(200)) * draw.randrange(1, 3)) for i in range(12)]
+    rows += [(20 + i, t[draw.randrange(90) :]) for i, t in rows]
+    for gram in (17, 20, 23, 25):
+        found = repeats.digests(repeats.remove_repeats(table(spark, rows), gram=gram)).collect()
+        assert sorted((tuple(r) for r in found), key=repr) == removed_plainly(rows)
