@@ -1,7 +1,8 @@
 """Removal of passages that documents share, by common-prefix interval trees of suffix arrays.
 
 A window is a string of `LENGTH` bytes. It is named by the least hash of the `GRAM`-byte strings in it, so equal windows have equal
-names wherever they stand. Neighbouring windows of one name make a stretch, some 70 bytes of text with all its windows.
+names wherever they stand; large tables take longer strings (`_wider`). Neighbouring windows of one name make a stretch, some 70 bytes of text
+with all its windows.
 
 1. Tasks send the owners of hash ranges their names, 32 bits each, and get a bitmap back: which names other documents have, too.
 2. Stretches of shared names are read again. A part of a task holds each of them once and asks the shards of their names about them,
@@ -178,8 +179,8 @@ def maximal_repeats(pieces: list[bytes], kinds: np.ndarray, least: np.ndarray, l
 
 
 def _wider(gram: int, length: int, size: int) -> int:
-    """Bytes of a gram for a table of so many bytes: one more for each fourfold of 64 MB. Otherwise nearly all stretches of a large table would have
-    names that others have by chance. Names only say where to look, so results do not depend on it."""
+    """Bytes of a gram for a table of so many bytes: one more at 128 MB and at each fourfold of it. Otherwise nearly all stretches of a large table
+    would have names that others have by chance. Names only say where to look, so results do not depend on it."""
     return max(gram, min(gram + ((size >> 27).bit_length() + 1) // 2, length // 2))
 
 
